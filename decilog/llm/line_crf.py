@@ -118,7 +118,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 150, rate: float =
     x, live, y = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest)), np.array([y for _, y in rows])
     for k, (one, _) in enumerate(rows):
         x[k, : len(one)], live[k, : len(one)] = one, 1
-    scale = 1 / np.bincount(y, minlength=2)[y]  # both classes weigh alike
+    scale = np.full(n, 2 / n)
     gold = np.eye(2)[y]
     first, second = [np.zeros_like(weights), np.zeros_like(trans)], [np.zeros_like(weights), np.zeros_like(trans)]
     for step in range(1, steps + 1):
@@ -146,8 +146,8 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 150, rate: float =
     return LineCrf(weights, trans)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_each: int = 600, max_lines: int = 60) -> LineCrf:
-    """Fit on at most ``max_each`` labelled documents of each quality, ``max_lines`` lines of each.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_bad: int = 500, max_good: int = 1500, max_lines: int = 60) -> LineCrf:
+    """Fit on at most ``max_bad`` and ``max_good`` labelled documents, ``max_lines`` lines of each.
 
     The sample is the labels that come first by a hash of the id. The line limit is
     for training alone; every line is decoded.
@@ -155,9 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_ea
     known = need(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")
     if usable is not None:
         known = known.where(usable)
-    first = [known.where(F.col("quality") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_each) for y in (0, 1)]
+    first = [known.where(F.col("quality") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, max_bad), (1, max_good))]
     sample = need(docs, "doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id").where("text IS NOT NULL")
-    found = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.select("doc_id", "text", "quality").collect())  # bounded by max_each
+    found = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.select("doc_id", "text", "quality").collect())  # bounded by the limits
     return fit_rows([(describe(text)[1][:max_lines], y) for _, text, y in found])
 
 
