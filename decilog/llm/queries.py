@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decilog.llm import byte_bpe, chat, exact_dedup, line_crf, ngram_join, packing, toxicity
+from decilog.llm import byte_bpe, chat, exact_dedup, html_extract, license_scan, line_crf, ngram_join, packing, toxicity, url_filter
 from decilog.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,21 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
 """
+
+
+@query
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.listed_labels(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id") % 50), F.concat(F.lit("f"), F.col("doc_id")))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return license_scan.scan(files).withColumnRenamed("file_id", "doc_id")
