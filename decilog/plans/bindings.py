@@ -26,7 +26,7 @@ ROLES = {
         c_acctbal / 10000 AS gto_score FROM customer""",
     "suppressions": """SELECT concat('c', CAST(s_suppkey % 20 AS VARCHAR(19))) AS cluster_key, s_acctbal < 100 AS active, s_suppkey AS ts FROM supplier""",
     # a corpus of vectors with a hard-filter key, a validity interval and weights
-    "corpus": """SELECT vec_id AS id, embedding AS vec, label % 2 AS part, CAST(label AS VARCHAR(9)) AS action, label,
+    "corpus": """SELECT vec_id AS id, embedding AS vec, label % 2 AS part, CASE label % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'error' END AS action, label,
         0.5 + (vec_id % 5) / 10.0 AS confidence, 1 - (vec_id % 3) / 10.0 AS gto_score,
         vec_id AS added_at, CASE WHEN vec_id % 7 = 0 THEN vec_id + 200 ELSE 0 END AS removed_at, vec_id % 11 <> 0 AS active,
         (vec_id * 13) % 400 AS spr FROM embeddings""",

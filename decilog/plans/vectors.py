@@ -1 +1,278 @@
-"""Queries."""
+"""Queries of neighbours, blends and evaluations over the embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from decilog.functions import predicates as P
+from decilog.operators import blend as B
+from decilog.operators import evaluate as E
+from decilog.operators import knn as K
+from decilog.operators import stats as S
+from decilog.plans.bindings import role, with_roles
+from decilog.plans.registry import query
+from decilog.plans.stats import FREQ, r4
+
+COS = "list_cosine_similarity(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[]))"
+
+
+def nb_sql(where: str = "c.active", queries: str = "corpus", corpus: str = "corpus", k: int = 10, on: str = "c.part = q.part") -> str:
+    return f"SELECT * FROM (SELECT q.id AS query, c.id AS nb, 1 - {COS} AS distance, row_number() OVER (PARTITION BY q.id ORDER BY 1 - {COS}, c.id) AS rank FROM {queries} q JOIN {corpus} c ON {on} AND c.id <> q.id WHERE {where}) WHERE rank <= {k}"
+
+
+def corpus_of(spark, d):
+    return role(spark, d, "corpus")
+
+
+def neighbours(spark, d, k=10):
+    df = corpus_of(spark, d)
+    return K.knn(df, df.where(P.is_live(F.col("active"))), ["part"], k)
+
+
+def d5(c="distance"):
+    return F.round(c, 5).alias(c)
+
+
+NB = nb_sql()
+BLEND = f"""nb AS ({NB}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
+bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v WHERE w > 0)"""
+
+
+@query(with_roles(f"SELECT query, nb, round(distance, 5) AS distance, CAST(rank AS INTEGER) AS rank FROM ({NB})"))
+def n01_knn(spark, d):
+    return neighbours(spark, d).select("query", "nb", d5(), "rank")
+
+
+@query(with_roles(f"SELECT query, nb, CAST(rank AS INTEGER) AS rank FROM ({nb_sql('c.added_at <= 400 AND (c.removed_at = 0 OR c.removed_at > 400)', k=5)})"))
+def p03_knn_as_of(spark, d):
+    df = corpus_of(spark, d)
+    then = df.where(P.as_of(F.col("added_at"), F.col("removed_at"), F.lit(400)))
+    return K.knn(df, then, ["part"], 5).select("query", "nb", "rank")
+
+
+@query(with_roles(f"SELECT query, nb, CAST(rank AS INTEGER) AS rank FROM ({nb_sql('c.spr BETWEEN greatest(0, floor(q.spr * 0.5)) AND floor(q.spr * 1.5)', k=5)})"))
+def p04_knn_in_band(spark, d):
+    df = corpus_of(spark, d)
+    return K.knn(df, df, ["part"], 5, band="spr").select("query", "nb", "rank")
+
+
+@query(with_roles("SELECT a.id AS a, count(*) AS others FROM corpus a JOIN corpus b ON a.part = b.part AND NOT (a.part = b.part AND a.action = b.action) WHERE b.active GROUP BY a.id"))
+def p05_not_same_cluster(spark, d):
+    df = corpus_of(spark, d).select("id", "part", "action", "active")
+    pairs = df.alias("l").join(df.where("active").alias("r"), (F.col("l.part") == F.col("r.part")) & P.not_same_cluster("l", "r", ["part", "action"]))
+    return pairs.groupBy(F.col("l.id").alias("a")).agg(F.count(F.lit(1)).alias("others"))
+
+
+@query(with_roles("SELECT part, count(*) FILTER (WHERE active) AS live, count(*) AS n FROM corpus GROUP BY part"))
+def p02_is_live(spark, d):
+    return corpus_of(spark, d).groupBy("part").agg(F.count_if(P.is_live(F.col("active"))).alias("live"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def n02_knn_lsh(spark, d):
+    df = corpus_of(spark, d)
+    return K.knn_lsh(df, df.where("active"), ["part"], 10).select("query", "nb", d5(), "rank")
+
+
+@query(with_roles(f"WITH {BLEND} SELECT query, action, round(prob, 5) AS prob FROM bl"))
+def n03_blend(spark, d):
+    return B.blend(neighbours(spark, d), corpus_of(spark, d)).select("query", "action", d5("prob"))
+
+
+REMAP = ({"error": "view", "signup": "view"}, {"view": "click"})
+
+
+@query(with_roles(f"""WITH {BLEND}, l AS (SELECT query, CASE WHEN query % 2 = 0 AND action IN ('error', 'signup') THEN 'view' WHEN query % 2 = 1 AND action = 'view' THEN 'click' ELSE action END AS action, prob FROM bl)
+SELECT query, action, round(sum(prob), 5) AS prob FROM l GROUP BY query, action"""))
+def n04_legalise(spark, d):
+    dist = B.blend(neighbours(spark, d), corpus_of(spark, d)).withColumn("facing", F.col("query") % 2)
+    return B.legalise(dist, "query", "facing", *REMAP).select("query", "action", d5("prob"))
+
+
+@query(with_roles(f"""WITH {BLEND}, ch AS (SELECT label, action, 0.6 AS freq FROM corpus WHERE label < 3 GROUP BY label, action UNION ALL SELECT label, 'other', 0.3 FROM corpus WHERE label < 3 GROUP BY label),
+h AS (SELECT c.id, ch.action, ch.freq FROM corpus c JOIN ch ON ch.label = c.label)
+SELECT id, action, round(freq, 5) AS prob, 'chart' AS source FROM h UNION ALL SELECT id, 'fold', round(1 - sum(freq), 5), 'chart' FROM h GROUP BY id
+UNION ALL SELECT query, action, round(prob, 5), 'knn' FROM bl WHERE query NOT IN (SELECT id FROM h)"""))
+def n05_decide(spark, d):
+    df = corpus_of(spark, d)
+    few = df.where("label < 3")
+    charts = few.select("label", "action", F.lit(0.6).alias("freq")).distinct().unionByName(few.select("label", F.lit("other").alias("action"), F.lit(0.3).alias("freq")).distinct())
+    return B.decide(df, charts, ["label"], B.blend(neighbours(spark, d), df)).select("id", "action", d5("prob"), "source")
+
+
+@query(with_roles(f"""WITH {BLEND}, c AS (SELECT query, action, sum(prob) OVER (PARTITION BY query ORDER BY action) AS c, CAST(concat('0x', substr(md5(query || '|7'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM bl)
+SELECT query, arg_min(action, c) AS action FROM c WHERE c > u OR c >= 1 - 1e-12 GROUP BY query"""))
+def n06_sample_actions(spark, d):
+    return B.sample_actions(B.blend(neighbours(spark, d), corpus_of(spark, d)), "query", seed=7)
+
+
+@query(with_roles(f"""WITH nb AS ({nb_sql('c.active AND c.id % 40 = 1', k=10, on='c.label = q.label')}), s AS (SELECT query, count(*) AS n, max(distance) AS m FROM nb GROUP BY query)
+SELECT c.id, coalesce(n, 0) AS n, round(m, 5) AS max_distance, coalesce(n, 0) < 3 OR coalesce(m > 0.9, FALSE) AS sparse FROM corpus c LEFT JOIN s ON s.query = c.id"""))
+def n07_sparseness(spark, d):
+    df = corpus_of(spark, d)
+    got = K.sparseness(K.knn(df, df.where("active AND id % 40 = 1"), ["label"], 10), df, tau=0.9)
+    return got.select("id", "n", d5("max_distance"), F.coalesce("sparse", F.lit(False)).alias("sparse"))
+
+
+CLUSTER = "SELECT 'c' || (id % 20) AS id, arg_max(vec, id) AS vec, 1 AS part FROM corpus GROUP BY 1"
+
+
+def cluster_vectors(spark, d):
+    key = F.concat(F.lit("c"), F.col("id") % 20).alias("cluster_key")
+    return corpus_of(spark, d).groupBy(key).agg(F.max_by("vec", "id").alias("vec")).withColumn("part", F.lit(1))
+
+
+@query(with_roles(f"""WITH cl AS ({CLUSTER}), nb AS ({nb_sql('TRUE', 'cl', 'cl', 5)}), o AS (SELECT cluster_key, count(*) AS n_obs FROM obs GROUP BY cluster_key)
+SELECT query, nb, round(distance, 5) AS distance, CAST(rank AS INTEGER) AS rank, coalesce(n_obs, 0) AS n_obs FROM nb LEFT JOIN o ON o.cluster_key = nb.nb"""))
+def n09_similar(spark, d):
+    return B.similar(cluster_vectors(spark, d), ["part"], role(spark, d, "obs"), 5).select("query", "nb", d5(), "rank", "n_obs")
+
+
+OBSVEC = "SELECT o.obs_id AS id, o.cluster_key, o.ts, c.vec, c.part FROM obs o JOIN corpus c ON c.id = o.obs_id % 500"
+
+
+def obs_vectors(spark, d):
+    c = corpus_of(spark, d).select(F.col("id").alias("_id"), "vec", "part")
+    o = role(spark, d, "obs").withColumn("_id", F.col("obs_id") % 500).join(c, "_id")
+    return o.select(F.col("obs_id").alias("id"), "cluster_key", "ts", "vec", "part")
+
+
+REB = f"""ov AS ({OBSVEC}), nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY ts DESC, id DESC) AS r FROM ov) WHERE r <= 4),
+nb AS ({nb_sql('c.active', 'nw', 'corpus', 10)}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
+bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v WHERE w > 0), j AS (SELECT bl.*, nw.cluster_key FROM bl JOIN nw ON nw.id = bl.query)"""
+
+
+@query(with_roles(f"""WITH {REB} SELECT cluster_key, action, round(sum(prob) / sum(sum(prob)) OVER (PARTITION BY cluster_key), 5) AS prob, (SELECT count(DISTINCT query) FROM j k WHERE k.cluster_key = j.cluster_key) AS n_blends FROM j GROUP BY cluster_key, action"""))
+def n10_rebalance(spark, d):
+    df = corpus_of(spark, d)
+    return B.rebalance(obs_vectors(spark, d), df.where("active"), ["part"], n_newest=4).select("cluster_key", "action", d5("prob"), "n_blends")
+
+
+EV = f"""ov AS ({OBSVEC}), nw AS (SELECT cluster_key AS id, arg_max(vec, (ts, id)) AS vec, arg_max(part, (ts, id)) AS part FROM ov GROUP BY cluster_key HAVING count(*) >= 10),
+nb AS ({nb_sql('c.active', 'nw', 'corpus', 10, 'c.part = q.part AND CAST(c.id AS VARCHAR) <> q.id').replace(' AND c.id <> q.id', '')}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
+bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v WHERE w > 0), f AS ({FREQ})"""
+
+
+def ev_parts(spark, d):
+    """The blend at each cluster's newest observation (10 observations at least), and the corpus."""
+    ov = obs_vectors(spark, d)
+    newest = ov.groupBy("cluster_key").agg(F.max_by(F.struct("vec", "part"), F.struct("ts", "id")).alias("s"), F.count(F.lit(1)).alias("n"))
+    newest = newest.where("n >= 10").select(F.col("cluster_key").alias("id"), "s.vec", "s.part")
+    corpus = corpus_of(spark, d).withColumn("id", F.col("id").cast("string"))
+    return B.blend(K.knn(newest, corpus.where("active"), ["part"], 10), corpus).withColumnRenamed("query", "cluster_key")
+
+
+@query(with_roles(f"""WITH {EV}, u AS (SELECT coalesce(f.cluster_key, bl.query) AS cluster_key, coalesce(f.p, 0) + 1e-6 AS p, coalesce(bl.prob, 0) + 1e-6 AS q FROM f FULL JOIN bl ON bl.query = f.cluster_key AND bl.action = f.action),
+e AS (SELECT cluster_key, p / sum(p) OVER (PARTITION BY cluster_key) AS p, q / sum(q) OVER (PARTITION BY cluster_key) AS q FROM u WHERE cluster_key IN (SELECT query FROM bl))
+SELECT cluster_key, round(sum(p * ln(p / q)), 5) AS ev_loss FROM e GROUP BY cluster_key"""))
+def a18_ev_loss(spark, d):
+    p = S.action_freq(role(spark, d, "obs"), ["cluster_key"])
+    q = ev_parts(spark, d).withColumnRenamed("prob", "p")
+    return S.kl(p, q, ["cluster_key"]).select("cluster_key", F.round("kl", 5).alias("ev_loss"))
+
+
+@query(with_roles(f"""WITH {EV}, u AS (SELECT f.cluster_key, f.action, f.p, coalesce(bl.prob, 0) AS q FROM f LEFT JOIN bl ON bl.query = f.cluster_key AND bl.action = f.action WHERE f.cluster_key IN (SELECT query FROM bl)
+ UNION ALL SELECT bl.query, bl.action, 0, bl.prob FROM bl ANTI JOIN f ON f.cluster_key = bl.query AND f.action = bl.action), t AS (SELECT cluster_key, 0.5 * sum(abs(p - q)) AS tvd, arg_max(action, (p, action)) AS y FROM u GROUP BY cluster_key),
+x AS (SELECT query, arg_max(action, (prob, action)) AS x FROM bl GROUP BY query), w AS (SELECT cluster_key, count(*) AS w FROM obs GROUP BY cluster_key)
+SELECT round(sum(tvd * w) / sum(w), 5) AS tvd, round(sum(CASE WHEN x = y THEN 1.0 ELSE 0.0 END * w) / sum(w), 5) AS top1, count(*) AS clusters, sum(tvd * w) / sum(w) <= 0.15 AS gate_ok FROM t JOIN x ON x.query = t.cluster_key JOIN w ON w.cluster_key = t.cluster_key"""))
+def a35_loo_gate(spark, d):
+    obs = role(spark, d, "obs")
+    got = E.loo_gate(ev_parts(spark, d), S.action_freq(obs, ["cluster_key"]), obs, "cluster_key")
+    return got.select(d5("tvd"), d5("top1"), "clusters", "gate_ok")
+
+
+LOO = f"""nb AS ({nb_sql('TRUE', k=10)}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
+bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v WHERE w > 0), t AS (SELECT query, arg_max(action, (prob, action)) AS top FROM bl GROUP BY query)"""
+
+
+@query(with_roles(f"""WITH {LOO} SELECT count(*) AS rows, round(avg(1 - coalesce(prob, 0)), 5) AS loss, round(avg(-ln(coalesce(prob, 0) + 1e-6)), 5) AS log_loss, round(avg(CASE WHEN top = c.action THEN 1.0 ELSE 0.0 END), 5) AS fidelity, 1.0 AS coverage
+FROM corpus c JOIN t ON t.query = c.id LEFT JOIN bl ON bl.query = c.id AND bl.action = c.action"""))
+def n11_loo_eval(spark, d):
+    return E.loo_eval(corpus_of(spark, d), ["part"]).select("rows", d5("loss"), d5("log_loss"), d5("fidelity"), "coverage")
+
+
+@query(with_roles(f"""WITH nb AS ({nb_sql('TRUE')}), s AS (SELECT query, avg(CASE WHEN a.action = b.action THEN 1.0 ELSE 0.0 END) AS share, any_value(a.label) AS label FROM nb JOIN corpus a ON a.id = nb.query JOIN corpus b ON b.id = nb.nb GROUP BY query)
+SELECT label, count(*) AS rows, round(avg(share), 5) AS same_action FROM s GROUP BY label"""))
+def n12_same_action_at_k(spark, d):
+    return E.same_action_at_k(corpus_of(spark, d), ["part"], "label").select("label", "rows", d5("same_action"))
+
+
+def sweep(spark, d):
+    one = F.array((F.col("label") % 5).cast("double"))
+    two = F.array((F.col("id") % 3).cast("double"), (F.col("spr") / 100).cast("double"))
+    return E.weight_sweep(corpus_of(spark, d), ["part"], {"ordinal": one, "mixed": two}, [0.0, 0.5], k=8)
+
+
+@query()
+def n13_weight_sweep(spark, d):
+    return sweep(spark, d).select("variant", "weight", "rows", d5("loss"), d5("fidelity"))
+
+
+@query()
+def n14_compare_variants(spark, d):
+    got = E.compare_variants(sweep(spark, d).where("weight = 0.5"), "ordinal")
+    return got.select("variant", d5("d_loss"), d5("d_fidelity"), "verdict")
+
+
+@query(with_roles(f"""WITH nb AS ({nb_sql('TRUE')}), s AS (SELECT query, list(nb) AS s FROM nb GROUP BY query)
+SELECT f.query, round(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE), 5) AS jaccard FROM nb f JOIN s a ON a.query = f.query JOIN s b ON b.query = f.nb WHERE f.rank = 1"""))
+def n15_knn_jaccard(spark, d):
+    return E.knn_jaccard(corpus_of(spark, d), ["part"]).select("query", d5("jaccard"))
+
+
+@query(with_roles(f"""WITH nb AS ({nb_sql('TRUE', k=10)}), r AS (SELECT id, spr // 100 AS b, row_number() OVER (PARTITION BY spr // 100 ORDER BY CAST(concat('0x', substr(md5(id || '|1'), 1, 8)) AS BIGINT), id) AS r FROM corpus),
+dr AS (SELECT * FROM (SELECT q.id AS query, r.id AS nb, row_number() OVER (PARTITION BY q.id ORDER BY r.r) AS p FROM corpus q JOIN r ON r.b = q.spr // 100 AND r.id <> q.id AND r.r <= 11) WHERE p <= 10)
+SELECT (SELECT round(avg(CASE WHEN a.action = b.action THEN 1.0 ELSE 0.0 END), 5) FROM nb JOIN corpus a ON a.id = nb.query JOIN corpus b ON b.id = nb.nb) AS knn, (SELECT round(avg(CASE WHEN a.action = b.action THEN 1.0 ELSE 0.0 END), 5) FROM dr JOIN corpus a ON a.id = dr.query JOIN corpus b ON b.id = dr.nb) AS bucket"""))
+def n16_precision_vs_bucket(spark, d):
+    df = corpus_of(spark, d).withColumn("bucket", F.floor(F.col("spr") / 100))
+    return E.precision_vs_bucket(df, ["part"], "bucket").select(d5("knn"), d5("bucket"))
+
+
+@query(with_roles(f"SELECT round(avg({COS}) FILTER (WHERE q.label = c.label), 5) AS intra, round(avg({COS}) FILTER (WHERE q.label <> c.label), 5) AS inter, round(avg({COS}) FILTER (WHERE q.label = c.label) - avg({COS}) FILTER (WHERE q.label <> c.label), 5) AS margin FROM corpus q JOIN corpus c ON c.id <> q.id"))
+def n17_separation(spark, d):
+    return E.separation(corpus_of(spark, d), "vec", "label").select(d5("intra"), d5("inter"), d5("margin"))
+
+
+L2 = "list_distance(CAST({0}.vec AS DOUBLE[]), CAST({1}.vec AS DOUBLE[]))"
+
+
+@query(with_roles(f"""WITH t AS (SELECT {L2.format('a', 'b')} < {L2.format('a', 'c')} AS near FROM corpus a JOIN corpus b ON b.id = a.id + 10 JOIN corpus c ON c.id = a.id + 1) SELECT count(*) AS n, round(avg(CASE WHEN near THEN 1.0 ELSE 0.0 END), 5) AS share, avg(CASE WHEN near THEN 1.0 ELSE 0.0 END) >= 0.95 AS passed FROM t"""))
+def n18_rank_order(spark, d):
+    df = corpus_of(spark, d)
+    a = df.select("id", F.col("vec").alias("anchor"))
+    b, c = df.select((F.col("id") - 10).alias("id"), F.col("vec").alias("twin")), df.select((F.col("id") - 1).alias("id"), F.col("vec").alias("stranger"))
+    return E.rank_order(a.join(b, "id").join(c, "id")).select("n", d5("share"), "passed")
+
+
+FOLD = "CAST(floor(CAST(concat('0x', substr(md5(id || '|9'), 1, 8)) AS BIGINT) / 4294967296.0 * 5) AS BIGINT)"
+
+
+@query(with_roles(f"SELECT id, {FOLD} AS fold FROM corpus"))
+def n19_seeded_folds(spark, d):
+    return E.seeded_folds(corpus_of(spark, d), "id", 5, 9).select("id", "fold")
+
+
+@query(with_roles(f"""WITH b AS (SELECT label, {FOLD} AS fold, count(*) AS n, count(*) FILTER (WHERE spr > 200) AS s FROM corpus GROUP BY 1, 2)
+SELECT label, fold, CAST(sum(n) OVER (PARTITION BY label) - n AS BIGINT) AS n, round((sum(s) OVER (PARTITION BY label) - s) / CAST(sum(n) OVER (PARTITION BY label) - n AS DOUBLE), 5) AS rate FROM b"""))
+def n20_out_of_fold(spark, d):
+    df = E.seeded_folds(corpus_of(spark, d), "id", 5, 9)
+    return E.out_of_fold_rates(df, "label", F.col("spr") > 200).select("label", "fold", "n", d5("rate"))
+
+
+@query(with_roles(f"""WITH s AS (SELECT * FROM corpus ORDER BY CAST(concat('0x', substr(md5(id || '|3'), 1, 8)) AS BIGINT), id LIMIT 60), p AS (SELECT a.label = b.label AS same, {L2.format('a', 'b')} AS x FROM s a JOIN s b ON a.id < b.id),
+g AS (SELECT avg(x) FILTER (WHERE same) AS m_in, avg(x) FILTER (WHERE NOT same) AS m_out, stddev_pop(x) FILTER (WHERE same) AS s_in, stddev_pop(x) FILTER (WHERE NOT same) AS s_out FROM p)
+SELECT round(m_in, 5) AS m_in, round(m_out, 5) AS m_out, round(s_in, 5) AS s_in, round(s_out, 5) AS s_out, m_out - m_in > 2 * sqrt(s_in * s_in + s_out * s_out) AS separated FROM g"""))
+def n21_sigma_separation(spark, d):
+    return E.sigma_separation(corpus_of(spark, d), "vec", "label").select(d5("m_in"), d5("m_out"), d5("s_in"), d5("s_out"), "separated")
+
+
+@query(with_roles(f"""WITH {EV}, n AS (SELECT cluster_key, arg_max(node_id, created_at) AS node_id, arg_max(source, created_at) AS node_source FROM nodes WHERE active AND gto_score > 0.97 GROUP BY cluster_key)
+SELECT k.cluster_key, n.node_id, CASE WHEN n.node_id IS NOT NULL THEN 'node' WHEN b.query IS NOT NULL THEN 'knn' ELSE 'none' END AS source, b.top FROM (SELECT DISTINCT cluster_key FROM obs) k LEFT JOIN n ON n.cluster_key = k.cluster_key
+LEFT JOIN (SELECT query, arg_max(action, (prob, action)) AS top FROM bl GROUP BY query) b ON b.query = k.cluster_key"""))
+def n08_probe(spark, d):
+    """Each cluster's source of truth: its newest node, else the blend at its newest observation."""
+    nodes = role(spark, d, "nodes").where("active AND gto_score > 0.97").groupBy("cluster_key").agg(F.max_by("node_id", "created_at").alias("node_id"))
+    top = ev_parts(spark, d).groupBy("cluster_key").agg(F.max_by("action", F.struct("prob", "action")).alias("top"))
+    df = role(spark, d, "obs").select("cluster_key").distinct().join(nodes, "cluster_key", "left").join(top, "cluster_key", "left")
+    source = F.when(F.col("node_id").isNotNull(), "node").when(F.col("top").isNotNull(), "knn").otherwise("none")
+    return df.select("cluster_key", "node_id", source.alias("source"), "top")
