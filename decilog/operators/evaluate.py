@@ -43,12 +43,16 @@ def same_action_at_k(df: DataFrame, keys: list[str], tag: str, k: int = 10) -> D
     return hit.groupBy(tag).agg(F.count(F.lit(1)).alias("rows"), F.avg("share").alias("same_action"))
 
 
+def _times(weight: float):
+    return lambda x: x.cast("double") * weight
+
+
 def weight_sweep(df: DataFrame, keys: list[str], variants: dict[str, Column], weights: list[float], k: int = 10) -> DataFrame:
     """loo_eval for every variant (columns appended to the vector) at every weight: variant, weight, rows, loss, ..."""
     made = []
     for name, block in variants.items():
         for weight in weights:
-            wide = df.withColumn("vec", F.concat(F.transform("vec", lambda x: x.cast("double")), F.transform(block, lambda x, w=weight: x.cast("double") * w)))
+            wide = df.withColumn("vec", F.concat(F.transform("vec", lambda x: x.cast("double")), F.transform(block, _times(weight))))
             made.append(wide.withColumns({"variant": F.lit(name), "weight": F.lit(float(weight))}))
     stacked = made[0]
     for one in made[1:]:

@@ -1 +1,345 @@
-"""Queries."""
+"""Queries of decision extraction and of column features, on an order's lines as a hand's moves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from decilog.functions import cards as C
+from decilog.functions import features as X
+from decilog.functions import predicates as P
+from decilog.operators import extract as E
+from decilog.plans.bindings import role, with_roles
+from decilog.plans.registry import query
+
+HEAD = "hand_id, seq"
+
+
+def moves(spark, d):
+    return role(spark, d, "moves")
+
+
+def cut(df, *columns):
+    return df.select("hand_id", F.col("seq").cast("long").alias("seq"), *columns)
+
+
+W = "PARTITION BY hand_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(with_roles("""WITH h AS (SELECT hand_id, count(*) AS n, count(DISTINCT actor) AS seats, bool_or(amount = 50) AS s FROM moves GROUP BY hand_id)
+SELECT coalesce(CASE WHEN CASE WHEN seats = 2 THEN 2 ELSE n END = 2 THEN 'heads_up' WHEN n > 6 THEN 'too_many_seats' WHEN s THEN 'straddle' END, 'kept') AS reason, count(*) AS n FROM h GROUP BY 1"""))
+def x01_exclusions(spark, d):
+    h = moves(spark, d).groupBy("hand_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("actor").alias("seats"), F.collect_list("amount").alias("amounts"))
+    size = F.when(F.col("seats") == 2, 2).otherwise(F.col("n"))
+    reason = E.exclusion_reason(size, F.exists("amounts", lambda a: a == 50))
+    return h.select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_roles("SELECT hand_id, CAST(seq AS INTEGER) AS seq, street, actor, action, amount FROM moves"))
+def x02_explode_events(spark, d):
+    event = F.struct("seq", "actor", "action", "amount")
+    street = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("street") == s, event))), lambda e: F.struct(e["actor"].alias("actor"), e["action"].alias("action"), e["amount"].alias("amount"))).alias(s)
+    nested = moves(spark, d).groupBy("hand_id").agg(*map(street, E.STREETS))
+    return E.explode_events(nested, E.STREETS)
+
+
+@query(with_roles("SELECT hand_id, seq, action FROM moves WHERE actor = 'BTN' AND action <> 'check'"))
+def x03_hero_decisions(spark, d):
+    return cut(E.hero_decisions(moves(spark, d), F.col("actor") == "BTN", ("check",)), "action")
+
+
+@query(with_roles("SELECT hand_id, seq, stack_after + amount AS stack_before, last_value(stack_after) OVER (PARTITION BY hand_id, actor ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stack_known FROM moves"))
+def x04_stacks(spark, d):
+    return cut(E.with_stack_before(moves(spark, d)), "stack_before", "stack_known")
+
+
+ACTIVE = f"""SELECT *, len(list_filter(seats, lambda s: NOT list_contains(folded, s))) AS n_active, list_sort(list_filter(seats, lambda s: NOT list_contains(folded, s))) AS active FROM (
+ SELECT m.*, list_distinct(list(actor) OVER (PARTITION BY hand_id)) AS seats, coalesce(list(actor) FILTER (WHERE action = 'fold') OVER ({W}), []) AS folded FROM moves m)"""
+
+
+@query(with_roles(f"SELECT hand_id, seq, n_active, array_to_string(active, ',') AS active FROM ({ACTIVE}) WHERE n_active > 1"))
+def x05_active_players(spark, d):
+    return cut(E.with_active_players(moves(spark, d)), "n_active", F.array_join("active", ",").alias("active"))
+
+
+FACING = "SELECT *, lag(action) OVER s AS pa, lag(actor) OVER s AS facing_pos, lag(amount) OVER s AS facing_size FROM moves WINDOW s AS (PARTITION BY hand_id, street ORDER BY seq)"
+
+
+@query(with_roles(f"SELECT hand_id, seq, CASE WHEN pa IS NULL THEN 'cold' WHEN pa IN ('check', 'call', 'fold') THEN 'check_to' WHEN pa = 'bet' THEN 'bet_to' ELSE 'raise_to' END AS facing, facing_pos, facing_size FROM ({FACING})"))
+def x06_facing(spark, d):
+    return cut(E.with_facing(moves(spark, d)), "facing", "facing_pos", "facing_size")
+
+
+POT = f"SELECT *, CAST(coalesce(sum(amount) OVER ({W}), 0) + 3 AS BIGINT) AS pot_before FROM ({FACING})"
+
+
+@query(with_roles(f"SELECT hand_id, seq, pot_before FROM ({POT})"))
+def x07_pot_before(spark, d):
+    return cut(E.with_pot_before(moves(spark, d)), "pot_before")
+
+
+AGG = f"last_value(CASE WHEN street = 'preflop' AND action IN ('bet', 'raise', 'allin') THEN actor END IGNORE NULLS) OVER ({W})"
+
+
+@query(with_roles(f"SELECT hand_id, seq, aggressor, coalesce(aggressor = actor, FALSE) AS was_aggressor FROM (SELECT *, {AGG} AS aggressor FROM moves)"))
+def x08_aggressor(spark, d):
+    return cut(E.with_aggressor(moves(spark, d)), "aggressor", "was_aggressor")
+
+
+RAISED = "CASE WHEN street = 'preflop' AND action = 'raise' THEN 1 ELSE 0 END"
+
+
+@query(with_roles(f"""SELECT hand_id, seq, CASE n WHEN 0 THEN 'limp' WHEN 1 THEN 'srp' WHEN 2 THEN '3bet' WHEN 3 THEN '4bet' ELSE '5bet+' END AS pot_type FROM (
+SELECT hand_id, seq, CASE WHEN street = 'preflop' THEN coalesce(sum({RAISED}) OVER ({W}), 0) ELSE sum({RAISED}) OVER (PARTITION BY hand_id) END AS n FROM moves)"""))
+def x09_pot_type(spark, d):
+    return cut(E.with_pot_type(moves(spark, d)), "pot_type")
+
+
+R = "list_position(['SB', 'BB', 'UTG', 'MP', 'CO', 'BTN'], {})"
+
+
+@query(with_roles(f"""WITH a AS (SELECT *, {AGG} AS aggressor FROM ({ACTIVE}))
+SELECT hand_id, seq, CASE WHEN CASE WHEN street <> 'preflop' THEN {R.format('actor')} = list_max(list_transform(active, lambda s: {R.format('s')})) WHEN aggressor IS NOT NULL THEN {R.format('actor')} > {R.format('aggressor')} ELSE actor IN ('CO', 'BTN') END THEN 'IP' ELSE 'OOP' END AS pos_rel FROM a WHERE n_active > 1"""))
+def x10_pos_rel(spark, d):
+    return cut(E.with_pos_rel(E.with_active_players(E.with_aggressor(moves(spark, d)))), "pos_rel")
+
+
+WA = "PARTITION BY hand_id, street, actor ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(with_roles(f"""SELECT hand_id, seq, committed, CASE WHEN action = 'raise' THEN greatest(amount - committed, 0) ELSE amount END AS added FROM (SELECT *, CAST(greatest(coalesce(max(CASE WHEN action = 'raise' THEN amount END) OVER ({WA}), 0), coalesce(sum(CASE WHEN action <> 'raise' THEN amount END) OVER ({WA}), 0)) AS BIGINT) AS committed FROM moves)"""))
+def x11_committed(spark, d):
+    return cut(E.with_committed(moves(spark, d)), "committed", "added")
+
+
+@query(with_roles("""SELECT hand_id, seq, len(list_filter(list_distinct(coalesce(seen, [])), lambda s: s <> actor)) + 1 AS actor_order FROM (SELECT *, list(actor) OVER (PARTITION BY hand_id, street ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM moves)"""))
+def x12_actor_order(spark, d):
+    return cut(E.with_actor_order(moves(spark, d)), "actor_order")
+
+
+B = "list_position(['UTG', 'MP', 'CO', 'BTN', 'SB', 'BB'], {})"
+
+
+@query(with_roles(f"""SELECT hand_id, seq, array_to_string(list_filter(['UTG', 'MP', 'CO', 'BTN', 'SB', 'BB'], lambda s: list_contains(active, s) AND s <> actor), ',') AS opponents FROM ({ACTIVE}) WHERE n_active > 1"""))
+def x13_opponents(spark, d):
+    return cut(E.with_opponents(E.with_active_players(moves(spark, d))), F.array_join("opponents", ",").alias("opponents"))
+
+
+@query(with_roles("""SELECT hand_id, seq, coalesce(string_agg(actor || ':' || action, ' ') OVER (PARTITION BY hand_id, street ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM moves"""))
+def x14_history(spark, d):
+    return cut(E.with_history(moves(spark, d)), F.array_join("history", " ").alias("history"))
+
+
+def ratios(spark, d):
+    return E.with_size_ratios(E.with_pot_before(E.with_facing(moves(spark, d))))
+
+
+RATIO = f"SELECT *, facing_size / CAST(pot_before AS DOUBLE) AS facing_frac, amount / CAST(pot_before AS DOUBLE) AS size_frac, coalesce(CASE WHEN facing_size > 0 THEN amount / CAST(facing_size AS DOUBLE) END, -1.0) AS raise_ratio FROM ({POT})"
+
+
+@query(with_roles(f"SELECT hand_id, seq, round(facing_frac, 5) AS facing_frac, round(size_frac, 5) AS size_frac, round(raise_ratio, 5) AS raise_ratio FROM ({RATIO})"))
+def x15_size_ratios(spark, d):
+    return cut(ratios(spark, d), *[F.round(c, 5).alias(c) for c in ("facing_frac", "size_frac", "raise_ratio")])
+
+
+@query(with_roles("SELECT hand_id, seq, CASE WHEN l_suppkey % 5 > 0 THEN round(amount / CAST(l_suppkey % 5 AS DOUBLE), 3) END AS bb, 'NL' || (l_suppkey % 5) AS stake, coalesce(CAST(round(stack_after / CAST(nullif(amount, 0) AS DOUBLE) * 100) AS BIGINT), -1) AS spr FROM moves"))
+def x16_to_bb(spark, d):
+    blind = F.col("l_suppkey") % 5
+    spr = F.col("stack_after") / F.nullif(F.col("amount"), F.lit(0))
+    return cut(moves(spark, d), E.to_bb(F.col("amount"), blind).alias("bb"), E.stake_label(blind).alias("stake"), E.spr_x100(spr).alias("spr"))
+
+
+@query(with_roles("SELECT hand_id, seq, row_number() OVER (PARTITION BY hand_id ORDER BY seq) - 1 AS decision_idx, hand_id || '_dp' || (row_number() OVER (PARTITION BY hand_id ORDER BY seq) - 1) AS id FROM moves WHERE action <> 'check'"))
+def x17_decision_id(spark, d):
+    return cut(E.with_decision_id(moves(spark, d).where("action <> 'check'")), "decision_idx", "id")
+
+
+@query(with_roles(f"""SELECT hand_id, seq, len(list_distinct(coalesce(list(actor) FILTER (WHERE action = 'fold') OVER ({W}), []))) AS folded_before, CAST(coalesce(sum(amount) OVER (PARTITION BY hand_id, actor ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS put_before, lead(amount) OVER (PARTITION BY hand_id ORDER BY seq) AS next_amount FROM moves"""))
+def w10_rebuild_replay(spark, d):
+    return cut(E.rebuild_replay(moves(spark, d)), "folded_before", "put_before", "next_amount")
+
+
+# --- features -----------------------------------------------------------------
+
+CARD = "substr('23456789TJQKA', CAST(({0}) % 13 + 1 AS INTEGER), 1) || substr('cdhs', CAST(floor(({0}) / 13) + 1 AS INTEGER), 1)"
+NUMBERS = ["(l_partkey * 7) % 52", "(l_partkey * 7 + l_suppkey % 51 + 1) % 52"]
+
+
+def dealt(spark, d):
+    """Moves with two hole cards and a board of three to five cards, all different."""
+    n = [F.pmod(F.col("l_partkey") * 7 + k * (F.col("l_suppkey") % 7 + 4), F.lit(52)) for k in range(7)]
+    df = moves(spark, d).withColumn("cards", F.array_distinct(F.array(*map(C.card, n))))
+    return df.where(F.size("cards") == 7).withColumns({"hole": F.slice("cards", 1, 2), "board": F.slice("cards", F.lit(3), F.greatest(F.col("street_no") + 2, F.lit(3)).cast("int"))})
+
+
+@query(with_roles(f"""WITH c AS (SELECT hand_id, seq, {CARD.format(NUMBERS[0])} AS a, {CARD.format(NUMBERS[1])} AS b, (l_partkey * 7) % 52 % 13 AS x, ((l_partkey * 7 + l_suppkey % 51 + 1) % 52) % 13 AS y FROM moves)
+SELECT hand_id, seq, CASE WHEN x >= y THEN substr(a, 1, 1) || substr(b, 1, 1) ELSE substr(b, 1, 1) || substr(a, 1, 1) END || CASE WHEN x = y THEN '' WHEN substr(a, 2, 1) = substr(b, 2, 1) THEN 's' ELSE 'o' END AS cls FROM c"""))
+def f01_combo_169(spark, d):
+    a, b = C.card(F.expr(NUMBERS[0])), C.card(F.expr(NUMBERS[1]))
+    return cut(moves(spark, d), C.combo_169(a, b).alias("cls"))
+
+
+@query()
+def f02_joint_canonical(spark, d):
+    return dealt(spark, d).select(C.joint_canonical(F.col("hole"), F.col("board")).alias("canonical")).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def f03_canonical_board(spark, d):
+    return dealt(spark, d).select(C.canonical_board(F.col("board")).alias("board")).groupBy("board").agg(F.count(F.lit(1)).alias("n"))
+
+
+BOARD3 = [f"((l_partkey * 7 + {k} * (l_suppkey % 7 + 4)) % 52)" for k in (2, 3, 4)]
+
+
+@query(with_roles(f"""WITH b AS (SELECT price, [{', '.join(x + ' // 13' for x in BOARD3)}] AS s, [{', '.join(x + ' % 13' for x in BOARD3)}] AS r FROM moves)
+SELECT CASE WHEN len(list_distinct(s)) = 1 THEN 'monotone' WHEN len(list_distinct(r)) < 3 THEN 'paired' WHEN len(list_distinct(s)) = 2 THEN 'wet_two_tone' ELSE 'dry_rainbow' END AS texture, count(*) AS n, round(sum(price), 2) AS total FROM b GROUP BY 1"""))
+def f04_board_texture(spark, d):
+    board = F.array(*[C.card(F.expr(x)) for x in BOARD3])
+    return moves(spark, d).groupBy(C.board_texture(board).alias("texture")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
+
+
+@query(with_roles(f"""WITH b AS (SELECT m.hand_id, [{', '.join(x + ' // 13' for x in BOARD3)}] AS s, [{', '.join(x + ' % 13' for x in BOARD3)}] AS r FROM moves m WHERE seq = 0)
+SELECT CASE WHEN len(list_distinct(s)) = 1 THEN 'monotone' WHEN len(list_distinct(r)) < 3 THEN 'paired' WHEN len(list_distinct(s)) = 2 THEN 'wet_two_tone' ELSE 'dry_rainbow' END AS texture, count(*) AS n, round(sum(bb_delta), 3) AS bb FROM b JOIN payoffs p ON p.hand_id = b.hand_id GROUP BY 1"""))
+def a29_by_texture(spark, d):
+    from decilog.operators import metrics as M
+
+    board = F.array(*[C.card(F.expr(x)) for x in BOARD3])
+    first = moves(spark, d).where("seq = 0").select("hand_id", board.alias("board")).join(role(spark, d, "payoffs"), "hand_id")
+    return M.by_texture(first, C.board_texture(F.col("board"))).select("texture", "n", F.round("bb", 3).alias("bb"))
+
+
+@query()
+def f05_board_features(spark, d):
+    return dealt(spark, d).select(C.board_features(F.col("board")).alias("f")).select("f.*").groupBy("n_cards", "paired", "max_suit", "connected").agg(F.count(F.lit(1)).alias("n"), F.avg("span").alias("span"))
+
+
+@query()
+def f06_draw_features(spark, d):
+    return cut(dealt(spark, d), C.draw_features(F.col("hole"), F.col("board")).alias("f")).select("hand_id", "seq", "f.*")
+
+
+@query()
+def f07_made_hand(spark, d):
+    return cut(dealt(spark, d), C.made_hand(F.col("hole"), F.col("board")).alias("made"))
+
+
+@query()
+def f11_class_features(spark, d):
+    cls = C.combo_169(C.card(F.expr(NUMBERS[0])), C.card(F.expr(NUMBERS[1])))
+    df = moves(spark, d).select(cls.alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    return df.select("cls", "n", C.class_features(F.col("cls")).alias("f"), C.class_combos(F.col("cls")).alias("combos")).select("cls", "n", "combos", "f.*")
+
+
+@query()
+def f14_feature_vector(spark, d):
+    df = E.with_active_players(ratios(spark, d))
+    vec = X.assemble(X.geometry(F.col("pot_before").cast("double"), F.col("stack_after").cast("double"), F.coalesce("facing_size", F.lit(0)).cast("double")), X.one_hot(F.col("actor"), E.AFTER_FLOP), X.one_hot(F.col("street"), E.STREETS), F.array(F.col("n_active") / 6))
+    return cut(df, F.transform(vec, lambda x: F.round(x, 5)).alias("vec"))
+
+
+@query(with_roles("SELECT 'actor=' || actor || '|street=' || street AS key, actor AS bucket, '?' AS other, count(*) AS n FROM moves GROUP BY 1, 2"))
+def f15_cluster_key(spark, d):
+    key = X.cluster_key(street=F.col("street"), actor=F.col("actor"))
+    got = moves(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return got.select("key", X.bucket_of(F.col("key"), "actor").alias("bucket"), X.bucket_of(F.col("key"), "none").alias("other"), "n")
+
+
+@query(with_roles(f"""WITH a AS (SELECT *, {AGG} AS aggressor FROM ({ACTIVE}))
+SELECT street || '|' || action || '|n' || n_active || '|' || coalesce(aggressor || ':pfr', 'vNA') AS key, count(*) AS n FROM a WHERE n_active > 1 GROUP BY 1"""))
+def f16_scenario_key(spark, d):
+    df = E.with_active_players(E.with_aggressor(moves(spark, d)))
+    key = X.scenario_key(F.col("street"), F.col("action"), F.col("n_active"), F.col("aggressor"))
+    return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+LINE = "SELECT hand_id, string_agg(actor || ':' || action || ':' || amount, ' ' ORDER BY seq) AS line FROM moves GROUP BY hand_id"
+
+
+@query(with_roles("SELECT hand_id, count(*) AS n, arg_max(action, seq) AS last, round(sum(amount), 1) AS total FROM moves GROUP BY hand_id"))
+def f18_parse_actions(spark, d):
+    token = F.concat_ws(":", "actor", "action", "amount")
+    line = moves(spark, d).groupBy("hand_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", token.alias("t")))), lambda x: x["t"]), " ").alias("line"))
+    a = X.parse_actions(F.col("line"))
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x["size"])
+    return line.select("hand_id", F.size(a).cast("long").alias("n"), F.element_at(a, -1)["stem"].alias("last"), F.round(total, 1).alias("total"))
+
+
+@query(with_roles(f"""SELECT hand_id, seq, CASE WHEN action <> 'raise' THEN action WHEN n = 0 THEN CASE WHEN actor IN ('SB', 'BB') THEN 'open_3bb' ELSE 'open_2_2bb' END WHEN n = 1 THEN CASE WHEN seq % 2 = 0 THEN '3bet_4x' ELSE '3bet_3x' END WHEN n = 2 THEN '4bet_2_5x' ELSE 'allin' END AS label
+FROM (SELECT *, coalesce(sum({RAISED}) OVER ({W}), 0) AS n FROM moves) WHERE street = 'preflop'"""))
+def f19_label_preflop(spark, d):
+    df = E.with_pot_type(moves(spark, d)).where("street = 'preflop'")
+    rel = F.when(F.col("seq") % 2 == 0, "OOP").otherwise("IP")
+    return cut(df, X.label_preflop(F.col("action"), F.col("pot_type"), rel, F.col("actor")).alias("label"))
+
+
+def snap_sql(x: str, buckets) -> str:
+    pairs = ", ".join(f"{{'d': abs({x} - {v}), 'k': {k}, 'name': '{n}'}}" for k, (v, n) in enumerate(buckets))
+    return f"list_min([{pairs}]).name"
+
+
+@query(with_roles(f"""SELECT hand_id, seq, CASE WHEN action IN ('bet', 'raise') AND amount = 50 THEN 'allin' WHEN action = 'bet' THEN CASE WHEN size_frac >= 1.75 THEN 'bet_overbet' ELSE {snap_sql('size_frac', X.BETS)} END WHEN action = 'raise' THEN {snap_sql('raise_ratio', X.RAISES)} ELSE action END AS snapped FROM ({RATIO})"""))
+def f20_snap(spark, d):
+    got = X.snap(F.col("action"), F.col("size_frac"), F.col("raise_ratio"), F.col("amount") == 50)
+    return cut(ratios(spark, d), got.alias("snapped"))
+
+
+@query(with_roles("SELECT solve_id, round(greatest(0, 1 - exploitability / 100), 8) AS quality FROM solves"))
+def f22_quality(spark, d):
+    return role(spark, d, "solves").select("solve_id", F.round(X.quality(F.col("exploitability")), 8).alias("quality"))
+
+
+@query(with_roles(f"""SELECT hand_id, seq, CASE WHEN street = 'preflop' THEN CASE WHEN coalesce(facing_size, 0) <= 0 THEN 'check,open_2_2bb,open_3bb,allin' ELSE 'fold,call,3bet_3x,3bet_4x,4bet_2_5x,allin' END
+ WHEN coalesce(facing_size, 0) <= 0 THEN 'check,bet_25,bet_33,bet_50,bet_75,bet_100,bet_150,bet_overbet,allin' ELSE 'fold,call,raise_min,raise_2_5x,raise_3x,raise_pot,allin' END AS legal FROM ({FACING})"""))
+def f23_legal_actions(spark, d):
+    return cut(E.with_facing(moves(spark, d)), F.array_join(X.legal_actions(F.col("street"), F.col("facing_size")), ",").alias("legal"))
+
+
+@query(with_roles("SELECT hand_id || '_dp' || seq AS id, CAST(hand_id AS VARCHAR) AS parent, CAST(seq AS INTEGER) AS dp FROM moves"))
+def f24_decision_parts(spark, d):
+    ids = moves(spark, d).select(F.concat("hand_id", F.lit("_dp"), "seq").alias("id"))
+    return ids.select("id", X.parent_id(F.col("id")).alias("parent"), X.dp_index(F.col("id")).alias("dp"))
+
+
+@query(with_roles("""WITH n AS (SELECT actor, action, count(*) AS w FROM moves GROUP BY actor, action), s AS (SELECT actor, action, round(w / CAST(max(w) OVER (PARTITION BY actor) AS DOUBLE), 2) AS s FROM n)
+SELECT actor, string_agg(CASE WHEN s >= 1 THEN action ELSE action || ':' || printf('%.2f', s) END, ',' ORDER BY action) AS notation FROM s WHERE s >= 0.005 GROUP BY actor"""))
+def f26_range_notation(spark, d):
+    df = moves(spark, d).groupBy("actor", "action").agg(F.count(F.lit(1)).alias("w"))
+    return X.range_notation(df, "actor", "action", "w")
+
+
+@query()
+def f27_palette_key(spark, d):
+    df = E.with_pot_type(E.with_aggressor(moves(spark, d)))
+    key = X.palette_key(F.col("pot_type"), F.lit("BTN"), F.col("actor"), F.col("aggressor"))
+    return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_roles("SELECT action, count(*) FILTER (WHERE seats - 1 + 1 >= 3) AS multiway, count(*) AS n FROM (SELECT *, len(list_distinct(list(actor) OVER (PARTITION BY hand_id))) AS seats FROM moves) GROUP BY action"))
+def p10_is_multiway(spark, d):
+    from pyspark.sql import Window
+
+    df = moves(spark, d).withColumn("seats", F.size(F.collect_set("actor").over(Window.partitionBy("hand_id"))))
+    return df.groupBy("action").agg(F.count_if(P.is_multiway(F.col("seats") - 1)).alias("multiway"), F.count(F.lit(1)).alias("n"))
+
+
+DIST = "SELECT actor, street, action, count(*) / CAST(sum(count(*)) OVER (PARTITION BY actor, street) AS DOUBLE) AS p FROM moves GROUP BY actor, street, action"
+
+
+def dist_maps(spark, d):
+    from decilog.operators.stats import action_freq
+
+    p = action_freq(moves(spark, d), ["actor", "street"])
+    return p.groupBy("actor", "street").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "p")))).alias("dist"))
+
+
+@query(with_roles(f"""WITH d AS ({DIST}), l AS (SELECT *, sum(CASE WHEN action IN ('fold', 'call') THEN p ELSE 0 END) OVER (PARTITION BY actor, street) AS t FROM d)
+SELECT actor, street, action, round(p / t, 6) AS prob FROM l WHERE action IN ('fold', 'call')"""))
+def p06_filter_legal(spark, d):
+    legal = P.filter_legal(F.col("dist"), F.array(F.lit("fold"), F.lit("call")), F.lit("call"))
+    return dist_maps(spark, d).select("actor", "street", F.explode(legal).alias("action", "prob")).withColumn("prob", F.round("prob", 6))
+
+
+@query(with_roles(f"""WITH d AS ({DIST}) SELECT actor, street, concat_ws(',', CASE WHEN bool_or(action NOT IN ('fold', 'call', 'check', 'raise')) THEN 'unknown' END, CASE WHEN street = 'river' THEN 'sum' END) AS errors FROM d GROUP BY actor, street"""))
+def p07_dist_errors(spark, d):
+    df = dist_maps(spark, d).withColumn("dist", F.when(F.col("street") == "river", F.transform_values("dist", lambda k, v: v / 2)).otherwise(F.col("dist")))
+    return df.select("actor", "street", F.array_join(P.dist_errors(F.col("dist"), ["fold", "call", "check", "raise"]), ",").alias("errors"))
