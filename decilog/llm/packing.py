@@ -11,35 +11,51 @@ Pieces then take their places by their rank among the pieces of their length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from decilog.llm.byte_bpe import CACHE, Splitter
+from decilog.llm.byte_bpe import Splitter
 from decilog.llm.common import need, stage
 
 #: The id that ends every document.
 END_ID = 2
+#: Pieces that a worker remembers the ids of before it starts afresh (about 250 MB).
+CACHE = 1_200_000
+
+
+def byte_names() -> dict[int, int]:
+    """Byte -> the character that stands for it in a byte-level vocabulary.
+
+    Printable characters of Latin-1 stand for themselves, the other bytes take the
+    characters from 256 on, in order.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = (b for b in range(256) if b not in own)
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(other)}
 
 
 class IdBytes(dict):
-    """piece -> its ids as little-endian unsigned 32-bit bytes, by the ``tokenizers`` library."""
+    """piece -> its ids as little-endian unsigned 32-bit bytes, by the ``tokenizers`` library's model.
+
+    (``array("I")`` has that layout on the little-endian machines that Spark runs on.)
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = Tokenizer.from_file(path).model
+        self.names = byte_names()
 
-    def learn(self, pieces: list[str]) -> None:
-        new = list({p for p in pieces if p not in self})
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(set(pieces))
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[piece] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+    def __missing__(self, piece: str) -> bytes:
+        named = piece.encode().decode("latin-1").translate(self.names)
+        ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
 
 def tokenise(docs: DataFrame, path: str, pattern: str, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,28 +63,23 @@ def tokenise(docs: DataFrame, path: str, pattern: str, size: int, id_col: str =
 
     A document is its ids and END_ID (null text: END_ID alone). A longer one than
     ``size`` is cut from its end into pieces of ``size``, so the first may be
-    shorter. The vocabulary file's tokenizer encodes every distinct pre-token of
-    ``pattern``, which is where it cuts a text itself.
+    shorter. The vocabulary file's model encodes every distinct pre-token of
+    ``pattern``, which is where its tokenizer cuts a text itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         split, table, end = Splitter(pattern), IdBytes(path), END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                cut = [split(t) if t else [] for t in part.column(1).to_pylist()]
-                table.learn([p for pieces in cut for p in pieces])
-                for doc, pieces in zip(part.column(0).to_pylist(), cut):
-                    ids = b"".join(map(table.__getitem__, pieces)) + end
-                    total = len(ids) // 4
-                    start, until, piece = 0, (total - 1) % size + 1, 0
-                    while start < total:
-                        rows.append((doc, piece, start, until - start, zlib.crc32(ids[4 * start : 4 * until])))
-                        start, until, piece = until, until + size, piece + 1
+            if len(table) > CACHE:
+                table.clear()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = b"".join(map(table.__getitem__, split(text.as_py() or ""))) + end
+                total = len(ids) // 4
+                start, until, piece = 0, (total - 1) % size + 1, 0
+                while start < total:
+                    rows.append((doc, piece, start, until - start, zlib.crc32(ids[4 * start : 4 * until])))
+                    start, until, piece = until, until + size, piece + 1
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
