@@ -194,12 +194,12 @@ def pair_runs(base: DataFrame, cand: DataFrame, key: str, order: list[str]) -> D
 
 
 def paired_deltas(pairs: DataFrame, q: DataFrame, key: str, eps: float = EPSILON) -> DataFrame:
-    """Per key: mean of ln(q[cand] + eps) - ln(q[base] + eps), n, hits (both actions known to q)."""
+    """Per key: mean of ln(q[cand] + eps) - ln(q[base] + eps) and its variance, n, hits (both actions known to q)."""
     side = lambda c: q.select(key, F.col("action").alias(c), F.col("p").alias(f"q_{c}"))
     both = pairs.join(side("base"), [key, "base"], "left").join(side("cand"), [key, "cand"], "left")
     delta = F.log(F.coalesce("q_cand", F.lit(0.0)) + eps) - F.log(F.coalesce("q_base", F.lit(0.0)) + eps)
     hit = F.col("q_base").isNotNull() & F.col("q_cand").isNotNull()
-    got = both.groupBy(key).agg(F.avg(delta).alias("mean_delta"), F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+    got = both.groupBy(key).agg(F.avg(delta).alias("mean_delta"), (F.var_samp(delta) / F.count(F.lit(1))).alias("var_delta"), F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
     return got.withColumn("zero_hits", F.col("hits") == 0)
 
 

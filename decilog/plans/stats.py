@@ -124,7 +124,7 @@ FROM b JOIN c ON b.cluster_key = c.cluster_key AND b.k = c.k LEFT JOIN q x ON x.
 def a26_paired_deltas(spark, d):
     obs = role(spark, d, "obs")
     pairs = S.pair_runs(obs.where("source = 'hh'"), obs.where("source = 'sim'"), "cluster_key", ["ts", "obs_id"])
-    return S.paired_deltas(pairs, action_freq_of(spark, d), "cluster_key").withColumn("mean_delta", F.round("mean_delta", 6))
+    return S.paired_deltas(pairs, action_freq_of(spark, d), "cluster_key").drop("var_delta").withColumn("mean_delta", F.round("mean_delta", 6))
 
 
 @query(with_roles("""SELECT opponent, round(m * 100, 2) AS bb_per_100, CASE WHEN lo > 0 THEN 'won' WHEN hi < 0 THEN 'lost' ELSE 'inconclusive' END AS verdict FROM (
