@@ -252,7 +252,6 @@ def f16_scenario_key(spark, d):
     return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LINE = "SELECT hand_id, string_agg(actor || ':' || action || ':' || amount, ' ' ORDER BY seq) AS line FROM moves GROUP BY hand_id"
 
 
 @query(with_roles("SELECT hand_id, count(*) AS n, arg_max(action, seq) AS last, round(sum(amount), 1) AS total FROM moves GROUP BY hand_id"))

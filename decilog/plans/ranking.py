@@ -8,7 +8,6 @@ from decilog.operators import rank as R
 from decilog.plans.bindings import role, with_roles
 from decilog.plans.registry import query
 from decilog.plans.stats import BYC, by_cluster, r4
-from decilog.session import table
 
 BUCKET = "CASE WHEN CAST(substr(cluster_key, 2) AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END"
 

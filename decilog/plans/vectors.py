@@ -11,7 +11,7 @@ from decilog.operators import knn as K
 from decilog.operators import stats as S
 from decilog.plans.bindings import role, with_roles
 from decilog.plans.registry import query
-from decilog.plans.stats import FREQ, r4
+from decilog.plans.stats import FREQ
 
 COS = "list_cosine_similarity(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[]))"
 
