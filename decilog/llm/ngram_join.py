@@ -6,14 +6,18 @@ Two orders are used, so a candidate must pass two such filters before it is veri
 Both orders put frequent shingles last, by a table of counts of fixed size; that only
 decides how selective the prefixes are, never what is found.
 
-Equal sets are one node. Candidates that share a prefix shingle are not paired with
-each other at once: each meets one hub of its shingle first, links join components,
-and only pairs across components are looked at after that, until none is left.
+The prefixes are two shingles longer than that, so that a pair must share three. Pairs
+are counted over the shingles that few sets have (at most HOT, so the pairs are linear
+in the rows). A shingle that more sets have is not paired out: each set meets one hub
+of it first, links join components, and only pairs across components are looked at
+after that, until none is left. Sets that are equal are known before and not verified.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +29,13 @@ from decilog.llm.common import need, stage, unstage
 from decilog.llm.components import components
 
 #: Words a worker remembers the hash of before it starts afresh.
-CACHE = 500_000
-#: A prefix shingle with more rows than this is paired by the two orders together.
-HOT = 200
+CACHE = 250_000
+#: Sets with a prefix shingle up to which its pairs are counted; beyond, hubs and both orders together.
+HOT = 32
+#: Prefix shingles that a pair must share.
+SHARED = 3
+#: Bits of the map of wanted ids (half a MB): a full map lets all documents pass, never too few.
+MAP_BITS = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,25 +74,30 @@ def shingles(text: str | None, width: int, known: WordHash) -> np.ndarray:
         return h
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
-        out = mix(out + h[k : len(h) - size + 1 + k], k + 1)
+        out += h[k : len(h) - size + 1 + k]
+        out *= MIX
+        out ^= out >> np.uint64(29)
     return np.unique(out)
 
 
-def prefix_size(n: int, threshold: int) -> int:
-    return n + (-threshold * n // 100) + 1  # n - ceil(threshold n / 100) + 1
+def prefix_size(n: int, threshold: int, shared: int = 1) -> int:
+    """n - ceil(threshold n / 100) + shared: sets that link share that many of their first shingles."""
+    return n + (-threshold * n // 100) + shared
 
 
-def prefixes(s: np.ndarray, threshold: int, counts: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """The prefixes of a set under the two orders.
+def counts_of(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(s >> np.uint64(8)) & np.uint64(len(counts) - 1)]
 
-    First order: count, then hash. Second: power of two of the count over the mean,
-    then another hash.
-    """
-    size = prefix_size(len(s), threshold)
-    count = counts[(s >> np.uint64(8)) & np.uint64(len(counts) - 1)]
-    other = mix(s, 77)
-    step = np.log2(np.maximum(count / mean, 1)).astype(int)
-    return s[np.lexsort((s, count))[:size]], s[np.lexsort((other, step))[:size]]
+
+def first_prefix(s: np.ndarray, threshold: int, counts: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set under the first order: count, then hash."""
+    return s[np.argsort(counts_of(s, counts), kind="stable")[: prefix_size(len(s), threshold, SHARED)]]
+
+
+def second_prefix(s: np.ndarray, threshold: int, counts: np.ndarray, mean: float) -> np.ndarray:
+    """Under the second order: power of two of the count over the mean, then another hash."""
+    step = np.log2(np.maximum(counts_of(s, counts) / mean, 1)).astype(int)
+    return s[np.lexsort((mix(s, 77), step))[: prefix_size(len(s), threshold, SHARED)]]
 
 
 def count_table(docs: DataFrame, width: int, bits: int) -> np.ndarray:
@@ -107,50 +120,106 @@ def count_table(docs: DataFrame, width: int, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, digest of the set (null if empty) and its prefix under the first order."""
+    """doc_id, n, digest of the set (null if empty) and its prefix under the first order.
+
+    Of equal sets in one task only the first has a prefix, so a group of copies
+    leaves at most one row for each task in the index.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
-    mean = max(1.0, float(counts.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, seen = WordHash(), set()
         for batch in batches:
             sizes, digests, firsts = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), width, known)
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                new = digest is not None and digest not in seen
+                if new:
+                    seen.add(digest)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                firsts.append(prefixes(s, threshold, shared.value, mean)[0].view(np.int64) if len(s) else None)
+                digests.append(digest)
+                firsts.append(first_prefix(s, threshold, shared.value).view(np.int64) if new else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
 
 
-def sets(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
-    """id, the whole set and its prefix under the second order."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    mean = max(1.0, float(counts.mean()))
+def id_map(ids: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A bit map of the hashes of ``id``, of fixed size however many ids there are."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    words = ids.select(F.floor(at / 32).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most 2**bits / 32 rows
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[got["word"].to_numpy(int)] = got["bit"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def sets(docs: DataFrame, ids: np.ndarray, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
+    """id, the whole set and its prefix under the second order, of the documents in the map (and a few more)."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, ids))  # fixed size
+    mean, size = max(1.0, float(counts.mean())), len(ids) * 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
+        counts, ids = shared.value
         for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((ids[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 found = [shingles(t.as_py(), width, known) for t in part.column(1)]
-                second = [prefixes(s, threshold, shared.value, mean)[1].view(np.int64) for s in found]
+                second = [second_prefix(s, threshold, counts, mean).view(np.int64) for s in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64()))], ["id", "s", "p2"])
 
-    return docs.mapInArrow(run, "id long, s array<long>, p2 array<long>")
+    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("at"))
+    return hashed.mapInArrow(run, "id long, s array<long>, p2 array<long>")
+
+
+def fitting_rows(index: DataFrame, threshold: int) -> DataFrame:
+    """The index rows whose shingle has another row of a size that could reach the threshold.
+
+    Sizes fall into bands a factor of 100 / threshold wide; sizes that fit are in one
+    band or in neighbouring ones.
+    """
+    banded = index.withColumn("band", F.floor(F.log("n") / math.log(100 / threshold) + 1e-9))
+    counted = banded.groupBy("token", "band").agg(F.count(F.lit(1)).alias("rows"))
+    near = counted.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "rows")
+    good = near.groupBy("token", "band").agg(F.sum("rows").alias("rows")).where("rows > 1").select("token", "band")
+    return banded.join(good, ["token", "band"]).drop("band")
 
 
 def size_fits(a: Column, b: Column, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that pass the second filter and reach the threshold."""
-    left = texts.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("p2").alias("pa"))
-    right = texts.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("p2").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("pa", "pb"))
+class SetTable:
+    """Sets and second prefixes of documents, bucketed by id: pairs come to the sets, not the sets to the pairs."""
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.spark = texts.sparkSession
+        self.name = f"join_sets_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        texts.repartition(buckets, "id").write.bucketBy(buckets, "id").format("parquet").saveAsTable(self.name)
+
+    def side(self, end: str, column: str, name: str) -> DataFrame:
+        return self.spark.table(self.name).select(F.col("id").alias(end), F.col(column).alias(name))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def verify(pairs: DataFrame, texts: SetTable, threshold: int) -> DataFrame:
+    """The pairs (a, b) that pass the second filter and reach the threshold.
+
+    The prefixes of the second order, a sixth of the sets, are met first; only pairs
+    that share enough of them see the sets.
+    """
+    near = pairs.join(texts.side("a", "p2", "pa"), "a").join(texts.side("b", "p2", "pb"), "b")
+    # From 60 on, sets that link share SHARED shingles, or all of the smaller one; a prefix has fewer only if its set has.
+    least = F.least(F.size("pa"), F.size("pb"), F.lit(SHARED)) if threshold >= 60 else F.lit(1)
+    near = stage(near.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b"), "join-near")
+    both = near.join(texts.side("a", "s", "sa"), "a").join(texts.side("b", "s", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * inter >= threshold * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
@@ -169,16 +238,32 @@ def hub_pairs(rows: DataFrame, turn: int, threshold: int) -> DataFrame:
     return met.select(*ordered("id", "hub")).distinct()
 
 
-def cross_pairs(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def dense_rows(rows: DataFrame, threshold: int, apart: str, turns: int = 2) -> DataFrame:
+    """Rows of ids with SHARED rows at least, over shingles whose rows differ in ``apart``.
+
+    Pairs that share fewer of the shingles with many rows are among the counted
+    pairs, so whoever has fewer has no partner left. Dropping them thins out other
+    shingles; two turns take most of it.
+    """
+    for _ in range(turns):
+        per_id = rows.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("_n"))
+        full = per_id.where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("_n") / 100))).select("id")
+        rows = rows.join(full, "id", "left_semi")
+        mixed = rows.groupBy("token").agg(F.min(apart).alias("low"), F.max(apart).alias("high")).where("low <> high").select("token")
+        rows = stage(rows.join(mixed, "token", "left_semi"), "join-dense")
+    return rows
+
+
+def cross_pairs(rows: DataFrame, texts: SetTable, threshold: int) -> DataFrame:
     """All pairs of rows across components that share a prefix shingle.
 
     Shingles with more than HOT rows are paired only where the second order's
     prefixes meet too: the key is then a shingle of each order.
     """
-    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    live = stage(rows.join(groups.select("token", "rows"), "token"), "join-cross")
+    rows = dense_rows(rows, threshold, "comp")
+    live = stage(rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "token"), "join-cross")
     cold = live.where(F.col("rows") <= HOT).select("token", F.lit(0).cast("long").alias("token2"), "id", "n", "comp")
-    hot = live.where(F.col("rows") > HOT).join(texts.select("id", "p2"), "id").select("token", F.explode("p2").alias("token2"), "id", "n", "comp")
+    hot = live.where(F.col("rows") > HOT).join(texts.side("id", "p2", "p2"), "id").select("token", F.explode("p2").alias("token2"), "id", "n", "comp")
     mixed = hot.groupBy("token", "token2").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "token2")
     keyed = cold.unionByName(hot.join(mixed, ["token", "token2"]))
     other = keyed.select("token", "token2", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp")])
@@ -186,26 +271,53 @@ def cross_pairs(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def link_components(index: DataFrame, texts: DataFrame, threshold: int, hub_rounds: int = 3) -> DataFrame:
-    """(id, comp) of every id with a link; index: token, id, n."""
-    comp, links, tested = None, None, None
-    for turn in range(hub_rounds + 1):
-        if comp is None:
-            rows = index.withColumn("comp", F.col("id"))
+def counted_pairs(index: DataFrame, hot_ids: DataFrame, threshold: int) -> DataFrame:
+    """Pairs that share enough of the shingles with few rows: a, b.
+
+    A pair must share SHARED prefix shingles (fewer if the sets are that small). Where
+    both sets also have shingles with many rows, some of the shared ones may be among
+    those, so such pairs stay whatever their count.
+    """
+    cold = index.where(F.col("rows") <= HOT).select("token", "id", "n")
+    other = cold.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"))
+    met = cold.join(other, "token").where("id < id2").where(size_fits(F.col("n"), F.col("n2"), threshold))
+    need_of = F.least(F.lit(SHARED), F.ceil(threshold * F.least("n", "n2") / 100))
+    counted = met.groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(need_of).alias("least"))
+    flag = lambda name, to: hot_ids.select(F.col("id").alias(name), F.lit(True).alias(to))
+    both = counted.join(flag("a", "ha"), "a", "left").join(flag("b", "hb"), "b", "left")
+    return both.where((F.col("k") >= F.col("least")) | (F.col("ha") & F.col("hb"))).select("a", "b")
+
+
+def link_components(index: DataFrame, pairs: DataFrame, equal: DataFrame, texts: SetTable, threshold: int, hub_rounds: int = 2) -> DataFrame:
+    """(id, comp) of every id with a link.
+
+    index: token, id, n of the shingles with many rows; pairs: the candidates of the
+    others; equal: pairs known to be equal. First every id meets its smallest
+    candidate, then hubs, and after each round only pairs across components are left.
+    """
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stage(verify(first, texts, threshold).unionByName(equal), "join-links")
+    comp = components(links)
+    some_hot = bool(index.take(1))
+    tested = first
+    for turn in range(hub_rounds + 2 if some_hot else 1):
+        if turn == 0:
+            ends = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+            apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+            made = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(apart).select("a", "b")
         else:
             rows = index.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        pairs = hub_pairs(rows, turn, threshold) if turn < hub_rounds else cross_pairs(rows, texts, threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "join-pairs")
-        new = stage(verify(pairs, texts, threshold), "join-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            made = hub_pairs(rows, turn, threshold) if turn <= hub_rounds else cross_pairs(rows, texts, threshold)
+        made = stage(made.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        if not made.take(1):
+            continue
+        new = stage(verify(made, texts, threshold), "join-links")
+        tested = tested.unionByName(made)
         if new.take(1):
-            links = new if links is None else links.unionByName(new)
+            links = links.unionByName(new)
+            unstage(comp)
             comp = components(links)
-        elif turn < hub_rounds - 1 and turn:
-            continue
-    return comp if comp is not None else index.select("id", F.col("id").alias("comp")).limit(0)
+    return comp
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bits: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,17 +331,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
     """
     docs = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = count_table(docs, width, bits)
-    signed = stage(signatures(docs, width, threshold, counts), "join-signed")
-    nodes = stage(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "join-nodes")
-    entries = signed.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "prefix")
-    entries = entries.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
+    whole = stage(signatures(docs, width, threshold, counts), "join-whole")
+    signed = stage(whole.select("doc_id", "n", "digest", F.col("prefix").isNotNull().alias("listed")), "join-signed")
+    entries = whole.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token")
-    index = stage(entries.join(shared, "token"), "join-index")
-    wanted = index.select(F.col("id").alias("doc_id")).distinct()
-    texts = stage(sets(docs.join(wanted, "doc_id", "left_semi"), width, threshold, counts), "join-sets")
-    comp = link_components(index, texts, threshold)
-    for done in (index, texts):
-        unstage(done)
+    met = stage(entries.join(shared, "token"), "join-met")
+    unstage(whole)
+    fit = fitting_rows(met, threshold)
+    index = stage(fit.join(fit.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "token"), "join-index")
+    unstage(met)
+    nodes = stage(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "join-nodes")
+    equal = signed.where("listed").join(nodes, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    hot = index.where(F.col("rows") > HOT).select("token", "id", "n")
+    hot_ids = stage(hot.select("id").distinct(), "join-hot")
+    pairs = stage(counted_pairs(index, hot_ids, threshold), "join-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot_ids)
+    texts = SetTable(sets(docs, id_map(wanted), width, threshold, counts))
+    comp = link_components(dense_rows(hot, threshold, "id"), pairs, equal, texts, threshold)
+    texts.drop()
+    unstage(index)
     return (
         signed.select("doc_id", "n", "digest")
         .join(nodes, "digest", "left")
