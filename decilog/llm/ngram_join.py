@@ -32,6 +32,8 @@ from decilog.llm.components import components
 CACHE = 250_000
 #: Sets with a prefix shingle up to which its pairs are counted; beyond, hubs and both orders together.
 HOT = 32
+#: The same across components, once hubs have joined most of them.
+PAIRED = 1000
 #: Prefix shingles that a pair must share.
 SHARED = 3
 #: Bits of the map of wanted ids (half a MB): a full map lets all documents pass, never too few.
@@ -257,13 +259,13 @@ def dense_rows(rows: DataFrame, threshold: int, apart: str, turns: int = 2) -> D
 def cross_pairs(rows: DataFrame, texts: SetTable, threshold: int) -> DataFrame:
     """All pairs of rows across components that share a prefix shingle.
 
-    Shingles with more than HOT rows are paired only where the second order's
+    Shingles with more than PAIRED rows are paired only where the second order's
     prefixes meet too: the key is then a shingle of each order.
     """
     rows = dense_rows(rows, threshold, "comp")
     live = stage(rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "token"), "join-cross")
-    cold = live.where(F.col("rows") <= HOT).select("token", F.lit(0).cast("long").alias("token2"), "id", "n", "comp")
-    hot = live.where(F.col("rows") > HOT).join(texts.side("id", "p2", "p2"), "id").select("token", F.explode("p2").alias("token2"), "id", "n", "comp")
+    cold = live.where(F.col("rows") <= PAIRED).select("token", F.lit(0).cast("long").alias("token2"), "id", "n", "comp")
+    hot = live.where(F.col("rows") > PAIRED).join(texts.side("id", "p2", "p2"), "id").select("token", F.explode("p2").alias("token2"), "id", "n", "comp")
     mixed = hot.groupBy("token", "token2").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "token2")
     keyed = cold.unionByName(hot.join(mixed, ["token", "token2"]))
     other = keyed.select("token", "token2", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp")])

@@ -89,6 +89,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("width,threshold,hot", [(4, 85, 200), (5, 80, 3), (2, 60, 5)])
 def test_near_components(spark, monkeypatch, width, threshold, hot):
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "PAIRED", hot)
     rows = corpus(width, 250)
     df = spark.createDataFrame([(a, b, "clash") for a, b in rows], DOCS).repartition(3)
     got = ngram_join.jaccard_components(df, width, threshold, bits=8).collect()
