@@ -13,10 +13,10 @@ from decilog.session import table
 LIVE = "SELECT cluster_key, arg_max(node_id, created_at) AS node_id, arg_max(source, created_at) AS source FROM nodes WHERE active GROUP BY cluster_key"
 
 
-@query(with_roles(f"WITH n AS ({LIVE}) SELECT m.session_id, m.cluster_key, round(m.value, 6) AS value, n.node_id, n.source FROM metrics m LEFT JOIN n ON n.cluster_key = m.cluster_key WHERE m.cluster_key NOT IN (SELECT cluster_key FROM suppressions WHERE active)"))
+@query(with_roles(f"WITH n AS ({LIVE}) SELECT m.session_id, m.cluster_key, round(m.value, 10) AS value, n.node_id, n.source FROM metrics m LEFT JOIN n ON n.cluster_key = m.cluster_key WHERE m.cluster_key NOT IN (SELECT cluster_key FROM suppressions WHERE active)"))
 def j01_join_active(spark, d):
     got = J.join_active(role(spark, d, "metrics"), role(spark, d, "nodes"), role(spark, d, "suppressions"))
-    return got.select("session_id", "cluster_key", F.round("value", 6).alias("value"), "node_id", "source")
+    return got.select("session_id", "cluster_key", F.round("value", 10).alias("value"), "node_id", "source")
 
 
 @query("SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_lines, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09) AS has_deal FROM orders")

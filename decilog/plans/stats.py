@@ -64,13 +64,13 @@ def a20_latency_percentiles(spark, d):
     return M.latency_percentiles(role(spark, d, "obs"), "session_id", "value").select("session_id", *r4("p50", "p99"))
 
 
-@query(with_roles("""SELECT session_id, cluster_key, 'ev_loss' AS name, round(value, 6) AS value FROM metrics
-UNION ALL SELECT session_id, NULL, 'novel_spot_rate', round(avg(CASE WHEN sparse THEN 1.0 ELSE 0.0 END), 6) FROM obs GROUP BY session_id
-UNION ALL SELECT session_id, NULL, 'latency_p50', round(quantile_cont(value, 0.5), 6) FROM obs GROUP BY session_id
-UNION ALL SELECT session_id, NULL, 'latency_p99', round(quantile_cont(value, 0.99), 6) FROM obs GROUP BY session_id"""))
+@query(with_roles("""SELECT session_id, cluster_key, 'ev_loss' AS name, round(value, 10) AS value FROM metrics
+UNION ALL SELECT session_id, NULL, 'novel_spot_rate', round(avg(CASE WHEN sparse THEN 1.0 ELSE 0.0 END), 10) FROM obs GROUP BY session_id
+UNION ALL SELECT session_id, NULL, 'latency_p50', round(quantile_cont(value, 0.5), 10) FROM obs GROUP BY session_id
+UNION ALL SELECT session_id, NULL, 'latency_p99', round(quantile_cont(value, 0.99), 10) FROM obs GROUP BY session_id"""))
 def a21_session_metrics(spark, d):
     obs, losses = role(spark, d, "obs"), role(spark, d, "metrics")
-    return M.session_metrics(obs, losses, "value").select("session_id", "cluster_key", "name", F.round("value", 6).alias("value"))
+    return M.session_metrics(obs, losses, "value").select("session_id", "cluster_key", "name", F.round("value", 10).alias("value"))
 
 
 EB = """SELECT *, greatest(0, CASE WHEN k < 2 THEN 0 ELSE v - sv END) AS tau2 FROM (

@@ -31,10 +31,10 @@ def t01_windowed_rates(spark, d):
 
 
 @query(with_roles("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, obs_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM obs), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, obs_id) AS k FROM g)
-SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY user_id, k"""))
+SELECT user_id, count(*) AS n, round(avg(value), 9) AS mean FROM s GROUP BY user_id, k"""))
 def t02_session_metrics(spark, d):
     got = T.run_to_table(T.session_metrics(arriving(spark, d), "12 hours", delay="40 days"), "sessions").where("user_id >= 0")
-    return got.select("user_id", "n", F.round("mean", 6).alias("mean"))
+    return got.select("user_id", "n", F.round("mean", 9).alias("mean"))
 
 
 @query(with_roles("SELECT action, count(*) AS n FROM obs GROUP BY action"))
