@@ -1,13 +1,13 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-One dictionary is trained on windows of ordinary text, the other on windows of toxic
-text (what marks toxic texts, over the same ordinary stock). A window is a word
-between two fixed marks. If it is typical of toxic text, the toxic dictionary packs
-it into about one match while the ordinary one spells it out; the gain in bytes, less
-what the toxic dictionary needs beyond one match, is the window's distance. A text's
-counts of windows over several distances are calibrated to a score on labelled texts
-that the dictionaries in question have not seen (two halves, each judged by the
-other's dictionaries).
+One dictionary is made of windows of ordinary text, the other of windows of toxic
+text (what marks toxic texts, over the same ordinary stock). A window is one to three
+neighbouring tokens between two fixed marks, and windows overlap. If it is typical of
+toxic text, the toxic dictionary packs it into about one match while the ordinary one
+spells it out; the gain in bytes, less what the toxic dictionary needs beyond one
+match, is the window's distance. A text's counts of windows over several distances are
+calibrated to a score on labelled texts that the dictionaries in question have not
+seen (two halves, each judged by the other's dictionaries).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,24 +27,49 @@ from pyspark.sql import functions as F
 from decilog.llm.common import need
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Marks around a word, and the distances over which windows are counted.
+#: Letters of scripts without spaces between words: South-East Asian, kana, Han.
+DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: One such letter; a word with the digits and symbols inside it; or a run of symbols.
+TOKEN = re.compile(rf"[{DENSE}]|[^\W_{DENSE}](?:[^\s{DENSE}]*[^\W_{DENSE}])?|(?:[^\w\s{DENSE}]|_)+")
+#: Tokens in the longest window.
+WIDTH = 3
+#: Marks around a window, and the distances over which windows are counted.
 MARK, STEPS = b"<0123>", (1, 3, 6, 9)
-LEVEL, DICT_BYTES = 12, 8192
+#: A level whose search finds a window's match in a dictionary of any size.
+LEVEL = 19
 #: Distances a worker remembers before it starts afresh.
 CACHE = 400_000
 
 
-def window(word: str) -> bytes:
-    return MARK + f" {word} ".encode() + MARK
+def window(words: str) -> bytes:
+    return MARK + f" {words} ".encode() + MARK
+
+
+def tokens(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower())
+
+
+def phrases(words: list[str], n: int, within: Container[str]) -> Iterator[tuple[int, str]]:
+    """Place and text of the windows of ``n`` tokens that are all ``within``."""
+    run = 0
+    for k, word in enumerate(words):
+        run = run + 1 if word in within else 0
+        if run >= n:
+            yield k + 1 - n, " ".join(words[k + 1 - n : k + 1])
 
 
 @dataclass(frozen=True)
 class Distances:
-    """A pair of dictionaries; ``base``: bytes that a window known to the toxic one takes."""
+    """A pair of dictionaries; ``base``: bytes that a window known to the toxic one takes.
+
+    ``linked``: the tokens of the toxic dictionary's windows of several tokens. It has
+    no match for a whole window with any other token, so those are not compressed.
+    """
 
     ordinary: bytes
     toxic: bytes
     base: int
+    linked: frozenset[str] = frozenset()
 
     def compressors(self):
         import zstandard as zs
@@ -57,31 +82,35 @@ class Distances:
         return made
 
 
-class WordDistance(dict):
-    """word -> distance, compressed when first asked for."""
+class WindowDistance(dict):
+    """tokens of a window -> distance, compressed when first asked for."""
 
     def __init__(self, pair: Distances) -> None:
         self.ordinary, self.toxic = pair.compressors()
-        self.base = pair.base
+        self.base, self.linked = pair.base, pair.linked
 
-    def __missing__(self, word: str) -> int:
-        data = window(word)
+    def __missing__(self, words: str) -> int:
+        data = window(words)
         toxic = len(self.toxic.compress(data))
         found = len(self.ordinary.compress(data)) - toxic - max(0, toxic - self.base)
-        if len(word) <= 64:
-            self[word] = found
+        if len(words) <= 64:
+            self[words] = found
         return found
 
 
-def features(text: str | None, distance: WordDistance) -> list[float]:
-    """Largest distance, log counts of windows from each step on, log count of windows."""
+def features(text: str | None, distance: WindowDistance) -> list[float]:
+    """Largest distance, log counts of windows from each step on, log count of tokens."""
     if len(distance) > CACHE:
         distance.clear()
-    counts = Counter(map(distance.__getitem__, WORD.findall((text or "").lower())))
-    if not counts:
+    words = tokens(text)
+    if not words:
         return [0.0] * (len(STEPS) + 2)
+    counts = Counter(map(distance.__getitem__, words))
+    if distance.linked:
+        for n in range(2, WIDTH + 1):
+            counts.update(distance[p] for _, p in phrases(words, n, distance.linked))
     at_least = [math.log1p(sum(n for d, n in counts.items() if d >= step)) for step in STEPS]
-    return [float(min(max(counts), 12)), *at_least, math.log(sum(counts.values()))]
+    return [float(min(max(counts), 12)), *at_least, math.log(len(words))]
 
 
 def text_key(text: str) -> int:
@@ -91,32 +120,61 @@ def text_key(text: str) -> int:
 
 
 def train_dictionaries(rows: list[tuple[str, int]]) -> Distances:
-    """Dictionaries of (text, toxic) rows.
+    """Dictionaries of (text, toxic) rows; all that is selected goes in.
 
-    Words go to the toxic windows if their G statistic against ordinary texts exceeds
-    what the best of that many words would reach by chance (2 ln of their number).
+    Windows go to the toxic dictionary if their G statistic against ordinary texts
+    exceeds what the best of that many windows would reach by chance (2 ln of their
+    number). A longer window must exceed so the toxic share of the chosen windows in
+    it; a shorter one must still exceed where it is not inside a chosen longer one.
     """
+    split = [(words, toxic, bytearray(len(words))) for words, toxic in ((tokens(text), toxic) for text, toxic in rows)]
+    share = sum(toxic for _, toxic in rows) / len(rows)
     seen = (Counter(), Counter())
-    for text, toxic in rows:
-        seen[toxic].update(set(WORD.findall(text.lower())))
-    n_toxic = sum(toxic for _, toxic in rows)
-    share, least = n_toxic / len(rows), 2 * math.log(1 + len(seen[0]) + len(seen[1]))
+    for words, toxic, _ in split:
+        seen[toxic].update(set(words))
+    twice = {w for w, n in seen[1].items() if n >= 2}
 
-    def g(word: str) -> float:
-        a, b = seen[1][word], seen[0][word]
+    def g(a: int, b: int, share: float) -> float:
         expected = (a + b) * share
-        if a <= 1.5 * expected:
+        if a <= expected:
             return 0.0
         return 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0.0))
 
-    marked = sorted((w for w, n in seen[1].items() if n >= 2 and len(w) > 2 and g(w) > least), key=lambda w: (seen[1][w], w))
-    stock = sorted((w for w, n in seen[0].items() if n >= 5 and len(w) > 3), key=lambda w: (seen[0][w], w))
-    ordinary = b"".join(f" {w} ".encode() for w in stock)[-DICT_BYTES:] + MARK
-    toxic = b"".join(map(window, marked))[-DICT_BYTES:] + ordinary
-    pair = Distances(ordinary, toxic, 0)
+    def count(n: int, kind: int, among: Container[str] | None = None) -> Counter:
+        texts = ((words, inside) for words, toxic, inside in split if toxic == kind)
+        return Counter(p for words, inside in texts for p in {p for k, p in phrases(words, n, twice) if (among is None or p in among) and not all(inside[k : k + n])})
+
+    shares: dict[str, float] = {}
+    least = {}
+    for n in range(1, WIDTH + 1):
+        found = count(n, 1)
+        least[n] = 2 * math.log(1 + (len(seen[0]) + len(seen[1]) if n == 1 else len(found)))
+        often = {p: k for p, k in found.items() if k >= 2 and g(k, 0, share) > least[n]}
+        others = count(n, 0, often)
+        for p, k in often.items():
+            words = p.split(" ")
+            parts = [shares.get(" ".join(words[i:j]), 0.0) for i in range(n) for j in range(i + 1, n + 1) if j - i < n]
+            if k > 1.5 * share * (k + others[p]) and g(k, others[p], max([share, *parts])) > least[n]:
+                shares[p] = k / (k + others[p])
+    marked: dict[str, int] = {}
+    for n in range(WIDTH, 0, -1):
+        these = {p for p in shares if p.count(" ") == n - 1}
+        a, b = count(n, 1, these), count(n, 0, these)
+        these = {p for p in these if a[p] >= 2 and a[p] > 1.5 * share * (a[p] + b[p]) and g(a[p], b[p], share) > least[n]}
+        marked.update((p, a[p]) for p in these)
+        for words, _, inside in split if n > 1 and these else ():
+            for k, p in phrases(words, n, twice):
+                if p in these:
+                    inside[k : k + n] = b"\1" * n
+    linked = {w for p in marked if " " in p for w in p.split(" ")}
+    ranked = sorted(marked, key=lambda w: (marked[w], w))
+    stock = sorted((w for w, n in seen[0].items() if n >= 5), key=lambda w: (seen[0][w], w))
+    ordinary = b"".join(f" {w} ".encode() for w in stock) + MARK
+    toxic = b"".join(map(window, ranked)) + ordinary
+    pair = Distances(ordinary, toxic, 0, frozenset(linked))
     packer = pair.compressors()[1]
-    sizes = sorted(len(packer.compress(window(w))) for w in marked)
-    return Distances(ordinary, toxic, sizes[len(sizes) // 2] if sizes else 0)
+    sizes = sorted(len(packer.compress(window(w))) for w in ranked)
+    return Distances(ordinary, toxic, sizes[len(sizes) // 2] if sizes else 0, pair.linked)
 
 
 @dataclass(frozen=True)
@@ -160,7 +218,7 @@ def fit_rows(rows: list[tuple[str, int]]) -> Model:
     halves = [[r for k, r in enumerate(rows) if k % 2 == half] for half in (0, 1)]
     x, y = [], []
     for half in (0, 1):
-        judge = WordDistance(train_dictionaries(halves[1 - half]) if halves[1 - half] else blank)
+        judge = WindowDistance(train_dictionaries(halves[1 - half]) if halves[1 - half] else blank)
         x += [features(t, judge) for t, _ in halves[half]]
         y += [toxic for _, toxic in halves[half]]
     mean, scale, w = calibrate(np.array(x), np.array(y, float))
@@ -188,7 +246,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id and score of every whole text; null and empty texts get the score of no windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = WordDistance(model.pair)
+        distance = WindowDistance(model.pair)
         for batch in batches:
             rows = np.array([features(t.as_py(), distance) for t in batch.column(1)], float).reshape(batch.num_rows, -1)
             found = model.score(rows) if batch.num_rows else np.zeros(0)
