@@ -47,6 +47,15 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The internal key of a stage's rows: ids may be null or repeat.
+ROW = "_row_key"
+
+
+def keyed_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key of its own for each row, written so that every plan reads the same keys."""
+    return stage(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only ``columns`` of ``df``, so that extra or clashing names do no harm."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

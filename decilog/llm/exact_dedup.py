@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need, stage, unstage
+from decilog.llm.common import ROW, keyed_rows, need, stage, unstage
 
 #: Leading bits over which keys are counted before the directory is grown.
 MAX_DEPTH = 14
@@ -67,13 +67,14 @@ def grow_directory(counts: dict[int, int], capacity: int, count_bits: int) -> Di
     return Directory(depth, tuple(slots))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, digest_bits: int = 256) -> DataFrame:
-    """doc_id, n_chars, norm and the index key: h64, sha, n_norm.
+def keyed(docs: DataFrame, id_col: str, text_col: str, digest_bits: int = 256, row_col: str | None = None) -> DataFrame:
+    """doc_id, row, n_chars, norm and the index key: h64, sha, n_norm.
 
     ``digest_bits`` under 256 weakens the key; tests use it to force collisions.
     """
     norm = docs.select(
         F.col(id_col).alias("doc_id"),
+        F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
         normalise(F.col(text_col)).alias("norm"),
     )
@@ -81,15 +82,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, digest_bits: int = 256) -
         key = (F.xxhash64("norm"), F.sha2("norm", 256), F.octet_length("norm").cast("long"))
     else:
         key = (F.shiftleft(F.pmod(F.xxhash64("norm"), F.lit(1 << digest_bits)), 60), F.lit(""), F.lit(0).cast("long"))
-    return norm.select("doc_id", "n_chars", "norm", key[0].alias("h64"), key[1].alias("sha"), key[2].alias("n_norm"))
+    return norm.select("doc_id", "row", "n_chars", "norm", key[0].alias("h64"), key[1].alias("sha"), key[2].alias("n_norm"))
 
 
 KEY = ["h64", "sha", "n_norm"]
 
 
 def best_row() -> Column:
-    """Most code points, then smallest id."""
-    return F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id")))
+    """With an id before without; then most code points, then smallest id, then smallest row key."""
+    return F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row")))
+
+
+def is_row(best: Column) -> Column:
+    """Whether a row is ``best``; rows without id and row key are told apart by their length alone."""
+    same = F.col("doc_id").eqNullSafe(-best["neg_id"]) & F.col("row").eqNullSafe(-best["neg_row"])
+    return same & (F.col("doc_id").isNotNull() | (F.col("n_chars") == best["n_chars"]))
 
 
 def build_index(rows: DataFrame, capacity: int) -> tuple[DataFrame, Directory]:
@@ -120,40 +127,46 @@ def chained(rows: DataFrame, index: DataFrame) -> DataFrame:
     Only the texts of entries with copies move; the kept text meets its copies in
     an inner join whose large partitions Spark can split.
     """
-    shared = index.where("copies > 1").select(*KEY, (-F.col("best.neg_id")).alias("found_id"))
+    shared = index.where("copies > 1").select(*KEY, "best")
     chain = stage(rows.join(shared, KEY), "dedup-chains")
-    kept = chain.where("doc_id = found_id").groupBy(*KEY).agg(F.max("norm").alias("kept_norm"))
-    strays = stage(chain.join(kept, KEY).where("norm <> kept_norm").select("doc_id", "n_chars", "norm", *KEY), "dedup-strays")
+    kept = chain.where(is_row(F.col("best"))).groupBy(*KEY).agg(F.max("norm").alias("kept_norm"))
+    strays = stage(chain.join(kept, KEY).where("norm <> kept_norm").select("doc_id", "row", "n_chars", "norm", *KEY), "dedup-strays")
     unstage(chain)
     groups = strays.groupBy(*KEY, "norm").agg(best_row().alias("best"), F.count(F.lit(1)).alias("copies"))
-    return strays.join(groups, [*KEY, "norm"]).select("doc_id", *KEY, (-F.col("best.neg_id")).alias("stray_id"), F.col("copies").alias("stray_copies"))
+    return strays.join(groups, [*KEY, "norm"]).select("doc_id", "row", "n_chars", *KEY, F.col("best").alias("stray"), F.col("copies").alias("stray_copies"))
 
 
-def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
+def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket.
 
     Of the documents with equal bytes after deleting white space, the one with the
-    most code points, then the smallest id, stays. Null text counts as empty; empty
-    texts are one group. A row that repeats an id is a row of its own in the counts
-    and kept with it. An empty table gives no rows. Other columns are not read.
+    most code points, then the smallest id, stays; a row without an id stays only if no
+    copy has one. Null text counts as empty; empty texts are one group. Without
+    ``row_col`` (a column, also returned as ``row``, that names each row) a row that
+    repeats an id is a row of its own in the counts and kept with it, and so are the
+    longest of copies of which none has an id. An empty table gives no rows. Other
+    columns are not read.
     """
-    rows = keyed(need(docs, id_col, text_col), id_col, text_col, digest_bits)
+    rows = keyed(need(docs, id_col, text_col, *[row_col] if row_col else []), id_col, text_col, digest_bits, row_col)
     index, _ = build_index(rows, capacity)
     strays = chained(rows, index)
     gone = strays.groupBy(*KEY).agg(F.count(F.lit(1)).alias("gone"))
     entries = index.join(gone, KEY, "left").select(
-        *KEY, "bucket", (-F.col("best.neg_id")).alias("found_id"), (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")
+        *KEY, "bucket", "best", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")
     )
     full = F.col("sha") if digest_bits == 256 else F.sha2("norm", 256)
-    found = rows.select("doc_id", *KEY, full.alias("text_sha256")).join(entries, KEY)
-    keep = F.coalesce("stray_id", "found_id")
-    return found.join(strays.dropDuplicates(["doc_id"]), ["doc_id", *KEY], "left").select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("stray_copies", "copies").alias("group_size"),
-        (F.col("doc_id") == keep).alias("kept"), "text_sha256", "bucket",
+    found = rows.select("doc_id", "row", "n_chars", *KEY, full.alias("text_sha256")).join(entries, KEY)
+    one = strays.dropDuplicates(["doc_id", "row", "n_chars", *KEY]).select(*[F.col(c).alias(f"s_{c}") for c in ("doc_id", "row", "n_chars", *KEY)], "stray", "stray_copies")
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in ("doc_id", "row", "n_chars", *KEY)]
+    keep = F.coalesce("stray", "best")
+    return found.join(one, same, "left").select(
+        "doc_id", (-keep["neg_id"]).alias("keep_id"), F.coalesce("stray_copies", "copies").alias("group_size"),
+        is_row(keep).alias("kept"), "text_sha256", "bucket", *["row"] if row_col else [],
     )
 
 
 def keep_unique(docs: DataFrame, capacity: int = 200_000) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = dedup_groups(docs, capacity).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each group of copies, with all its columns."""
+    rows = keyed_rows(docs, "dedup-rows")
+    kept = dedup_groups(rows, capacity, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need
+from decilog.llm.common import ROW, keyed_rows, need
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 N_FEATURES = 11
@@ -192,6 +192,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, usable: Column | None =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    bad = judge_documents(docs, labels).where(~F.col("kept")).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, with all their columns; each row is judged by itself."""
+    rows = keyed_rows(docs, "quality-rows")
+    bad = judge(rows, fit(rows, labels), id_col=ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need, stage, unstage
+from decilog.llm.common import ROW, keyed_rows, need, stage, unstage
 from decilog.llm.components import components
 
 #: Words a worker remembers the hash of before it starts afresh.
@@ -361,6 +361,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns."""
-    kept = jaccard_components(docs, width, threshold).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each component, with all its columns: that with the smallest id, null ids last."""
+    rows = keyed_rows(docs, "join-rows")
+    found = jaccard_components(rows, width, threshold, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    kept = found.join(rows.select("doc_id", ROW), ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need
+from decilog.llm.common import ROW, keyed_rows, need
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of scripts without spaces between words: South-East Asian, kana, Han.
@@ -274,6 +274,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents whose score is under ``threshold``, with all their columns."""
-    bad = score_documents(docs, labels, threshold).where("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose score is under ``threshold``, with all their columns; each row is judged by itself."""
+    rows = keyed_rows(docs, "toxicity-rows")
+    bad = score(rows, fit(rows, labels, ~held_out(F.col("doc_id"))), ROW).where(F.col("score") >= threshold).select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
