@@ -126,11 +126,25 @@ def requeue(markers: DataFrame, requests: DataFrame, multiway: Column) -> tuple[
     return markers.join(requests.where(~multiway).select("decision_id"), "decision_id", "left_anti"), rejected
 
 
-def group_spots(rows: DataFrame, key: list[str], item: str) -> DataFrame:
-    """Work items by spot: key, n, and the items in order, at most 1000 of them listed."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(item))
-    listed = rows.withColumn("_r", rank)
-    return listed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= 1000, F.col(item)))).alias("items"))
+def spot_items(rows: DataFrame, key: list[str], item: str) -> DataFrame:
+    """Every work item of every spot as a row: key, place (from 1, by item), item."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last(item)))
+    return rows.select(*key, place.cast("long").alias("place"), F.col(item).alias("item"))
+
+
+def group_spots(rows: DataFrame, key: list[str], item: str, size: int = 1000) -> DataFrame:
+    """Work items by spot in chunks that together hold all of them: key, n (of the spot), chunk (from 0), items in order.
+
+    A chunk has at most ``size`` items; null items are counted and not listed.
+    """
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    of = F.floor((F.col("place") - 1) / size)
+    chunks = spot_items(rows, key, item).withColumn("chunk", of).groupBy(*key, "chunk").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    c, n = chunks.alias("c"), counts.alias("n")
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"n.{k}"))
+    return c.join(n, same).select(*[f"c.{k}" for k in key], "n.n", "c.chunk", "c.items")
 
 
 def accept(candidates: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def f29_flop_spots(spark, d):
     flop = F.array(*[C.card(F.expr(f"((l_partkey * 7 + {k} * (l_suppkey % 7 + 4)) % 52)")) for k in (2, 3, 4)])
     first = role(spark, d, "moves").where("seq = 0").select("hand_id", C.canonical_board(flop).alias("flop"), F.round(F.col("stack_after") / 1000).cast("long").alias("stack"))
     keyed = first.join(G.scenario_keys(G.preflop_roles(role(spark, d, "moves")), "BTN"), "hand_id")
-    return K.group_spots(keyed, ["flop", "stack", "scenario"], "hand_id").select("flop", "stack", "scenario", "n")
+    return K.group_spots(keyed, ["flop", "stack", "scenario"], "hand_id").select("flop", "stack", "scenario", "n", "chunk", "items")
 
 
 @query(with_roles("SELECT actor, street, round(avg(CASE WHEN actor IN ('CO', 'BTN') THEN 1.0 ELSE 0.0 END), 5) AS late, round(avg(list_position(['SB', 'BB', 'UTG', 'MP', 'CO', 'BTN'], actor) / 6.0), 5) AS ordinal, count(*) AS n FROM moves GROUP BY actor, street"))

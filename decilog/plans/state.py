@@ -136,7 +136,7 @@ def c11_manual_edits(spark, d):
 @query(with_roles("SELECT street, actor, action, count(*) AS n, min(hand_id) AS first_item FROM moves GROUP BY street, actor, action"))
 def c12_group_spots(spark, d):
     got = K.group_spots(role(spark, d, "moves"), ["street", "actor", "action"], "hand_id")
-    return got.select("street", "actor", "action", "n", F.col("items")[0].alias("first_item"))
+    return got.where("chunk = 0").select("street", "actor", "action", "n", F.get("items", F.lit(0)).alias("first_item"))
 
 
 @query(with_roles("""WITH s AS (SELECT session_id, avg(value) AS v FROM metrics GROUP BY session_id), l AS (SELECT *, v - lag(v) OVER (ORDER BY session_id) AS up FROM s) SELECT session_id, v > 0.3 * 1.6 OR coalesce(up > 0.02, FALSE) AS pause FROM l"""))
