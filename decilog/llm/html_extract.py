@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from decilog.llm.common import need
 from decilog.llm.html_pages import labelled_pages
 
-TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+#: A comment, a CDATA mark, a declaration, or a tag. Nothing in it is tried twice, so the
+#: scan is linear: a quote without an end is a plain character, and a tag that is not
+#: closed ends before the next "<" or with the page, and is dropped.
+TAG = re.compile(r"""<!--(?:-?>|.*?--!?>|.*\Z)|<!\[CDATA\[|<[!?][^<>]*+(?:>|(?=<)|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"<]*+"|'[^'<]*+'|[^<>])*+)(?:>|(?=<)|\Z)""", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed values of HTML: elements without an end, with raw text, and that stand as blocks.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -77,9 +81,10 @@ def run_features(text: str, links: int) -> tuple[str, ...]:
     """Feature names of a run of text."""
     n = len(text)
     found = ["run", "long" if n >= 80 else "middle" if n >= 25 else "brief"]
-    if links > 0.5 * n:
+    ended = text[-1] in ".!?\"'”»"
+    if links > 0.5 * n and not (ended and n >= 25):  # a linked sentence may be text; its surroundings tell
         found.append("linked")
-    if text[-1] in ".!?\"'”»":
+    if ended:
         found.append("ended")
     return tuple(found)
 
@@ -102,6 +107,8 @@ class Parser:
         """Nodes in page order, parents first; node 0 is the root."""
         nodes = [Node(-1, ("tag:root",), None, 0, None)]
         stack: list[tuple[str, int]] = []  # open elements: name, and the node of their nearest block
+        opened: Counter[str] = Counter()  # names in the stack
+        marked = True  # whether a CDATA end may still come
         parts: list[str] = []
         links = depth = at = 0
 
@@ -117,11 +124,14 @@ class Parser:
         def shut(name: str, scope: set[str]) -> None:
             """Close the nearest open ``name`` and what is open inside it."""
             nonlocal depth
+            if not opened[name]:
+                return
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if any(n in BLOCK for n, _ in stack[k:]):
                         flush()
                     depth -= sum(n == "a" for n, _ in stack[k:])
+                    opened.subtract(n for n, _ in stack[k:])
                     del stack[k:]
                     return
                 if stack[k][0] in scope:
@@ -139,6 +149,12 @@ class Parser:
                 break
             at = m.end()
             if not m[2]:
+                if m[0] == "<![CDATA[":
+                    end = page.find("]]>", at) if marked else -1
+                    marked = end >= 0
+                    at = end + 3 if marked else page.find(">", at) + 1 or size
+                continue
+            if page[at - 1] != ">":  # not closed: markup, but no element
                 continue
             name = m[2].lower()
             if m[1]:
@@ -146,7 +162,7 @@ class Parser:
                 continue
             if name in RAW:
                 if not m[3].endswith("/"):
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                    end = re.compile(rf"</{name}\b[^<>]*+(?:>|(?=<)|\Z)", re.I).search(page, at)
                     at = end.end() if end else size
                 parts.append(" ")
                 continue
@@ -158,15 +174,17 @@ class Parser:
                 continue
             if name in BLOCK:
                 flush()
-                if any(n == "p" for n, _ in stack) and name not in ("label", "button"):
+                if opened["p"] and name not in ("label", "button"):
                     shut("p", SCOPE)
                 for other in CLOSES.get(name, ()):
                     shut(other, SCOPE - CLOSES[name])
                 features, label = self.described(name, m[3])
                 nodes.append(Node(stack[-1][1] if stack else 0, features, None, 0, label))
                 stack.append((name, len(nodes) - 1))
+                opened[name] += 1
             elif not m[3].endswith("/"):
                 depth += name == "a"
+                opened[name] += 1
                 stack.append((name, stack[-1][1] if stack else 0))
         flush()
         return nodes
@@ -277,7 +295,10 @@ def extract(pages: DataFrame, model: TreeModel | None = None, id_col: str = "pag
     """One row per page: page_id, url, text, n_chars.
 
     Null and empty pages, and pages without content, have an empty text. Cut-off
-    pages are read to their end; elements left open end with the page.
+    pages are read to their end; elements left open end with the page, and a tag that is
+    cut off is dropped. White space is what ``str.split`` takes for it, no-break spaces
+    and U+0085 included. Null and repeated page ids are kept, a row for each row; an
+    empty table gives no rows; other columns are not read. Time is linear in a page.
     """
     model = model or fit(labelled_pages())
 
