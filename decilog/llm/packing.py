@@ -47,9 +47,17 @@ class IdBytes(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.names = byte_names()
 
+    def of_text(self, text: str, split: Splitter) -> bytes:
+        """The ids of a whole text. Added tokens are no pre-tokens: a text with one goes to the tokenizer whole."""
+        if any(t in text for t in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, split(text)))
+
     def __missing__(self, piece: str) -> bytes:
         named = piece.encode().decode("latin-1").translate(self.names)
         ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
@@ -64,7 +72,9 @@ def tokenise(docs: DataFrame, path: str, pattern: str, size: int, id_col: str =
     A document is its ids and END_ID (null text: END_ID alone). A longer one than
     ``size`` is cut from its end into pieces of ``size``, so the first may be
     shorter. The vocabulary file's model encodes every distinct pre-token of
-    ``pattern``, which is where its tokenizer cuts a text itself.
+    ``pattern``, which is where its tokenizer cuts a text itself; texts that hold one of
+    the file's added tokens are encoded by the tokenizer. Null and repeated ids are kept,
+    pieces for each row; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +84,7 @@ def tokenise(docs: DataFrame, path: str, pattern: str, size: int, id_col: str =
             if len(table) > CACHE:
                 table.clear()
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = b"".join(map(table.__getitem__, split(text.as_py() or ""))) + end
+                ids = table.of_text(text.as_py() or "", split) + end
                 total = len(ids) // 4
                 start, until, piece = 0, (total - 1) % size + 1, 0
                 while start < total:

@@ -63,7 +63,6 @@ def test_round_trip_query_rows(spark, reference):
 
 def check_packing(rows, docs, size):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -90,6 +89,7 @@ def test_packing_places_every_piece(spark):
     rng = random.Random(4)
     docs = {k: " ".join(rng.choice(["the", "river", "Ünder", "x1"]) for _ in range(rng.choice([0, 1, 5, 20, 60, 200]))) for k in range(150)}
     docs[7] = None
+    docs[8] = "hello <|endoftext|> world<|endoftext|>" + " the river" * 80
     df = spark.createDataFrame([(k, t, 1) for k, t in docs.items()], "doc_id long, text string, piece int").repartition(5)
     rows = packing.pack_documents(df, JSON, public_tokenizers.PATTERN, size=64).collect()
     used = check_packing(rows, docs, 64)
