@@ -3,7 +3,9 @@
 Each line of a text is content or boilerplate. Line features (symbol, capital and
 separator shares, repeats, length) weigh in for each label, and neighbouring labels
 for each other; Viterbi decoding finds the best labels of all lines together. The
-share of words in content lines decides whether the document stays.
+share of words in content lines decides whether the document stays. Documents are
+labelled, lines are not: their labels are inferred in turns with the fit, so that a good
+paragraph in a bad text is content and a block of separators in a good one is not.
 """
 
 from __future__ import annotations
@@ -103,42 +105,69 @@ class LineCrf:
         return out
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> LineCrf:
-    """Maximum likelihood of sequences whose lines all have the label of their document.
+#: Lines of the longest training sequence; longer texts are several sequences, all of them used.
+PIECE = 60
 
-    Forward and backward passes run over all sequences at once, line by line.
+
+def batch_of(parts: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, live lines, gold labels and weights of sequences, padded to the longest."""
+    n, longest = len(parts), max(len(x) for x, _, _ in parts)
+    x, live, gold = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest)), np.zeros((n, longest, 2))
+    for k, (one, y, _) in enumerate(parts):
+        x[k, : len(one)], live[k, : len(one)] = one, 1
+        gold[k, np.arange(len(one)), y] = 1
+    return x, live, gold, np.array([w for _, _, w in parts])
+
+
+def slopes_of(weights: np.ndarray, trans: np.ndarray, x: np.ndarray, live: np.ndarray, gold: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gold less expected counts of features and transitions, by forward and backward passes."""
+    n, longest = live.shape
+    unary = (x @ weights.T) * live[:, :, None]
+    alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    alpha[:, 0] = unary[:, 0]
+    for k in range(1, longest):
+        came = np.logaddexp(alpha[:, k - 1, :1] + trans[0], alpha[:, k - 1, 1:] + trans[1]) + unary[:, k]
+        alpha[:, k] = np.where(live[:, k, None] > 0, came, alpha[:, k - 1])
+    for k in range(longest - 2, -1, -1):
+        nxt = beta[:, k + 1] + unary[:, k + 1]
+        beta[:, k] = np.where(live[:, k + 1, None] > 0, np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:]), 0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
+    d_trans = np.einsum("n,nka,nkb->ab", scale, gold[:, :-1], gold[:, 1:])
+    for a in (0, 1):
+        for b in (0, 1):
+            joint = np.exp(alpha[:, :-1, a] + trans[a, b] + unary[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * live[:, 1:]
+            d_trans[a, b] -= (scale[:, None] * joint).sum()
+    return np.einsum("n,nkl,nkf->lf", scale, gold - p, x), d_trans
+
+
+def fit_rows(rows: list[tuple[np.ndarray, int | np.ndarray]], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3, chain: bool = True, start: LineCrf | None = None) -> LineCrf:
+    """Maximum likelihood of line sequences and their labels (one label for all lines, or one each).
+
+    Forward and backward passes run over sequences of like length at once, line by line.
+    Without ``chain`` neighbours do not weigh in: lines are told apart by their features
+    alone. ``start``: a model to go on from.
     """
-    rows = [(x, y) for x, y in rows if len(x)]
+    rows = [(x, np.broadcast_to(y, len(x))) for x, y in rows if len(x)]
     weights, trans = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
-    weights[1, 0], trans[0, 0], trans[1, 1] = 0.5, 0.5, 0.5
-    if len({y for _, y in rows}) < 2:  # nothing to learn from: symbols, separators and repeats are boilerplate
+    if not rows or len(np.unique(np.concatenate([y for _, y in rows]))) < 2:  # nothing to learn from: symbols, separators and repeats are boilerplate
+        weights[1, 0], trans[0, 0], trans[1, 1] = 0.5, 0.5, 0.5
         weights[0, [3, 4, 5, 6, 7, 8]] = 3.0
         return LineCrf(weights, trans)
-    n, longest = len(rows), max(len(x) for x, _ in rows)
-    x, live, y = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest)), np.array([y for _, y in rows])
-    for k, (one, _) in enumerate(rows):
-        x[k, : len(one)], live[k, : len(one)] = one, 1
-    scale = np.full(n, 2 / n)
-    gold = np.eye(2)[y]
+    parts = [(x[k : k + PIECE], y[k : k + PIECE], 2 / len(rows)) for x, y in rows for k in range(0, len(x), PIECE)]
+    if not chain:  # lines count alike, whatever their text's length
+        n_lines = sum(len(x) for x, _, _ in parts)
+        parts = [(x, y, 2 / n_lines) for x, y, _ in parts]
+    groups = [batch_of(own) for low, high in ((0, 6), (6, 15), (15, 30), (30, PIECE)) if (own := [p for p in parts if low < len(p[0]) <= high])]
+    if start is not None:
+        weights, trans = start.weights.copy(), start.trans.copy()
     first, second = [np.zeros_like(weights), np.zeros_like(trans)], [np.zeros_like(weights), np.zeros_like(trans)]
     for step in range(1, steps + 1):
-        unary = (x @ weights.T) * live[:, :, None]
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = unary[:, 0]
-        for k in range(1, longest):
-            came = np.logaddexp(alpha[:, k - 1, :1] + trans[0], alpha[:, k - 1, 1:] + trans[1]) + unary[:, k]
-            alpha[:, k] = np.where(live[:, k, None] > 0, came, alpha[:, k - 1])
-        for k in range(longest - 2, -1, -1):
-            nxt = beta[:, k + 1] + unary[:, k + 1]
-            beta[:, k] = np.where(live[:, k + 1, None] > 0, np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:]), 0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-        d_weights = np.einsum("n,nkl,nkf->lf", scale, (gold[:, None] - p) * live[:, :, None], x) - penalty * weights
-        d_trans = -penalty * trans
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = np.exp(alpha[:, :-1, a] + trans[a, b] + unary[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * live[:, 1:]
-                d_trans[a, b] += (scale[:, None] * ((gold[:, a] * gold[:, b])[:, None] * live[:, 1:] - joint)).sum()
+        d_weights, d_trans = -penalty * weights, -penalty * trans
+        for group in groups:
+            slopes = slopes_of(weights, trans, *group)
+            d_weights += slopes[0]
+            d_trans += slopes[1] if chain else 0
         for which, (value, slope) in enumerate(((weights, d_weights), (trans, d_trans))):
             first[which] = 0.9 * first[which] + 0.1 * slope
             second[which] = 0.99 * second[which] + 0.01 * slope**2
@@ -146,11 +175,42 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 150, rate: float =
     return LineCrf(weights, trans)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_bad: int = 500, max_good: int = 1500, max_lines: int = 60) -> LineCrf:
-    """Fit on at most ``max_bad`` and ``max_good`` labelled documents, ``max_lines`` lines of each.
+def line_labels(model: LineCrf, rows: np.ndarray, counts: np.ndarray, quality: int, least_share: float = 0.5) -> np.ndarray:
+    """The model's labels of a text's lines, changed as little as its document label asks for.
+
+    A good text has content lines with ``least_share`` of its words at least, a bad one
+    with less: the lines whose odds are least against it change.
+    """
+    out = model.viterbi(rows)
+    odds = rows @ (model.weights[1] - model.weights[0])
+    total = counts.sum()
+    for k in np.argsort(-odds if quality else odds, kind="stable"):
+        held = counts[out == 1].sum()
+        if (held >= least_share * total) == bool(quality):
+            break
+        out[k] = quality
+    return out
+
+
+def fit_lines(texts: list[tuple[np.ndarray, np.ndarray, int]], turns: int = 2) -> LineCrf:
+    """Fit on (line features, words per line, document label): labels of lines come from the data.
+
+    A model without transitions is fitted first, with each line labelled as its text:
+    it tells which lines look like those of good texts wherever they stand. Then, for
+    ``turns`` times, every text's lines are labelled by the model under the constraint of
+    the document label, and the chain is fitted on them.
+    """
+    texts = [t for t in texts if len(t[0])]
+    model = fit_rows([(x, y) for x, _, y in texts], steps=100, chain=False)
+    for _ in range(turns if len({y for _, _, y in texts}) == 2 else 0):
+        model = fit_rows([(x, line_labels(model, x, counts, y)) for x, counts, y in texts], steps=100, start=model)
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_bad: int = 500, max_good: int = 1500) -> LineCrf:
+    """Fit on at most ``max_bad`` and ``max_good`` labelled documents, with all their lines.
 
-    The sample is the labels that come first by a hash of the id. The line limit is
-    for training alone; every line is decoded.
+    The sample is the labels that come first by a hash of the id.
     """
     known = need(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")
     if usable is not None:
@@ -158,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_ba
     first = [known.where(F.col("quality") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, max_bad), (1, max_good))]
     sample = need(docs, "doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id").where("text IS NOT NULL")
     found = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.select("doc_id", "text", "quality").collect())  # bounded by the limits
-    return fit_rows([(describe(text)[1][:max_lines], y) for _, text, y in found])
+    return fit_lines([(*describe(text)[1:], y) for _, text, y in found])
 
 
 def judge(docs: DataFrame, model: LineCrf, least_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
