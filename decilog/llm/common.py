@@ -47,6 +47,21 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Staged tables of one job, deleted together once nothing reads them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stage(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        while self.tables:
+            unstage(self.tables.pop())
+
+
 #: The internal key of a stage's rows: ids may be null or repeat.
 ROW = "_row_key"
 

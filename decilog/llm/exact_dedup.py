@@ -3,22 +3,26 @@
 The directory maps the leading bits of a key's 64-bit hash to buckets. It starts
 with one bucket and doubles whenever a bucket that must be split already uses all
 of its bits; a bucket that holds more distinct keys than ``capacity`` is split by
-one more bit. Buckets are contiguous ranges of the hash, so an owner task of the
-index files holds a key range. Keys in one bucket with the same 64-bit hash form a
-chain; its members are told apart by their bytes.
+one more bit. The index is a table in the shared folder with one entry for each hash,
+in order of buckets; an owner task writes a range of them. A row goes through the
+directory to its bucket and looks its hash up there. Texts with the same hash form a
+chain: bytes are compared with the entry's, and those that differ become entries of
+their own. The hash alone never decides that texts are equal.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import ROW, keyed_rows, need, stage, unstage
+from decilog.llm.common import ROW, Scratch, keyed_rows, need, stage
 
-#: Leading bits over which keys are counted before the directory is grown.
-MAX_DEPTH = 14
+#: Leading bits over which keys are counted first, by how many more until no prefix overflows, and at most.
+FIRST_BITS, MORE_BITS, MOST_BITS = 10, 4, 62
 
 
 def normalise(text: Column) -> Column:
@@ -40,25 +44,26 @@ class Directory:
 
 
 def grow_directory(counts: dict[int, int], capacity: int, count_bits: int) -> Directory:
-    """Directory doubling over key counts by hash prefix.
+    """Directory doubling over key counts by hash prefix of ``count_bits`` bits."""
+    prefixes = sorted(counts)
+    before = [0, *accumulate(counts[p] for p in prefixes)]
 
-    ``counts``: keys by the leading ``count_bits`` bits, at most 2**count_bits
-    entries however many keys there are.
-    """
-    buckets = {(0, 0): sum(counts.values())}  # (prefix, local depth) -> keys
-    depth, full = 0, [b for b, n in {(0, 0): sum(counts.values())}.items() if n > capacity]
+    def held(prefix: int, local: int) -> int:
+        span = count_bits - local
+        return before[bisect_left(prefixes, (prefix + 1) << span)] - before[bisect_left(prefixes, prefix << span)]
+
+    buckets, depth = {(0, 0)}, 0  # (prefix, local depth)
+    full = [b for b in buckets if held(*b) > capacity]
     while full:
         prefix, local = full.pop()
-        if local == count_bits:
+        if local == count_bits:  # keys of one whole prefix: they are a chain of one bucket
             continue
         depth = max(depth, local + 1)
-        del buckets[prefix, local]
-        for child in (2 * prefix, 2 * prefix + 1):
-            span = count_bits - local - 1
-            held = sum(counts.get(p, 0) for p in range(child << span, (child + 1) << span))
-            buckets[child, local + 1] = held
-            if held > capacity:
-                full.append((child, local + 1))
+        buckets.remove((prefix, local))
+        for child in ((2 * prefix, local + 1), (2 * prefix + 1, local + 1)):
+            buckets.add(child)
+            if held(*child) > capacity:
+                full.append(child)
     slots: list[tuple[int, int]] = [(0, 0)] * (1 << depth)
     for prefix, local in buckets:
         first = prefix << (depth - local)
@@ -68,9 +73,9 @@ def grow_directory(counts: dict[int, int], capacity: int, count_bits: int) -> Di
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, digest_bits: int = 256, row_col: str | None = None) -> DataFrame:
-    """doc_id, row, n_chars, norm and the index key: h64, sha, n_norm.
+    """doc_id, row, n_chars, norm and its 64-bit hash h64.
 
-    ``digest_bits`` under 256 weakens the key; tests use it to force collisions.
+    ``digest_bits`` under 256 leaves so many bits of the hash; tests use it to force collisions.
     """
     norm = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -78,14 +83,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, digest_bits: int = 256, r
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
         normalise(F.col(text_col)).alias("norm"),
     )
-    if digest_bits == 256:
-        key = (F.xxhash64("norm"), F.sha2("norm", 256), F.octet_length("norm").cast("long"))
-    else:
-        key = (F.shiftleft(F.pmod(F.xxhash64("norm"), F.lit(1 << digest_bits)), 60), F.lit(""), F.lit(0).cast("long"))
-    return norm.select("doc_id", "row", "n_chars", "norm", key[0].alias("h64"), key[1].alias("sha"), key[2].alias("n_norm"))
+    h64 = F.xxhash64("norm") if digest_bits == 256 else F.shiftleft(F.pmod(F.xxhash64("norm"), F.lit(1 << digest_bits)), 60)
+    return norm.withColumn("h64", h64)
 
 
-KEY = ["h64", "sha", "n_norm"]
+#: Where a row's entry lies: its bucket, and its hash in it.
+KEY = ["bucket", "h64"]
 
 
 def best_row() -> Column:
@@ -99,41 +102,46 @@ def is_row(best: Column) -> Column:
     return same & (F.col("doc_id").isNotNull() | (F.col("n_chars") == best["n_chars"]))
 
 
-def build_index(rows: DataFrame, capacity: int) -> tuple[DataFrame, Directory]:
-    """The index entries, one per key, as bucket-ordered shared files, with the directory.
+def build_index(rows: DataFrame, capacity: int, scratch: Scratch) -> tuple[DataFrame, Directory]:
+    """The index entries, one per hash, as bucket-ordered shared files, with the directory.
 
     Copies are folded before the shuffle, so a group with a third of all rows is
-    one entry from each task. Entry: bucket, local_depth, key, best, copies.
+    one entry from each task. Entry: bucket, local_depth, h64, best, copies.
     """
-    entries = stage(rows.groupBy(*KEY).agg(best_row().alias("best"), F.count(F.lit(1)).alias("copies")), "dedup-entries")
-    counted = entries.groupBy(prefix_of(F.col("h64"), MAX_DEPTH).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    directory = grow_directory({r["p"]: r["n"] for r in counted.collect()}, capacity, MAX_DEPTH)  # at most 2**MAX_DEPTH rows
-    owned = with_bucket(entries, directory).repartitionByRange("bucket", "h64").sortWithinPartitions("bucket", *KEY)
-    index = stage(owned, "dedup-index")
-    unstage(entries)
-    return index, directory
+    entries = scratch.stage(rows.groupBy("h64").agg(best_row().alias("best"), F.count(F.lit(1)).alias("copies")), "dedup-entries")
+    bits, counts = FIRST_BITS, {}
+    while True:  # about capacity / 2**MORE_BITS keys a prefix at least, so the counts grow with the buckets, not with the keys
+        counted = entries.groupBy(F.shiftrightunsigned("h64", 64 - bits).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        over = counted.where(F.col("n") > capacity)
+        if bits >= MOST_BITS or not over.take(1):
+            counts = {r["p"]: r["n"] for r in counted.collect()}
+            break
+        bits = min(bits + MORE_BITS, MOST_BITS)
+    directory = grow_directory(counts, capacity, bits)
+    owned = with_bucket(entries, directory).repartitionByRange("bucket", "h64").sortWithinPartitions(*KEY)
+    return scratch.stage(owned, "dedup-index"), directory
 
 
 def with_bucket(entries: DataFrame, directory: Directory) -> DataFrame:
-    """Look the bucket of ``h64`` up in the directory (at most 2**MAX_DEPTH slots)."""
+    """Look the bucket of ``h64`` up in the directory, whose slots are about as many as there are buckets."""
     rows = [(slot, first, local) for slot, (first, local) in enumerate(directory.slots)]
     table = entries.sparkSession.createDataFrame(rows, "slot int, bucket int, local_depth int")
     return entries.withColumn("slot", prefix_of(F.col("h64"), directory.depth)).join(F.broadcast(table), "slot").drop("slot")
 
 
-def chained(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows whose bytes differ from those that their index entry keeps, regrouped by bytes.
+def chained(texts: DataFrame, index: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows whose bytes differ from those that their entry keeps, regrouped by bytes.
 
-    Only the texts of entries with copies move; the kept text meets its copies in
+    Only the texts of entries with several rows move; the kept text meets its chain in
     an inner join whose large partitions Spark can split.
     """
     shared = index.where("copies > 1").select(*KEY, "best")
-    chain = stage(rows.join(shared, KEY), "dedup-chains")
+    chain = scratch.stage(texts.join(shared, KEY), "dedup-chains")
     kept = chain.where(is_row(F.col("best"))).groupBy(*KEY).agg(F.max("norm").alias("kept_norm"))
-    strays = stage(chain.join(kept, KEY).where("norm <> kept_norm").select("doc_id", "row", "n_chars", "norm", *KEY), "dedup-strays")
-    unstage(chain)
+    strays = scratch.stage(chain.join(kept, KEY).where("norm <> kept_norm").select("doc_id", "row", "n_chars", "norm", *KEY), "dedup-strays")
     groups = strays.groupBy(*KEY, "norm").agg(best_row().alias("best"), F.count(F.lit(1)).alias("copies"))
-    return strays.join(groups, [*KEY, "norm"]).select("doc_id", "row", "n_chars", *KEY, F.col("best").alias("stray"), F.col("copies").alias("stray_copies"))
+    found = strays.join(groups, [*KEY, "norm"]).select("doc_id", "row", "n_chars", F.sha2("norm", 256).alias("text_sha256"), *KEY, F.col("best").alias("stray"), F.col("copies").alias("stray_copies"))
+    return scratch.stage(found, "dedup-chained")
 
 
 def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, row_col: str | None = None) -> DataFrame:
@@ -147,17 +155,18 @@ def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id
     longest of copies of which none has an id. An empty table gives no rows. Other
     columns are not read.
     """
-    rows = keyed(need(docs, id_col, text_col, *[row_col] if row_col else []), id_col, text_col, digest_bits, row_col)
-    index, _ = build_index(rows, capacity)
-    strays = chained(rows, index)
+    scratch = Scratch()
+    texts = keyed(need(docs, id_col, text_col, *[row_col] if row_col else []), id_col, text_col, digest_bits, row_col)
+    rows = stage(texts.select("doc_id", "row", "n_chars", "h64", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
+    index, directory = build_index(rows, capacity, scratch)
+    strays = chained(with_bucket(texts, directory), index, scratch)
     gone = strays.groupBy(*KEY).agg(F.count(F.lit(1)).alias("gone"))
-    entries = index.join(gone, KEY, "left").select(
-        *KEY, "bucket", "best", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")
-    )
-    full = F.col("sha") if digest_bits == 256 else F.sha2("norm", 256)
-    found = rows.select("doc_id", "row", "n_chars", *KEY, full.alias("text_sha256")).join(entries, KEY)
-    one = strays.dropDuplicates(["doc_id", "row", "n_chars", *KEY]).select(*[F.col(c).alias(f"s_{c}") for c in ("doc_id", "row", "n_chars", *KEY)], "stray", "stray_copies")
-    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in ("doc_id", "row", "n_chars", *KEY)]
+    entries = stage(index.join(gone, KEY, "left").select(*KEY, "best", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")), "dedup-chained")
+    own = ["doc_id", "row", "n_chars", "text_sha256", *KEY]
+    one = stage(strays.dropDuplicates(own).select(*[F.col(c).alias(f"s_{c}") for c in own], "stray", "stray_copies"), "dedup-one")
+    scratch.clear()
+    found = with_bucket(rows, directory).drop("local_depth").join(entries, KEY)
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in own]
     keep = F.coalesce("stray", "best")
     return found.join(one, same, "left").select(
         "doc_id", (-keep["neg_id"]).alias("keep_id"), F.coalesce("stray_copies", "copies").alias("group_size"),
@@ -166,7 +175,11 @@ def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id
 
 
 def keep_unique(docs: DataFrame, capacity: int = 200_000) -> DataFrame:
-    """One row of each group of copies, with all its columns."""
+    """One row of each group of copies, with all its columns.
+
+    Rows are judged by keys of their own, so null and repeated ids do no harm; of rows
+    without text one stays. An empty table gives an empty one.
+    """
     rows = keyed_rows(docs, "dedup-rows")
     kept = dedup_groups(rows, capacity, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -47,6 +47,32 @@ def test_directory_doubles_only_where_needed():
     assert exact_dedup.grow_directory({}, 5, 4).depth == 0
 
 
+def test_directory_has_no_overfull_bucket():
+    rng = random.Random(2)
+    counts = {rng.getrandbits(30): rng.randint(1, 5) for _ in range(3000)}
+    d = exact_dedup.grow_directory(counts, 7, 30)
+    held = {}
+    for prefix, n in counts.items():
+        first, local = d.slots[prefix >> (30 - d.depth)]
+        held[first, local] = held.get((first, local), 0) + n
+    assert max(held.values()) <= 7 and len(d.slots) == 1 << d.depth
+
+
+def test_rows_find_their_entry_through_the_directory(spark, monkeypatch):
+    """A directory that sends rows elsewhere loses them."""
+    df = spark.createDataFrame([(a, b, "clash") for a, b in ROWS], DOCS)
+    whole = exact_dedup.dedup_groups(df, 3).collect()
+    assert len({r.bucket for r in whole}) > 2
+    calls, real = [], exact_dedup.with_bucket
+
+    def shifted(entries, directory):
+        calls.append(1)
+        return real(entries, directory) if len(calls) == 1 else real(entries, directory).withColumn("bucket", exact_dedup.F.col("bucket") + 1)
+
+    monkeypatch.setattr(exact_dedup, "with_bucket", shifted)
+    assert len(exact_dedup.dedup_groups(df, 3).collect()) < len(whole)
+
+
 def near_truth(rows, width, threshold):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
