@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -66,6 +67,28 @@ def test_pages_table(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+SENTENCE = "The survey followed the river for nine days and noted every change of its banks."
+
+
+@pytest.mark.parametrize("inner,want", [
+    ('<p><a href="broken>link text</a> goes on, here and there.</p>', "link text goes on, here and there."),
+    (f'<p><a href="/x">{SENTENCE}</a></p>', SENTENCE),
+    ('<p title="a > b">A title with a mark in it is no text.</p>', "A title with a mark in it is no text."),
+    ("<!--> <p>An empty comment ends at once, and text goes on.</p>", "An empty comment ends at once, and text goes on."),
+    ("<p>The page is cut off within a tag. <a hre", "The page is cut off within a tag."),
+])
+def test_broken_markup_and_links_in_an_article(tree, inner, want):
+    page = f"<body><nav><a href=/x>Menu</a></nav><article><h1>Survey</h1><p>{SENTENCE}</p>{inner}"
+    assert html_extract.main_text(page, html_extract.Parser(), tree) == f"Survey\n\n{SENTENCE}\n\n{want}"
+
+
+@pytest.mark.parametrize("junk", ["<p ", '<p class="', "<a href='", "<!", "<![CDATA[", "<![CDATA[>", "<!--", "</p", "</script", "<script>", "<span>"])
+def test_long_broken_pages_take_linear_time(tree, junk):
+    began = time.process_time()
+    html_extract.main_text(f"<article><p>{junk * (1_000_000 // len(junk))}", html_extract.Parser(), tree)
+    assert time.process_time() - began < (4 if junk == "<span>" else 2)  # a second on a free machine
+
+
 # --- URLs ---------------------------------------------------------------------
 
 
@@ -277,3 +300,36 @@ def test_snapshots_collapse(spark):
     assert {c: r.n_turns for c, r in got.items()} == chat_truth(rows)
     assert got[95].chat == "<|im_start|>user\nx<|im_end|>\n" and got[92].chat == "<|im_start|>user\n<|im_end|>\n"
     assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def mixed_texts(seed, n=200):
+    """(text, quality, words of content lines): texts of prose, and of separators under a line of prose."""
+    rng = random.Random(seed)
+    prose = lambda: " ".join(rng.choice("river bank bird depth map course night old new".split()) + str(rng.randint(1, 99)) for _ in range(14)) + "."
+    menu = lambda: " | ".join(rng.choice("home news sport shop help about".split()) + str(rng.randint(1, 999)) for _ in range(12))
+    rows = []
+    for k in range(n):
+        good = k % 2
+        rows.append(([prose() for _ in range(rng.randint(3, 8))] + [menu()] * (k % 4 == 1) if good else [prose()] + [menu() for _ in range(rng.randint(3, 8))], good))
+    return rows
+
+
+def test_lines_of_one_text_get_different_labels():
+    """Only documents are labelled; a tail of separators is split off at the right line."""
+    texts = mixed_texts(3)
+    model = line_crf.fit_lines([(*line_crf.describe("\n".join(lines))[1:], y) for lines, y in texts])
+    assert all(abs(model.trans[a, b]) > 0 for a in (0, 1) for b in (0, 1))
+    right = total = 0
+    for lines, _ in mixed_texts(4):
+        found = model.viterbi(line_crf.describe("\n".join(lines))[1])
+        right += sum(int(v) == ("|" not in line) for v, line in zip(found, lines))
+        total += len(lines)
+    assert right >= 0.98 * total
+
+
+def test_all_lines_of_long_texts_are_learned_from():
+    """What tells good from bad stands after line 200 only."""
+    head = ["A plain line of ten words stands here, again and again."] * 200
+    rows = [(*line_crf.describe("\n".join(f"{i} {h}" for i, h in enumerate(head)) + "\n" + "\n".join(["a | b | c | d | e"] * (400 if k % 2 else 0)))[1:], 1 - k % 2) for k in range(12)]
+    model = line_crf.fit_lines(rows)
+    assert model.viterbi(line_crf.describe("x | y | z | w\n" * 3)[1]).sum() == 0
