@@ -302,6 +302,19 @@ def test_snapshots_collapse(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 5, "user", "a"), (None, 1, "user", "a"), (None, 2, "user", "lone"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "x"), (None, 0, "user", "x")]
+    got = sorted(((r.conv_id, r.n_turns, r.copies, r.chat) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    say = lambda *t: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in t)
+    assert got == sorted([(1, 2, 1, say(("user", "a"), ("assistant", "b"))), (2, 1, 2, say(("user", "x"))), (None, 1, 1, say(("user", "lone")))], key=str)
+
+
+def test_long_conversation_and_its_snapshots(spark):
+    rows = [(c, t, "user", f"turn {t}") for c, n in ((1, 3000), (2, 2999), (3, 1)) for t in range(n)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns, r.copies) for r in got] == [(1, 3000, 1)]
+
+
 def mixed_texts(seed, n=200):
     """(text, quality, words of content lines): texts of prose, and of separators under a line of prose."""
     rng = random.Random(seed)
