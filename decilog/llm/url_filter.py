@@ -2,7 +2,7 @@
 
 All of it is DataFrame work; the trees are Spark's own. Suffix statistics are shares of
 blocked URLs by the last label and the last two labels of the host, over all labelled
-URLs.
+URLs of other hosts: a URL is never judged by the labels of its own host.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need
+from decilog.llm.common import need, stage
 
 #: (verdict, rule): host, then the start of the path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -25,6 +25,8 @@ FEATURES = [
 ]
 #: Strength of the overall share in a suffix's share, in URLs.
 PRIOR = 20.0
+#: Rows up to which a table of sums is broadcast.
+SMALL = 50_000
 
 
 def after_scheme(url: Column) -> Column:
@@ -86,18 +88,33 @@ def with_lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
     ).drop("_rest")
 
 
-def share_by(labelled: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked URLs, and the log of their number, by ``key``."""
-    total = labelled.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("all"))
-    sums = labelled.groupBy(key).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
-    share = (F.col("bad") + PRIOR * F.col("all")) / (F.col("n") + PRIOR)
-    return sums.join(F.broadcast(total), how="cross").select(key, share.alias(f"{key}_share"), F.log1p(F.col("n").cast("double")).alias(f"{key}_log_n"))
+def fits_broadcast(table: DataFrame) -> bool:
+    return table.limit(SMALL + 1).count() <= SMALL
 
 
-def with_suffix_statistics(df: DataFrame, shares: dict[str, DataFrame]) -> DataFrame:
-    for key, table in shares.items():
-        df = df.join(table, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in (f"{key}_share", f"{key}_log_n")})
-    return df
+def share_tables(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Sums of blocked URLs (bad) and URLs (n) by suffix, domain and host, staged; ``all`` has one row."""
+    by_host = stage(labelled.groupBy("suffix", "domain", "host").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")), "url-hosts")
+    sums = lambda key: by_host.groupBy(key).agg(F.sum("bad").alias(f"{key}_bad"), F.sum("n").alias(f"{key}_n"))
+    tables = {key: stage(sums(key), f"url-{key}") for key in ("suffix", "domain", "host")}
+    return tables | {"all": by_host.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0)).alias("all_share"))}
+
+
+def with_suffix_statistics(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with the smoothed share of blocked URLs and the log of their number, by suffix and by domain.
+
+    URLs of the row's own host are left out of both. Tables of at most SMALL rows are
+    broadcast; beyond that the join is one whose large partitions Spark can split.
+    """
+    for key in ("suffix", "domain", "host"):
+        table = tables[key]
+        df = df.join(F.broadcast(table) if fits_broadcast(table) else table, key, "left")
+    df = df.join(F.broadcast(tables["all"]), how="cross")  # one row
+    own = {c: F.coalesce(F.col(f"host_{c}"), F.lit(0)) for c in ("bad", "n")}
+    for key in ("suffix", "domain"):
+        bad, n = (F.coalesce(F.col(f"{key}_{c}"), F.lit(0)) - own[c] for c in ("bad", "n"))
+        df = df.withColumns({f"{key}_share": (bad + PRIOR * F.col("all_share")) / (n + PRIOR), f"{key}_log_n": F.log1p(n.cast("double"))})
+    return df.drop("all_share", *[f"{key}_{c}" for key in ("suffix", "domain", "host") for c in ("bad", "n")])
 
 
 def fit(labelled: DataFrame, shares: dict[str, DataFrame], max_rows: int = 20_000, trees: int = 12, depth: int = 3) -> GBTClassificationModel | None:
@@ -126,11 +143,12 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] =
 
     A null URL or one without ``://`` has an empty host and path, fits no rule and is
     judged by its features. Without both labels among ``labelled`` every URL that no
-    rule fits is allowed with score 0.
+    rule fits is allowed with score 0. Repeated and null page ids are kept, a row for
+    each row; an empty table gives no rows; other columns are not read.
     """
     urls = need(pages, id_col, url_col).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     known = with_lexical(need(labelled, "url", "label").where("url IS NOT NULL AND label IN (0, 1)"))
-    shares = {key: share_by(known, key) for key in ("suffix", "domain")}
+    shares = share_tables(known)
     model = fit(known, shares)
     df = with_suffix_statistics(with_lexical(urls), shares)
     if model is None:

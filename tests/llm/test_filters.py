@@ -130,6 +130,32 @@ def test_url_trees_learn_listed_hosts(spark):
     assert sum((r.verdict == "block") == (r.page_id >= 200) for r in got) >= 0.95 * len(urls)
 
 
+def test_url_trees_on_hosts_without_labels(spark):
+    """Hosts are split: no URL of a judged host is labelled, and blocked hosts show in their form."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioubdfgklmnprst") for _ in range(rng.randint(4, 8)))
+    rows = []
+    for h in range(160):
+        bad = h % 3 == 0
+        host = f"{word()}-{word()}{rng.randint(10, 999)}.{rng.choice(['top', 'win', 'com'])}" if bad else f"{word()}.{rng.choice(['com', 'org', 'edu'])}"
+        rows += [(h, f"http://{host}/{word()}/{rng.randint(1, 99999)}" + ("?a=1&b=2&c=3" if bad and k % 2 else ""), float(bad)) for k in range(12)]
+    known = spark.createDataFrame([(u, y) for h, u, y in rows if h % 2], "url string, label double")
+    got = url_filter.judge(spark.createDataFrame([(i, u) for i, (h, u, _) in enumerate(rows) if h % 2 == 0], "page_id long, url string"), known).collect()
+    truth = {i: y for i, (_, _, y) in enumerate(rows)}
+    right = [(r.verdict == "block", truth[r.page_id] == 1) for r in got]
+    assert sum(p for p, y in right if y) >= 0.9 * sum(y for _, y in right)
+    assert sum(p for p, y in right if not y) <= 0.1 * sum(not y for _, y in right)
+
+
+def test_url_statistics_leave_the_own_host_out(spark):
+    rows = [("http://a.x.com/1", 1.0), ("http://a.x.com/2", 1.0), ("http://b.x.com/1", 0.0)]
+    known = url_filter.with_lexical(spark.createDataFrame(rows, "url string, label double"))
+    got = {r.host: r for r in url_filter.with_suffix_statistics(known, url_filter.share_tables(known)).distinct().collect()}
+    prior = url_filter.PRIOR * 2 / 3
+    assert got["a.x.com"].domain_share == pytest.approx(prior / (1 + url_filter.PRIOR)) and got["b.x.com"].suffix_share == pytest.approx((2 + prior) / (2 + url_filter.PRIOR))
+    assert got["a.x.com"].domain_log_n == pytest.approx(math.log(2))
+
+
 def test_url_without_labels_or_rows(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(empty, url_filter.listed_labels(empty)).collect() == []
