@@ -18,7 +18,7 @@ from decilog.llm.common import need, stage
 #: (verdict, rule): host, then the start of the path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Host words of categories that are blocked; URLs with them are the labelled 1s.
-LISTED = "adult|casino|bets?|pills?|spam|porn|viagra|lottery|poker-room|payday"
+LISTED = "ads?|adult|casino|bets?|pills?|spam|porn|track|tracker|viagra|lottery|poker-room|payday"
 FEATURES = [
     "n_chars", "host_chars", "host_labels", "host_hyphens", "depth", "digit_ratio", "other_ratio",
     "entropy", "n_params", "has_fragment", "has_extension", "long_label", "suffix_share", "suffix_log_n", "domain_share", "domain_log_n",
