@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from functools import reduce
+from itertools import combinations, permutations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,9 +82,38 @@ def rank_mask(ranks: Column) -> Column:
     return let(mask, lambda m: m.bitwiseOR(F.shiftright(m, 13).bitwiseAND(F.lit(2))))
 
 
-def straight_in(mask: Column) -> Column:
-    """Whether five bits in a row are set."""
-    return mask.bitwiseAND(F.shiftright(mask, 1)).bitwiseAND(F.shiftright(mask, 2)).bitwiseAND(F.shiftright(mask, 3)).bitwiseAND(F.shiftright(mask, 4)) != 0
+def card_mask(cards: Column) -> Column:
+    """52 bits, 13 for each suit; the bit of a card is set if it is there."""
+    index = lambda c: (F.instr(F.lit(SUITS), suit_of(c)) - 1) * 13 + F.instr(F.lit(RANKS), F.substring(c, 1, 1)) - 1
+    return F.aggregate(cards, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), index(c))))
+
+
+def suit_masks(mask: Column) -> list[Column]:
+    """The 13 rank bits of each suit, from the two up to the ace."""
+    return [F.shiftright(mask, 13 * k).bitwiseAND(F.lit((1 << 13) - 1)) for k in range(4)]
+
+
+def ranks_of_suits(suits: list[Column], n: int) -> Column:
+    """Rank bits that ``n`` of the suits have at least."""
+    out = None
+    for some in combinations(suits, n):
+        both = some[0]
+        for other in some[1:]:
+            both = both.bitwiseAND(other)
+        out = both if out is None else out.bitwiseOR(both)
+    return out
+
+
+def straight_in(ranks: Column) -> Column:
+    """Whether five ranks in a row are set; the ace also stands below the two."""
+    low = F.shiftleft(ranks, 1).bitwiseOR(F.shiftright(ranks, 12))
+    both = low.bitwiseAND(F.shiftright(low, 1))
+    return both.bitwiseAND(F.shiftright(both, 2)).bitwiseAND(F.shiftright(low, 4)) != 0
+
+
+def top_rank(ranks: Column) -> Column:
+    """Highest rank set, 0 for the two; 0 if none is."""
+    return F.length(F.bin(ranks)) - 1
 
 
 def three_near(mask: Column) -> Column:
@@ -105,54 +135,88 @@ def board_features(board: Column) -> Column:
 
 
 def draw_features(hole: Column, board: Column) -> Column:
-    """Struct: flush_draw, backdoor_flush, open_ender, gutshot, combo_draw, outs; a made hand of the kind is no draw."""
-    cards = F.concat(hole, board)
-    live = F.size(board) < 5
+    """Struct: flush_draw, backdoor_flush, open_ender, gutshot, combo_draw, ppot, npot, outs.
 
-    def completing(mask: Column) -> Column:
-        total = F.lit(0)
-        for r in range(2, 15):
-            bits = (1 << r) | (2 if r == 14 else 0)
-            total = total + (F.getbit(mask, F.lit(r)) == 0).cast("int") * straight_in(mask.bitwiseOR(F.lit(bits))).cast("int")
-        return F.when(straight_in(mask) | ~live, 0).otherwise(total)
+    Nothing is a draw before the flop or on the river. Four of a suit or more with a hole
+    card among them draw to a flush; an open-ender is four ranks in a row with both ends
+    free and in range, a gutshot any other four within five (wheels included). Outs: nine
+    for the flush, eight or four for the straight; ppot is their share of unseen cards.
+    """
+    live = F.size(board).between(3, 4)
 
     def described(x: Column) -> Column:
-        flush, ways = live & (x["suits"] == 4), x["ways"]
-        outs = F.when(flush, 9).otherwise(0) + 4 * ways - F.when(flush, ways).otherwise(0)
+        own, shared = suit_masks(x["hole"]), suit_masks(x["board"])
+        counts = [(F.bit_count(h), F.bit_count(b)) for h, b in zip(own, shared)]
+        any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+        all_ranks = ranks_of_suits(suit_masks(x["hole"].bitwiseOR(x["board"])), 1)
+        flush = any_of([(h + b >= 4) & (h >= 1) & (b < 5) for h, b in counts])
+        backdoor = (F.size(board) == 3) & any_of([(h == 2) & (b == 1) for h, b in counts])
+        return F.struct(flush.alias("flush"), backdoor.alias("backdoor"), all_ranks.alias("ranks"))
+
+    def straights(x: Column) -> Column:
+        any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+        window = lambda k, bits: F.shiftright(x["ranks"], k).bitwiseAND(F.lit(bits))
+        ender = any_of([window(k, 63) == 30 for k in range(8)])
+        within = any_of([F.bit_count(window(k, 31)) == 4 for k in range(9)])
+        wheel = any_of([x["ranks"].bitwiseAND(F.lit(bits)) == bits for bits in ((1 << 12) | 7, (1 << 12) | 11)])
+        return F.struct((live & x["flush"]).alias("flush"), (live & x["backdoor"]).alias("backdoor"), (live & ender).alias("ender"), (live & ~ender & (within | wheel)).alias("gut"))
+
+    def counted(x: Column) -> Column:
+        outs = F.when(x["flush"], 9).otherwise(0) + F.when(x["ender"], 8).when(x["gut"], 4).otherwise(0)
         return F.struct(
-            flush.alias("flush_draw"), ((F.size(board) == 3) & (x["suits"] == 3)).alias("backdoor_flush"), (ways >= 2).alias("open_ender"), (ways == 1).alias("gutshot"),
-            (flush & (ways > 0)).alias("combo_draw"), outs.alias("outs"),
+            x["flush"].alias("flush_draw"), x["backdoor"].alias("backdoor_flush"), x["ender"].alias("open_ender"), x["gut"].alias("gutshot"),
+            (x["flush"] & (x["ender"] | x["gut"])).alias("combo_draw"), (outs / (F.lit(50) - F.size(board))).alias("ppot"), F.lit(0.0).alias("npot"), outs.alias("outs"),
         )
 
-    ways = let(rank_mask(F.transform(cards, rank_of)), completing)
-    return let(F.struct(_most(F.transform(cards, suit_of)).alias("suits"), ways.alias("ways")), described)
+    return let(let(let(F.struct(card_mask(hole).alias("hole"), card_mask(board).alias("board")), described), straights), counted)
+
+
+def _class_of(x: Column) -> Column:
+    """Hand class of a struct of rank bits: s0..s3 by suit, and those in one to four suits."""
+    suits = [x[f"s{k}"] for k in range(4)]
+    return (
+        F.when(reduce(lambda a, b: a | b, [straight_in(s) for s in suits]), 8).when(x["four"] != 0, 7).when((x["three"] != 0) & (F.bit_count(x["two"]) > 1), 6)
+        .when(reduce(lambda a, b: a | b, [F.bit_count(s) >= 5 for s in suits]), 5).when(straight_in(x["one"]), 4)
+        .when(x["three"] != 0, 3).when(F.bit_count(x["two"]) > 1, 2).when(x["two"] != 0, 1).otherwise(0)
+    )
+
+
+def _rank_bits(mask: Column) -> Column:
+    suits = suit_masks(mask)
+    return F.struct(*[s.alias(f"s{k}") for k, s in enumerate(suits)], *[ranks_of_suits(suits, n).alias(name) for n, name in enumerate(("one", "two", "three", "four"), 1)])
 
 
 def made_hand(hole: Column, board: Column) -> Column:
     """Class of the best five of up to seven cards: 0 high card, 1 pair, ... 8 straight flush."""
-    cards = F.concat(hole, board)
-    ranks = F.transform(cards, rank_of)
-    counts = F.array(*[F.size(F.filter(ranks, _equals(r))) for r in range(2, 15)])
-    masks = F.array(*[F.struct(F.size(own).alias("n"), rank_mask(own).alias("m")) for own in (F.transform(F.filter(cards, _suited(s)), rank_of) for s in SUITS)])
+    return let(let(card_mask(F.concat(hole, board)), _rank_bits), _class_of)
 
-    def described(x: Column) -> Column:
-        of = lambda n: F.size(F.filter(x["counts"], lambda c: c >= n))
-        flush = F.exists(x["masks"], lambda s: s["n"] >= 5)
-        both = F.exists(x["masks"], lambda s: straight_in(s["m"]))
-        return (
-            F.when(both, 8).when(of(4) > 0, 7).when((of(3) > 0) & (of(2) > 1), 6).when(flush, 5).when(straight_in(x["all"]), 4)
-            .when(of(3) > 0, 3).when(of(2) > 1, 2).when(of(2) > 0, 1).otherwise(0)
-        )
 
-    return let(F.struct(counts.alias("counts"), masks.alias("masks"), rank_mask(ranks).alias("all")), described)
+def made_hand_features(hole: Column, board: Column) -> Column:
+    """Struct: rank_category, pair_rank, kicker, is_set, top_pair, overpair; all 0 under three board cards.
 
+    Ranks count from 0 (the two). pair_rank is that of a pair, of three of a kind, or of a
+    full house's three; is_set: both hole cards are among the three.
+    """
 
-def _equals(rank: int):
-    return lambda r: r == rank
+    def rated(x: Column) -> Column:
+        cls = F.when(x["n"] >= 3, _class_of(x["all"])).otherwise(0)
+        return F.struct(cls.alias("cls"), x["all"].alias("all"), x["hole"].alias("hole"), top_rank(x["board"]).alias("top"))
 
+    def described(x: Column) -> Column:
+        cls, three = x["cls"], top_rank(x["all"]["three"])
+        pair = top_rank(x["all"]["two"])
+        pocket = x["hole"]["two"] != 0
+        own = top_rank(x["hole"]["one"])
+        held = cls.isin(3, 6) & pocket & (own == three)
+        rank = F.when(cls == 1, pair).when(cls.isin(3, 6), three).otherwise(0)
+        kicker = F.when(cls == 1, top_rank(x["all"]["one"].bitwiseAND(F.bitwise_not(x["all"]["two"])))).otherwise(0)
+        return F.struct(
+            cls.alias("rank_category"), rank.alias("pair_rank"), kicker.alias("kicker"), held.alias("is_set"),
+            (cls.isin(1, 3) & (rank == x["top"])).alias("top_pair"), ((cls == 1) & pocket & (own > x["top"])).alias("overpair"),
+        )
 
-def _suited(suit: str):
-    return lambda c: suit_of(c) == suit
+    both = F.struct(let(card_mask(F.concat(hole, board)), _rank_bits).alias("all"), let(card_mask(hole), _rank_bits).alias("hole"), let(card_mask(board), lambda m: ranks_of_suits(suit_masks(m), 1)).alias("board"), F.size(board).alias("n"))
+    return let(let(both, rated), described)
 
 
 def class_features(cls: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +131,61 @@ def geometry(pot: Column, stack: Column, facing: Column) -> Column:
 
 def one_hot(c: Column, values: list[str]) -> Column:
     return F.array(*[(c == v).cast("double") for v in values])
+
+
+#: Seats in their order of the encodings, and what their place tells of a range.
+SEATS = ["UTG", "MP", "CO", "BTN", "SB", "BB"]
+TIGHTNESS = {"UTG": 1.0, "MP": 0.8, "CO": 0.6, "BTN": 0.4, "SB": 0.5, "BB": 0.5}
+BREADTH = {"UTG": 0.3, "MP": 0.4, "CO": 0.6, "BTN": 0.8, "SB": 0.5, "BB": 0.7}
+
+
+def within(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def log_share(x: Column, top: float) -> Column:
+    """log(1 + x) as a share of log(1 + top)."""
+    return within(F.log1p(x) / math.log1p(top))
+
+
+def pot_geometry(facing: Column, spr: Column, pot_bb: Column, to_bb: Column, stack_bb: Column, was_aggressor: Column) -> Column:
+    """Array of the later streets: pot odds, log stack-to-pot, commitment, log pot, facing size, facing at all, was the aggressor.
+
+    ``facing`` is a share of the pot; the other sizes are in big blinds.
+    """
+    odds = F.when(facing > 0, within(facing / (1 + facing), high=0.5)).otherwise(0.0)
+    total = stack_bb + to_bb
+    committed = F.when(total > 0, within(to_bb / total)).otherwise(0.0)
+    return F.array(odds, log_share(spr, 100), committed, log_share(pot_bb, 200), within(facing / 5), (facing > 0).cast("double"), was_aggressor.cast("double"))
+
+
+def preflop_geometry(facing: Column, spr: Column, pot_bb: Column) -> Column:
+    """Array of the first street: pot odds, log pot, log stack-to-pot."""
+    return F.array(F.when(facing > 0, facing / (1 + facing)).otherwise(0.0), log_share(pot_bb, 200), log_share(spr, 100))
+
+
+def hero_position(seat: Column, rel: Column, n_players: Column) -> Column:
+    """Array: one-hot seat (six), in position, players over six."""
+    return F.concat(one_hot(seat, SEATS), F.array((rel == "IP").cast("double"), within(n_players / 6)))
+
+
+def _by_seat(seat: Column, table: dict[str, float], other: float) -> Column:
+    return F.coalesce(*[F.when(seat == k, F.lit(v)) for k, v in table.items()], F.lit(other))
+
+
+def villain_position(villain: Column, hero: Column, aggressor: Column) -> Column:
+    """Array: one-hot seat (six), raised first, tightness, breadth, seats from the hero's scaled to [0, 1].
+
+    An unknown opponent has no seat, middling tightness and breadth, and the first seat's place.
+    """
+    raised = F.coalesce((aggressor != hero) & (aggressor == villain), F.lit(False)).cast("double")
+    place = lambda s: _by_seat(s, {k: float(n) for n, k in enumerate(SEATS)}, 0.0)
+    relative = within(((place(villain) - place(hero)) / 6 + 1) / 2)
+    seats = F.transform(one_hot(villain, SEATS), lambda x: F.coalesce(x, F.lit(0.0)))
+    return F.concat(seats, F.array(raised, _by_seat(villain, TIGHTNESS, 0.5), _by_seat(villain, BREADTH, 0.5), relative))
+
+
+def equity_block(deciles: Column, variance: Column, mean: Column, river: Column) -> Column:
+    """Array of twelve: nine deciles (the mean nine times on the river), variance over 0.25, mean, best case."""
+    nine = F.when(river, F.array_repeat(mean, 9)).otherwise(deciles)
+    return F.transform(F.concat(nine, F.array(F.least(variance, F.lit(1.0)) / 0.25, mean, deciles[8])), within)

@@ -91,6 +91,23 @@ def natural_order(df: DataFrame, id_col: str) -> DataFrame:
     return df.orderBy(F.regexp_replace(id_col, r"_dp\d+$", ""), F.when(number != "", number.cast("int")).asc_nulls_last(), id_col)
 
 
+def with_place(ordered: DataFrame, path: str) -> DataFrame:
+    """Rows of an ordered frame with their place from 1, without one task for all.
+
+    The frame is written below ``path`` once; a row's place is its number within its
+    partition after the rows of the partitions before it.
+    """
+    spark = ordered.sparkSession
+    marked = ordered.withColumn("_m", F.monotonically_increasing_id())
+    marked.write.parquet(path)
+    marked = spark.read.schema(marked.schema).parquet(path).withColumn("_p", F.shiftright("_m", 33))
+    counts = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    starts = counts.select("_p", before.alias("_s"))
+    place = F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return marked.join(F.broadcast(starts), "_p").withColumn("place", place).drop("_m", "_p", "_s")
+
+
 def activity(patches: DataFrame, matches: DataFrame, n: int = 10) -> DataFrame:
     """Patches and finished matches in one feed, newest first: kind, ref, ts, note."""
     left = patches.select(F.lit("patch").alias("kind"), F.col("patch_id").alias("ref"), "ts", F.col("source").alias("note"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from decilog.functions import cards as C
@@ -171,6 +173,32 @@ def dealt(spark, d):
     return df.where(F.size("cards") == 7).withColumns({"hole": F.slice("cards", 1, 2), "board": F.slice("cards", F.lit(3), F.greatest(F.col("street_no") + 2, F.lit(3)).cast("int"))})
 
 
+#: The dealt cards in SQL: a card is its number; c all seven, h the hole, b the board.
+DEALT = """g AS (SELECT *, c[1:2] AS h, c[3:(2 + greatest(street_no + 2, 3))] AS b FROM (SELECT hand_id, seq, street_no, list_transform(range(7), lambda k: (l_partkey * 7 + k * (l_suppkey % 7 + 4)) % 52) AS c FROM moves) WHERE len(list_distinct(c)) = 7)"""
+TURNS = ", ".join(str(list(p)) for p in permutations(range(4)))
+
+
+def form_sql(cards: str) -> str:
+    """Cards under the suit turn ``p`` from the highest, as one string."""
+    keys = f"list_sort(list_transform({cards}, lambda x: (12 - x % 13) * 4 + p[x // 13 + 1]))"
+    return f"array_to_string(list_transform({keys}, lambda y: substr('23456789TJQKA', 13 - y // 4, 1) || substr('cdhs', y % 4 + 1, 1)), '')"
+
+
+RUN = "len(list_filter(range(-1, 9), lambda lo: len(list_filter(range(lo, lo + 5), lambda q: list_contains({0}, (q + 13) % 13))) = 5)) > 0"
+RANKS_SQL = "list_distinct(list_transform({0}, lambda x: x % 13))"
+SUITED = "list_transform(list_filter({0}, lambda x: x // 13 = {1}), lambda x: x % 13)"
+OF_A_KIND = "len(list_filter(range(13), lambda r: len(list_filter({0}, lambda x: x % 13 = r)) >= {1}))"
+
+
+def class_sql(cards: str) -> str:
+    suits = [SUITED.format(cards, k) for k in range(4)]
+    return f"""CASE WHEN {' OR '.join(RUN.format(s) for s in suits)} THEN 8 WHEN {OF_A_KIND.format(cards, 4)} > 0 THEN 7 WHEN {OF_A_KIND.format(cards, 3)} > 0 AND {OF_A_KIND.format(cards, 2)} > 1 THEN 6
+ WHEN {' OR '.join(f'len({s}) >= 5' for s in suits)} THEN 5 WHEN {RUN.format(RANKS_SQL.format(cards))} THEN 4 WHEN {OF_A_KIND.format(cards, 3)} > 0 THEN 3 WHEN {OF_A_KIND.format(cards, 2)} > 1 THEN 2 WHEN {OF_A_KIND.format(cards, 2)} > 0 THEN 1 ELSE 0 END"""
+
+
+HIGHEST = "coalesce(list_max(list_filter(range(13), lambda r: len(list_filter({0}, lambda x: x % 13 = r)) {1})), 0)"
+
+
 @query(with_roles(f"""WITH c AS (SELECT hand_id, seq, {CARD.format(NUMBERS[0])} AS a, {CARD.format(NUMBERS[1])} AS b, (l_partkey * 7) % 52 % 13 AS x, ((l_partkey * 7 + l_suppkey % 51 + 1) % 52) % 13 AS y FROM moves)
 SELECT hand_id, seq, CASE WHEN x >= y THEN substr(a, 1, 1) || substr(b, 1, 1) ELSE substr(b, 1, 1) || substr(a, 1, 1) END || CASE WHEN x = y THEN '' WHEN substr(a, 2, 1) = substr(b, 2, 1) THEN 's' ELSE 'o' END AS cls FROM c"""))
 def f01_combo_169(spark, d):
@@ -178,12 +206,12 @@ def f01_combo_169(spark, d):
     return cut(moves(spark, d), C.combo_169(a, b).alias("cls"))
 
 
-@query()
+@query(with_roles(f"""WITH {DEALT}, f AS (SELECT hand_id, seq, min({form_sql('h')} || '|' || {form_sql('b')}) AS canonical FROM g, (SELECT unnest([{TURNS}]) AS p) GROUP BY hand_id, seq) SELECT canonical, count(*) AS n FROM f GROUP BY canonical"""))
 def f02_joint_canonical(spark, d):
     return dealt(spark, d).select(C.joint_canonical(F.col("hole"), F.col("board")).alias("canonical")).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(with_roles(f"""WITH {DEALT}, f AS (SELECT hand_id, seq, min({form_sql('b')}) AS board FROM g, (SELECT unnest([{TURNS}]) AS p) GROUP BY hand_id, seq) SELECT board, count(*) AS n FROM f GROUP BY board"""))
 def f03_canonical_board(spark, d):
     return dealt(spark, d).select(C.canonical_board(F.col("board")).alias("board")).groupBy("board").agg(F.count(F.lit(1)).alias("n"))
 
@@ -208,28 +236,78 @@ def a29_by_texture(spark, d):
     return M.by_texture(first, C.board_texture(F.col("board"))).select("texture", "n", F.round("bb", 3).alias("bb"))
 
 
-@query()
+@query(with_roles(f"""WITH {DEALT}, f AS (SELECT CAST(len(b) AS INTEGER) AS n_cards, {OF_A_KIND.format('b', 2)} > 0 AS paired, CAST(list_max(list_transform(range(4), lambda s: len(list_filter(b, lambda x: x // 13 = s)))) AS INTEGER) AS max_suit,
+ list_max(list_transform(b, lambda x: x % 13)) + 2 AS high, list_max(list_transform(b, lambda x: x % 13)) - list_min(list_transform(b, lambda x: x % 13)) AS span, len(list_filter(b, lambda x: x % 13 >= 8)) AS broadway,
+ len(list_filter(range(-1, 9), lambda lo: len(list_filter(range(lo, lo + 5), lambda q: list_contains({RANKS_SQL.format('b')}, (q + 13) % 13))) >= 3)) > 0 AS connected FROM g)
+SELECT n_cards, paired, max_suit, connected, count(*) AS n, round(avg(span), 6) AS span, round(avg(high), 6) AS high, round(avg(broadway), 6) AS broadway FROM f GROUP BY n_cards, paired, max_suit, connected"""))
 def f05_board_features(spark, d):
-    return dealt(spark, d).select(C.board_features(F.col("board")).alias("f")).select("f.*").groupBy("n_cards", "paired", "max_suit", "connected").agg(F.count(F.lit(1)).alias("n"), F.avg("span").alias("span"))
+    f = dealt(spark, d).select(C.board_features(F.col("board")).alias("f")).select("f.*").groupBy("n_cards", "paired", "max_suit", "connected")
+    return f.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(to) for c, to in (("span", "span"), ("high_rank", "high"), ("broadway", "broadway"))])
 
 
-@query()
+ALL_RANKS = RANKS_SQL.format("list_concat(h, b)")
+
+
+@query(with_roles(f"""WITH {DEALT}, s AS (SELECT hand_id, seq, len(b) AS n, {' OR '.join(f"(len({SUITED.format('h', k)}) + len({SUITED.format('b', k)}) >= 4 AND len({SUITED.format('h', k)}) >= 1)" for k in range(4))} AS fl, {' OR '.join(f"(len({SUITED.format('h', k)}) = 2 AND len({SUITED.format('b', k)}) = 1)" for k in range(4))} AS bd,
+ len(list_filter(range(1, 9), lambda r: len(list_filter(range(r, r + 4), lambda q: list_contains({ALL_RANKS}, q))) = 4 AND NOT list_contains({ALL_RANKS}, r - 1) AND NOT list_contains({ALL_RANKS}, r + 4))) > 0 AS oe,
+ len(list_filter(range(-1, 9), lambda lo: len(list_filter(range(lo, lo + 5), lambda q: list_contains({ALL_RANKS}, (q + 13) % 13))) = 4 AND (lo >= 0 OR list_contains({ALL_RANKS}, 12) AND list_contains({ALL_RANKS}, 0) AND list_contains({ALL_RANKS}, 1)))) > 0 AS wi FROM g),
+t AS (SELECT hand_id, seq, n, fl AND n < 5 AS fl, bd AND n = 3 AS bd, oe AND n < 5 AS oe, wi AND NOT oe AND n < 5 AS gut FROM s), o AS (SELECT *, CASE WHEN fl THEN 9 ELSE 0 END + CASE WHEN oe THEN 8 WHEN gut THEN 4 ELSE 0 END AS outs FROM t)
+SELECT hand_id, seq, fl AS flush_draw, bd AS backdoor_flush, oe AS open_ender, gut AS gutshot, fl AND (oe OR gut) AS combo_draw, round(outs / CAST(50 - n AS DOUBLE), 6) AS ppot, CAST(0 AS DOUBLE) AS npot, outs FROM o"""))
 def f06_draw_features(spark, d):
-    return cut(dealt(spark, d), C.draw_features(F.col("hole"), F.col("board")).alias("f")).select("hand_id", "seq", "f.*")
+    return cut(dealt(spark, d), C.draw_features(F.col("hole"), F.col("board")).alias("f")).select("hand_id", "seq", "f.*").withColumn("ppot", F.round("ppot", 6))
 
 
-@query()
+@query(with_roles(f"""WITH {DEALT} SELECT hand_id, seq, {class_sql('list_concat(h, b)')} AS made FROM g"""))
 def f07_made_hand(spark, d):
     return cut(dealt(spark, d), C.made_hand(F.col("hole"), F.col("board")).alias("made"))
 
 
-@query()
+@query(with_roles(f"""WITH {DEALT}, a AS (SELECT hand_id, seq, list_concat(h, b) AS a, h, b, {class_sql('list_concat(h, b)')} AS cls FROM g),
+r AS (SELECT hand_id, seq, cls, CASE WHEN cls = 1 THEN {HIGHEST.format('a', '>= 2')} WHEN cls IN (3, 6) THEN {HIGHEST.format('a', '>= 3')} ELSE 0 END AS pair_rank, CASE WHEN cls = 1 THEN {HIGHEST.format('a', '= 1')} ELSE 0 END AS kicker,
+ list_max(list_transform(b, lambda x: x % 13)) AS top, h[1] % 13 = h[2] % 13 AS pocket, h[1] % 13 AS own FROM a)
+SELECT hand_id, seq, cls AS rank_category, CAST(pair_rank AS INTEGER) AS pair_rank, CAST(kicker AS INTEGER) AS kicker, cls IN (3, 6) AND pocket AND own = pair_rank AS is_set, cls IN (1, 3) AND pair_rank = top AS top_pair, cls = 1 AND pocket AND own > top AS overpair FROM r"""))
+def f07_made_hand_features(spark, d):
+    return cut(dealt(spark, d), C.made_hand_features(F.col("hole"), F.col("board")).alias("f")).select("hand_id", "seq", "f.*")
+
+
+@query(with_roles(f"""WITH c AS (SELECT (l_partkey * 7) % 52 AS a, (l_partkey * 7 + l_suppkey % 51 + 1) % 52 AS b FROM moves), r AS (SELECT greatest(a % 13, b % 13) AS x, least(a % 13, b % 13) AS y, a // 13 = b // 13 AS s, count(*) AS n FROM c GROUP BY 1, 2, 3)
+SELECT substr('23456789TJQKA', x + 1, 1) || substr('23456789TJQKA', y + 1, 1) || CASE WHEN x = y THEN '' WHEN s THEN 's' ELSE 'o' END AS cls, CAST(sum(n) AS BIGINT) AS n, CASE WHEN x = y THEN 6 WHEN s THEN 4 ELSE 12 END AS combos, x = y AS pair, s AND x <> y AS suited, CAST(greatest(x - y - 1, 0) AS BIGINT) AS gap, x >= 8 AND y >= 8 AS broadway, CAST(x + 2 AS BIGINT) AS high FROM (SELECT x, y, s AND x <> y AS s, sum(n) AS n FROM r GROUP BY 1, 2, 3) GROUP BY x, y, s"""))
 def f11_class_features(spark, d):
     cls = C.combo_169(C.card(F.expr(NUMBERS[0])), C.card(F.expr(NUMBERS[1])))
     df = moves(spark, d).select(cls.alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     return df.select("cls", "n", C.class_features(F.col("cls")).alias("f"), C.class_combos(F.col("cls")).alias("combos")).select("cls", "n", "combos", "f.*")
 
 
+GEO = f"""WITH a AS (SELECT hand_id, seq, actor, {AGG} AS aggressor, stack_after / CAST(pot_before AS DOUBLE) AS spr, pot_before / 10.0 AS pot_bb, coalesce(facing_size / CAST(pot_before AS DOUBLE), 0) AS f, amount / 10.0 AS to_bb, stack_after / 10.0 AS stack_bb FROM ({POT}))"""
+
+
+@query(with_roles(GEO + """SELECT hand_id, seq, round(CASE WHEN f > 0 THEN least(f / (1 + f), 0.5) ELSE 0 END, 6) AS pot_odds, round(least(ln(1 + spr) / ln(101), 1), 6) AS log_spr, round(CASE WHEN stack_bb + to_bb > 0 THEN to_bb / (stack_bb + to_bb) ELSE 0 END, 6) AS commitment,
+ round(least(ln(1 + pot_bb) / ln(201), 1), 6) AS log_pot, round(least(f / 5, 1), 6) AS facing_frac, CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END AS facing, CASE WHEN actor = aggressor THEN 1.0 ELSE 0.0 END AS was_aggressor FROM a"""))
+def f08_geometry(spark, d):
+    """The seven entries of the later streets; the first street has three of them."""
+    df = E.with_aggressor(ratios(spark, d))
+    vec = X.pot_geometry(F.coalesce("facing_frac", F.lit(0.0)), F.col("stack_after") / F.col("pot_before"), F.col("pot_before") / 10, F.col("amount") / 10, F.col("stack_after") / 10, F.coalesce(F.col("actor") == F.col("aggressor"), F.lit(False)))
+    names = ["pot_odds", "log_spr", "commitment", "log_pot", "facing_frac", "facing", "was_aggressor"]
+    return cut(df, vec.alias("v")).select("hand_id", "seq", *[F.round(F.col("v")[k], 6).alias(n) for k, n in enumerate(names)])
+
+
+SEATS_SQL = "['UTG', 'MP', 'CO', 'BTN', 'SB', 'BB']"
+
+
+@query(with_roles(f"""WITH f AS ({FACING}), a AS (SELECT f.*, {AGG} AS aggressor FROM f), v AS (SELECT *, coalesce(facing_pos, aggressor) AS villain FROM a)
+SELECT hand_id, seq, list_position({SEATS_SQL}, actor) AS hero_slot, coalesce(list_position({SEATS_SQL}, villain), 0) AS villain_slot, CASE WHEN aggressor <> actor AND aggressor = villain THEN 1.0 ELSE 0.0 END AS villain_raised,
+ CAST(CASE villain WHEN 'UTG' THEN 1.0 WHEN 'MP' THEN 0.8 WHEN 'CO' THEN 0.6 WHEN 'BTN' THEN 0.4 ELSE 0.5 END AS DOUBLE) AS tightness, CAST(CASE villain WHEN 'UTG' THEN 0.3 WHEN 'MP' THEN 0.4 WHEN 'CO' THEN 0.6 WHEN 'BTN' THEN 0.8 WHEN 'BB' THEN 0.7 ELSE 0.5 END AS DOUBLE) AS breadth,
+ round(least(greatest(((coalesce(list_position({SEATS_SQL}, villain), 1) - list_position({SEATS_SQL}, actor)) / 6.0 + 1) / 2, 0), 1), 6) AS relative FROM v"""))
+def f10_position_features(spark, d):
+    """Slots that are set in the two one-hot blocks, and the entries behind the opponent's."""
+    df = E.with_aggressor(E.with_facing(moves(spark, d)))
+    hero = X.one_hot(F.col("actor"), X.SEATS)
+    villain = X.villain_position(F.coalesce("facing_pos", "aggressor"), F.col("actor"), F.col("aggressor"))
+    v = cut(df, hero.alias("h"), villain.alias("v"))
+    rest = [F.round(F.col("v")[6 + k], 6).alias(n) for k, n in enumerate(["villain_raised", "tightness", "breadth", "relative"])]
+    return v.select("hand_id", "seq", F.array_position("h", 1.0).alias("hero_slot"), F.array_position(F.slice("v", 1, 6), 1.0).alias("villain_slot"), *rest)
+
+
 @query()
 def f14_feature_vector(spark, d):
     df = E.with_active_players(ratios(spark, d))
@@ -306,7 +384,9 @@ def f26_range_notation(spark, d):
     return X.range_notation(df, "actor", "action", "w")
 
 
-@query()
+@query(with_roles(f"""WITH a AS (SELECT *, {AGG} AS opener, CASE WHEN street = 'preflop' THEN coalesce(sum({RAISED}) OVER ({W}), 0) ELSE sum({RAISED}) OVER (PARTITION BY hand_id) END AS raises FROM moves),
+t AS (SELECT *, CASE WHEN raises = 0 THEN 'limp' WHEN raises = 1 THEN 'srp' WHEN raises = 2 THEN '3bet' WHEN raises = 3 THEN '4bet' ELSE '5bet+' END AS pot FROM a)
+SELECT CASE WHEN pot = 'limp' THEN actor || '_limp' WHEN pot = 'srp' THEN CASE WHEN actor = opener THEN actor || '_open' ELSE actor || '_call_vs_' || coalesce(opener, 'BTN') END WHEN actor = opener THEN actor || '_call_' || pot ELSE actor || '_' || pot END AS key, count(*) AS n FROM t GROUP BY 1"""))
 def f27_palette_key(spark, d):
     df = E.with_pot_type(E.with_aggressor(moves(spark, d)))
     key = X.palette_key(F.col("pot_type"), F.lit("BTN"), F.col("actor"), F.col("aggressor"))

@@ -15,7 +15,7 @@ from decilog.operators import metrics as M
 from decilog.operators import rank as R
 from decilog.operators import stats as S
 from decilog.plans.bindings import role, with_roles
-from decilog.plans.decisions import NUMBERS, ratios
+from decilog.plans.decisions import DEALT, NUMBERS, TURNS, form_sql, ratios, snap_sql
 from decilog.plans.registry import query
 from decilog.plans.stats import r4
 from decilog.plans.vectors import d5
@@ -95,11 +95,6 @@ def f12_blockers(spark, d):
     return G.with_blockers(spots, "hand_id", "cards", combos, "actor").select("hand_id", d5("blocked"))
 
 
-@query()
-def f17_scenario_keys(spark, d):
-    return G.scenario_keys(G.preflop_roles(role(spark, d, "moves")), "BTN").groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
-
-
 ROLES_SQL = """WITH f AS (SELECT *, coalesce(sum(CASE WHEN action = 'raise' THEN 1 ELSE 0 END) OVER w, 0) AS raises, last_value(CASE WHEN action = 'raise' THEN actor END IGNORE NULLS) OVER w AS raiser FROM moves WHERE street = 'preflop' WINDOW w AS (PARTITION BY hand_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 r AS (SELECT *, CASE WHEN action = 'raise' THEN CASE WHEN raises = 0 THEN 'pfr' WHEN raises = 1 THEN '3bettor' WHEN raises = 2 THEN '4bettor' ELSE '5bettor' END WHEN action = 'call' THEN CASE WHEN raises = 0 THEN 'limper' WHEN raises = 1 THEN 'caller' ELSE 'cold_caller' END WHEN action = 'check' AND raises = 0 THEN 'checker' END AS role FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY hand_id, actor ORDER BY CASE WHEN action = 'raise' THEN 2 WHEN role IS NOT NULL THEN 1 ELSE 0 END DESC, seq DESC) AS p FROM r)
@@ -111,6 +106,14 @@ def f28_preflop_roles(spark, d):
     return G.preflop_roles(role(spark, d, "moves"))
 
 
+SCENARIO_SQL = f"""ro AS ({ROLES_SQL}), sc AS (SELECT hand_id, coalesce(string_agg(concat_ws(':', actor, role, target), '+' ORDER BY concat_ws(':', actor, role, target)) FILTER (WHERE actor <> 'BTN'), 'vNA') AS scenario FROM ro GROUP BY hand_id)"""
+
+
+@query(with_roles(f"WITH {SCENARIO_SQL} SELECT scenario, count(*) AS n FROM sc GROUP BY scenario"))
+def f17_scenario_keys(spark, d):
+    return G.scenario_keys(G.preflop_roles(role(spark, d, "moves")), "BTN").groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
+
+
 SOLVE = """SELECT hand_id, seq, CASE action WHEN 'bet' THEN concat('BET ', CAST(amount AS VARCHAR(9))) WHEN 'raise' THEN concat('RAISE ', CAST(amount + 5 AS VARCHAR(9))) WHEN 'check' THEN 'CHECK' WHEN 'fold' THEN ' fold' ELSE 'call' END AS label,
  CAST(amount AS DOUBLE) AS freq, 40.0 AS pot, CAST(seq % 3 AS DOUBLE) AS to_call, CAST(seq % 2 AS DOUBLE) AS villain_total FROM moves"""
 
@@ -121,7 +124,10 @@ def f21_unread_solver_labels(spark, d):
     return bad.agg(F.count(F.lit(1)).alias("unread"))
 
 
-@query()
+@query(with_roles(f"""WITH s AS ({SOLVE}), v AS (SELECT *, upper(split_part(trim(label), ' ', 1)) AS verb, TRY_CAST(split_part(trim(label), ' ', 2) AS DOUBLE) AS chips FROM s),
+m AS (SELECT hand_id, freq, CASE WHEN verb IN ('CHECK', 'FOLD', 'CALL') THEN lower(verb) WHEN verb = 'BET' AND chips > 0 THEN CASE WHEN chips / pot >= 1.8 THEN 'bet_overbet' ELSE {snap_sql('chips / pot', X.BETS)} END
+ WHEN verb = 'RAISE' AND chips > 0 AND to_call > 0 THEN {snap_sql('((chips - CASE WHEN villain_total > 0 THEN villain_total ELSE to_call END) / to_call)', X.RAISES)} END AS action FROM v), a AS (SELECT hand_id, action, sum(freq) AS p FROM m WHERE action IS NOT NULL GROUP BY hand_id, action)
+SELECT hand_id, action, round(p / sum(p) OVER (PARTITION BY hand_id), 5) AS p FROM a"""))
 def f21_map_solver_actions(spark, d):
     good = G.map_solver_actions(spark.sql(SOLVE.replace("FROM moves", "FROM {moves}"), moves=role(spark, d, "moves")), "hand_id")[0]
     return good.select("hand_id", "action", d5("p"))
@@ -134,13 +140,15 @@ def f25_facing_size(spark, d):
     return line.select("hand_id", F.round(X.facing_size(F.col("line"), F.lit(40.0)), 5).alias("facing"))
 
 
-@query()
+@query(with_roles(f"""WITH {SCENARIO_SQL}, b AS (SELECT hand_id, list_transform(range(2, 5), lambda k: (l_partkey * 7 + k * (l_suppkey % 7 + 4)) % 52) AS b, CAST(round(stack_after / 1000) AS BIGINT) AS stack FROM moves WHERE seq = 0),
+f AS (SELECT hand_id, any_value(stack) AS stack, min({form_sql('b')}) AS flop FROM b, (SELECT unnest([{TURNS}]) AS p) GROUP BY hand_id), s AS (SELECT flop, stack, scenario, f.hand_id FROM f JOIN sc ON sc.hand_id = f.hand_id), c AS (SELECT *, count(*) OVER w AS n, (row_number() OVER (w ORDER BY hand_id) - 1) // 1000 AS chunk FROM s WINDOW w AS (PARTITION BY flop, stack, scenario))
+SELECT flop, stack, scenario, n, chunk, string_agg(hand_id, ',' ORDER BY hand_id) AS items FROM c GROUP BY flop, stack, scenario, n, chunk"""))
 def f29_flop_spots(spark, d):
     """Work grouped by canonical flop and role configuration."""
     flop = F.array(*[C.card(F.expr(f"((l_partkey * 7 + {k} * (l_suppkey % 7 + 4)) % 52)")) for k in (2, 3, 4)])
     first = role(spark, d, "moves").where("seq = 0").select("hand_id", C.canonical_board(flop).alias("flop"), F.round(F.col("stack_after") / 1000).cast("long").alias("stack"))
     keyed = first.join(G.scenario_keys(G.preflop_roles(role(spark, d, "moves")), "BTN"), "hand_id")
-    return K.group_spots(keyed, ["flop", "stack", "scenario"], "hand_id").select("flop", "stack", "scenario", "n", "chunk", "items")
+    return K.group_spots(keyed, ["flop", "stack", "scenario"], "hand_id").select("flop", "stack", "scenario", "n", "chunk", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
 @query(with_roles("SELECT actor, street, round(avg(CASE WHEN actor IN ('CO', 'BTN') THEN 1.0 ELSE 0.0 END), 5) AS late, round(avg(list_position(['SB', 'BB', 'UTG', 'MP', 'CO', 'BTN'], actor) / 6.0), 5) AS ordinal, count(*) AS n FROM moves GROUP BY actor, street"))
@@ -151,11 +159,12 @@ def f30_position_blocks(spark, d):
     return role(spark, d, "moves").groupBy("actor", "street").agg(F.round(F.avg(late), 5).alias("late"), F.round(F.avg(ordinal), 5).alias("ordinal"), F.count(F.lit(1)).alias("n"))
 
 
-@query(with_roles("SELECT a.id AS id, count(*) AS n FROM corpus a JOIN corpus b ON a.part = b.part AND a.action = b.action WHERE a.id % 5 = 0 GROUP BY a.id"))
+@query(with_roles("SELECT id, count(*) OVER (PARTITION BY part, action) AS n FROM corpus"))
 def p01_same_partition(spark, d):
+    """Rows of each row's partition: counted by key first, so the join is linear."""
     c = role(spark, d, "corpus").select("id", "part", "action")
-    met = c.where("id % 5 = 0").alias("l").join(c.alias("r"), P.same_partition("l", "r", ["part", "action"]))
-    return met.groupBy(F.col("l.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = c.groupBy("part", "action").agg(F.count(F.lit(1)).alias("n"))
+    return c.alias("l").join(counts.alias("r"), P.same_partition("l", "r", ["part", "action"])).select("l.id", "r.n")
 
 
 NODE = "SELECT cluster_key, arg_max(locked, created_at) AS locked, arg_max(source, created_at) AS source FROM nodes WHERE active GROUP BY cluster_key"

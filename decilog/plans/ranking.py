@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from decilog.operators import rank as R
 from decilog.plans.bindings import role, with_roles
 from decilog.plans.registry import query
+from decilog.sources.io import work_dir
 from decilog.plans.stats import BYC, by_cluster, r4
 
 BUCKET = "CASE WHEN CAST(substr(cluster_key, 2) AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END"
@@ -61,16 +62,15 @@ def w07_solve_priority(spark, d):
     return got.select("obs_id", "in_cluster", *r4("priority"))
 
 
-@query(with_roles("""SELECT p.patch_id, p.cluster_key, (SELECT max((q.ts, q.patch_id)) FROM patches q WHERE q.cluster_key = p.cluster_key AND q.ts < p.ts)[2] AS prev_patch FROM patches p WHERE p.cluster_key IN ('c1', 'c2')"""))
+@query(with_roles("""SELECT patch_id, cluster_key, arg_max(patch_id, (ts, patch_id)) OVER (PARTITION BY cluster_key ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 SECOND PRECEDING) AS prev_patch FROM patches"""))
 def w08_previous_patch(spark, d):
-    return R.with_prev(role(spark, d, "patches").where("cluster_key IN ('c1', 'c2')")).select("patch_id", "cluster_key", "prev_patch")
+    return R.with_prev(role(spark, d, "patches")).select("patch_id", "cluster_key", "prev_patch")
 
 
-@query(with_roles("SELECT hand_id || '_dp' || seq AS id, CAST(row_number() OVER (ORDER BY hand_id, seq) AS BIGINT) AS place FROM (SELECT CAST(hand_id AS VARCHAR) AS hand_id, seq FROM moves) ORDER BY place LIMIT 500"))
+@query(with_roles("SELECT hand_id || '_dp' || seq AS id, CAST(row_number() OVER (ORDER BY CAST(hand_id AS VARCHAR), seq) AS BIGINT) AS place FROM moves"))
 def w09_natural_order(spark, d):
     ids = role(spark, d, "moves").select(F.concat("hand_id", F.lit("_dp"), "seq").alias("id"))
-    top = R.natural_order(ids, "id").limit(500)
-    return top.withColumn("place", F.expr("row_number() OVER (ORDER BY split_part(id, '_dp', 1), CAST(split_part(id, '_dp', 2) AS INT))").cast("long"))
+    return R.with_place(R.natural_order(ids, "id"), work_dir(spark, "ordered"))
 
 
 @query(with_roles("""SELECT kind, ref, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, note FROM (SELECT 'patch' AS kind, patch_id AS ref, ts, source AS note FROM patches UNION ALL SELECT 'match', hand_id, ts, opponent FROM payoffs WHERE status = 'completed') ORDER BY ts DESC, kind, ref LIMIT 10"""))

@@ -43,11 +43,17 @@ def s17_retention(spark, d):
     return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def targeted(patches, corpus):
+    """Patches with the id of the corpus row that they change."""
+    size = corpus.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return patches.join(F.broadcast(size), how="cross").withColumn("id", F.col("patch_id") % F.col("_n")).drop("_n")
+
+
 def requests(spark, d):
-    """Patches of the corpus: the newest action shares of a cluster, for the vector with the patch's number."""
+    """Every patch as a request: the action shares of its cluster, for the vector of its number modulo the corpus."""
     f = S.action_freq(role(spark, d, "obs"), ["cluster_key"]).groupBy("cluster_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "p")))).alias("dist"))
-    p = role(spark, d, "patches").where("patch_id < 1000").select("patch_id", "cluster_key", (F.col("patch_id") % 300).alias("id"))
     vec = role(spark, d, "corpus").select("id", "vec")
+    p = targeted(role(spark, d, "patches"), vec).select("patch_id", "cluster_key", "id")
     return p.join(f, "cluster_key").join(vec, "id")
 
 
@@ -57,19 +63,21 @@ def patched(spark, d):
 
 
 @query(with_roles("""WITH f AS (SELECT cluster_key, arg_min(action, (-n, action)) AS best FROM (SELECT cluster_key, action, count(*) AS n FROM obs GROUP BY cluster_key, action) GROUP BY cluster_key),
-r AS (SELECT patch_id % 300 AS id, arg_max(best, patch_id) AS best FROM patches p JOIN f ON f.cluster_key = p.cluster_key WHERE patch_id < 1000 GROUP BY 1)
+r AS (SELECT patch_id % (SELECT count(*) FROM corpus) AS id, arg_max(best, patch_id) AS best FROM patches p JOIN f ON f.cluster_key = p.cluster_key GROUP BY 1)
 SELECT c.id, coalesce(r.best, c.action) AS action, CASE WHEN r.id IS NOT NULL THEN 900 ELSE added_at END AS added_at, CASE WHEN r.id IS NOT NULL THEN 0 ELSE removed_at END AS removed_at, r.id IS NOT NULL OR active AS active FROM corpus c LEFT JOIN r ON r.id = c.id"""))
 def c01_apply_patches(spark, d):
     return patched(spark, d)[0].select("id", "action", "added_at", "removed_at", "active")
 
 
-ROLL = """q AS (SELECT patch_id FROM patches WHERE patch_id % 5 = 0 AND patch_id < 900 UNION SELECT patch_id + 10000000 FROM patches WHERE patch_id < 20)"""
+#: Manual patches are taken back; negative customer numbers are patches that no one made.
+ROLL = """q AS (SELECT patch_id FROM patches WHERE source = 'manual' UNION SELECT -created_at - 1 FROM nodes)"""
 
 
 def rolled(spark, d):
-    p = role(spark, d, "patches").withColumn("id", F.col("patch_id") % 300)
-    low = p.where("patch_id % 5 = 0 AND patch_id < 900").select("patch_id").unionByName(p.where("patch_id < 20").select((F.col("patch_id") + 10000000).alias("patch_id")))
-    return K.rollback(p, role(spark, d, "nodes"), role(spark, d, "corpus"), low, 950)
+    corpus, nodes = role(spark, d, "corpus"), role(spark, d, "nodes")
+    p = targeted(role(spark, d, "patches"), corpus)
+    asked = p.where("source = 'manual'").select("patch_id").unionByName(nodes.select((-F.col("created_at") - 1).alias("patch_id")))
+    return K.rollback(p, nodes, corpus, asked, 950)
 
 
 @query(with_roles(f"""WITH {ROLL} SELECT q.patch_id, CASE WHEN p.status IS NULL THEN 'unknown' ELSE 'already rolled back' END AS reason FROM q LEFT JOIN patches p ON p.patch_id = q.patch_id WHERE p.status IS NULL OR p.status = 'rolled_back'"""))
@@ -77,7 +85,7 @@ def c02_rollback_rejected(spark, d):
     return rolled(spark, d)[3]
 
 
-@query(with_roles(f"""WITH {ROLL}, g AS (SELECT DISTINCT p.patch_id % 300 AS id FROM q JOIN patches p ON p.patch_id = q.patch_id WHERE p.status = 'applied') SELECT c.id, c.active AND g.id IS NULL AS active, CASE WHEN g.id IS NOT NULL THEN 950 ELSE removed_at END AS removed_at FROM corpus c LEFT JOIN g ON g.id = c.id"""))
+@query(with_roles(f"""WITH {ROLL}, g AS (SELECT DISTINCT p.patch_id % (SELECT count(*) FROM corpus) AS id FROM q JOIN patches p ON p.patch_id = q.patch_id WHERE p.status = 'applied') SELECT c.id, c.active AND g.id IS NULL AS active, CASE WHEN g.id IS NOT NULL THEN 950 ELSE removed_at END AS removed_at FROM corpus c LEFT JOIN g ON g.id = c.id"""))
 def c02_rollback_corpus(spark, d):
     return rolled(spark, d)[2].select("id", "active", "removed_at")
 

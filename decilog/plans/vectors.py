@@ -56,11 +56,13 @@ def p04_knn_in_band(spark, d):
     return K.knn(df, df, ["part"], 5, band="spr").select("query", "nb", "rank")
 
 
-@query(with_roles("SELECT a.id AS a, count(*) AS others FROM corpus a JOIN corpus b ON a.part = b.part AND NOT (a.part = b.part AND a.action = b.action) WHERE b.active GROUP BY a.id"))
+@query(with_roles("SELECT a.id AS a, CAST(sum(b.n) AS BIGINT) AS others FROM corpus a JOIN (SELECT part, action, count(*) AS n FROM corpus WHERE active GROUP BY part, action) b ON a.part = b.part AND a.action <> b.action GROUP BY a.id"))
 def p05_not_same_cluster(spark, d):
+    """Live rows of each row's partition outside its cluster: counted by cluster first, so a row meets clusters, not rows."""
     df = corpus_of(spark, d).select("id", "part", "action", "active")
-    pairs = df.alias("l").join(df.where("active").alias("r"), (F.col("l.part") == F.col("r.part")) & P.not_same_cluster("l", "r", ["part", "action"]))
-    return pairs.groupBy(F.col("l.id").alias("a")).agg(F.count(F.lit(1)).alias("others"))
+    counts = df.where("active").groupBy("part", "action").agg(F.count(F.lit(1)).alias("n"))
+    pairs = df.alias("l").join(counts.alias("r"), (F.col("l.part") == F.col("r.part")) & P.not_same_cluster("l", "r", ["part", "action"]))
+    return pairs.groupBy(F.col("l.id").alias("a")).agg(F.sum("r.n").alias("others"))
 
 
 @query(with_roles("SELECT part, count(*) FILTER (WHERE active) AS live, count(*) AS n FROM corpus GROUP BY part"))
@@ -106,11 +108,11 @@ def n06_sample_actions(spark, d):
     return B.sample_actions(B.blend(neighbours(spark, d), corpus_of(spark, d)), "query", seed=7)
 
 
-@query(with_roles(f"""WITH nb AS ({nb_sql('c.active AND c.id % 40 = 1', k=10, on='c.label = q.label')}), s AS (SELECT query, count(*) AS n, max(distance) AS m FROM nb GROUP BY query)
+@query(with_roles(f"""WITH nb AS ({nb_sql('c.active', k=10, on='c.label = q.label')}), s AS (SELECT query, count(*) AS n, max(distance) AS m FROM nb GROUP BY query)
 SELECT c.id, coalesce(n, 0) AS n, round(m, 5) AS max_distance, coalesce(n, 0) < 3 OR coalesce(m > 0.9, FALSE) AS sparse FROM corpus c LEFT JOIN s ON s.query = c.id"""))
 def n07_sparseness(spark, d):
     df = corpus_of(spark, d)
-    got = K.sparseness(K.knn(df, df.where("active AND id % 40 = 1"), ["label"], 10), df, tau=0.9)
+    got = K.sparseness(K.knn(df, df.where("active"), ["label"], 10), df, tau=0.9)
     return got.select("id", "n", d5("max_distance"), F.coalesce("sparse", F.lit(False)).alias("sparse"))
 
 
@@ -137,7 +139,7 @@ def obs_vectors(spark, d):
     return o.select(F.col("obs_id").alias("id"), "cluster_key", "ts", "vec", "part")
 
 
-REB = f"""ov AS ({OBSVEC}), nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY ts DESC, id DESC) AS r FROM ov) WHERE r <= 4),
+REB = f"""ov AS ({OBSVEC}), nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY ts DESC, id DESC) AS r FROM ov) WHERE r <= 10),
 nb AS ({nb_sql('c.active', 'nw', 'corpus', 10)}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
 bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v WHERE w > 0), j AS (SELECT bl.*, nw.cluster_key FROM bl JOIN nw ON nw.id = bl.query)"""
 
@@ -145,7 +147,7 @@ bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v
 @query(with_roles(f"""WITH {REB} SELECT cluster_key, action, round(sum(prob) / sum(sum(prob)) OVER (PARTITION BY cluster_key), 5) AS prob, (SELECT count(DISTINCT query) FROM j k WHERE k.cluster_key = j.cluster_key) AS n_blends FROM j GROUP BY cluster_key, action"""))
 def n10_rebalance(spark, d):
     df = corpus_of(spark, d)
-    return B.rebalance(obs_vectors(spark, d), df.where("active"), ["part"], n_newest=4).select("cluster_key", "action", d5("prob"), "n_blends")
+    return B.rebalance(obs_vectors(spark, d), df.where("active"), ["part"]).select("cluster_key", "action", d5("prob"), "n_blends")
 
 
 EV = f"""ov AS ({OBSVEC}), nw AS (SELECT cluster_key AS id, arg_max(vec, (ts, id)) AS vec, arg_max(part, (ts, id)) AS part FROM ov GROUP BY cluster_key HAVING count(*) >= 10),

@@ -215,6 +215,14 @@ def test_made_hands_equal_enumeration(spark):
     assert got == {k: made_truth(h) for k, h in enumerate(hands)}
 
 
+def test_made_hand_features(spark):
+    rows = [(["Ah", "Kd"], ["Ac", "7d", "2s"], (1, 12, 11, False, True, False)), (["Qh", "Qd"], ["Jc", "7d", "2s"], (1, 10, 9, False, False, True)), (["7h", "7c"], ["Jc", "7d", "2s"], (3, 5, 0, True, False, False)),
+            (["Ah", "7c"], ["7s", "7d", "2s"], (3, 5, 0, False, True, False)), (["2h", "2c"], ["2s", "7d", "7s"], (6, 0, 0, True, False, False)), (["Ah", "Kd"], ["Qc", "7d"], (0, 0, 0, False, False, False)), (["Ah", "Kd"], ["Ac", "Kc", "2s"], (2, 0, 0, False, False, False))]
+    df = spark.createDataFrame([(k, h, b) for k, (h, b, _) in enumerate(rows)], "k long, hole array<string>, board array<string>")
+    got = {r.k: tuple(r.f) for r in df.select("k", C.made_hand_features(F.col("hole"), F.col("board")).alias("f")).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(rows)}
+
+
 def test_canonical_form_ignores_suit_names(spark):
     rng = random.Random(6)
     rows = []
@@ -236,9 +244,11 @@ def test_card_features(spark):
         one(spark, a=C.combo_169(F.lit("1d"), F.lit("Ad")))
     assert one(spark, a=C.board_texture(lit("2c", "9c", "Kc")), b=C.board_texture(lit("2c", "2d", "Kc")), c=C.board_texture(lit("2c", "9c", "Kd")), d=C.board_texture(lit("2c", "9h", "Kd")), e=C.board_texture(lit("2c"))) == ("monotone", "paired", "wet_two_tone", "dry_rainbow", "dry_rainbow")
     d = one(spark, f=C.draw_features(lit("8c", "9c"), lit("Tc", "7d", "2c"))).f
-    assert d.flush_draw and d.open_ender and d.combo_draw and d.outs == 9 + 8 - 2
+    assert d.flush_draw and d.open_ender and d.combo_draw and d.outs == 9 + 8 and d.ppot == 17 / 47
     g = one(spark, f=C.draw_features(lit("8c", "9d"), lit("Qh", "Jd", "2c"))).f
     assert g.gutshot and not g.open_ender and g.outs == 4
+    h = one(spark, a=C.draw_features(lit("Jc", "Qd"), lit("Kh", "Ad", "2c")), b=C.draw_features(lit("8c", "9c"), lit("Tc", "7d", "2c", "3c", "4h")), c=C.draw_features(lit("Ac", "2d"), lit("4h", "3d", "Kc")))
+    assert h.a.gutshot and not h.a.open_ender and h.b.outs == 0 and not h.b.flush_draw and h.c.gutshot and h.c.outs == 4
 
 
 @settings(max_examples=20, deadline=None)
