@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decilog.functions import predicates as P
+from decilog.operators import blend as B
+from decilog.operators import stats as S
 from decilog.operators.rank import coverage_gaps
 
 
@@ -176,3 +179,68 @@ def patch_ab_input(patches: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select(F.col("node_id").alias("new_node_id"), F.col("cluster_key").alias("_c"))
     df = patches.join(n, "new_node_id", "left")
     return df.withColumn("check", F.when(F.col("_c").isNull(), "no node").when(F.col("_c") != F.col("cluster_key"), "other cluster").otherwise("ok")).drop("_c")
+
+
+def resolve_gaps(requests: DataFrame, obs: DataFrame, corpus: DataFrame, manifest_row: DataFrame, vocabulary: list[str], now: int, quality: float = 0.911) -> dict[str, DataFrame]:
+    """Human answers to coverage gaps, as tables to write.
+
+    requests: patch_id, decision_id, dist; obs: decision_id, cluster_key, vec, sparse.
+    ``corpus``, ``nodes`` and ``audit`` are those of :func:`apply_patches`; ``obs`` has the
+    answered rows' flags cleared, ``markers`` names the answered decisions, and ``rejected``
+    has the other requests with a reason. Vectors are normalised by the fit; one of
+    another size than the fit's gives a node, but no row of the corpus.
+    """
+    errors = F.array_join(P.dist_errors(F.col("dist"), vocabulary), ",")
+    asked = requests.join(obs.select("decision_id", "cluster_key", "vec"), "decision_id", "left").withColumn("_e", errors)
+    asked = asked.withColumn("reason", F.when(F.col("_e") != "", F.col("_e")).when(F.col("cluster_key").isNull(), "no observation")).drop("_e")
+    good = asked.where("reason IS NULL").drop("reason").join(F.broadcast(manifest_row.select(F.size("means").alias("_d"))), how="cross")
+    fits = S.normalise(good.where(F.size("vec") == F.col("_d")), "vec", manifest_row).withColumn("vec", F.col("z").cast("array<float>"))
+    rows = fits.select("patch_id", F.col("decision_id").alias("id"), "cluster_key", "vec", "dist")
+    merged, _, _ = apply_patches(corpus, rows, now, quality)
+    every = good.select("patch_id", F.col("decision_id").alias("id"), "cluster_key", "vec", "dist")
+    _, nodes, audit = apply_patches(corpus.limit(0), every, now, quality)
+    markers = good.select("decision_id").distinct()
+    cleared = obs.join(markers.withColumn("_hit", F.lit(True)), "decision_id", "left").withColumn("sparse", F.col("sparse") & F.col("_hit").isNull()).drop("_hit")
+    return {"corpus": merged, "nodes": nodes, "audit": audit, "obs": cleared, "markers": markers, "rejected": asked.where("reason IS NOT NULL").select("patch_id", "decision_id", "reason")}
+
+
+def improve_cycle(candidates: DataFrame, blends: DataFrame, deltas: DataFrame, vectors: DataFrame, corpus: DataFrame, versions: DataFrame, now: int, label: str) -> dict[str, DataFrame]:
+    """One improvement cycle over all clusters, as tables to write.
+
+    candidates: cluster_key; blends: cluster_key, action, prob; deltas: cluster_key,
+    mean_delta, ci_low, zero_hits; vectors: cluster_key, id, vec (the representative).
+    Candidates with a blend and a gain whose interval is over 0 become patches of source
+    autoloop with middling quality. A version is added only if one was applied.
+    """
+    good = accept(candidates.select("cluster_key").distinct().join(deltas, "cluster_key")).select("cluster_key", "mean_delta", "ci_low")
+    dist = blends.groupBy("cluster_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "prob")))).alias("dist"))  # a cluster's few actions
+    patches = good.join(dist, "cluster_key").join(vectors, "cluster_key").withColumn("patch_id", F.xxhash64("cluster_key", F.lit(now)))
+    merged, nodes, audit = apply_patches(corpus, patches, now, 0.5)
+    some = patches.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    new = snapshot(versions, now, "autoloop", label).join(versions.select("version"), "version", "left_anti").join(F.broadcast(some), how="cross").where("_n > 0").drop("_n")
+    return {"patches": patches.withColumn("source", F.lit("autoloop")), "corpus": merged, "nodes": nodes, "audit": audit, "versions": versions.unionByName(new)}
+
+
+def probe(clusters: DataFrame, nodes: DataFrame, charts: DataFrame, spots: DataFrame, chart_keys: list[str], neighbours: DataFrame, blended: DataFrame, solved: DataFrame, legal: Column | None = None) -> DataFrame:
+    """What answers each cluster, and how far it is from the solver.
+
+    clusters: cluster_key; nodes: cluster_key, dist (newest active); spots: cluster_key
+    and the chart keys, for clusters that a chart may cover; charts: keys, action, freq;
+    neighbours: query, nb, distance; blended: query, action, prob; solved: cluster_key,
+    dist. A node answers first, then the chart, then the blend (its legal actions alone,
+    with ``legal`` an array column of ``clusters``). Result: cluster_key, source (node,
+    chart, knn or none), dist, n_neighbours, max_distance, neighbours, kl (from the answer to
+    the solver, both floored).
+    """
+    as_map = lambda df, key: df.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "prob")))).alias("dist"))
+    chart = as_map(B.decide(spots, charts, chart_keys, blended.limit(0), "cluster_key"), "cluster_key").withColumnRenamed("dist", "_chart")
+    voted = as_map(blended.withColumnRenamed("query", "cluster_key"), "cluster_key").withColumnRenamed("dist", "_blend")
+    near = neighbours.groupBy(F.col("query").alias("cluster_key")).agg(F.count(F.lit(1)).alias("n_neighbours"), F.max("distance").alias("max_distance"), F.array_sort(F.collect_list(F.struct("distance", "nb"))).alias("neighbours"))  # k a cluster
+    df = clusters.join(nodes.select("cluster_key", F.col("dist").alias("_node")), "cluster_key", "left").join(chart, "cluster_key", "left").join(voted, "cluster_key", "left").join(near, "cluster_key", "left")
+    blend = F.col("_blend") if legal is None else F.when(F.col("_blend").isNotNull(), P.filter_legal(F.col("_blend"), legal, F.lit("check")))
+    df = df.withColumns({"dist": F.coalesce("_node", "_chart", blend), "source": F.when(F.col("_node").isNotNull(), "node").when(F.col("_chart").isNotNull(), "chart").when(F.col("_blend").isNotNull(), "knn").otherwise("none")})
+    df = df.join(solved.select("cluster_key", F.col("dist").alias("_solver")), "cluster_key", "left")
+    least = lambda m, k: F.greatest(F.coalesce(F.try_element_at(m, k), F.lit(0.0)), F.lit(S.EPSILON))
+    names = F.array_union(F.map_keys("dist"), F.map_keys("_solver"))
+    kl = F.aggregate(names, F.lit(0.0), lambda s, k: s + least(F.col("dist"), k) * F.log(least(F.col("dist"), k) / least(F.col("_solver"), k)))
+    return df.select("cluster_key", "source", "dist", F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"), "max_distance", "neighbours", F.when(F.col("_solver").isNotNull(), kl).alias("kl"))

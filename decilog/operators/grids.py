@@ -113,14 +113,3 @@ def ingest_solves(dist: DataFrame, solves: DataFrame, vectors: DataFrame, key: s
     best = dist.groupBy(key).agg(F.max_by("action", F.struct("p", "action")).alias("action"), F.max("p").alias("p"))
     rows = solves.select(key, X.quality(F.col("exploitability")).alias("gto_score"), F.coalesce("spr", F.lit(-1)).alias("spr")).join(best, key).join(vectors, key)
     return rows.where(F.size("vec") == dims), rows.where(F.size("vec") != dims)
-
-
-def improve_cycle(candidates: DataFrame, blends: DataFrame, deltas: DataFrame) -> DataFrame:
-    """One improvement cycle over all clusters: leak candidates with a new blend whose paired runs gain.
-
-    ``deltas``: cluster_key, mean_delta, ci_low, zero_hits. cluster_key, action, prob, mean_delta.
-    """
-    good = deltas.where(~F.col("zero_hits") & (F.col("ci_low") > 0)).select("cluster_key", "mean_delta")
-    return candidates.select("cluster_key").distinct().join(good, "cluster_key").join(blends, "cluster_key")
-
-

@@ -18,7 +18,8 @@ from decilog.plans.bindings import role, with_roles
 from decilog.plans.decisions import DEALT, NUMBERS, TURNS, form_sql, ratios, snap_sql
 from decilog.plans.registry import query
 from decilog.plans.stats import r4
-from decilog.plans.vectors import d5
+from decilog.plans.stats import FREQ
+from decilog.plans.vectors import NUMBER, OBSVEC, REB, d5, obs_vectors
 from decilog.sources import io
 
 CLS = "l_partkey % 13"
@@ -185,13 +186,25 @@ def c08_gap_detail(spark, d):
     return first.select("hand_id", F.col("seq").cast("long").alias("seq"), F.size(X.legal_actions(F.col("street"), F.col("facing_size"))).cast("long").alias("n_legal"))
 
 
-@query(with_roles("""WITH f AS (SELECT cluster_key, count(*) AS n FROM obs GROUP BY cluster_key) SELECT cluster_key, CASE WHEN CAST(substr(cluster_key, 2) AS INTEGER) % 3 = 0 THEN 'sum' ELSE '' END AS errors FROM f"""))
+@query(with_roles(f"""WITH ov AS ({OBSVEC}), f AS ({FREQ}), best AS (SELECT cluster_key, arg_min(action, (-p, action)) AS action FROM f GROUP BY cluster_key), q AS (SELECT cluster_key, max(obs_id) AS obs_id, {NUMBER} AS k FROM obs GROUP BY cluster_key),
+z AS (SELECT avg(CAST(vec[1] AS DOUBLE)) AS m, stddev_pop(CAST(vec[1] AS DOUBLE)) AS s FROM corpus)
+SELECT q.cluster_key, CASE WHEN k % 3 = 0 THEN 'sum' WHEN k % 4 = 1 THEN 'node' ELSE 'corpus' END AS outcome, CASE WHEN k % 3 <> 0 AND k % 4 <> 1 THEN best.action END AS action,
+ CASE WHEN k % 3 <> 0 AND k % 4 <> 1 THEN round((CAST(vec[1] AS DOUBLE) - m) / s, 3) END AS z1, o.sparse AND k % 3 = 0 AS still_open FROM q JOIN best ON best.cluster_key = q.cluster_key JOIN ov ON ov.id = q.obs_id JOIN obs o ON o.obs_id = q.obs_id, z"""))
 def c09_resolve_gaps(spark, d):
-    """Requests to resolve gaps, checked: distributions that do not sum to 1 are named."""
-    f = S.action_freq(role(spark, d, "obs"), ["cluster_key"]).groupBy("cluster_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "p")))).alias("dist"))
-    off = F.substring("cluster_key", 2, 9).cast("int") % 3 == 0
-    f = f.withColumn("dist", F.when(off, F.transform_values("dist", lambda k, v: v / 2)).otherwise(F.col("dist")))
-    return f.select("cluster_key", F.array_join(P.dist_errors(F.col("dist"), ["view", "click", "purchase", "signup", "error"]), ",").alias("errors"))
+    """An answer for each cluster's last row: some do not sum to 1, some vectors have the wrong size."""
+    corpus, number = role(spark, d, "corpus"), F.substring("cluster_key", 2, 9).cast("int")
+    shares = S.action_freq(role(spark, d, "obs"), ["cluster_key"]).groupBy("cluster_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "p")))).alias("dist"))
+    shares = shares.withColumn("dist", F.when(number % 3 == 0, F.transform_values("dist", lambda k, v: v / 2)).otherwise(F.col("dist")))
+    asked = role(spark, d, "obs").groupBy("cluster_key").agg(F.max("obs_id").alias("decision_id")).join(shares, "cluster_key").select(F.col("decision_id").alias("patch_id"), "decision_id", "dist")
+    vec = F.when(number % 4 == 1, F.slice("vec", 1, 63)).otherwise(F.col("vec"))
+    obs = obs_vectors(spark, d).select(F.col("id").alias("decision_id"), "cluster_key", vec.alias("vec")).join(role(spark, d, "obs").select(F.col("obs_id").alias("decision_id"), "sparse"), "decision_id")
+    base = corpus.select("id", "vec", "action", F.col("confidence").cast("double").alias("confidence"), "added_at", "removed_at", "active")
+    got = K.resolve_gaps(asked, obs, base, S.manifest(S.fit_zscore(corpus, "vec")), ["view", "click", "purchase", "signup", "error"], 10**7)
+    new = got["corpus"].where(F.col("added_at") == 10**7).select(F.col("id").alias("decision_id"), "action", F.round(F.col("vec")[0].cast("double"), 3).alias("z1"))
+    said = got["nodes"].select(F.substring("node_id", 2, 19).cast("long").alias("decision_id")).join(new, "decision_id", "left").withColumn("outcome", F.when(F.col("action").isNull(), "node").otherwise("corpus"))
+    none = got["rejected"].select("decision_id", F.lit(None).cast("string").alias("action"), F.lit(None).cast("double").alias("z1"), F.col("reason").alias("outcome"))
+    flags = got["obs"].select("decision_id", "cluster_key", F.col("sparse").alias("still_open"))
+    return said.unionByName(none).join(flags, "decision_id").select("cluster_key", "outcome", "action", "z1", "still_open")
 
 
 @query(with_roles("""WITH f AS (SELECT cluster_key, action, count(*) AS n FROM obs GROUP BY cluster_key, action), b AS (SELECT cluster_key, arg_max(action, (n, action)) AS action FROM f GROUP BY cluster_key), s AS (SELECT cluster_key, arg_max(exploitability, (solved_at, solve_id)) AS x FROM solves GROUP BY cluster_key)
@@ -204,18 +217,34 @@ def c13_ingest_solves(spark, d):
     return good.select("cluster_key", "action", F.round("gto_score", 6).alias("gto_score"), "spr")
 
 
-@query()
+@query(with_roles(f"""WITH {REB}, rb AS (SELECT cluster_key, action, sum(prob) / sum(sum(prob)) OVER (PARTITION BY cluster_key) AS p FROM j GROUP BY cluster_key, action), best AS (SELECT cluster_key, arg_min(action, (-p, action)) AS action FROM rb GROUP BY cluster_key),
+n AS ({NODE}), le AS (SELECT m.session_id, m.cluster_key, row_number() OVER (PARTITION BY session_id ORDER BY m.value * ln(greatest(m.n, 2)) DESC, m.cluster_key) AS r FROM metrics m LEFT JOIN n ON n.cluster_key = m.cluster_key
+ WHERE m.value > 0.3 AND m.n >= 5 AND m.cluster_key NOT IN (SELECT cluster_key FROM suppressions WHERE active) AND NOT coalesce(n.locked OR n.source = 'seed', FALSE)), ca AS (SELECT DISTINCT cluster_key FROM le WHERE r <= 5),
+b AS (SELECT cluster_key, action, row_number() OVER (PARTITION BY cluster_key ORDER BY ts, obs_id) AS k FROM obs WHERE source = 'hh'), c AS (SELECT o.cluster_key, CASE WHEN CAST(substr(o.cluster_key, 2) AS INTEGER) % 2 = 0 THEN best.action ELSE o.action END AS action, row_number() OVER (PARTITION BY o.cluster_key ORDER BY ts, obs_id) AS k FROM obs o LEFT JOIN best ON best.cluster_key = o.cluster_key WHERE source = 'sim'),
+x AS (SELECT b.cluster_key, ln(coalesce(y.p, 0) + 1e-6) - ln(coalesce(x.p, 0) + 1e-6) AS delta, x.p IS NOT NULL AND y.p IS NOT NULL AS hit FROM b JOIN c ON b.cluster_key = c.cluster_key AND b.k = c.k LEFT JOIN rb x ON x.cluster_key = b.cluster_key AND x.action = b.action LEFT JOIN rb y ON y.cluster_key = b.cluster_key AND y.action = c.action),
+g AS (SELECT cluster_key, avg(delta) AS mean_delta FROM x GROUP BY cluster_key HAVING bool_or(hit) AND avg(delta) - 1.96 * sqrt(var_samp(delta) / count(*)) > 0), ok AS (SELECT g.* FROM g JOIN ca ON ca.cluster_key = g.cluster_key JOIN best ON best.cluster_key = g.cluster_key)
+SELECT ok.cluster_key, best.action, round(ok.mean_delta, 5) AS mean_delta, (SELECT count(*) FROM nation) + 1 AS versions FROM ok JOIN best ON best.cluster_key = ok.cluster_key"""))
 def c15_improve_cycle(spark, d):
-    """Leak candidates, their rebalanced blends, and the gain of the newer run over the older."""
+    """Leak candidates, their rebalanced blends, the gain of a run that plays them in every other cluster, and the patches."""
     from decilog.operators import blend as B
-    from decilog.plans.vectors import obs_vectors
+    from decilog.session import table
 
     obs, corpus = role(spark, d, "obs"), role(spark, d, "corpus")
     leaks = R.leak_candidates(role(spark, d, "metrics"), role(spark, d, "nodes"), role(spark, d, "suppressions"), min_obs=5, barred=("seed",))
-    blends = B.rebalance(obs_vectors(spark, d), corpus.where("active"), ["part"], n_newest=4)
-    pairs = S.pair_runs(obs.where("source = 'hh'"), obs.where("source = 'sim'"), "cluster_key", ["ts", "obs_id"])
+    vectors = obs_vectors(spark, d)
+    blends = B.rebalance(vectors, corpus.where("active"), ["part"])
+    best = blends.groupBy("cluster_key").agg(F.min_by("action", F.struct(-F.col("prob"), "action")).alias("best"))
+    even = F.substring("cluster_key", 2, 9).cast("int") % 2 == 0
+    newer = obs.where("source = 'sim'").join(best, "cluster_key", "left").withColumn("action", F.when(even, F.col("best")).otherwise(F.col("action")))
+    pairs = S.pair_runs(obs.where("source = 'hh'"), newer, "cluster_key", ["ts", "obs_id"])
     deltas = S.with_ci(S.paired_deltas(pairs, blends.withColumnRenamed("prob", "p"), "cluster_key"), "mean_delta", "var_delta")
-    return G.improve_cycle(leaks, blends, deltas).select("cluster_key", "action", d5("prob"))
+    last = vectors.groupBy("cluster_key").agg(F.max_by(F.struct("id", "vec"), F.struct("ts", "id")).alias("s")).select("cluster_key", (F.col("s.id") + 10**9).alias("id"), "s.vec")
+    versions = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("version"), (F.col("n_nationkey") * 40).cast("long").alias("cutoff_ts"), F.lit("auto").alias("source"), F.col("n_name").alias("label"))
+    base = corpus.select("id", "vec", "action", F.col("confidence").cast("double").alias("confidence"), "added_at", "removed_at", "active")
+    got = K.improve_cycle(leaks, blends, deltas, last, base, versions, 10**7, "cycle")
+    rows = got["corpus"].where(F.col("added_at") == 10**7).select("id", "action")
+    count = got["versions"].agg(F.count(F.lit(1)).alias("versions"))
+    return got["patches"].select("cluster_key", "id", d5("mean_delta")).join(rows, "id").join(F.broadcast(count), how="cross").select("cluster_key", "action", "mean_delta", "versions")
 
 
 EVENT = T.StructType([T.StructField("actor", T.StringType()), T.StructField("action", T.StringType()), T.StructField("amount", T.LongType())])

@@ -130,12 +130,13 @@ def n09_similar(spark, d):
     return B.similar(cluster_vectors(spark, d), ["part"], role(spark, d, "obs"), 5).select("query", "nb", d5(), "rank", "n_obs")
 
 
-OBSVEC = "SELECT o.obs_id AS id, o.cluster_key, o.ts, c.vec, c.part FROM obs o JOIN corpus c ON c.id = o.obs_id % 500"
+OBSVEC = "SELECT o.obs_id AS id, o.cluster_key, o.ts, c.vec, c.part FROM obs o JOIN corpus c ON c.id = o.obs_id % (SELECT count(*) FROM corpus)"
 
 
 def obs_vectors(spark, d):
     c = corpus_of(spark, d).select(F.col("id").alias("_id"), "vec", "part")
-    o = role(spark, d, "obs").withColumn("_id", F.col("obs_id") % 500).join(c, "_id")
+    size = c.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    o = role(spark, d, "obs").join(F.broadcast(size), how="cross").withColumn("_id", F.col("obs_id") % F.col("_n")).join(c, "_id")
     return o.select(F.col("obs_id").alias("id"), "cluster_key", "ts", "vec", "part")
 
 
@@ -155,12 +156,17 @@ nb AS ({nb_sql('c.active', 'nw', 'corpus', 10, 'c.part = q.part AND CAST(c.id AS
 bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v WHERE w > 0), f AS ({FREQ})"""
 
 
-def ev_parts(spark, d):
-    """The blend at each cluster's newest observation (10 observations at least), and the corpus."""
+def ev_spots(spark, d):
+    """Each cluster's newest observation (10 observations at least), and the corpus."""
     ov = obs_vectors(spark, d)
     newest = ov.groupBy("cluster_key").agg(F.max_by(F.struct("vec", "part"), F.struct("ts", "id")).alias("s"), F.count(F.lit(1)).alias("n"))
     newest = newest.where("n >= 10").select(F.col("cluster_key").alias("id"), "s.vec", "s.part")
-    corpus = corpus_of(spark, d).withColumn("id", F.col("id").cast("string"))
+    return newest, corpus_of(spark, d).withColumn("id", F.col("id").cast("string"))
+
+
+def ev_parts(spark, d):
+    """The blend at each cluster's newest observation."""
+    newest, corpus = ev_spots(spark, d)
     return B.blend(K.knn(newest, corpus.where("active"), ["part"], 10), corpus).withColumnRenamed("query", "cluster_key")
 
 
@@ -268,13 +274,32 @@ def n21_sigma_separation(spark, d):
     return E.sigma_separation(corpus_of(spark, d), "vec", "label").select(d5("m_in"), d5("m_out"), d5("s_in"), d5("s_out"), "separated")
 
 
-@query(with_roles(f"""WITH {EV}, n AS (SELECT cluster_key, arg_max(node_id, created_at) AS node_id, arg_max(source, created_at) AS node_source FROM nodes WHERE active AND gto_score > 0.97 GROUP BY cluster_key)
-SELECT k.cluster_key, n.node_id, CASE WHEN n.node_id IS NOT NULL THEN 'node' WHEN b.query IS NOT NULL THEN 'knn' ELSE 'none' END AS source, b.top FROM (SELECT DISTINCT cluster_key FROM obs) k LEFT JOIN n ON n.cluster_key = k.cluster_key
-LEFT JOIN (SELECT query, arg_max(action, (prob, action)) AS top FROM bl GROUP BY query) b ON b.query = k.cluster_key"""))
+NUMBER = "CAST(substr(cluster_key, 2) AS INTEGER)"
+PROBE = f"""{EV}, cl AS (SELECT DISTINCT cluster_key FROM obs), nd AS (SELECT DISTINCT cluster_key FROM nodes WHERE active AND gto_score > 0.97 AND cluster_key IN (SELECT cluster_key FROM cl)),
+ch AS (SELECT cluster_key FROM cl WHERE {NUMBER} % 3 = 0 AND cluster_key NOT IN (SELECT cluster_key FROM nd)), lg AS (SELECT query, action, prob / sum(prob) OVER (PARTITION BY query) AS p FROM bl WHERE action <> 'error'),
+an AS (SELECT cluster_key, 'node' AS source, unnest(['click', 'view']) AS action, unnest([0.4, 0.6]) AS p FROM nd UNION ALL SELECT cluster_key, 'chart', unnest(['click', 'fold', 'view']), unnest([0.3, 0.1, 0.6]) FROM ch
+ UNION ALL SELECT query, 'knn', action, p FROM lg WHERE query NOT IN (SELECT cluster_key FROM nd) AND query NOT IN (SELECT cluster_key FROM ch)),
+so AS (SELECT cluster_key FROM solves GROUP BY cluster_key HAVING arg_max(exploitability, (solved_at, solve_id)) < 30), sd AS (SELECT cluster_key, unnest(['purchase', 'view']) AS action, unnest([0.3, 0.7]) AS q FROM so),
+k AS (SELECT coalesce(an.cluster_key, sd.cluster_key) AS cluster_key, sum(greatest(coalesce(p, 0), 1e-6) * ln(greatest(coalesce(p, 0), 1e-6) / greatest(coalesce(q, 0), 1e-6))) AS kl FROM an FULL JOIN sd ON sd.cluster_key = an.cluster_key AND sd.action = an.action GROUP BY 1),
+m AS (SELECT query, count(*) AS n, max(distance) AS far FROM nb GROUP BY query)"""
+
+
+@query(with_roles(f"""WITH {PROBE} SELECT cl.cluster_key, coalesce(any_value(an.source), 'none') AS source, arg_min(an.action, (-round(an.p, 9), an.action)) AS top, coalesce(any_value(m.n), 0) AS n_neighbours, round(any_value(m.far), 5) AS max_distance,
+ round(any_value(CASE WHEN so.cluster_key IS NOT NULL AND an.action IS NOT NULL THEN k.kl END), 4) AS kl FROM cl LEFT JOIN an ON an.cluster_key = cl.cluster_key LEFT JOIN m ON m.query = cl.cluster_key LEFT JOIN so ON so.cluster_key = cl.cluster_key LEFT JOIN k ON k.cluster_key = cl.cluster_key GROUP BY cl.cluster_key"""))
 def n08_probe(spark, d):
-    """Each cluster's source of truth: its newest node, else the blend at its newest observation."""
-    nodes = role(spark, d, "nodes").where("active AND gto_score > 0.97").groupBy("cluster_key").agg(F.max_by("node_id", "created_at").alias("node_id"))
-    top = ev_parts(spark, d).groupBy("cluster_key").agg(F.max_by("action", F.struct("prob", "action")).alias("top"))
-    df = role(spark, d, "obs").select("cluster_key").distinct().join(nodes, "cluster_key", "left").join(top, "cluster_key", "left")
-    source = F.when(F.col("node_id").isNotNull(), "node").when(F.col("top").isNotNull(), "knn").otherwise("none")
-    return df.select("cluster_key", "node_id", source.alias("source"), "top")
+    """Each cluster's answer (node, chart, legal blend), its neighbours and its distance from the solver."""
+    from decilog.operators import corpus as C
+    from decilog.operators import rank as R
+
+    clusters = role(spark, d, "obs").select("cluster_key").distinct()
+    fixed = lambda **kv: F.create_map(*[F.lit(x) for pair in sorted(kv.items()) for x in pair])
+    nodes = role(spark, d, "nodes").where("active AND gto_score > 0.97").select("cluster_key").distinct().withColumn("dist", fixed(click=0.4, view=0.6))
+    spots = clusters.withColumn("kind", F.substring("cluster_key", 2, 9).cast("int") % 3)
+    charts = spark.createDataFrame([(0, "view", 0.6), (0, "click", 0.3)], "kind int, action string, freq double")
+    newest, corpus = ev_spots(spark, d)
+    near = K.knn(newest, corpus.where("active"), ["part"], 10)
+    solved = R.latest(role(spark, d, "solves"), ["cluster_key"], ["solved_at", "solve_id"]).where("exploitability < 30").select("cluster_key", fixed(purchase=0.3, view=0.7).alias("dist"))
+    legal = F.array(*map(F.lit, ["view", "click", "purchase", "signup"]))
+    got = C.probe(clusters, nodes, charts, spots, ["kind"], near, B.blend(near, corpus), solved, legal)
+    top = F.array_sort(F.transform(F.map_entries("dist"), lambda e: F.struct((-F.round(e["value"], 9)).alias("p"), e["key"].alias("k"))))[0]["k"]
+    return got.select("cluster_key", "source", top.alias("top"), "n_neighbours", d5("max_distance"), F.round("kl", 4).alias("kl"))
