@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,21 +167,33 @@ def weighted_quantiles(df: DataFrame, keys: list[str], x: str, w: str, ps: list[
     return df.where(inside | beyond).groupBy(*keys, "p").agg(F.max(q).alias("q"))
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], x: str, id_col: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Mean and percentile interval of the mean per key: mean, ci_low, ci_high.
+#: Equal values up to which each weighs by a draw of its own; beyond, their sum is drawn at once.
+DRAWN = 24
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], x: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Mean and percentile interval of the mean per key: mean, n, ci_low, ci_high.
 
-    A Poisson bootstrap: each row weighs Poisson(1) in each resample, drawn from a
-    hash of its id, the resample and the seed. Equal values are counted together
-    first; every resample's sum and weight are added up before the shuffle.
+    A Poisson bootstrap. Equal values of a key are counted together first; in each
+    resample a value of count n weighs the sum of n Poisson(1) draws, or for n over
+    DRAWN the rounded normal draw of that mean and variance. Draws come from hashes of key,
+    value, resample and seed; sums and weights are added up before the shuffle.
     """
-    u = (F.pmod(F.xxhash64(id_col, F.col("_r"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(12):
-        total += term
-        steps.append(F.when(F.col("_u") < total, k))
-        term /= k + 1
-    draws = df.select(*keys, x, id_col, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_r")).withColumn("_u", u)
-    draws = draws.withColumn("_n", F.coalesce(*steps, F.lit(12)))
+    counted = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_k"))
+    number = lambda *more: (F.pmod(F.xxhash64(*keys, x, F.col("_r"), F.lit(seed), *more), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    def poisson(u: Column) -> Column:
+        steps, total, term = [], 0.0, math.exp(-1)
+        for k in range(12):
+            total += term
+            steps.append(F.when(u < total, k))
+            term /= k + 1
+        return F.coalesce(*steps, F.lit(12))
+
+    draws = counted.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    normal = F.sqrt(-2 * F.log(number(F.lit(-1)))) * F.cos(2 * math.pi * number(F.lit(-2)))
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_k"), F.lit(DRAWN)).cast("int")), F.lit(0), lambda n, i: n + poisson(number(i)))
+    draws = draws.withColumn("_n", F.when(F.col("_k") <= DRAWN, few).otherwise(F.greatest(F.lit(0.0), F.round(F.col("_k") + F.sqrt("_k") * normal))))
     means = draws.groupBy(*keys, "_r").agg((F.sum(F.col(x) * F.col("_n")) / F.sum("_n")).alias("m"))
     ends = means.groupBy(*keys).agg(F.percentile("m", alpha / 2).alias("ci_low"), F.percentile("m", 1 - alpha / 2).alias("ci_high"))
     return df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.count(F.lit(1)).alias("n")).join(ends, keys)

@@ -30,9 +30,9 @@ W = "PARTITION BY hand_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PR
 @query(with_roles("""WITH h AS (SELECT hand_id, count(*) AS n, count(DISTINCT actor) AS seats, bool_or(amount = 50) AS s FROM moves GROUP BY hand_id)
 SELECT coalesce(CASE WHEN CASE WHEN seats = 2 THEN 2 ELSE n END = 2 THEN 'heads_up' WHEN n > 6 THEN 'too_many_seats' WHEN s THEN 'straddle' END, 'kept') AS reason, count(*) AS n FROM h GROUP BY 1"""))
 def x01_exclusions(spark, d):
-    h = moves(spark, d).groupBy("hand_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("actor").alias("seats"), F.collect_list("amount").alias("amounts"))
+    h = moves(spark, d).groupBy("hand_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("actor").alias("seats"), F.bool_or(F.col("amount") == 50).alias("straddled"))
     size = F.when(F.col("seats") == 2, 2).otherwise(F.col("n"))
-    reason = E.exclusion_reason(size, F.exists("amounts", lambda a: a == 50))
+    reason = E.exclusion_reason(size, F.col("straddled"))
     return h.select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -57,12 +57,33 @@ def t04_score_stream(spark, d):
     return T.score_stream(s, lambda b: B.blend(K.knn(b, live, ["part"], 10), corpus), "scored").select("query", "action", d5("prob"))
 
 
-@query(with_roles("SELECT cluster_key, max(obs_id) AS obs_id FROM obs GROUP BY cluster_key"))
+@query(with_roles("SELECT cluster_key, max(obs_id) AS obs_id, arg_max(action, obs_id) AS action FROM obs GROUP BY cluster_key"))
 def t05_maintain_state(spark, d):
-    path = work_dir(spark, "states")
-    role(spark, d, "obs").select("cluster_key", "obs_id", "action").repartition(3, "obs_id").write.parquet(path)
-    s = spark.readStream.schema("cluster_key string, obs_id long, action string").option("maxFilesPerTrigger", 1).parquet(path)
-    return T.maintain_state(s, "state", ["cluster_key"], "obs_id").groupBy("cluster_key").agg(F.max("obs_id").alias("obs_id"))
+    """The state table itself; the stream is stopped and started again half way."""
+    source, path, state = (work_dir(spark, n) for n in ("states", "state", "state-log"))
+    rows = role(spark, d, "obs").select("cluster_key", "obs_id", "action")
+    for half in (0, 1):
+        rows.where(F.col("obs_id") % 2 == half).repartition(2, "obs_id").write.parquet(f"{source}/{half}")
+        s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+        got = T.maintain_state(s, path, state, ["cluster_key"], "obs_id")
+    return got
+
+
+CHUNK = "CAST(floor((obs_id * 7919) % 100003 * 4 / 100003) AS INTEGER)"
+
+
+@query(with_roles(f"""WITH c AS (SELECT source, ts, {CHUNK} AS chunk FROM obs), t AS (SELECT source, chunk, max(ts) AS top FROM c GROUP BY source, chunk), n AS (SELECT c.*, (SELECT max(top) FROM t WHERE t.source = c.source AND t.chunk < c.chunk) AS newest FROM c)
+SELECT source, coalesce(ts < newest - INTERVAL 5 DAY, FALSE) AS late, count(*) AS n FROM n GROUP BY 1, 2"""))
+def t06_quarantine_late(spark, d):
+    """Rows arrive in four lots; the stream is started anew for each."""
+    source, path, state = (work_dir(spark, n) for n in ("lots", "late", "late-log"))
+    rows = role(spark, d, "obs").select("obs_id", "source", F.col("ts").cast("timestamp").alias("ts")).withColumn("chunk", F.expr(CHUNK))
+    for k in range(4):
+        rows.where(F.col("chunk") == k).drop("chunk").coalesce(1).write.parquet(f"{source}/{k}")
+        s = spark.readStream.schema("obs_id long, source string, ts timestamp").option("recursiveFileLookup", "true").parquet(source)
+        kept, late = T.quarantine_late(s, path, state, "ts", "source", "5 DAYS")
+    both = kept.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.groupBy("source", "late").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_roles("""WITH m AS (SELECT *, max(ts) OVER (PARTITION BY source ORDER BY (obs_id * 7919) % 100003, obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM obs) SELECT source, coalesce(ts < top - INTERVAL 5 DAY, FALSE) AS late, count(*) AS n FROM m GROUP BY 1, 2"""))

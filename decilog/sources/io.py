@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,22 +11,28 @@ from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset a local session takes a temporary folder; a cluster has none to share.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         import tempfile
 
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-work-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of JSON lines under a fixed schema; ``bad`` marks lines that do not parse. Blank lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """Rows of JSON lines under a fixed schema; ``bad`` marks lines that do not parse. Blank lines are skipped; partition columns stay."""
+    lines = spark.read.text(path).where(F.trim("value") != "")  # with the columns of the folders' names
     fields = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    got = lines.select(F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    return got.select("r.*").withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
+    kept = [c for c in lines.columns if c != "value"]
+    got = lines.select(*kept, F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return got.select("r.*", *kept).withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
 
 
 def align_schema(df: DataFrame, required: list[str], defaults: dict[str, Column]) -> DataFrame:

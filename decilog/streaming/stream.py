@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from decilog.operators import corpus as K
 from decilog.sources.io import work_dir
@@ -27,46 +28,100 @@ def without_repeats(stream: DataFrame, keys: list[str], delay: str = "1 day") ->
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over all that the source has now, into Parquet below the shared folder; read back."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None, state: str | None = None) -> DataFrame:
+    """Run over all that the source has now, into Parquet; read back.
+
+    With the same ``path`` and ``state`` (the checkpoint) a later run goes on where this
+    one ended; without them both are new folders below the shared one.
+    """
     spark = stream.sparkSession
-    path, state = work_dir(spark, name), work_dir(spark, f"{name}-state")
+    path, state = path or work_dir(spark, name), state or work_dir(spark, f"{name}-state")
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def maintain_state(stream: DataFrame, name: str, keys: list[str], order: str, batches: int | None = None) -> DataFrame:
-    """A table of the newest row per key by ``order``, rewritten by every micro-batch under a new path."""
-    spark = stream.sparkSession
-    root, state, at = work_dir(spark, name), work_dir(spark, f"{name}-state"), {"path": None}
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def state_table(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The rows of a state table: of each bucket the newest version, or the newest under ``before``."""
+    full = T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_version", T.LongType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], full)
+    rows = spark.read.schema(full).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("_version") < before)
+    last = rows.groupBy("_bucket").agg(F.max("_version").alias("_version"))  # a row for each bucket
+    return rows.join(F.broadcast(last), ["_bucket", "_version"]).select(*full.fieldNames())
+
+
+def maintain_state(stream: DataFrame, path: str, state: str, keys: list[str], order: str, buckets: int = 32) -> DataFrame:
+    """A table below ``path`` of the newest row per key by ``order``, kept up by every micro-batch.
+
+    Rows lie in ``buckets`` by a hash of the key. A batch rewrites the buckets of its own
+    keys alone, as a version with the batch's number, from the versions before it; so a
+    batch that is run again after a failure writes the same, and with the same ``path`` and
+    ``state`` (the checkpoint) a restarted stream goes on where the last one ended.
+    """
+    spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = f"{root}/{number}"
-        base = batch.sparkSession.read.schema(stream.schema).parquet(at["path"]) if at["path"] else batch.limit(0)
-        K.upsert_latest(base.limit(0), base.unionByName(batch), keys, order).write.mode("overwrite").parquet(new)
-        at["path"] = new
+        session = batch.sparkSession
+        new = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = new.select("_bucket").distinct()  # at most ``buckets`` rows
+        old = state_table(session, path, schema, number).drop("_version").join(F.broadcast(touched), "_bucket", "left_semi").select(*new.columns)
+        merged = K.upsert_latest(old.limit(0), old.unionByName(new), keys, order).withColumn("_version", F.lit(number).cast("long"))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_version").parquet(path)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(at["path"]) if at["path"] else spark.createDataFrame([], stream.schema)
+    return state_table(spark, path, schema).select(*schema.fieldNames())
 
 
-def split_late(rows: DataFrame, ts: str, arrival: str, delay: str) -> DataFrame:
-    """Rows marked ``late`` if their time is over ``delay`` before the newest time that arrived earlier.
+def split_late(rows: DataFrame, ts: str, arrival: str, delay: str, by: str = "source") -> DataFrame:
+    """Rows marked ``late`` if their time is over ``delay`` before the newest time of their ``by`` that arrived earlier.
 
     ``arrival`` orders the rows as they came; the batch form of what a watermark drops.
     """
     from pyspark.sql import Window
 
-    day = Window.partitionBy("source").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    day = Window.partitionBy(by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max(ts).over(day)
     return rows.withColumn("late", F.coalesce(F.col(ts) < newest - F.expr(f"INTERVAL {delay}"), F.lit(False)))
 
 
-def score_stream(stream: DataFrame, score, name: str) -> DataFrame:
-    """Score arriving rows batch by batch with a batch operator; results are appended below the shared folder."""
+def quarantine_late(stream: DataFrame, path: str, state: str, ts: str, by: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, late) rows: late if over ``delay`` before the newest time of their ``by`` in earlier micro-batches.
+
+    Both are appended below ``path``, next to the newest times (a row for each ``by``), by
+    batch number: a batch that is run again writes the same, and a restarted stream with the
+    same ``path`` and ``state`` knows the newest times of the runs before it.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    seen = T.StructType([T.StructField(by, schema[by].dataType), T.StructField("newest", schema[ts].dataType), T.StructField("batch", T.LongType())])
+
+    def each(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(seen).parquet(f"{path}/newest") if exists(session, f"{path}/newest") else session.createDataFrame([], seen)
+        newest = before.where(F.col("batch") < number).groupBy(by).agg(F.max("newest").alias("_newest"))
+        marked = batch.join(F.broadcast(newest), by, "left").withColumn("_late", F.coalesce(F.col(ts) < F.col("_newest") - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+        for name, rows in (("kept", marked.where(~F.col("_late"))), ("late", marked.where("_late"))):
+            rows.select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.groupBy(by).agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={number}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return tuple(spark.read.schema(schema).parquet(f"{path}/{name}") for name in ("kept", "late"))
+
+
+def score_stream(stream: DataFrame, score, name: str, path: str | None = None, state: str | None = None) -> DataFrame:
+    """Score arriving rows batch by batch with a batch operator; results are appended by batch number.
+
+    ``path`` and ``state`` as in :func:`run_to_table`.
+    """
     spark = stream.sparkSession
-    path, state = work_dir(spark, name), work_dir(spark, f"{name}-state")
+    path, state = path or work_dir(spark, name), state or work_dir(spark, f"{name}-state")
 
     def each(batch: DataFrame, number: int) -> None:
         score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")

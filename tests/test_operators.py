@@ -18,6 +18,7 @@ from decilog.operators import corpus as K
 from decilog.operators import extract as E
 from decilog.operators import knn as N
 from decilog.operators import lookup as J
+from decilog.operators import rank as R
 from decilog.operators import stats as S
 from decilog.sources import io
 
@@ -67,10 +68,10 @@ def test_bootstrap_interval(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(1.0, 2.0, 800)
     df = spark.createDataFrame([(k, "g", float(v)) for k, v in enumerate(x)], "id long, g string, x double")
-    r = S.bootstrap_ci(df, ["g"], "x", "id", resamples=400).first()
+    r = S.bootstrap_ci(df, ["g"], "x", resamples=400).first()
     half = 1.96 * x.std() / math.sqrt(len(x))
     assert r.mean == pytest.approx(x.mean()) and r.ci_low == pytest.approx(x.mean() - half, abs=0.06) and r.ci_high == pytest.approx(x.mean() + half, abs=0.06)
-    again = S.bootstrap_ci(df.repartition(7), ["g"], "x", "id", resamples=400).first()
+    again = S.bootstrap_ci(df.repartition(7), ["g"], "x", resamples=400).first()
     assert again.ci_low == pytest.approx(r.ci_low)
 
 
@@ -266,3 +267,25 @@ def test_labels_keys_and_distributions(spark):
     assert one(spark, a=P.dist_errors(m, ["fold"])).a == ["unknown", "negative", "sum"]
     legal = one(spark, a=P.filter_legal(F.create_map(F.lit("fold"), F.lit(0.2), F.lit("bet"), F.lit(0.6)), F.array(F.lit("fold")), F.lit("check")), b=P.filter_legal(F.create_map(F.lit("bet"), F.lit(1.0)), F.array(F.lit("fold")), F.lit("check")))
     assert legal.a == {"fold": 1.0} and legal.b == {"check": 1.0}
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    from decilog.streaming import stream as ST
+
+    source, path, state = (str(tmp_path / n) for n in ("in", "table", "log"))
+    want = {}
+    for run in range(3):
+        rows = [(f"k{k % 7}", 10 * run + k, run) for k in range(5)]
+        for k, n, r in rows:
+            want[k] = (n, r)
+        spark.createDataFrame(rows, "key string, n long, run int").coalesce(1).write.parquet(f"{source}/{run}")
+        s = spark.readStream.schema("key string, n long, run int").option("recursiveFileLookup", "true").parquet(source)
+        got = ST.maintain_state(s, path, state, ["key"], "n", buckets=3)
+        assert {r.key: (r.n, r.run) for r in got.collect()} == want
+    before = {r.key: r.n for r in ST.state_table(spark, path, got.schema, before=1).collect()}
+    assert before == {f"k{k}": k for k in range(5)}
+
+
+def test_places_of_an_ordered_frame(spark, tmp_path):
+    df = spark.range(1000).select((1000 - F.col("id")).alias("x")).repartition(7).orderBy("x")
+    assert sorted((r.x, r.place) for r in R.with_place(df, str(tmp_path / "o")).collect()) == [(k, k) for k in range(1, 1001)]
