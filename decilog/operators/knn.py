@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -104,6 +106,68 @@ def knn_lsh(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10,
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Unit centroids of an inverted-file index, and the cells that a query looks into."""
+
+    centroids: np.ndarray
+    probes: int
+
+
+def fit_cells(corpus: DataFrame, k: int = 10, vec: str = "vec", id_col: str = "id", recall: float = 0.95, max_sample: int = 20_000, seed: int = 5) -> Cells:
+    """Spherical k-means over at most ``max_sample`` rows, those first by a hash of the id.
+
+    There are about as many cells as the root of the corpus's rows. ``probes`` is the
+    least number of cells with which 200 rows of the sample find ``recall`` of their ``k``
+    nearest in the rest of it.
+    """
+    n = corpus.count()
+    rows = corpus.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(max_sample).select(vec).toPandas()  # bounded
+    m = unit(rows[vec]) if len(rows) else np.zeros((0, 1))
+    cells = int(max(1, min(4096, round(math.sqrt(n)), len(m))))
+    centroids = m[:cells].copy()
+    for _ in range(8):
+        own = np.argmax(m @ centroids.T, axis=1) if len(m) else np.zeros(0, int)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, m)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(length > 0, sums / np.where(length == 0, 1, length), centroids)
+    if len(m) <= k + 1:
+        return Cells(centroids, cells)
+    own = np.argmax(m @ centroids.T, axis=1)
+    asked = m[:200]
+    sims = asked @ m.T
+    sims[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    nearest = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(asked @ centroids.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    needed = np.sort(np.take_along_axis(place, own[nearest], axis=1).ravel())
+    return Cells(centroids, int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1)
+
+
+def knn_cells(queries: DataFrame, corpus: DataFrame, keys: list[str], cells: Cells, k: int = 10, vec: str = "vec", id_col: str = "id") -> DataFrame:
+    """Approximate form of :func:`knn` over an inverted file: every row lies in its nearest cell, a query looks into ``probes`` of them.
+
+    The cell is one more partition key, so cells with many rows are cut into blocks like
+    any partition; a query's rows from its cells are merged by the same window.
+    """
+    centroids, probes = cells.centroids, cells.probes
+
+    def places(n: int):
+        @F.pandas_udf("array<int>")
+        def found(v: pd.Series) -> pd.Series:
+            near = unit(v) @ centroids.T
+            top = np.argsort(-near, axis=1, kind="stable")[:, :n]
+            return pd.Series(list(top.astype(np.int32)))
+
+        return found
+
+    asked = queries.withColumn("_cell", F.explode(places(probes)(F.col(vec))))
+    held = corpus.withColumn("_cell", F.explode(places(1)(F.col(vec))))
+    return knn(asked, held, [*keys, "_cell"], k, vec, id_col)
+
+
 def sparseness(neighbours: DataFrame, queries: DataFrame, tau: float = 0.5, n_min: int = 3, id_col: str = "id") -> DataFrame:
     """Per query: neighbours, largest distance, sparse (too few, or one beyond ``tau``)."""
     got = neighbours.groupBy(F.col("query").alias(id_col)).agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("max_distance"))

@@ -308,11 +308,22 @@ def f10_position_features(spark, d):
     return v.select("hand_id", "seq", F.array_position("h", 1.0).alias("hero_slot"), F.array_position(F.slice("v", 1, 6), 1.0).alias("villain_slot"), *rest)
 
 
-@query()
+def hot_sql(column: str, values) -> list[str]:
+    return [f"CASE WHEN {column} = '{v}' THEN 1.0 ELSE 0.0 END" for v in values]
+
+
+VECTOR = [
+    "least(ln(1 + pot_before) / 6, 1)", "least(ln(1 + stack_after) / 8, 1)", "least(stack_after / CAST(pot_before AS DOUBLE) / 20, 1)", "least(f / CAST(pot_before AS DOUBLE), 2) / 2", "f / CAST(pot_before + f AS DOUBLE)",
+    *hot_sql("p.actor", E.AFTER_FLOP), *hot_sql("p.street", E.STREETS), "n_active / 6.0",
+]
+
+
+@query(with_roles(f"""WITH p AS (SELECT *, coalesce(facing_size, 0) AS f FROM ({POT})), a AS (SELECT hand_id, seq, n_active FROM ({ACTIVE}))
+SELECT p.hand_id, p.seq, {', '.join(f'round(CAST({x} AS DOUBLE), 5) AS v{k}' for k, x in enumerate(VECTOR))} FROM p JOIN a ON a.hand_id = p.hand_id AND a.seq = p.seq WHERE n_active > 1"""))
 def f14_feature_vector(spark, d):
     df = E.with_active_players(ratios(spark, d))
     vec = X.assemble(X.geometry(F.col("pot_before").cast("double"), F.col("stack_after").cast("double"), F.coalesce("facing_size", F.lit(0)).cast("double")), X.one_hot(F.col("actor"), E.AFTER_FLOP), X.one_hot(F.col("street"), E.STREETS), F.array(F.col("n_active") / 6))
-    return cut(df, F.transform(vec, lambda x: F.round(x, 5)).alias("vec"))
+    return cut(df, vec.alias("vec")).select("hand_id", "seq", *[F.round(F.col("vec")[k], 5).alias(f"v{k}") for k in range(len(VECTOR))])
 
 
 @query(with_roles("SELECT 'actor=' || actor || '|street=' || street AS key, actor AS bucket, '?' AS other, count(*) AS n FROM moves GROUP BY 1, 2"))

@@ -76,6 +76,17 @@ def n02_knn_lsh(spark, d):
     return K.knn_lsh(df, df.where("active"), ["part"], 10).select("query", "nb", d5(), "rank")
 
 
+@query(with_roles("SELECT count(*) AS queries, TRUE AS recalled FROM corpus WHERE id % 100 = 0"))
+def n02_knn_cells(spark, d):
+    """Recall of the approximate neighbours against the exact ones: every hundredth row against all."""
+    df = corpus_of(spark, d)
+    asked, live = df.where("id % 100 = 0"), df.where("active")
+    near = K.knn_cells(asked, live, ["part"], K.fit_cells(live), 10).select("query", "nb")
+    exact = K.knn(asked, live, ["part"], 10).select("query", "nb")
+    hit = exact.join(near.withColumn("hit", F.lit(1.0)), ["query", "nb"], "left").agg(F.countDistinct("query").alias("queries"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+    return hit.select("queries", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 @query(with_roles(f"WITH {BLEND} SELECT query, action, round(prob, 5) AS prob FROM bl"))
 def n03_blend(spark, d):
     return B.blend(neighbours(spark, d), corpus_of(spark, d)).select("query", "action", d5("prob"))
@@ -211,12 +222,22 @@ def sweep(spark, d):
     return E.weight_sweep(corpus_of(spark, d), ["part"], {"ordinal": one, "mixed": two}, [0.0, 0.5], k=8)
 
 
-@query()
+SWEEP = """st(variant, weight) AS (VALUES ('ordinal', 0.0::DOUBLE), ('ordinal', 0.5::DOUBLE), ('mixed', 0.0::DOUBLE), ('mixed', 0.5::DOUBLE)),
+ex AS (SELECT variant, weight, id, part, action, confidence, gto_score, list_concat(CAST(vec AS DOUBLE[]), CASE variant WHEN 'ordinal' THEN [label % 5 * weight] ELSE [id % 3 * weight, spr / 100.0 * weight] END) AS v FROM corpus, st),
+nb AS (SELECT * FROM (SELECT q.variant, q.weight, q.id AS query, c.id AS nb, c.action, c.confidence * c.gto_score AS cw, 1 - list_cosine_similarity(q.v, c.v) AS distance, row_number() OVER (PARTITION BY q.variant, q.weight, q.id ORDER BY 1 - list_cosine_similarity(q.v, c.v), c.id) AS rank
+ FROM ex q JOIN ex c ON c.variant = q.variant AND c.weight = q.weight AND c.part = q.part AND c.id <> q.id) WHERE rank <= 8),
+vo AS (SELECT variant, weight, query, action, sum(greatest(0, 1 - distance) * cw) AS w FROM nb GROUP BY ALL), bl AS (SELECT variant, weight, query, action, w / sum(w) OVER (PARTITION BY variant, weight, query) AS prob FROM vo WHERE w > 0),
+tp AS (SELECT variant, weight, query, arg_max(action, (prob, action)) AS top FROM bl GROUP BY ALL),
+sw AS (SELECT e.variant, e.weight, count(*) AS rows, avg(1 - coalesce(prob, 0)) AS loss, avg(CASE WHEN top = e.action THEN 1.0 ELSE 0.0 END) AS fidelity FROM ex e JOIN tp ON tp.variant = e.variant AND tp.weight = e.weight AND tp.query = e.id
+ LEFT JOIN bl ON bl.variant = e.variant AND bl.weight = e.weight AND bl.query = e.id AND bl.action = e.action GROUP BY e.variant, e.weight)"""
+
+
+@query(with_roles(f"WITH {SWEEP} SELECT variant, weight, rows, round(loss, 5) AS loss, round(fidelity, 5) AS fidelity FROM sw"))
 def n13_weight_sweep(spark, d):
     return sweep(spark, d).select("variant", "weight", "rows", d5("loss"), d5("fidelity"))
 
 
-@query()
+@query(with_roles(f"WITH {SWEEP}, h AS (SELECT * FROM sw WHERE weight = 0.5), b AS (SELECT * FROM h WHERE variant = 'ordinal') SELECT h.variant, round(h.loss - b.loss, 5) AS d_loss, round(h.fidelity - b.fidelity, 5) AS d_fidelity, CASE WHEN h.loss - b.loss < -1e-3 THEN 'better' WHEN h.loss - b.loss > 1e-3 THEN 'worse' ELSE 'same' END AS verdict FROM h, b"))
 def n14_compare_variants(spark, d):
     got = E.compare_variants(sweep(spark, d).where("weight = 0.5"), "ordinal")
     return got.select("variant", d5("d_loss"), d5("d_fidelity"), "verdict")
