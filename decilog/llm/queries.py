@@ -149,7 +149,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id") % 50), F.concat(F.lit("f"), F.col("doc_id")))
+    """Documents have no paths: they are filed at four depths, from ``source/`` down to ``source/lang/dN/eM/``."""
+    depth, part = F.col("doc_id") % 4, lambda letter, n: F.concat(F.lit(letter), F.floor(F.col("doc_id") / 4) % n)
+    path = F.concat_ws("/", "source", F.when(depth >= 1, F.col("lang")), F.when(depth >= 2, part("d", 50)), F.when(depth >= 3, part("e", 70)), F.concat(F.lit("f"), F.col("doc_id")))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
     return license_scan.scan(files).withColumnRenamed("file_id", "doc_id")
 
@@ -157,28 +159,37 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS = ", ".join(f"('{name}', {number}, '{term}', {n})" for name, number, term, n in license_scan.template_terms())
 ORACLES["op5_license_scan"] = rf"""
 WITH tt(license, template, term, n) AS (VALUES {TERMS}), docs AS (
-  SELECT doc_id, source || '/' || lang || '/d' || (doc_id % 50) AS dir, coalesce(text, '') AS t FROM documents
-), lines AS (
-  SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS s FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM docs)
-), terms AS (
-  SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM lines
+  SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id % 4 >= 1 THEN lang END, CASE WHEN doc_id % 4 >= 2 THEN 'd' || (doc_id // 4 % 50) END, CASE WHEN doc_id % 4 >= 3 THEN 'e' || (doc_id // 4 % 70) END) AS dir, coalesce(text, '') AS t FROM documents
+), lists AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM docs), whole AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM docs
 ), size AS (SELECT count(*) AS n FROM docs), idf AS (
-  SELECT v.term, ln((1 + (SELECT n FROM size)) / (1 + count(DISTINCT terms.doc_id))::DOUBLE) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN terms ON terms.term = v.term GROUP BY v.term
+  SELECT v.term, ln((1 + (SELECT n FROM size)) / (1 + count(whole.doc_id))::DOUBLE) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN whole ON whole.term = v.term GROUP BY v.term
+), near AS (
+  SELECT DISTINCT doc_id FROM whole JOIN idf ON idf.term = whole.term
+), spans AS (
+  SELECT doc_id, width, unnest(range(1, len(l) - width + 2)) AS line, l FROM lists, (SELECT unnest(range(1, {license_scan.LINES} + 1)) AS width) WHERE len(l) >= width AND doc_id IN (SELECT doc_id FROM near)
+), terms AS (
+  SELECT doc_id, line, width, unnest(regexp_extract_all(lower(array_to_string(l[line:line + width - 1], ' ')), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM spans
 ), w AS (
-  SELECT doc_id, line, t.term, count(*) * coalesce(any_value(idf.idf), ln(1 + (SELECT n FROM size)) + 1) AS w
-  FROM terms t LEFT JOIN idf ON idf.term = t.term GROUP BY doc_id, line, t.term
-), norm AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id, line), u AS (
+  SELECT doc_id, line, width, t.term, count(*) * coalesce(any_value(idf.idf), ln(1 + (SELECT n FROM size)) + 1) AS w
+  FROM terms t LEFT JOIN idf ON idf.term = t.term GROUP BY doc_id, line, width, t.term
+), norm AS (SELECT doc_id, line, width, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id, line, width), u AS (
   SELECT license, template, tt.term, tt.n * idf / sqrt(sum(tt.n * idf * tt.n * idf) OVER (PARTITION BY template)) AS unit FROM tt JOIN idf ON idf.term = tt.term
 ), s AS (
   SELECT w.doc_id, u.license, round(sum(w.w * u.unit) / any_value(norm.norm), 6) AS score
-  FROM w JOIN u ON u.term = w.term JOIN norm ON norm.doc_id = w.doc_id AND norm.line = w.line GROUP BY w.doc_id, w.line, u.license, u.template
+  FROM w JOIN u ON u.term = w.term JOIN norm ON norm.doc_id = w.doc_id AND norm.line = w.line AND norm.width = w.width GROUP BY w.doc_id, w.line, w.width, u.license, u.template
 ), own AS (
   SELECT doc_id, arg_max(license, (score, license)) AS own_license, max(score) AS own_score FROM s WHERE score >= {license_scan.THRESHOLD} GROUP BY doc_id
 ), votes AS (
   SELECT dir, own_license, count(*) AS n FROM docs JOIN own ON own.doc_id = docs.doc_id GROUP BY dir, own_license
-), of_dir AS (SELECT dir, arg_min(own_license, (-n, own_license)) AS license FROM votes GROUP BY dir)
+), of_dir AS (SELECT dir, arg_min(own_license, (-n, own_license)) AS license FROM votes GROUP BY dir
+), up AS (
+  SELECT dir AS leaf, unnest(range(len(string_split(dir, '/')) + 1)) AS height, string_split(dir, '/') AS parts FROM (SELECT DISTINCT dir FROM docs)
+), near_dir AS (
+  SELECT leaf, arg_min(o.dir, height) AS dir, arg_min(o.license, height) AS license FROM up JOIN of_dir o ON o.dir = array_to_string(parts[1:len(parts) - height], '/') GROUP BY leaf
+)
 SELECT d.doc_id, d.dir || '/f' || d.doc_id AS path, own.own_license, own.own_score, coalesce(own.own_license, o.license) AS license,
-  CASE WHEN own.own_license IS NOT NULL THEN d.dir || '/f' || d.doc_id WHEN o.license IS NOT NULL THEN d.dir END AS found_in
-FROM docs d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN of_dir o ON o.dir = d.dir
+  CASE WHEN own.own_license IS NOT NULL THEN d.dir || '/f' || d.doc_id ELSE o.dir END AS found_in
+FROM docs d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN near_dir o ON o.leaf = d.dir
 """

@@ -181,6 +181,16 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan(df.limit(0)).collect() == []
 
 
+def test_wrapped_notices_and_licence_texts(spark):
+    gpl = "/* This program is free software: you can redistribute it and/or modify it\n * under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n */\nint main() {{}}"
+    mit = "The MIT text\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction"
+    bsd = "are met:\n\nNeither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."
+    rows = [(1, "a/x.c", gpl.format(3)), (2, "a/y.c", gpl.format(2)), (3, "b/LICENSE", mit), (4, "b/c/d/e.py", "print()"), (5, "c/LICENSE", bsd), (6, "c/z.py", "the river and the software of the bank")]
+    df = spark.createDataFrame(rows, "file_id long, path string, text string")
+    got = {r.file_id: (r.license, r.found_in) for r in license_scan.scan(df).collect()}
+    assert got == {1: ("GPL-3.0", "a/x.c"), 2: ("GPL-2.0", "a/y.c"), 3: ("MIT", "b/LICENSE"), 4: ("MIT", "b"), 5: ("BSD-3-Clause", "c/LICENSE"), 6: ("BSD-3-Clause", "c")}
+
+
 def test_licence_scores_equal_brute_force(spark):
     rng = random.Random(2)
     vocabulary = sorted({t for _, _, t, _ in license_scan.template_terms()}) + ["river", "bank"]
