@@ -123,9 +123,9 @@ def patch_history(patches: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def patch_chain(patches: DataFrame) -> DataFrame:
-    """The patch ids of each cluster in order of time."""
-    got = patches.groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("ts", "patch_id"))).alias("s"))
-    return got.select("cluster_key", F.array_join(F.transform("s", lambda x: x["patch_id"].cast("string")), ",").alias("chain"), F.size("s").cast("long").alias("n"))
+    """The patches of each cluster in order of time, a row each: cluster_key, place (from 1), patch_id, prev_patch."""
+    order = Window.partitionBy("cluster_key").orderBy("ts", "patch_id")
+    return patches.select("cluster_key", F.row_number().over(order).cast("long").alias("place"), "patch_id", F.lag("patch_id").over(order).alias("prev_patch"))
 
 
 def browse_hands(index: DataFrame, ranges: DataFrame, obs: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -91,7 +91,7 @@ def w13_patch_history(spark, d):
     return got.select("patch_id", "cluster_key", "status", "new_source", F.round("new_score", 6).alias("new_score"), F.round("prev_score", 6).alias("prev_score"))
 
 
-@query(with_roles("SELECT cluster_key, string_agg(CAST(patch_id AS VARCHAR), ',' ORDER BY ts, patch_id) AS chain, count(*) AS n FROM patches GROUP BY cluster_key"))
+@query(with_roles("SELECT cluster_key, row_number() OVER w AS place, patch_id, lag(patch_id) OVER w AS prev_patch FROM patches WINDOW w AS (PARTITION BY cluster_key ORDER BY ts, patch_id)"))
 def w13_patch_chain(spark, d):
     return R.patch_chain(role(spark, d, "patches"))
 
