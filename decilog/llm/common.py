@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -15,11 +19,13 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, a local session) a temporary folder is taken and
-    set, which only a session with one machine can do.
+    Where it is unset a local session (tests) takes a temporary folder; a cluster has
+    none to share, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -57,6 +63,11 @@ class Scratch:
         self.tables.append(stage(df, name))
         return self.tables[-1]
 
+    def drop(self, df: DataFrame) -> None:
+        """Delete one of the tables before the others."""
+        self.tables = [t for t in self.tables if t is not df]
+        unstage(df)
+
     def clear(self) -> None:
         while self.tables:
             unstage(self.tables.pop())
@@ -66,9 +77,24 @@ class Scratch:
 ROW = "_row_key"
 
 
-def keyed_rows(df: DataFrame, name: str) -> DataFrame:
+def keyed_rows(df: DataFrame, name: str, left: Scratch) -> DataFrame:
     """``df`` with a key of its own for each row, written so that every plan reads the same keys."""
-    return stage(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    return left.stage(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def with_verdict(docs: DataFrame, verdicts: Callable[[pa.Array], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text ``verdicts`` keeps, with all their columns, in one pass.
+
+    Each row is judged by its own text, so null and repeated ids do no harm.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField(ROW, T.BooleanType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts(batch.column(at)), pa.bool_())], [*batch.schema.names, ROW])
+
+    return docs.mapInArrow(run, schema).where(ROW).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:

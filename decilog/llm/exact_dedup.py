@@ -19,7 +19,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import ROW, Scratch, keyed_rows, need, stage
+from decilog.llm.common import ROW, Scratch, keyed_rows, need
 
 #: Leading bits over which keys are counted first, by how many more until no prefix overflows, and at most.
 FIRST_BITS, MORE_BITS, MOST_BITS = 10, 4, 62
@@ -144,7 +144,7 @@ def chained(texts: DataFrame, index: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.stage(found, "dedup-chained")
 
 
-def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, row_col: str | None = None) -> DataFrame:
+def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, row_col: str | None = None, left: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket.
 
     Of the documents with equal bytes after deleting white space, the one with the
@@ -153,17 +153,18 @@ def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id
     ``row_col`` (a column, also returned as ``row``, that names each row) a row that
     repeats an id is a row of its own in the counts and kept with it, and so are the
     longest of copies of which none has an id. An empty table gives no rows. Other
-    columns are not read.
+    columns are not read. ``left`` gets the tables that the result is read from, to delete
+    when it is written.
     """
-    scratch = Scratch()
+    scratch, left = Scratch(), left or Scratch()
     texts = keyed(need(docs, id_col, text_col, *[row_col] if row_col else []), id_col, text_col, digest_bits, row_col)
-    rows = stage(texts.select("doc_id", "row", "n_chars", "h64", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
+    rows = left.stage(texts.select("doc_id", "row", "n_chars", "h64", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
     index, directory = build_index(rows, capacity, scratch)
     strays = chained(with_bucket(texts, directory), index, scratch)
     gone = strays.groupBy(*KEY).agg(F.count(F.lit(1)).alias("gone"))
-    entries = stage(index.join(gone, KEY, "left").select(*KEY, "best", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")), "dedup-chained")
+    entries = left.stage(index.join(gone, KEY, "left").select(*KEY, "best", (F.col("copies") - F.coalesce("gone", F.lit(0))).alias("copies")), "dedup-chained")
     own = ["doc_id", "row", "n_chars", "text_sha256", *KEY]
-    one = stage(strays.dropDuplicates(own).select(*[F.col(c).alias(f"s_{c}") for c in own], "stray", "stray_copies"), "dedup-one")
+    one = left.stage(strays.dropDuplicates(own).select(*[F.col(c).alias(f"s_{c}") for c in own], "stray", "stray_copies"), "dedup-one")
     scratch.clear()
     found = with_bucket(rows, directory).drop("local_depth").join(entries, KEY)
     same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in own]
@@ -174,12 +175,14 @@ def dedup_groups(docs: DataFrame, capacity: int = 200_000, id_col: str = "doc_id
     )
 
 
-def keep_unique(docs: DataFrame, capacity: int = 200_000) -> DataFrame:
+def keep_unique(docs: DataFrame, capacity: int = 200_000, left: Scratch | None = None) -> DataFrame:
     """One row of each group of copies, with all its columns.
 
     Rows are judged by keys of their own, so null and repeated ids do no harm; of rows
-    without text one stays. An empty table gives an empty one.
+    without text one stays. An empty table gives an empty one. ``left`` as in
+    :func:`dedup_groups`.
     """
-    rows = keyed_rows(docs, "dedup-rows")
-    kept = dedup_groups(rows, capacity, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    left = left or Scratch()
+    rows = keyed_rows(docs, "dedup-docs", left)
+    kept = dedup_groups(rows, capacity, row_col=ROW, left=left).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

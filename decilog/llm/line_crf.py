@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import ROW, keyed_rows, need
+from decilog.llm.common import need, with_verdict
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 N_FEATURES = 11
@@ -221,6 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_ba
     return fit_lines([(*describe(text)[1:], y) for _, text, y in found])
 
 
+def verdict(text: str | None, model: LineCrf, least_share: float = 0.5) -> tuple[int, int, int, int, int, bool, int, int, int, bool]:
+    """The counts of :func:`describe`, base_failed, content_words, n_lines, n_content_lines, kept."""
+    base, lines, counts = describe(text)
+    content = model.viterbi(lines) == 1
+    failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+    held = int(counts[content].sum()) if len(counts) else 0
+    return (*base, failed, held, len(counts), int(content.sum()), not failed and held >= least_share * base[0])
+
+
 def judge(docs: DataFrame, model: LineCrf, least_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its counts and the verdict.
 
@@ -235,11 +244,7 @@ def judge(docs: DataFrame, model: LineCrf, least_share: float = 0.5, id_col: str
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                base, lines, counts = describe(text.as_py())
-                content = model.viterbi(lines) == 1
-                failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
-                held = int(counts[content].sum()) if len(counts) else 0
-                rows.append((doc, *base, failed, held, len(counts), int(content.sum()), not failed and held >= least_share * base[0]))
+                rows.append((doc, *verdict(text.as_py(), model, least_share)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
     rows = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -252,7 +257,11 @@ def judge_documents(docs: DataFrame, labels: DataFrame, usable: Column | None =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; each row is judged by itself."""
-    rows = keyed_rows(docs, "quality-rows")
-    bad = judge(rows, fit(rows, labels), id_col=ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    """The documents that stay, with all their columns.
+
+    Each row is judged by its own text: null and repeated ids do no harm, rows without ten
+    words go. An empty table gives an empty one; without labels of both classes symbols,
+    separators and repeats are boilerplate.
+    """
+    model = fit(docs, labels)
+    return with_verdict(docs, lambda texts: [verdict(t.as_py(), model)[-1] for t in texts])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import ROW, Scratch, keyed_rows, need, shared_dir, stage, unstage
+from decilog.llm.common import ROW, Scratch, keyed_rows, need, shared_dir, unstage
 from decilog.llm.components import components
 from decilog.llm.shingles import distinct, mix, rounds
 
@@ -320,7 +320,7 @@ def link_components(hot: DataFrame, links: DataFrame, texts: SetTable, threshold
     return comp
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bits: int = 20, id_col: str = "doc_id", text_col: str = "text", left: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_id, component_id.
 
     Two documents link when ``100 * intersection >= threshold * union`` of their
@@ -329,21 +329,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
     an empty set and link with nothing. Ids name documents: rows that repeat an id
     are all listed, and links of any of them are links of the id (which of their texts is
     compared with others is not defined; :func:`keep_one` gives rows keys of their own).
-    A row without an id is listed with a null component. An empty table gives no rows.
+    A row without an id has the component of an equal text, else null. An empty table gives
+    no rows. ``left`` gets the tables that the result is read from, to delete when it is written.
     """
     docs = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scratch = Scratch()
+    scratch, left = Scratch(), left or Scratch()
     levels = count_levels(docs, width, bits)
     whole = scratch.stage(signatures(docs, width, threshold, levels, bits), "join-whole")
-    signed = stage(whole.select("doc_id", "n", "digest", F.col("prefix").isNotNull().alias("listed")), "join-signed")
+    signed = left.stage(whole.select("doc_id", "n", "digest", F.col("prefix").isNotNull().alias("listed")), "join-signed")
     least = F.min(F.when(F.col("listed"), F.col("doc_id")))
-    nodes = stage(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), least.alias("rep")), "join-nodes")
+    nodes = left.stage(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), least.alias("rep")), "join-nodes")
     copies = signed.where("listed").join(nodes, "digest").where("doc_id <> rep").select("doc_id")
     equal = nodes.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     listed = whole.where("prefix IS NOT NULL").join(copies, "doc_id", "left_anti")
     entries = listed.select(F.posexplode("prefix").alias("place", "token"), F.col("doc_id").alias("id"), "n")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     index = scratch.stage(entries.join(shared, "token").select("token", "id", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place"), "rows"), "join-index")
+    scratch.drop(whole)
     hot = index.where(F.col("rows") > HOT).select("token", "id", "n", "place")
     hot_ids = scratch.stage(hot.groupBy("id").agg(F.count(F.lit(1)).alias("k")), "join-hot")
     pairs = scratch.stage(counted_pairs(index, hot_ids, threshold), "join-pairs")
@@ -351,6 +353,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
     texts = SetTable(sets(docs, id_map(wanted), width, threshold, levels, bits))
     links = scratch.stage(verify(pairs, texts, threshold, scratch).unionByName(equal), "join-links")
     comp = link_components(hot, links, texts, threshold, scratch)
+    left.tables.append(comp)
     texts.drop()
     scratch.clear()
     return (
@@ -361,14 +364,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80, left: Scratch | None = None) -> DataFrame:
     """One row of each component, with all its columns: that with the smallest id, null ids last.
 
     Rows are judged by keys of their own, so null and repeated ids do no harm; rows
-    without text all stay. An empty table gives an empty one.
+    without text all stay. An empty table gives an empty one. ``left`` as in
+    :func:`jaccard_components`.
     """
-    rows = keyed_rows(docs, "join-rows")
-    found = jaccard_components(rows, width, threshold, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    left = left or Scratch()
+    rows = keyed_rows(docs, "join-docs", left)
+    found = jaccard_components(rows, width, threshold, id_col=ROW, left=left).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
     kept = found.join(rows.select("doc_id", ROW), ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return rows.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import ROW, keyed_rows, need
+from decilog.llm.common import need, with_verdict
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of scripts without spaces between words: South-East Asian, kana, Han.
@@ -242,15 +242,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_to
     return fit_rows([(t, y) for _, t, y in order])
 
 
+def scores(texts: pa.Array, model: Model, distance: WindowDistance) -> np.ndarray:
+    rows = np.array([features(t.as_py(), distance) for t in texts], float).reshape(len(texts), -1)
+    return model.score(rows) if len(texts) else np.zeros(0)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every whole text; null and empty texts get the score of no windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = WindowDistance(model.pair)
         for batch in batches:
-            rows = np.array([features(t.as_py(), distance) for t in batch.column(1)], float).reshape(batch.num_rows, -1)
-            found = model.score(rows) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), model, distance), pa.float64())], ["doc_id", "score"])
 
     rows = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -274,7 +277,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents whose score is under ``threshold``, with all their columns; each row is judged by itself."""
-    rows = keyed_rows(docs, "toxicity-rows")
-    bad = score(rows, fit(rows, labels, ~held_out(F.col("doc_id"))), ROW).where(F.col("score") >= threshold).select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    """The documents whose score is under ``threshold``, with all their columns.
+
+    Each row is judged by its own text: null and repeated ids do no harm, null and empty
+    texts stay unless the model scores no windows at all as toxic. An empty table gives an
+    empty one, and without labels of both classes every row has the same score.
+    """
+    model, judge = fit(docs, labels, ~held_out(F.col("doc_id"))), []
+
+    def verdicts(texts: pa.Array) -> list[bool]:
+        if not judge:
+            judge.append(WindowDistance(model.pair))  # one for each task
+        return list(scores(texts, model, judge[0]) < threshold)
+
+    return with_verdict(docs, verdicts)
