@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from decilog.llm.byte_bpe import Splitter
-from decilog.llm.common import need, stage
+from decilog.llm.common import Scratch, need
 
 #: The id that ends every document.
 END_ID = 2
@@ -198,11 +198,11 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", left: Scratch | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are documents of one id. Rows that repeat an id are
     documents of their own. An empty table gives no rows.
     """
-    pieces = stage(tokenise(docs, path, pattern, size, id_col, text_col), "pack-pieces")
+    pieces = (left or Scratch()).stage(tokenise(docs, path, pattern, size, id_col, text_col), "pack-pieces")
     return pack(pieces, size)
