@@ -97,6 +97,11 @@ def with_verdict(docs: DataFrame, verdicts: Callable[[pa.Array], list[bool]], te
     return docs.mapInArrow(run, schema).where(ROW).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def if_small(table: DataFrame, most: int) -> DataFrame:
+    """``table`` with a broadcast hint if it has at most ``most`` rows; else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only ``columns`` of ``df``, so that extra or clashing names do no harm."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -19,11 +19,14 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import ROW, Scratch, keyed_rows, need
+from decilog.llm.common import ROW, Scratch, if_small, keyed_rows, need
 
 #: Leading bits over which keys are counted first, by how many more until no prefix overflows, and at most.
 FIRST_BITS, MORE_BITS, MOST_BITS = 10, 4, 62
 
+#: Entries with several rows (of some 60 bytes) up to which they are broadcast.
+SMALL = 200_000
+
 
 def normalise(text: Column) -> Column:
     """The text without white space of ``[\\x20\\x09-\\x0D]``; null counts as empty."""
@@ -132,11 +135,12 @@ def with_bucket(entries: DataFrame, directory: Directory) -> DataFrame:
 def chained(texts: DataFrame, index: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows whose bytes differ from those that their entry keeps, regrouped by bytes.
 
-    Only the texts of entries with several rows move; the kept text meets its chain in
-    an inner join whose large partitions Spark can split.
+    Only the texts of entries with several rows are compared; where there are at most
+    SMALL such entries they go to the texts, and no others move. The kept text meets its
+    chain in an inner join whose large partitions Spark can split.
     """
-    shared = index.where("copies > 1").select(*KEY, "best")
-    chain = scratch.stage(texts.join(shared, KEY), "dedup-chains")
+    shared = scratch.stage(index.where("copies > 1").select(*KEY, "best"), "dedup-shared")
+    chain = scratch.stage(texts.join(if_small(shared, SMALL), KEY), "dedup-chains")
     kept = chain.where(is_row(F.col("best"))).groupBy(*KEY).agg(F.max("norm").alias("kept_norm"))
     strays = scratch.stage(chain.join(kept, KEY).where("norm <> kept_norm").select("doc_id", "row", "n_chars", "norm", *KEY), "dedup-strays")
     groups = strays.groupBy(*KEY, "norm").agg(best_row().alias("best"), F.count(F.lit(1)).alias("copies"))

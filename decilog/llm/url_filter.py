@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need, stage
+from decilog.llm.common import if_small, need, stage
 
 #: (verdict, rule): host, then the start of the path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -88,10 +88,6 @@ def with_lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
     ).drop("_rest")
 
 
-def fits_broadcast(table: DataFrame) -> bool:
-    return table.limit(SMALL + 1).count() <= SMALL
-
-
 def share_tables(labelled: DataFrame) -> dict[str, DataFrame]:
     """Sums of blocked URLs (bad) and URLs (n) by suffix, domain and host, staged; ``all`` has one row."""
     by_host = stage(labelled.groupBy("suffix", "domain", "host").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")), "url-hosts")
@@ -107,8 +103,7 @@ def with_suffix_statistics(df: DataFrame, tables: dict[str, DataFrame]) -> DataF
     broadcast; beyond that the join is one whose large partitions Spark can split.
     """
     for key in ("suffix", "domain", "host"):
-        table = tables[key]
-        df = df.join(F.broadcast(table) if fits_broadcast(table) else table, key, "left")
+        df = df.join(if_small(tables[key], SMALL), key, "left")
     df = df.join(F.broadcast(tables["all"]), how="cross")  # one row
     own = {c: F.coalesce(F.col(f"host_{c}"), F.lit(0)) for c in ("bad", "n")}
     for key in ("suffix", "domain"):
