@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need, stage
+from decilog.llm.common import Scratch, need, stage
 
 #: Notices by which files name their licence, and sentences of licence texts that no other has.
 TEMPLATES = {
@@ -108,29 +108,39 @@ def windows(lines: Column, widths: Iterable[int]) -> Column:
     return F.flatten(F.array(*map(of_width, widths)))
 
 
-def match_lines(files: DataFrame, threshold: float, widths: Iterable[int] = (1,)) -> DataFrame:
+def word_pattern(words: Iterable[str]) -> str:
+    """A regular expression of any of the words, whole and in either case; grouped by the first letter, so few are tried."""
+    by: dict[str, list[str]] = {}
+    for word in sorted(words):
+        by.setdefault(word[0], []).append(re.escape(word[1:]))
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")(?![a-z0-9])"
+
+
+def match_lines(files: DataFrame, threshold: float, widths: Iterable[int] = (1,), scratch: Scratch | None = None) -> DataFrame:
     """file_id, line, license, score: of the windows that begin at a line the best, with its best template at or above ``threshold``.
 
-    The document counts behind the weights are those of all files.
+    The document counts behind the weights are those of all files. ``scratch`` gets the
+    files with an anchor, from which the result is read.
     """
+    scratch = scratch or Scratch()
     spark = files.sparkSession
     rows = template_terms()
     vocabulary = sorted({t for _, _, t, _ in rows})
-    has = [F.sum(F.array_contains("terms", t).cast("long")).alias(f"t{k}") for k, t in enumerate(vocabulary)]
-    lowered = files.select(line_terms(F.coalesce("text", F.lit(""))).alias("terms")).select(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary])).alias("terms"))
-    counted = lowered.agg(F.count(F.lit(1)).alias("n"), *has).first()  # one row
-    idf = {t: rarity(counted["n"], counted[f"t{k}"] or 0) for k, t in enumerate(vocabulary)}
+    lowered = files.select(line_terms(F.coalesce("text", F.lit(""))).alias("terms")).select(F.explode(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary]))).alias("term"))
+    n_with = {r["term"]: r["n"] for r in lowered.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each term of the templates
+    n_files = files.count()
+    idf = {t: rarity(n_files, n_with.get(t, 0)) for t in vocabulary}
     weights: dict[int, dict[str, float]] = {}
     for _, number, term, n in rows:
         weights.setdefault(number, {})[term] = n * idf[term]
     norm = {number: math.sqrt(sum(w * w for w in terms.values())) for number, terms in weights.items()}
     table = spark.createDataFrame([(name, number, t, weights[number][t] / norm[number]) for name, number, t, _ in rows], "license string, template int, term string, unit double")
     rare = spark.createDataFrame([(t, w) for t, w in idf.items()], "term string, idf double")
-    unknown = rarity(counted["n"], 0)
-    anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, anchors(weights, threshold)))) + ")(?![a-z0-9])"
+    unknown = rarity(n_files, 0)
+    anchor = word_pattern(anchors(weights, threshold))
+    near = scratch.stage(files.where(F.col("text").rlike(anchor)).select("file_id", "text"), "license-near")
     lines = (
-        files.where(F.col("text").rlike(anchor))
-        .select("file_id", F.split("text", "\n").alias("lines"))
+        near.select("file_id", F.split("text", "\n").alias("lines"))
         .select("file_id", F.inline(windows(F.col("lines"), widths)))
         .where(F.col("content").rlike(anchor))
     )
@@ -166,8 +176,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other columns are not read.
     """
     files = need(files, "file_id", "path", "text")
-    own = match_lines(files, threshold, range(1, LINES + 1)).groupBy("file_id").agg(F.max(F.struct("score", "license")).alias("top"))
+    scratch = Scratch()
+    own = match_lines(files, threshold, range(1, LINES + 1), scratch).groupBy("file_id").agg(F.max(F.struct("score", "license")).alias("top"))
     own = stage(own.select("file_id", F.col("top.license").alias("own_license"), F.col("top.score").alias("own_score")), "license-own")
+    scratch.clear()
     named = files.select("file_id", "path").join(own, "file_id", "left")
     votes = named.where("own_license IS NOT NULL AND path IS NOT NULL").select(F.element_at(ancestors(F.col("path")), 1).alias("dir"), "own_license")
     votes = votes.groupBy("dir", "own_license").agg(F.count(F.lit(1)).alias("n"))
