@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decilog.llm import byte_bpe, chat, exact_dedup, html_extract, license_scan, line_crf, ngram_join, packing, toxicity, url_filter
+from decilog.llm import byte_bpe, chat, exact_dedup, html_extract, license_scan, line_crf, ngram_join, packing, source_audit, toxicity, url_filter
 from decilog.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,37 @@ SELECT d.doc_id, d.dir || '/f' || d.doc_id AS path, own.own_license, own.own_sco
   CASE WHEN own.own_license IS NOT NULL THEN d.dir || '/f' || d.doc_id ELSE o.dir END AS found_in
 FROM docs d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN near_dir o ON o.leaf = d.dir
 """
+
+
+@query
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (SELECT id, lang, source, unnest(terms) AS term FROM d), kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS lang_size FROM kept GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM d), n AS (
+  SELECT t.lang, t.source, t.term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY ALL
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(sum(n.n), 0) AS size FROM groups g LEFT JOIN n ON n.lang = g.lang AND n.source = g.source GROUP BY ALL
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(n.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n.n, 0) + 1) // (s.size + v.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (k.total + 1) // (v.lang_size + v.v) AS q
+  FROM sizes s JOIN kept k ON k.lang = s.lang JOIN v ON v.lang = s.lang LEFT JOIN n ON n.lang = s.lang AND n.source = s.source AND n.term = k.term
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(s.value, 0) AS value FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+), terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q), r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms QUALIFY rank <= 200
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
+"""
