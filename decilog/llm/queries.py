@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decilog.llm import byte_bpe, chat, exact_dedup, html_extract, license_scan, line_crf, ngram_join, packing, source_audit, token_align, toxicity, url_filter
+from decilog.llm import byte_bpe, chat, exact_dedup, html_extract, license_scan, line_crf, ngram_join, packing, pii, source_audit, token_align, toxicity, url_filter
 from decilog.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +234,8 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_align.align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
