@@ -8,7 +8,8 @@ IC(e) - PMI(e; t) = -log2 P(e | t) bits. Terms that leave at most one bit are re
 that leave at most two are generalised to what kind of term they are, wherever they stand.
 
 Co-occurrence is counted within a window of terms around the entity, and only counts as
-evidence if enough different windows show it, so that copies of one text prove nothing.
+evidence if enough different windows show it. Windows count as one if the least hash of
+their pairs of neighbouring terms is the same, as in copies and in most near copies of a text.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ def company(docs: DataFrame) -> DataFrame:
                 for span in base:
                     entity, left, right = value_of(text, span), bisect_left(starts, span[0]), bisect_left(starts, span[2])
                     near = [t[2] for t in terms[max(0, left - NEAR) : left]], [t[2] for t in terms[right : right + NEAR]]
-                    window = xxhash.xxh64_intdigest("\0".join([*near[0], "", *near[1]])) - (1 << 63)
+                    pairs = [f"{a} {b}" for side in near for a, b in zip(side, side[1:])] or [" ".join([*near[0], *near[1]])]
+                    window = min(map(xxhash.xxh64_intdigest, pairs)) - (1 << 63)
                     for term in {*near[0], *near[1]}:
                         rows.append((entity, term, window, int((entity, term) not in met)))
                         met.add((entity, term))

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from decilog.llm import pii
@@ -75,11 +76,12 @@ def expected(rows):
             value = text[s:e].lower() if k < 2 else re.sub("[^0-9]", "", text[s:e])
             left, right = [low(m) for m in clear if m.end() <= s][-8:], [low(m) for m in clear if m.start() >= e][:8]
             for term in set(left + right):
-                near[f"{list(FORMS)[k]}:{value}", term].append((doc, tuple(left), tuple(right)))
+                pairs = [f"{a} {b}" for side in (left, right) for a, b in zip(side, side[1:])] or [" ".join([*left, *right])]
+                near[f"{list(FORMS)[k]}:{value}", term].append((doc, min(xxhash.xxh64_intdigest(p) for p in pairs)))
     out = {}
     for (entity, term), at in near.items():
-        both = len({d for d, _, _ in at})
-        if len({x[1:] for x in at}) >= 3 and both * 4 >= docs[term]:
+        both = len({d for d, _ in at})
+        if len({x[1] for x in at}) >= 3 and both * 4 >= docs[term]:
             out[entity, term] = (both, docs[term], math.log2(docs[term] / both))
     return out
 
