@@ -18,8 +18,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -35,8 +35,8 @@ from decilog.llm.packing import byte_names
 #: A plain space between two characters that are not white space. Neither tokenizer joins
 #: across it, so what lies between two of them is encoded by itself (with the space before it).
 BORDER = re.compile(r"(?<=\S) (?=\S)")
-#: Encoded stretches that a worker remembers before it starts afresh (about 250 MB).
-CACHE = 500_000
+#: Encoded stretches that a worker remembers before it starts afresh (about 110 MB).
+CACHE = 300_000
 #: Links, and documents, after which a run is written.
 RUN_LINKS, RUN_DOCS = 2_000_000, 1 << 16
 #: Runs that one merge reads, and runs that are answered beside one copy of their radix's counts.
@@ -44,6 +44,8 @@ FAN_IN, SHARED = 64, 32
 #: Bits of the radix: 2^4 slices of the first vocabulary.
 RADIX_BITS = 4
 PLACE_BITS = 20
+#: The place of a stretch whose bytes either side changes.
+BAD = -1
 
 
 class Sides:
@@ -65,7 +67,10 @@ class Sides:
         self.apart = not any(re.search(r"[^▁]▁", p) for p in map(self.pieces.id_to_piece, range(self.pieces.get_piece_size())))
         self.b_bits = (len(self.b_bytes) - 1).bit_length()
         self.width = -(-len(self.a_bytes) >> RADIX_BITS) + 1
-        self.cache: dict[str, tuple | None] = {}
+        self.a_sizes, self.b_sizes = np.fromiter(map(len, self.a_bytes), np.int64), np.fromiter(map(len, self.b_bytes), np.int64)
+        #: Each id as text: inside and at the end of a group's tokens of a, and of b.
+        self.marked = [np.array([f"{k}{mark}" for k in range(len(side)) for mark in marks], object) for side, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
+        self.forget()
 
     def radix_bound(self) -> np.ndarray:
         """The first pair number of every radix, and one past the last."""
@@ -79,33 +84,62 @@ class Sides:
     def a_ids(self, stretch: str) -> list[int]:
         return [t.id for piece in self.split(" " + stretch) for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.names))]
 
-    def learn(self, stretches: list[str], cache: dict[str, tuple | None]) -> None:
-        """Encode and align ``stretches``, each after a space: (tokens of a, of b, groups, groups' text, pair numbers); None if the bytes differ."""
-        for stretch, b in zip(stretches, self.pieces.encode(stretches, num_threads=1)):
-            a = self.a_ids(stretch)
-            data = b" " + stretch.encode()
-            cache[stretch] = self.aligned(a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b)) else None
-
-    def aligned(self, a: list[int], b: list[int]) -> tuple[int, int, int, str, bytes]:
-        """Walk both cuts at once: every step is a link, a cut of both ends a group."""
-        links, text, groups = [], [], 0
-        i = j = from_i = from_j = 0
-        a_end, b_end = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append((a[i] & (1 << RADIX_BITS) - 1) * self.width + (a[i] >> RADIX_BITS) << self.b_bits | b[j])
-            on_a, on_b = a_end <= b_end, b_end <= a_end
-            i += on_a
-            j += on_b
-            if on_a and on_b:
-                text.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                groups, from_i, from_j = groups + 1, i, j
-                if i == len(a):
-                    break
-            if on_a:
-                a_end += len(self.a_bytes[a[i]])
-            if on_b:
-                b_end += len(self.b_bytes[b[j]])
-        return len(a), len(b), groups, ";".join(text), np.array(links, np.int64).tobytes()
+    def learn(self, stretches: list[str]) -> None:
+        """Encode and align ``stretches``, each after a space, and remember them; ``bad`` if the bytes differ."""
+        good: tuple[list, list, list] = ([], [], [])
+        for stretch, a, b in zip(stretches, map(self.a_ids, stretches), self.pieces.encode(stretches, num_threads=1)):
+            if b"".join(map(self.a_bytes.__getitem__, a)) == b" " + stretch.encode() == b"".join(map(self.b_bytes.__getitem__, b)):
+                for side, value in zip(good, (stretch, a, b)):
+                    side.append(value)
+            else:
+                self.known[stretch] = BAD
+        if good[0]:
+            self.known.update(zip(good[0], range(len(self.texts), len(self.texts) + len(good[0]))))
+            self.remember(*self.aligned(*good[1:]))
+
+    def remember(self, counts: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, texts: list[str]) -> None:
+        self.counts = np.concatenate([self.counts, counts])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.texts += texts
+
+    def forget(self, after: int = 0, names: Iterable[str] | None = None) -> None:
+        """Drop what was remembered after the first ``after`` stretches, under ``names`` (all)."""
+        if names is None:
+            self.known: dict[str, int] = {}
+        for name in names or ():
+            del self.known[name]
+        self.texts: list[str] = self.texts[:after] if after else []
+        self.counts = self.counts[:after] if after else np.zeros((0, 3), np.int64)
+        self.first = self.first[: after + 1] if after else np.zeros(1, np.int64)
+        self.pairs = self.pairs[: self.first[-1]] if after else np.zeros(0, np.int64)
+
+    def aligned(self, a_lists: Sequence[list[int]], b_lists: Sequence[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of stretches laid end to end, where every stretch's end is a cut of both sides: counts (tokens of a, of b, groups), links of each, pair numbers, groups' texts.
+
+        The segments between neighbouring cuts of either side are the links; the ends that
+        both sides cut close the groups.
+        """
+        n_a, n_b = np.fromiter(map(len, a_lists), np.int64), np.fromiter(map(len, b_lists), np.int64)
+        a, b = np.fromiter(chain.from_iterable(a_lists), np.int64), np.fromiter(chain.from_iterable(b_lists), np.int64)
+        a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.union1d(a_end, b_end)
+        on_a, on_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        own = a[on_a]
+        pairs = ((own & (1 << RADIX_BITS) - 1) * self.width + (own >> RADIX_BITS) << self.b_bits) + b[on_b]
+        both = (a_end[on_a] == ends) & (b_end[on_b] == ends)
+        # in the text a group's tokens of a stand before those of b: a token comes after all of the groups before
+        upto_a, upto_b = on_a[both] + 1, on_b[both] + 1
+        a_group, b_group = np.searchsorted(ends[both], a_end), np.searchsorted(ends[both], b_end)
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + np.concatenate([[0], upto_b])[a_group]] = self.marked[0][a * 2 + (np.arange(1, len(a) + 1) == upto_a[a_group])]
+        text[np.arange(len(b)) + upto_a[b_group]] = self.marked[1][b * 2 + (np.arange(1, len(b) + 1) == upto_b[b_group])]
+        text = text.tolist()
+        tokens = [0, *np.cumsum(n_a + n_b).tolist()]
+        cut = np.searchsorted(ends, a_end[np.cumsum(n_a) - 1], "right")
+        groups = np.diff(np.cumsum(both)[cut - 1], prepend=0)
+        texts = ["".join(text[i:j])[:-1] for i, j in zip(tokens, tokens[1:])]
+        return np.stack([n_a, n_b, groups], 1), np.diff(cut, prepend=0), pairs, texts
 
 
 HELD: dict[tuple[str, str, str], Sides] = {}
@@ -122,24 +156,29 @@ def sides(a_path: str, b_path: str, pattern: str) -> Sides:
     return HELD[key]
 
 
-def align_batch(both: Sides, texts: list[str | None]) -> list[tuple[int, int, int, str, bytes]]:
+def align_batch(both: Sides, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
     """Tokens of either side, groups, groups' text and pair numbers of each text; zeros and empty where it has no tokens."""
     cut = [(BORDER.split(t) if both.apart else [t]) if t else [] for t in texts]
-    cache = both.cache
-    if len(cache) > CACHE:
-        cache.clear()
-    new = {s for own in cut for s in own if s not in cache}
-    once: dict[str, tuple | None] = {}
-    both.learn([s for s in new if len(s) <= 64], cache)
-    both.learn([s for s in new if len(s) > 64], once)  # long stretches do not come again
+    if len(both.known) > CACHE:
+        both.forget()
+    new = set().union(*cut) - both.known.keys()
+    both.learn([s for s in new if len(s) <= 64])
+    held, long = len(both.texts), [s for s in new if len(s) > 64]  # long stretches do not come again
+    both.learn(long)
     found = []
     for own in cut:
-        parts = [cache[s] if s in cache else once[s] for s in own]
-        if not parts or None in parts:
-            found.append((0, 0, 0, "", b""))
-        else:
-            a, b, groups, text, links = zip(*parts)
-            found.append((sum(a), sum(b), sum(groups), ";".join(text), b"".join(links)))
+        at = list(map(both.known.__getitem__, own))
+        if not at or BAD in at:
+            found.append((0, 0, 0, "", both.pairs[:0]))
+            continue
+        place = np.array(at)
+        start = both.first[place]
+        sizes = both.first[place + 1] - start
+        upto = np.cumsum(sizes)
+        pairs = both.pairs[np.arange(upto[-1]) + np.repeat(start - upto + sizes, sizes)]
+        found.append((*both.counts[place].sum(0).tolist(), ";".join(map(both.texts.__getitem__, at)), pairs))
+    if long:
+        both.forget(held, long)
     return found
 
 
@@ -205,10 +244,9 @@ def write_runs(docs: DataFrame, a_path: str, b_path: str, pattern: str, id_col:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 for doc, (a, b, groups, text, pairs) in zip(part.column(0).to_pylist(), align_batch(both, part.column(1).to_pylist())):
-                    own = np.frombuffer(pairs, np.int64)
-                    links.append(own << PLACE_BITS | len(rows))
-                    rows.append((doc, a, b, groups, len(own), hashlib.sha256(text.encode()).hexdigest() if a else ""))
-                    n_links += len(own)
+                    links.append(pairs << PLACE_BITS | len(rows))
+                    rows.append((doc, a, b, groups, len(pairs), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+                    n_links += len(pairs)
                     if n_links >= RUN_LINKS or len(rows) >= RUN_DOCS:
                         yield from out()
         if rows:
