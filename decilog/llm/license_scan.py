@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import Scratch, need, stage
+from decilog.llm.common import Scratch, need
 
 #: Notices by which files name their licence, and sentences of licence texts that no other has.
 TEMPLATES = {
@@ -163,7 +163,7 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, threshold: float = THRESHOLD, left: Scratch | None = None) -> DataFrame:
     """One row per file of ``files`` (file_id, path, text).
 
     file_id, path, own_license, own_score, license, found_in: ``found_in`` is the
@@ -176,9 +176,9 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other columns are not read.
     """
     files = need(files, "file_id", "path", "text")
-    scratch = Scratch()
+    scratch, left = Scratch(), left or Scratch()
     own = match_lines(files, threshold, range(1, LINES + 1), scratch).groupBy("file_id").agg(F.max(F.struct("score", "license")).alias("top"))
-    own = stage(own.select("file_id", F.col("top.license").alias("own_license"), F.col("top.score").alias("own_score")), "license-own")
+    own = left.stage(own.select("file_id", F.col("top.license").alias("own_license"), F.col("top.score").alias("own_score")), "license-own")
     scratch.clear()
     named = files.select("file_id", "path").join(own, "file_id", "left")
     votes = named.where("own_license IS NOT NULL AND path IS NOT NULL").select(F.element_at(ancestors(F.col("path")), 1).alias("dir"), "own_license")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need, with_verdict
+from decilog.llm.common import labelled_texts, need, with_verdict
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 N_FEATURES = 11
@@ -207,17 +207,9 @@ def fit_lines(texts: list[tuple[np.ndarray, np.ndarray, int]], turns: int = 2) -
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_bad: int = 500, max_good: int = 1500) -> LineCrf:
-    """Fit on at most ``max_bad`` and ``max_good`` labelled documents, with all their lines.
-
-    The sample is the labels that come first by a hash of the id.
-    """
-    known = need(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")
-    if usable is not None:
-        known = known.where(usable)
-    first = [known.where(F.col("quality") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, max_bad), (1, max_good))]
-    sample = need(docs, "doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id").where("text IS NOT NULL")
-    found = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.select("doc_id", "text", "quality").collect())  # bounded by the limits
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_bad: int = 500, max_good: int = 1500, max_chars: int = 50_000_000) -> LineCrf:
+    """Fit on at most ``max_bad`` and ``max_good`` labelled documents, with all their lines (see :func:`labelled_texts`)."""
+    found = labelled_texts(docs, labels, "quality", {0: max_bad, 1: max_good}, usable, max_chars)
     return fit_lines([(*describe(text)[1:], y) for _, text, y in found])
 
 

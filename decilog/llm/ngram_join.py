@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import ROW, Scratch, keyed_rows, need, shared_dir, unstage
+from decilog.llm.common import ROW, Scratch, delete_shared, keyed_rows, need, shared_dir
 from decilog.llm.components import components
 from decilog.llm.shingles import distinct, mix, rounds
 
@@ -155,7 +155,8 @@ class SetTable:
         self.name = f"join_sets_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         writer = texts.repartition(buckets, "id").write.bucketBy(buckets, "id").format("parquet")
-        writer.option("path", f"{shared_dir(self.spark)}/{self.name}").saveAsTable(self.name)
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        writer.option("path", self.path).saveAsTable(self.name)
 
     def only(self, ids: DataFrame) -> SetTable:
         return SetTable(self.spark.table(self.name).join(ids, "id", "left_semi"))
@@ -164,9 +165,8 @@ class SetTable:
         return self.spark.table(self.name).select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col(column).alias(name))
 
     def drop(self) -> None:
-        files = self.spark.table(self.name)
-        unstage(files)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_shared(self.spark, self.path)
 
 
 def verify(pairs: DataFrame, texts: SetTable, threshold: int, scratch: Scratch) -> DataFrame:
@@ -283,14 +283,14 @@ def counted_pairs(index: DataFrame, hot_ids: DataFrame, threshold: int) -> DataF
     return both.where(F.col("k") + hot >= F.least(own(F.col("na")), own(F.col("nb")))).select("a", "b")
 
 
-def link_components(hot: DataFrame, links: DataFrame, texts: SetTable, threshold: int, scratch: Scratch) -> DataFrame:
-    """(id, comp) of every id with a link.
+def link_components(hot: DataFrame, links: DataFrame, texts: SetTable, threshold: int, scratch: Scratch, left: Scratch) -> DataFrame:
+    """(id, comp) of every id with a link; a table of ``left``.
 
     hot: token, id, n, place of the shingles with many rows; links: (a, b) found
     before. Rounds of hubs go on until the rows of each shingle and band are in one
     component or done.
     """
-    comp = components(links)
+    comp = components(links, left)
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -313,8 +313,8 @@ def link_components(hot: DataFrame, links: DataFrame, texts: SetTable, threshold
         rows = own.drop("comp").join(done, ["token", "band", "id"], "left_anti")
         if new.take(1):
             links = links.unionByName(new)
-            unstage(comp)
-            comp = components(links)
+            left.drop(comp)
+            comp = components(links, left)
         turn += 1
     sides.drop()
     return comp
@@ -352,8 +352,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot_ids.where(F.col("k") >= 1).select("id"))
     texts = SetTable(sets(docs, id_map(wanted), width, threshold, levels, bits))
     links = scratch.stage(verify(pairs, texts, threshold, scratch).unionByName(equal), "join-links")
-    comp = link_components(hot, links, texts, threshold, scratch)
-    left.tables.append(comp)
+    comp = link_components(hot, links, texts, threshold, scratch, left)
     texts.drop()
     scratch.clear()
     return (

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import need, with_verdict
+from decilog.llm.common import labelled_texts, need, with_verdict
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of scripts without spaces between words: South-East Asian, kana, Han.
@@ -207,7 +207,12 @@ def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[np.n
 
 
 def fit_rows(rows: list[tuple[str, int]]) -> Model:
-    """The model of (text, toxic 0/1) rows; with one class alone, its share is the score."""
+    """The model of (text, toxic 0/1) rows; with one class alone, its share is the score.
+
+    Of rows with one :func:`text_key` (copies, most near copies, and all texts without
+    words) the last in the given order is learned from, whatever its label: else a text in
+    both halves would be judged by itself. The others are not used.
+    """
     rows = list({text_key(t): (t, y) for t, y in rows}.values())
     n_toxic = sum(y for _, y in rows)
     blank = Distances(MARK, MARK, 0)
@@ -225,21 +230,14 @@ def fit_rows(rows: list[tuple[str, int]]) -> Model:
     return Model(train_dictionaries(rows), tuple(mean), tuple(scale), tuple(w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_toxic: int = 2000, max_ordinary: int = 4000) -> Model:
-    """Fit on labelled documents: at most ``max_toxic`` and ``max_ordinary`` of them.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_toxic: int = 2000, max_ordinary: int = 4000, max_chars: int = 50_000_000) -> Model:
+    """Fit on labelled documents: at most ``max_toxic`` and ``max_ordinary`` of them (see :func:`labelled_texts`).
 
-    ``usable`` restricts the labels. The sample is the labels of each class that
-    come first by a hash of the id, so it does not depend on the partitioning.
-    Labels without a class and documents without text are not used.
+    ``usable`` restricts the labels. Labels without a class and documents without text are
+    not used; of copies one is, see :func:`fit_rows`.
     """
-    known = need(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    if usable is not None:
-        known = known.where(usable)
-    first = [known.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_ordinary))]
-    sample = need(docs, "doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id").where("text IS NOT NULL")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.select("doc_id", "text", "toxic").collect())  # bounded by the two limits
-    order = sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r[0]), r))
-    return fit_rows([(t, y) for _, t, y in order])
+    rows = labelled_texts(docs, labels, "toxic", {1: max_toxic, 0: max_ordinary}, usable, max_chars)
+    return fit_rows([(t, y) for _, t, y in sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r[0]), r))])
 
 
 def scores(texts: pa.Array, model: Model, distance: WindowDistance) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decilog.llm.common import if_small, need, stage
+from decilog.llm.common import Scratch, if_small, need
 
 #: (verdict, rule): host, then the start of the path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -88,11 +88,11 @@ def with_lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
     ).drop("_rest")
 
 
-def share_tables(labelled: DataFrame) -> dict[str, DataFrame]:
+def share_tables(labelled: DataFrame, left: Scratch) -> dict[str, DataFrame]:
     """Sums of blocked URLs (bad) and URLs (n) by suffix, domain and host, staged; ``all`` has one row."""
-    by_host = stage(labelled.groupBy("suffix", "domain", "host").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")), "url-hosts")
+    by_host = left.stage(labelled.groupBy("suffix", "domain", "host").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")), "url-hosts")
     sums = lambda key: by_host.groupBy(key).agg(F.sum("bad").alias(f"{key}_bad"), F.sum("n").alias(f"{key}_n"))
-    tables = {key: stage(sums(key), f"url-{key}") for key in ("suffix", "domain", "host")}
+    tables = {key: left.stage(sums(key), f"url-{key}") for key in ("suffix", "domain", "host")}
     return tables | {"all": by_host.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0)).alias("all_share"))}
 
 
@@ -133,7 +133,7 @@ def listed_labels(urls: DataFrame, words: str = LISTED) -> DataFrame:
     return urls.where("url IS NOT NULL").select("url", hit.cast("double").alias("label"))
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url", left: Scratch | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score.
 
     A null URL or one without ``://`` has an empty host and path, fits no rule and is
@@ -143,7 +143,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] =
     """
     urls = need(pages, id_col, url_col).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     known = with_lexical(need(labelled, "url", "label").where("url IS NOT NULL AND label IN (0, 1)"))
-    shares = share_tables(known)
+    shares = share_tables(known, left or Scratch())
     model = fit(known, shares)
     df = with_suffix_statistics(with_lexical(urls), shares)
     if model is None:

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from decilog.llm import components as cc
-from decilog.llm import exact_dedup, ngram_join
+from decilog.llm import common, exact_dedup, ngram_join
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 DOCS = "doc_id long, text string, n string"
@@ -136,5 +136,5 @@ def test_near_empty_table(spark):
 
 def test_components_of_paths_and_stars(spark):
     edges = [(k + 1, k) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5000, 5000)]
-    got = {r.id: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch()).collect()}
     assert all(got[k] == 0 for k in range(301)) and all(got[1000 + k] == 1000 for k in range(50)) and 5000 not in got
