@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,27 @@ UNFACED = {"fold": "check", "call": "check", "raise_min": "bet_25", "raise_2_5x"
 FACED = {"check": "call", "bet_25": "raise_min", "bet_33": "raise_min", "bet_50": "raise_2_5x", "bet_75": "raise_3x", "bet_100": "raise_pot", "bet_150": "raise_pot", "bet_overbet": "raise_pot"}
 
 
-def blend(neighbours: DataFrame, corpus: DataFrame, vocabulary: list[str] | None = None, id_col: str = "id") -> DataFrame:
+def blend(neighbours: DataFrame, corpus: DataFrame, vocabulary: list[str] | None = None, id_col: str = "id", snap: Callable[[Column], Column] | None = None) -> DataFrame:
     """Action probabilities per query: weight = max(0, 1 - distance) x confidence x gto_score.
 
-    Actions outside ``vocabulary`` do not vote. Queries without any weight give no rows.
+    A corpus row whose ``dist`` (a map of action -> share, where the corpus has that column)
+    is there and not empty splits its weight over it; every other row votes for its
+    ``action``. ``snap`` names an action in the terms of its own row, as an expression over the
+    row's columns, before votes are added. Actions outside ``vocabulary``, and shares that are
+    not positive, do not vote; a row with a vote counts with its whole weight, so what it
+    gives to other actions lessens the sum. Queries without any weight give no rows.
     """
-    votes = neighbours.join(corpus.select(F.col(id_col).alias("nb"), "action", "confidence", "gto_score"), "nb")
+    named = snap or (lambda a: a)
+    vote = lambda a, p: F.struct(named(a).alias("action"), p.alias("share"))
+    votes = F.array(vote(F.col("action"), F.lit(1.0)))
+    if "dist" in corpus.columns:
+        votes = F.when(F.size("dist") > 0, F.transform(F.map_entries("dist"), lambda e: vote(e["key"], e["value"].cast("double")))).otherwise(votes)
+    known = lambda v: (v["share"] > 0) & (v["action"].isNotNull() if vocabulary is None else F.coalesce(v["action"].isin(vocabulary), F.lit(False)))
+    given = corpus.select(F.col(id_col).alias("nb"), "confidence", "gto_score", F.filter(votes, known).alias("votes")).where(F.size("votes") > 0)
     weight = F.greatest(F.lit(0.0), 1 - F.col("distance")) * F.coalesce("confidence", F.lit(1.0)) * F.coalesce("gto_score", F.lit(1.0))
-    votes = votes.withColumn("w", weight).where("w > 0")
-    if vocabulary is not None:
-        votes = votes.where(F.col("action").isin(vocabulary))
-    sums = votes.groupBy("query", "action").agg(F.sum("w").alias("w"))
-    return sums.select("query", "action", (F.col("w") / F.sum("w").over(Window.partitionBy("query"))).alias("prob"))
+    cast = neighbours.join(given, "nb").withColumn("w", weight).where("w > 0").select("query", "w", F.posexplode("votes").alias("place", "vote"))
+    sums = cast.groupBy("query", F.col("vote.action").alias("action")).agg(F.sum(F.col("w") * F.col("vote.share")).alias("v"), F.sum(F.when(F.col("place") == 0, F.col("w")).otherwise(0.0)).alias("rows"))
+    return sums.select("query", "action", (F.col("v") / F.sum("rows").over(Window.partitionBy("query"))).alias("prob"))
 
 
 def remap(action: Column, table: dict[str, str]) -> Column:

@@ -45,15 +45,17 @@ def apply_retention(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFra
 def apply_patches(corpus: DataFrame, requests: DataFrame, now: int, quality: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Corpus, nodes and audit rows after patches.
 
-    corpus: id, vec, action, confidence, added_at, removed_at, active. requests:
-    patch_id, id, cluster_key, vec, dist (action -> probability). A later patch of an
-    id replaces its row; the row's action is the likeliest (ties: the first name).
+    corpus: id, vec, action, confidence, added_at, removed_at, active, and ``dist`` where it has
+    distributions. requests: patch_id, id, cluster_key, vec, dist (action -> probability).
+    A later patch of an id replaces its row; the row keeps its distribution, which blends
+    split it by, and its action is the likeliest (ties: the first name).
     """
     best = F.array_sort(F.transform(F.map_entries("dist"), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("k"))))[0]["k"]
     rows = requests.select(
-        "id", "vec", best.alias("action"), F.lit(quality).alias("confidence"), F.lit(now).cast("long").alias("added_at"), F.lit(0).cast("long").alias("removed_at"), F.lit(True).alias("active"), F.col("patch_id").alias("_order"),
+        "id", "vec", best.alias("action"), F.lit(quality).alias("confidence"), F.lit(now).cast("long").alias("added_at"), F.lit(0).cast("long").alias("removed_at"), F.lit(True).alias("active"), "dist", F.col("patch_id").alias("_order"),
     )
-    base = corpus.select("id", "vec", "action", "confidence", "added_at", "removed_at", "active", F.lit(None).cast(requests.schema["patch_id"].dataType).alias("_order"))
+    held = F.col("dist") if "dist" in corpus.columns else F.lit(None).cast(requests.schema["dist"].dataType)
+    base = corpus.select("id", "vec", "action", "confidence", "added_at", "removed_at", "active", held.alias("dist"), F.lit(None).cast(requests.schema["patch_id"].dataType).alias("_order"))
     merged = upsert_latest(base, rows, ["id"], "_order").drop("_order")
     nodes = requests.select(F.concat(F.lit("p"), F.col("patch_id").cast("string")).alias("node_id"), "cluster_key", "dist", F.lit(True).alias("active"), F.lit(now).cast("long").alias("created_at"))
     audit = requests.select("patch_id", "cluster_key", "id", F.lit("applied").alias("status"), F.lit(now).cast("long").alias("ts"))

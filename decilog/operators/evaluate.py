@@ -149,17 +149,55 @@ def sigma_separation(df: DataFrame, vec: str, group: str, id_col: str = "id", sa
     return got.withColumn("separated", F.col("m_out") - F.col("m_in") > 2 * F.sqrt(F.col("s_in") * F.col("s_in") + F.col("s_out") * F.col("s_out")))
 
 
-def loo_gate(dist: DataFrame, targets: DataFrame, visits: DataFrame, key: str, floor: float = 0.15, delta: float = 0.05, last: float | None = None) -> DataFrame:
-    """Visit-weighted TVD and top-1 agreement of blends with targets; passed if under ``floor`` and not worse than ``last`` by ``delta``. One row."""
+def newest_spots(obs: DataFrame, by: list[str], keys: list[str], more: list[str], least: int) -> DataFrame:
+    """One row for each group of ``by`` with at least ``least`` observations: id (``by`` joined), vec, keys and more of the newest, n."""
+    kept = [c for c in dict.fromkeys(["vec", *keys, *more]) if c not in by]
+    newest = obs.groupBy(*by).agg(F.max_by(F.struct(*kept), F.struct("ts", "id")).alias("_s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return newest.select(*by, F.concat_ws("|", F.lit("spot"), *by).alias("id"), "_s.*", "n")
+
+
+def ev_loss(obs: DataFrame, corpus: DataFrame, by: list[str], keys: list[str], k: int = 10, min_obs: int = 10, valid: tuple[str, str, str] | None = None, eps: float = 1e-6) -> DataFrame:
+    """KL divergence of what is done from what neighbours would do, for each group of ``by``: by, n, ev_loss.
+
+    obs: by, id, ts, vec, action and the keys; ``valid``: the column of obs with the time whose
+    corpus counts (such as the session's start), and the corpus's columns added and
+    removed, so that all sessions go through one search, each against the corpus of its
+    time. Groups of fewer than ``min_obs`` observations, and those whose newest one has no
+    neighbour with a vote, are left out.
+    """
+    from decilog.operators import stats as S
+
+    spots = newest_spots(obs, by, keys, list(valid or [])[:1], min_obs)
+    held = corpus.withColumn("id", F.col("id").cast("string"))
+    dist = B.blend(K.knn(spots, held, keys, k, valid=valid), held).select(F.col("query").alias("id"), "action", F.col("prob").alias("p"))
+    names = spots.select("id", *by, "n")
+    freq = S.action_freq(obs.join(names.select(*by), by, "left_semi"), by).join(names, by).select("id", "action", "p")
+    return S.kl(freq, dist, ["id"], eps=eps).join(names, "id").select(*by, "n", F.col("kl").alias("ev_loss"))
+
+
+def loo_gate(
+    spots: DataFrame, corpus: DataFrame, targets: DataFrame, visits: DataFrame, keys: list[str], own: list[str], runs: DataFrame | None = None,
+    k: int = 10, floor: float = 0.15, delta: float = 0.05, least: int = 5,
+) -> DataFrame:
+    """Leave-one-cluster-out: can the other clusters' rows rebuild each cluster's solved distribution? One row.
+
+    spots: id (the cluster), vec, keys and the columns ``own`` that make the cluster; corpus
+    rows with the same ``own`` are no neighbours. targets: id, action, p. visits: id, n.
+    runs: at, tvd of the runs before. Clusters without a target, a visit or a neighbour
+    with a vote are left out. tvd and top1 are weighted by visits; passed if at least
+    ``least`` clusters count, tvd is under ``floor`` and not over the newest run's by more
+    than ``delta``.
+    """
     from decilog.operators import stats as S
 
-    p, q = dist.select(key, "action", F.col("prob").alias("p")), targets.select(key, "action", "p")
-    gap = S.tvd(p, q, [key])
-    best = lambda df, name: df.groupBy(key).agg(F.max_by("action", F.struct("p", "action")).alias(name))
-    both = gap.join(best(p, "x"), key).join(best(q, "y"), key).join(visits.groupBy(key).agg(F.count(F.lit(1)).alias("w")), key)
+    asked = spots.join(targets.select("id").distinct(), "id", "left_semi").join(visits.where("n > 0").select("id"), "id", "left_semi")
+    held = corpus.withColumn("id", F.concat_ws("|", F.lit("row"), F.col("id").cast("string")))
+    dist = B.blend(K.knn(asked, held, keys, k, apart=own), held).select(F.col("query").alias("id"), "action", F.col("prob").alias("p"))
+    gap = S.tvd(dist, targets.select("id", "action", "p"), ["id"])
+    best = lambda df, name: df.groupBy("id").agg(F.max_by("action", F.struct("p", "action")).alias(name))
+    both = gap.join(best(dist, "x"), "id").join(best(targets, "y"), "id").join(visits.groupBy("id").agg(F.sum("n").alias("w")), "id")
     w = F.sum("w")
-    got = both.agg((F.sum(F.col("tvd") * F.col("w")) / w).alias("tvd"), (F.sum((F.col("x") == F.col("y")).cast("double") * F.col("w")) / w).alias("top1"), F.count(F.lit(1)).alias("clusters"))
-    ok = F.col("tvd") <= floor
-    if last is not None:
-        ok = ok & (F.col("tvd") <= last + delta)
-    return got.withColumn("gate_ok", ok)
+    got = both.agg(F.coalesce(F.sum(F.col("tvd") * F.col("w")) / w, F.lit(0.0)).alias("tvd"), F.coalesce(F.sum((F.col("x") == F.col("y")).cast("double") * F.col("w")) / w, F.lit(0.0)).alias("top1"), F.count(F.lit(1)).alias("clusters"))
+    last = runs.agg(F.max_by("tvd", "at").alias("last_tvd")) if runs is not None else corpus.limit(0).agg(F.max(F.lit(None).cast("double")).alias("last_tvd"))
+    got = got.crossJoin(last).withColumns({"coverage_ok": F.col("clusters") >= least, "regression": F.coalesce(F.col("tvd") - F.col("last_tvd"), F.lit(0.0))})  # one row each
+    return got.withColumn("passed", F.col("coverage_ok") & (F.col("tvd") < floor) & (F.col("regression") <= delta))

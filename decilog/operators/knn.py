@@ -30,7 +30,7 @@ def blocks_of(df: DataFrame, keys: list[str], tag: str, rows: int) -> DataFrame:
 
 def knn(
     queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10, vec: str = "vec", id_col: str = "id",
-    band: str | None = None, block_rows: int = BLOCK_ROWS,
+    band: str | None = None, block_rows: int = BLOCK_ROWS, apart: list[str] | None = None, valid: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """For every query the ``k`` nearest corpus rows of its partition: query, nb, distance, rank.
 
@@ -39,13 +39,18 @@ def knn(
     product that yields at most ``k`` rows per query, and a window merges them. A row is
     never its own neighbour. Ties go to the smaller id. ``band``: a column; neighbours
     must lie within [max(0, floor(q / 2)), floor(3 q / 2)] of the query's, unless that is -1.
+    ``apart``: columns; a row that has the query's values in all of them (nulls are equal) is
+    no neighbour. ``valid``: the query's time and the corpus's columns added and removed; a
+    neighbour was added by that time and not removed (0: never) by then. Rows that these
+    rule out are masked before the ``k`` nearest are taken, so ``k`` others are found.
     """
     kinds = {f.name: f.dataType for f in queries.schema}
-    extra = [band] if band else []
+    shared = [*([band] if band else []), *(apart or [])]
+    asked, held = [*shared, *(valid or [])[:1]], [*shared, *(valid or [])[1:]]
     sizes = blocks_of(corpus, keys, "_nc", block_rows).join(blocks_of(queries, keys, "_nq", block_rows), keys)
-    left = queries.select(*keys, id_col, vec, *extra).join(sizes, keys)
+    left = queries.select(*keys, id_col, vec, *[c for c in asked if c not in keys]).join(sizes, keys)
     left = left.withColumn("_q", F.pmod(F.xxhash64(id_col), "_nq")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
-    right = corpus.select(*keys, id_col, vec, *extra).join(sizes, keys)
+    right = corpus.select(*keys, id_col, vec, *[c for c in held if c not in keys]).join(sizes, keys)
     right = right.withColumn("_c", F.pmod(F.xxhash64(id_col), "_nc").cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq").cast("long") - 1)))
     out = T.StructType([T.StructField("query", kinds[id_col]), T.StructField("nb", kinds[id_col]), T.StructField("distance", T.DoubleType())])
 
@@ -55,6 +60,9 @@ def knn(
         c = c.sort_values(id_col, kind="stable").reset_index(drop=True)
         qm, cm, q_ids, c_ids = unit(q[vec]), unit(c[vec]), q[id_col].to_numpy(), c[id_col].to_numpy()
         made = []
+        if apart:
+            codes = pd.concat([q[apart], c[apart]]).groupby(apart, dropna=False, sort=False).ngroup().to_numpy()
+            q_group, c_group = codes[: len(q)], codes[len(q) :]
         for start in range(0, len(q), 1024):
             sims = qm[start : start + 1024] @ cm.T
             own = q_ids[start : start + 1024, None] == c_ids[None, :]
@@ -63,6 +71,11 @@ def knn(
                 b = q[band].to_numpy(float)[start : start + 1024, None]
                 x = c[band].to_numpy(float)[None, :]
                 sims[(b != -1) & ((x < np.maximum(0, np.floor(b * 0.5))) | (x > np.floor(b * 1.5)))] = -np.inf
+            if apart:
+                sims[q_group[start : start + 1024, None] == c_group[None, :]] = -np.inf
+            if valid:
+                t, added, removed = q[valid[0]].to_numpy()[start : start + 1024, None], c[valid[1]].to_numpy()[None, :], c[valid[2]].to_numpy()[None, :]
+                sims[~((added <= t) & ((removed == 0) | (removed > t)))] = -np.inf
             # the k-th largest bounds what can be among the k nearest; equal values stay for the id rule
             edge = np.partition(sims, -min(k, sims.shape[1]), axis=1)[:, -min(k, sims.shape[1])]
             at, nb = np.nonzero((sims >= edge[:, None]) & np.isfinite(sims))

@@ -80,11 +80,16 @@ def pair_check(df: DataFrame, a: str, b: str, v: str, tolerance: float = 1e-9) -
     return both.where(F.col("_w").isNull() | (F.abs(F.col(v) + F.col("_w") - 1) > tolerance))
 
 
+def side_cap(budget: int, sides: int) -> int | None:
+    """Items of each side: floor(budget^(1/k)) of three or more sides, no limit of one or two."""
+    return int(budget ** (1 / sides) + 1e-9) if sides > 2 else None
+
+
 def bounded_product(df: DataFrame, keys: list[str], side: str, item: str, w: str, budget: int = 500_000, sides: int = 2) -> DataFrame:
-    """Products of the sides' items within a key; each side keeps its floor(budget^(1/k)) heaviest."""
-    cap = int(budget ** (1 / sides) + 1e-9)
+    """Products of the sides' items within a key; from three sides on each keeps its floor(budget^(1/k)) heaviest."""
+    cap = side_cap(budget, sides)
     rank = F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc(w), item))
-    top = df.withColumn("_r", rank).where(F.col("_r") <= cap)
+    top = df if cap is None else df.withColumn("_r", rank).where(F.col("_r") <= cap)
     got = top.where(F.col(side) == 0).select(*keys, F.col(item).alias("item_0"), F.col(w).alias("weight"))
     for k in range(1, sides):
         more = top.where(F.col(side) == k).select(*keys, F.col(item).alias(f"item_{k}"), F.col(w).alias("_w"))
@@ -92,6 +97,27 @@ def bounded_product(df: DataFrame, keys: list[str], side: str, item: str, w: str
     return got
 
 
+def product_distribution(df: DataFrame, keys: list[str], side: str, x: str, w: str, sides: int = 2, budget: int = 500_000) -> DataFrame:
+    """The weighted distribution of the product of one value of each side: keys, x, w.
+
+    A side's equal values are added up first, and equal products after every side, so what
+    is held for a key are distinct products, not tuples. Exact for two sides; from three on
+    each side keeps its heaviest values (see :func:`side_cap`). Weights that are not
+    positive are out; a key that lacks a side has no rows.
+    """
+    folded = df.where(F.col(w) > 0).groupBy(*keys, side, F.col(x).alias("x")).agg(F.sum(w).alias("w"))
+    cap = side_cap(budget, sides)
+    if cap is not None:
+        rank = F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc("w"), "x"))
+        folded = folded.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")
+    of = lambda k: folded.where(F.col(side) == k).drop(side)
+    got = of(0)
+    for k in range(1, sides):
+        both = got.join(of(k).withColumnsRenamed({"x": "_x", "w": "_w"}), keys)
+        got = both.groupBy(*keys, (F.col("x") * F.col("_x")).alias("x")).agg(F.sum(F.col("w") * F.col("_w")).alias("w"))
+    return got
+
+
 def enrich(neighbours: DataFrame, obs: DataFrame, nodes: DataFrame, cluster: str = "cluster_key") -> DataFrame:
     """Neighbour rows with their cluster's observation count, newest active node and smallest observation id."""
     counts = obs.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_obs"), F.min("obs_id").alias("sample_obs"))

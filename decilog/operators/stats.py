@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPSILON = 1e-6
 
@@ -167,36 +168,47 @@ def weighted_quantiles(df: DataFrame, keys: list[str], x: str, w: str, ps: list[
     return df.where(inside | beyond).groupBy(*keys, "p").agg(F.max(q).alias("q"))
 
 
-#: Equal values up to which each weighs by a draw of its own; beyond, their sum is drawn at once.
-DRAWN = 24
+#: Equal-width bins that a key's values are folded to before they are resampled.
+BOOTSTRAP_BINS = 256
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], x: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, keys: list[str], x: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42, bins: int = BOOTSTRAP_BINS) -> DataFrame:
     """Mean and percentile interval of the mean per key: mean, n, ci_low, ci_high.
 
-    A Poisson bootstrap. Equal values of a key are counted together first; in each
-    resample a value of count n weighs the sum of n Poisson(1) draws, or for n over
-    DRAWN the rounded normal draw of that mean and variance. Draws come from hashes of key,
-    value, resample and seed; sums and weights are added up before the shuffle.
+    A key's values are folded to at most ``bins`` bins of equal width, each with its count,
+    mean and variance: a summary of bounded size that partial aggregation merges. Each of
+    ``resamples`` draws of n values is one multinomial draw of the bins' counts, with the bins'
+    means and one normal draw of the variance inside them. So the mean and the variance
+    of a resampled mean are those of the full bootstrap at any n; where a bin has one
+    distinct value its law is too, else only the skew inside bins is lost. Nulls do not
+    count; a key without values has n = 0 and the interval (0, 0), rows with a null key are left
+    out. Draws depend on the
+    key and the seed alone.
     """
-    counted = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_k"))
-    number = lambda *more: (F.pmod(F.xxhash64(*keys, x, F.col("_r"), F.lit(seed), *more), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-
-    def poisson(u: Column) -> Column:
-        steps, total, term = [], 0.0, math.exp(-1)
-        for k in range(12):
-            total += term
-            steps.append(F.when(u < total, k))
-            term /= k + 1
-        return F.coalesce(*steps, F.lit(12))
-
-    draws = counted.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    normal = F.sqrt(-2 * F.log(number(F.lit(-1)))) * F.cos(2 * math.pi * number(F.lit(-2)))
-    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_k"), F.lit(DRAWN)).cast("int")), F.lit(0), lambda n, i: n + poisson(number(i)))
-    draws = draws.withColumn("_n", F.when(F.col("_k") <= DRAWN, few).otherwise(F.greatest(F.lit(0.0), F.round(F.col("_k") + F.sqrt("_k") * normal))))
-    means = draws.groupBy(*keys, "_r").agg((F.sum(F.col(x) * F.col("_n")) / F.sum("_n")).alias("m"))
-    ends = means.groupBy(*keys).agg(F.percentile("m", alpha / 2).alias("ci_low"), F.percentile("m", 1 - alpha / 2).alias("ci_high"))
-    return df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.count(F.lit(1)).alias("n")).join(ends, keys)
+    value = F.col(x).cast("double")
+    ends = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    ends = ends.dropna(subset=keys) if keys else ends
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((value - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    near = df.where(value.isNotNull()).join(ends, keys) if keys else df.where(value.isNotNull()).join(F.broadcast(ends), how="cross")
+    folded = near.groupBy(*keys, place.alias("_bin")).agg(F.count(F.lit(1)).alias("_k"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    if not keys:
+        folded = folded.withColumn("_all", F.lit(0))
+    by = keys or ["_all"]
+    folded = folded.withColumn("_seed", F.xxhash64(*by, F.lit(seed)))
+    schema = T.StructType([*[folded.schema[c] for c in by], T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())])
+
+    def resample(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_bin")
+        count, mean, spread = (part[c].to_numpy(float) for c in ("_k", "_m", "_v"))
+        rng, n = np.random.default_rng(int(part["_seed"].iloc[0]) & (1 << 63) - 1), int(count.sum())
+        drawn = rng.multinomial(n, count / count.sum(), size=resamples)
+        means = (drawn @ mean + np.sqrt(drawn @ spread) * rng.standard_normal(resamples)) / n
+        low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
+        return part[by].head(1).assign(ci_low=low, ci_high=high)
+
+    found = folded.groupBy(*by).applyInPandas(resample, schema)
+    got = ends.select(*keys, "mean", "n").join(found, keys, "left") if keys else ends.select("mean", "n").join(found.drop("_all"), F.lit(True), "left")  # one row each
+    return got.fillna(0.0, ["ci_low", "ci_high"])
 
 
 def pair_runs(base: DataFrame, cand: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -30,6 +30,16 @@ ROLES = {
         0.5 + (vec_id % 5) / 10.0 AS confidence, 1 - (vec_id % 3) / 10.0 AS gto_score,
         vec_id AS added_at, CASE WHEN vec_id % 7 = 0 THEN vec_id + 200 ELSE 0 END AS removed_at, vec_id % 11 <> 0 AS active,
         (vec_id * 13) % 400 AS spr FROM embeddings""",
+    # corpus rows as voters: raw labels with sizes, and for a third of them shares of several labels, some of which name no action
+    "voters": """SELECT id, vec, part, active, confidence, gto_score, CASE label % 5 WHEN 0 THEN 'bet' WHEN 1 THEN 'raise' WHEN 2 THEN 'call' WHEN 3 THEN 'check' ELSE 'odd' END AS action,
+        CAST(id % 9 AS DOUBLE) / 4 AS size_frac, CASE WHEN id % 6 > 0 THEN CAST(id % 12 AS DOUBLE) / 2 END AS raise_ratio, id % 29 = 0 AS allin FROM corpus""",
+    "shares": """SELECT id, 'bet' AS action, CAST(spr % 6 AS DOUBLE) / 10 AS share FROM corpus WHERE id % 3 = 0 UNION ALL
+        SELECT id, 'raise' AS action, CAST(id % 4 AS DOUBLE) / 10 - CAST(0.1 AS DOUBLE) AS share FROM corpus WHERE id % 3 = 0 UNION ALL
+        SELECT id, 'muck' AS action, CAST(0.25 AS DOUBLE) AS share FROM corpus WHERE id % 3 = 0 UNION ALL
+        SELECT id, 'fold' AS action, CAST(0.5 AS DOUBLE) AS share FROM corpus WHERE id % 12 = 0""",
+    # solved distributions of clusters: the newest solve of each
+    "targets": """SELECT cluster_key, 'view' AS action, 1 - s AS p FROM (SELECT cluster_key, max_by(exploitability, solve_id) / 200 AS s FROM solves GROUP BY cluster_key) t UNION ALL
+        SELECT cluster_key, 'purchase' AS action, s AS p FROM (SELECT cluster_key, max_by(exploitability, solve_id) / 200 AS s FROM solves GROUP BY cluster_key) u""",
     # decisions of a hand: an order's lines in a total order
     "moves": """SELECT l_orderkey AS hand_id,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS seq,

@@ -58,18 +58,34 @@ def a10_chart_coverage(spark, d):
     return G.chart_coverage(charts, ["actor"], F.lit(6)).select("actor", d5("mass"), "n_combos")
 
 
-@query(with_roles("""WITH s AS (SELECT p_brand, p_size % 2 AS side, p_size AS item, CAST(count(*) AS DOUBLE) AS w FROM part GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand, side ORDER BY w DESC, item) AS r FROM s),
-x AS (SELECT a.p_brand, a.item + b.item AS x, sum(a.w * b.w) AS w FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.side = 0 AND b.side = 1 WHERE a.r <= 10 AND b.r <= 10 GROUP BY 1, 2),
-c AS (SELECT p_brand, x, sum(w) OVER (PARTITION BY p_brand ORDER BY x) / sum(w) OVER (PARTITION BY p_brand) AS c FROM x), l AS (SELECT *, lag(c) OVER o AS c0, lag(x) OVER o AS x0 FROM c WINDOW o AS (PARTITION BY p_brand ORDER BY x))
-SELECT p_brand, p, round(max(CASE WHEN c0 IS NULL THEN x ELSE x0 + (x - x0) * (p - c0) / (c - c0) END), 4) AS q FROM l, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p) WHERE p <= c AND (c0 IS NULL OR p > c0) GROUP BY p_brand, p"""))
-def a12_multiway_quantiles(spark, d):
-    from decilog.operators.lookup import bounded_product
+def multiway(spark, d, sides: int):
+    from decilog.operators.lookup import product_distribution
     from decilog.session import table
 
-    sides = table(spark, d, "part").groupBy("p_brand", (F.col("p_size") % 2).alias("side"), F.col("p_size").alias("item")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    both = bounded_product(sides, ["p_brand"], "side", "item", "w", budget=100)
-    x = both.groupBy("p_brand", (F.col("item_0") + F.col("item_1")).alias("x")).agg(F.sum("weight").alias("w"))
-    return S.weighted_quantiles(x, ["p_brand"], "x", "w", [0.25, 0.5, 0.75]).withColumn("q", F.round("q", 4))
+    df = table(spark, d, "part").groupBy("p_brand", (F.col("p_size") % sides).alias("side"), (F.col("p_size").cast("double") / 64).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    x = product_distribution(df, ["p_brand"], "side", "x", "w", sides, budget=100)
+    mean = x.groupBy("p_brand").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return S.weighted_quantiles(x, ["p_brand"], "x", "w", [0.25, 0.5, 0.75]).join(mean, "p_brand").select("p_brand", "p", d5("q"), d5("mean"), "n")
+
+
+@query(with_roles("""WITH s AS (SELECT p_brand, p_size % 2 AS side, CAST(p_size AS DOUBLE) / 64 AS x, CAST(count(*) AS DOUBLE) AS w FROM part GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand, side ORDER BY w DESC, x) AS r FROM s),
+x AS (SELECT t0.p_brand, t0.x * t1.x AS x, sum(t0.w * t1.w) AS w FROM t t0 JOIN t t1 ON t1.p_brand = t0.p_brand AND t1.side = 1 WHERE t0.side = 0 GROUP BY 1, 2),
+c AS (SELECT p_brand, x, w, sum(w) OVER (PARTITION BY p_brand ORDER BY x) / sum(w) OVER (PARTITION BY p_brand) AS c FROM x), l AS (SELECT *, lag(c) OVER o AS c0, lag(x) OVER o AS x0 FROM c WINDOW o AS (PARTITION BY p_brand ORDER BY x)),
+m AS (SELECT p_brand, sum(x * w) / sum(w) AS mean, count(*) AS n FROM x GROUP BY p_brand)
+SELECT l.p_brand, p, round(max(CASE WHEN c0 IS NULL THEN x ELSE x0 + (x - x0) * (p - c0) / (c - c0) END), 5) AS q, round(any_value(mean), 5) AS mean, any_value(n) AS n FROM l JOIN m ON m.p_brand = l.p_brand, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p) WHERE p <= c AND (c0 IS NULL OR p > c0) GROUP BY l.p_brand, p"""))
+def a12_multiway_quantiles(spark, d):
+    """Two sides: every pair of values, by their product."""
+    return multiway(spark, d, 2)
+
+
+@query(with_roles("""WITH s AS (SELECT p_brand, p_size % 3 AS side, CAST(p_size AS DOUBLE) / 64 AS x, CAST(count(*) AS DOUBLE) AS w FROM part GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand, side ORDER BY w DESC, x) AS r FROM s),
+x AS (SELECT t0.p_brand, t0.x * t1.x * t2.x AS x, sum(t0.w * t1.w * t2.w) AS w FROM t t0 JOIN t t1 ON t1.p_brand = t0.p_brand AND t1.side = 1 JOIN t t2 ON t2.p_brand = t0.p_brand AND t2.side = 2 WHERE t0.side = 0 AND t0.r <= 4 AND t1.r <= 4 AND t2.r <= 4 GROUP BY 1, 2),
+c AS (SELECT p_brand, x, w, sum(w) OVER (PARTITION BY p_brand ORDER BY x) / sum(w) OVER (PARTITION BY p_brand) AS c FROM x), l AS (SELECT *, lag(c) OVER o AS c0, lag(x) OVER o AS x0 FROM c WINDOW o AS (PARTITION BY p_brand ORDER BY x)),
+m AS (SELECT p_brand, sum(x * w) / sum(w) AS mean, count(*) AS n FROM x GROUP BY p_brand)
+SELECT l.p_brand, p, round(max(CASE WHEN c0 IS NULL THEN x ELSE x0 + (x - x0) * (p - c0) / (c - c0) END), 5) AS q, round(any_value(mean), 5) AS mean, any_value(n) AS n FROM l JOIN m ON m.p_brand = l.p_brand, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p) WHERE p <= c AND (c0 IS NULL OR p > c0) GROUP BY l.p_brand, p"""))
+def a12_capped_multiway(spark, d):
+    """Three sides: the four heaviest values of each (the cube root of 100)."""
+    return multiway(spark, d, 3)
 
 
 @query(with_roles("""WITH g AS (SELECT avg(value) < 0.6 AS gate_ok FROM metrics), m AS (SELECT opponent, avg(bb_delta) - 1.96 * stddev_samp(bb_delta) / sqrt(count(*)) AS lo FROM payoffs GROUP BY opponent), t AS (SELECT coalesce(bool_and(lo > 0), TRUE) AS matches_ok FROM m)

@@ -85,12 +85,20 @@ SIDES = "SELECT p_brand, p_size % 2 AS side, p_partkey AS item, p_retailprice AS
 
 
 @query(with_roles(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY p_brand, side ORDER BY w DESC, item) AS r FROM ({SIDES}))
-SELECT x.p_brand, x.item AS item_0, y.item AS item_1, round(x.w * y.w, 2) AS weight FROM s x JOIN s y ON x.p_brand = y.p_brand AND x.side = 0 AND y.side = 1 WHERE x.r <= 10 AND y.r <= 10"""))
+SELECT x.p_brand, x.item AS item_0, y.item AS item_1, round(x.w * y.w, 2) AS weight FROM s x JOIN s y ON x.p_brand = y.p_brand AND x.side = 0 AND y.side = 1"""))
 def j10_bounded_product(spark, d):
     df = spark.sql(SIDES.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
     return J.bounded_product(df, ["p_brand"], "side", "item", "w", budget=100).withColumn("weight", F.round("weight", 2))
 
 
+@query(with_roles(f"""WITH s AS (SELECT p_brand, p_size % 3 AS side, p_size AS item, count(*) AS w FROM part GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand, side ORDER BY w DESC, item) AS r FROM s)
+SELECT x.p_brand, x.item AS item_0, y.item AS item_1, z.item AS item_2, x.w * y.w * z.w AS weight FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.side = 0 AND y.side = 1 JOIN t z ON z.p_brand = x.p_brand AND z.side = 2 WHERE x.r <= 4 AND y.r <= 4 AND z.r <= 4"""))
+def j10_capped_product(spark, d):
+    """Three sides: the four heaviest items of each (the cube root of 100)."""
+    df = table(spark, d, "part").groupBy("p_brand", (F.col("p_size") % 3).alias("side"), F.col("p_size").alias("item")).agg(F.count(F.lit(1)).alias("w"))
+    return J.bounded_product(df, ["p_brand"], "side", "item", "w", budget=100, sides=3)
+
+
 @query(with_roles("""WITH b AS (SELECT cluster_key, action, row_number() OVER (PARTITION BY cluster_key ORDER BY ts, obs_id) AS k FROM obs WHERE source = 'hh'), c AS (SELECT cluster_key, action, row_number() OVER (PARTITION BY cluster_key ORDER BY ts, obs_id) AS k FROM obs WHERE source = 'sim')
 SELECT b.cluster_key, CAST(b.k AS INTEGER) AS occurrence, b.action AS base, c.action AS cand FROM b JOIN c ON c.cluster_key = b.cluster_key AND c.k = b.k"""))
 def j11_pair_runs(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from decilog.functions import features as X
 from decilog.functions import predicates as P
 from decilog.operators import blend as B
 from decilog.operators import evaluate as E
@@ -13,6 +14,11 @@ from decilog.plans.bindings import role, with_roles
 from decilog.plans.registry import query
 from decilog.plans.stats import FREQ
 
+def snap_sql(x: str, buckets) -> str:
+    pairs = ", ".join(f"{{'d': abs({x} - {v}), 'k': {k}, 'name': '{n}'}}" for k, (v, n) in enumerate(buckets))
+    return f"list_min([{pairs}]).name"
+
+
 COS = "list_cosine_similarity(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[]))"
 
 
@@ -92,6 +98,28 @@ def n03_blend(spark, d):
     return B.blend(neighbours(spark, d), corpus_of(spark, d)).select("query", "action", d5("prob"))
 
 
+VOCABULARY = sorted({name for names in X.LEGAL.values() for name in names})
+SNAPPED = f"""CASE WHEN a IN ('bet', 'raise') AND allin THEN 'allin' WHEN a = 'bet' THEN CASE WHEN size_frac >= 1.75 THEN 'bet_overbet' ELSE {snap_sql('size_frac', X.BETS)} END
+ WHEN a = 'raise' THEN {snap_sql('coalesce(raise_ratio, 2.5)', X.RAISES)} ELSE a END"""
+VOTES = f"""nv AS ({nb_sql(corpus='voters', queries='voters')}), gv AS (SELECT id, a, 1.0::DOUBLE AS share, size_frac, raise_ratio, allin FROM (SELECT *, action AS a FROM voters) WHERE id NOT IN (SELECT id FROM shares)
+ UNION ALL SELECT v.id, s.action, s.share, size_frac, raise_ratio, allin FROM voters v JOIN shares s ON s.id = v.id WHERE s.share > 0), ok AS (SELECT * FROM (SELECT id, share, {SNAPPED} AS action FROM gv) WHERE action IN ({', '.join(f"'{x}'" for x in VOCABULARY)})),
+rw AS (SELECT nv.query, nv.nb, greatest(0, 1 - distance) * confidence * gto_score AS w FROM nv JOIN voters ON voters.id = nv.nb WHERE distance < 1), tv AS (SELECT query, sum(w) AS t FROM rw WHERE nb IN (SELECT id FROM ok) GROUP BY query)"""
+
+
+def voters(spark, d):
+    """The corpus as raw labels with their sizes; a third of its rows with a distribution."""
+    shares = role(spark, d, "shares").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("action", "share"))).alias("dist"))
+    return role(spark, d, "voters").join(shares, "id", "left")
+
+
+@query(with_roles(f"WITH {VOTES} SELECT rw.query, ok.action, round(sum(w * share) / any_value(t), 5) AS prob FROM rw JOIN ok ON ok.id = rw.nb JOIN tv ON tv.query = rw.query GROUP BY rw.query, ok.action"))
+def n03_blend_distributions(spark, d):
+    """Rows with a distribution split their weight over it; each label is snapped by its own row's size."""
+    df = voters(spark, d)
+    near = K.knn(df, df.where("active"), ["part"], 10)
+    return B.blend(near, df, VOCABULARY, snap=lambda a: X.snap(a, F.col("size_frac"), F.col("raise_ratio"), F.col("allin"))).select("query", "action", d5("prob"))
+
+
 REMAP = ({"error": "view", "signup": "view"}, {"view": "click"})
 
 
@@ -190,14 +218,44 @@ def a18_ev_loss(spark, d):
     return S.kl(p, q, ["cluster_key"]).select("cluster_key", F.round("kl", 5).alias("ev_loss"))
 
 
-@query(with_roles(f"""WITH {EV}, u AS (SELECT f.cluster_key, f.action, f.p, coalesce(bl.prob, 0) AS q FROM f LEFT JOIN bl ON bl.query = f.cluster_key AND bl.action = f.action WHERE f.cluster_key IN (SELECT query FROM bl)
- UNION ALL SELECT bl.query, bl.action, 0, bl.prob FROM bl ANTI JOIN f ON f.cluster_key = bl.query AND f.action = bl.action), t AS (SELECT cluster_key, 0.5 * sum(abs(p - q)) AS tvd, arg_max(action, (p, action)) AS y FROM u GROUP BY cluster_key),
-x AS (SELECT query, arg_max(action, (prob, action)) AS x FROM bl GROUP BY query), w AS (SELECT cluster_key, count(*) AS w FROM obs GROUP BY cluster_key)
-SELECT round(sum(tvd * w) / sum(w), 5) AS tvd, round(sum(CASE WHEN x = y THEN 1.0 ELSE 0.0 END * w) / sum(w), 5) AS top1, count(*) AS clusters, sum(tvd * w) / sum(w) <= 0.15 AS gate_ok FROM t JOIN x ON x.query = t.cluster_key JOIN w ON w.cluster_key = t.cluster_key"""))
-def a35_loo_gate(spark, d):
+START = "SELECT session_id, 20 * dayofyear(min(ts)) AS t0 FROM obs GROUP BY session_id"
+SESSION = f"""ov AS (SELECT o.obs_id AS id, o.cluster_key, o.session_id, o.action, o.ts, c.vec, c.part, st.t0 FROM obs o JOIN corpus c ON c.id = o.obs_id % (SELECT count(*) FROM corpus) JOIN ({START}) st ON st.session_id = o.session_id),
+nw AS (SELECT session_id || '|' || cluster_key AS id, arg_max(vec, (ts, id)) AS vec, arg_max(part, (ts, id)) AS part, any_value(t0) AS t0, count(*) AS n FROM ov GROUP BY session_id, cluster_key HAVING count(*) >= 10),
+nb AS ({nb_sql('c.added_at <= q.t0 AND (c.removed_at = 0 OR c.removed_at > q.t0)', 'nw', 'corpus', 10).replace(' AND c.id <> q.id', '')}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
+bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS prob FROM v WHERE w > 0),
+f AS (SELECT session_id || '|' || cluster_key AS id, action, count(*) / CAST(sum(count(*)) OVER (PARTITION BY session_id, cluster_key) AS DOUBLE) AS p FROM ov GROUP BY session_id, cluster_key, action),
+u AS (SELECT coalesce(f.id, bl.query) AS id, coalesce(f.p, 0) + 1e-6 AS p, coalesce(bl.prob, 0) + 1e-6 AS q FROM f FULL JOIN bl ON bl.query = f.id AND bl.action = f.action),
+e AS (SELECT id, p / sum(p) OVER (PARTITION BY id) AS p, q / sum(q) OVER (PARTITION BY id) AS q FROM u WHERE id IN (SELECT query FROM bl) AND id IN (SELECT id FROM nw))"""
+
+
+@query(with_roles(f"WITH {SESSION} SELECT split_part(e.id, '|', 1) AS session_id, split_part(e.id, '|', 2) AS cluster_key, any_value(nw.n) AS n, round(sum(p * ln(p / q)), 5) AS ev_loss FROM e JOIN nw ON nw.id = e.id GROUP BY e.id"))
+def a18_session_ev_loss(spark, d):
+    """Each session and cluster against the corpus as it was when the session began."""
     obs = role(spark, d, "obs")
-    got = E.loo_gate(ev_parts(spark, d), S.action_freq(obs, ["cluster_key"]), obs, "cluster_key")
-    return got.select(d5("tvd"), d5("top1"), "clusters", "gate_ok")
+    start = obs.groupBy("session_id").agg((20 * F.dayofyear(F.min("ts"))).alias("t0"))
+    rows = obs_vectors(spark, d).join(obs.select(F.col("obs_id").alias("id"), "session_id", "action"), "id").join(start, "session_id")
+    got = E.ev_loss(rows, corpus_of(spark, d), ["session_id", "cluster_key"], ["part"], valid=("t0", "added_at", "removed_at"))
+    return got.select("session_id", "cluster_key", "n", F.round("ev_loss", 5).alias("ev_loss"))
+
+
+GATE = f"""ov AS ({OBSVEC}), nw AS (SELECT cluster_key AS id, arg_max(vec, (ts, id)) AS vec, arg_max(part, (ts, id)) AS part, count(*) AS n FROM ov WHERE cluster_key IN (SELECT cluster_key FROM targets) GROUP BY cluster_key),
+nb AS ({nb_sql("c.active AND 'c' || (c.id % 20) <> q.id", 'nw', 'corpus', 10).replace(' AND c.id <> q.id', '')}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
+bl AS (SELECT query, action, w / sum(w) OVER (PARTITION BY query) AS p FROM v WHERE w > 0),
+u AS (SELECT coalesce(bl.query, t.cluster_key) AS id, coalesce(bl.action, t.action) AS action, coalesce(bl.p, 0) AS p, coalesce(t.p, 0) AS q FROM bl FULL JOIN (SELECT * FROM targets WHERE cluster_key IN (SELECT query FROM bl)) t ON t.cluster_key = bl.query AND t.action = bl.action),
+g AS (SELECT u.id, 0.5 * sum(abs(p - q)) AS tvd, arg_max(action, (p, action)) = arg_max(action, (q, action)) AS hit, any_value(n) AS w FROM u JOIN nw ON nw.id = u.id GROUP BY u.id),
+r AS (SELECT sum(tvd * w) / sum(w) AS tvd, sum(CASE WHEN hit THEN 1.0 ELSE 0.0 END * w) / sum(w) AS top1, count(*) AS clusters, (SELECT arg_max(m, session_id) FROM (SELECT session_id, avg(value) / 2 AS m FROM metrics GROUP BY session_id)) AS last FROM g)"""
+
+
+@query(with_roles(f"WITH {GATE} SELECT round(tvd, 5) AS tvd, round(top1, 5) AS top1, clusters, round(last, 5) AS last_tvd, clusters >= 5 AS coverage_ok, round(tvd - last, 5) AS regression, clusters >= 5 AND tvd < 0.15 AND tvd - last <= 0.05 AS passed FROM r"))
+def a35_loo_gate(spark, d):
+    """Every solved cluster rebuilt from the other clusters' rows, against its solve and the run before."""
+    obs, own = obs_vectors(spark, d), F.concat(F.lit("c"), F.col("id") % 20)
+    spots = E.newest_spots(obs, ["cluster_key"], ["part"], [], 1).withColumn("id", F.col("cluster_key"))
+    targets = role(spark, d, "targets").withColumnRenamed("cluster_key", "id")
+    runs = role(spark, d, "metrics").groupBy(F.col("session_id").alias("at")).agg((F.avg("value") / 2).alias("tvd"))
+    corpus = corpus_of(spark, d).where("active").withColumn("cluster_key", own)
+    got = E.loo_gate(spots.drop("n"), corpus, targets, spots.select("id", "n"), ["part"], ["cluster_key"], runs)
+    return got.select(d5("tvd"), d5("top1"), "clusters", d5("last_tvd"), "coverage_ok", d5("regression"), "passed")
 
 
 LOO = f"""nb AS ({nb_sql('TRUE', k=10)}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action),
