@@ -188,4 +188,4 @@ def villain_position(villain: Column, hero: Column, aggressor: Column) -> Column
 def equity_block(deciles: Column, variance: Column, mean: Column, river: Column) -> Column:
     """Array of twelve: nine deciles (the mean nine times on the river), variance over 0.25, mean, best case."""
     nine = F.when(river, F.array_repeat(mean, 9)).otherwise(deciles)
-    return F.transform(F.concat(nine, F.array(F.least(variance, F.lit(1.0)) / 0.25, mean, deciles[8])), within)
+    return F.transform(F.concat(nine, F.array(F.least(variance, F.lit(1.0)) / 0.25, mean, deciles[8])), lambda x: within(x))

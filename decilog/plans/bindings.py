@@ -37,6 +37,8 @@ ROLES = {
         SELECT id, 'raise' AS action, CAST(id % 4 AS DOUBLE) / 10 - CAST(0.1 AS DOUBLE) AS share FROM corpus WHERE id % 3 = 0 UNION ALL
         SELECT id, 'muck' AS action, CAST(0.25 AS DOUBLE) AS share FROM corpus WHERE id % 3 = 0 UNION ALL
         SELECT id, 'fold' AS action, CAST(0.5 AS DOUBLE) AS share FROM corpus WHERE id % 12 = 0""",
+    # equities by a key that three quarters of the moves have
+    "equity": """SELECT l_partkey % 64 AS eq_key, CAST(sum(amount) AS DOUBLE) / count(*) / 60 AS mean, CAST(count(*) % 7 AS DOUBLE) / 20 AS variance FROM moves WHERE l_partkey % 64 < 48 GROUP BY l_partkey % 64""",
     # solved distributions of clusters: the newest solve of each
     "targets": """SELECT cluster_key, 'view' AS action, 1 - s AS p FROM (SELECT cluster_key, max_by(exploitability, solve_id) / 200 AS s FROM solves GROUP BY cluster_key) t UNION ALL
         SELECT cluster_key, 'purchase' AS action, s AS p FROM (SELECT cluster_key, max_by(exploitability, solve_id) / 200 AS s FROM solves GROUP BY cluster_key) u""",

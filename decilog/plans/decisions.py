@@ -281,14 +281,14 @@ def f11_class_features(spark, d):
 GEO = f"""WITH a AS (SELECT hand_id, seq, actor, {AGG} AS aggressor, stack_after / CAST(pot_before AS DOUBLE) AS spr, pot_before / 10.0 AS pot_bb, coalesce(facing_size / CAST(pot_before AS DOUBLE), 0) AS f, amount / 10.0 AS to_bb, stack_after / 10.0 AS stack_bb FROM ({POT}))"""
 
 
-@query(with_roles(GEO + """SELECT hand_id, seq, round(CASE WHEN f > 0 THEN least(f / (1 + f), 0.5) ELSE 0 END, 6) AS pot_odds, round(least(ln(1 + spr) / ln(101), 1), 6) AS log_spr, round(CASE WHEN stack_bb + to_bb > 0 THEN to_bb / (stack_bb + to_bb) ELSE 0 END, 6) AS commitment,
- round(least(ln(1 + pot_bb) / ln(201), 1), 6) AS log_pot, round(least(f / 5, 1), 6) AS facing_frac, CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END AS facing, CASE WHEN actor = aggressor THEN 1.0 ELSE 0.0 END AS was_aggressor FROM a"""))
+@query(with_roles(GEO + """SELECT hand_id, seq, round(CASE WHEN f > 0 THEN least(f / (1 + f), 0.5) ELSE 0 END, 12) AS pot_odds, round(least(ln(1 + spr) / ln(101), 1), 12) AS log_spr, round(CASE WHEN stack_bb + to_bb > 0 THEN to_bb / (stack_bb + to_bb) ELSE 0 END, 12) AS commitment,
+ round(least(ln(1 + pot_bb) / ln(201), 1), 12) AS log_pot, round(least(f / 5, 1), 12) AS facing_frac, CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END AS facing, CASE WHEN actor = aggressor THEN 1.0 ELSE 0.0 END AS was_aggressor FROM a"""))
 def f08_geometry(spark, d):
     """The seven entries of the later streets; the first street has three of them."""
     df = E.with_aggressor(ratios(spark, d))
     vec = X.pot_geometry(F.coalesce("facing_frac", F.lit(0.0)), F.col("stack_after") / F.col("pot_before"), F.col("pot_before") / 10, F.col("amount") / 10, F.col("stack_after") / 10, F.coalesce(F.col("actor") == F.col("aggressor"), F.lit(False)))
     names = ["pot_odds", "log_spr", "commitment", "log_pot", "facing_frac", "facing", "was_aggressor"]
-    return cut(df, vec.alias("v")).select("hand_id", "seq", *[F.round(F.col("v")[k], 6).alias(n) for k, n in enumerate(names)])
+    return cut(df, vec.alias("v")).select("hand_id", "seq", *[F.round(F.col("v")[k], 12).alias(n) for k, n in enumerate(names)])
 
 
 SEATS_SQL = "['UTG', 'MP', 'CO', 'BTN', 'SB', 'BB']"
@@ -301,11 +301,11 @@ SELECT hand_id, seq, list_position({SEATS_SQL}, actor) AS hero_slot, coalesce(li
 def f10_position_features(spark, d):
     """Slots that are set in the two one-hot blocks, and the entries behind the opponent's."""
     df = E.with_aggressor(E.with_facing(moves(spark, d)))
-    hero = X.one_hot(F.col("actor"), X.SEATS)
+    hero = X.hero_position(F.col("actor"), F.lit("IP"), F.lit(6))
     villain = X.villain_position(F.coalesce("facing_pos", "aggressor"), F.col("actor"), F.col("aggressor"))
     v = cut(df, hero.alias("h"), villain.alias("v"))
     rest = [F.round(F.col("v")[6 + k], 6).alias(n) for k, n in enumerate(["villain_raised", "tightness", "breadth", "relative"])]
-    return v.select("hand_id", "seq", F.array_position("h", 1.0).alias("hero_slot"), F.array_position(F.slice("v", 1, 6), 1.0).alias("villain_slot"), *rest)
+    return v.select("hand_id", "seq", F.array_position(F.slice("h", 1, 6), 1.0).alias("hero_slot"), F.array_position(F.slice("v", 1, 6), 1.0).alias("villain_slot"), *rest)
 
 
 def hot_sql(column: str, values) -> list[str]:
@@ -319,11 +319,11 @@ VECTOR = [
 
 
 @query(with_roles(f"""WITH p AS (SELECT *, coalesce(facing_size, 0) AS f FROM ({POT})), a AS (SELECT hand_id, seq, n_active FROM ({ACTIVE}))
-SELECT p.hand_id, p.seq, {', '.join(f'round(CAST({x} AS DOUBLE), 5) AS v{k}' for k, x in enumerate(VECTOR))} FROM p JOIN a ON a.hand_id = p.hand_id AND a.seq = p.seq WHERE n_active > 1"""))
+SELECT p.hand_id, p.seq, {', '.join(f'round(CAST({x} AS DOUBLE), 12) AS v{k}' for k, x in enumerate(VECTOR))} FROM p JOIN a ON a.hand_id = p.hand_id AND a.seq = p.seq WHERE n_active > 1"""))
 def f14_feature_vector(spark, d):
     df = E.with_active_players(ratios(spark, d))
     vec = X.assemble(X.geometry(F.col("pot_before").cast("double"), F.col("stack_after").cast("double"), F.coalesce("facing_size", F.lit(0)).cast("double")), X.one_hot(F.col("actor"), E.AFTER_FLOP), X.one_hot(F.col("street"), E.STREETS), F.array(F.col("n_active") / 6))
-    return cut(df, vec.alias("vec")).select("hand_id", "seq", *[F.round(F.col("vec")[k], 5).alias(f"v{k}") for k in range(len(VECTOR))])
+    return cut(df, vec.alias("vec")).select("hand_id", "seq", *[F.round(F.col("vec")[k], 12).alias(f"v{k}") for k in range(len(VECTOR))])
 
 
 @query(with_roles("SELECT 'actor=' || actor || '|street=' || street AS key, actor AS bucket, '?' AS other, count(*) AS n FROM moves GROUP BY 1, 2"))

@@ -28,5 +28,5 @@ def load() -> None:
     """Import every plan module."""
     from importlib import import_module
 
-    for name in ("stats", "ranking", "lookups", "vectors", "decisions", "state", "files", "streams", "grids"):
+    for name in ("stats", "ranking", "lookups", "vectors", "decisions", "features", "state", "files", "streams", "grids"):
         import_module(f"decilog.plans.{name}")
