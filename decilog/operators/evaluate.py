@@ -43,23 +43,102 @@ def same_action_at_k(df: DataFrame, keys: list[str], tag: str, k: int = 10) -> D
     return hit.groupBy(tag).agg(F.count(F.lit(1)).alias("rows"), F.avg("share").alias("same_action"))
 
 
-def _times(weight: float):
-    return lambda x: x.cast("double") * weight
-
-
-def weight_sweep(df: DataFrame, keys: list[str], variants: dict[str, Column], weights: list[float], k: int = 10) -> DataFrame:
-    """loo_eval for every variant (columns appended to the vector) at every weight: variant, weight, rows, loss, ..."""
-    made = []
-    for name, block in variants.items():
-        for weight in weights:
-            wide = df.withColumn("vec", F.concat(F.transform("vec", lambda x: x.cast("double")), F.transform(block, _times(weight))))
-            made.append(wide.withColumns({"variant": F.lit(name), "weight": F.lit(float(weight))}))
-    stacked = made[0]
-    for one in made[1:]:
-        stacked = stacked.unionByName(one)
-    tagged = stacked.withColumn("id", F.concat_ws("|", "variant", "weight", "id")).withColumn("setting", F.concat_ws("|", "variant", "weight"))
-    got = loo_eval(tagged, ["setting", *keys], k, group="setting")
-    return got.withColumns({"variant": F.split("setting", r"\|")[0], "weight": F.split("setting", r"\|")[1].cast("double")}).drop("setting")
+def enough(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``df`` with ``_used``: whether its partition has more than ``k`` rows."""
+    return df.withColumn("_used", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > k)
+
+
+def masked_loo(
+    df: DataFrame, keys: list[str], legal: dict[bool, list[str]], passive: dict[bool, str], facing: str = "facing", pair: str = "pair", pair_sims: DataFrame | None = None, k: int = 10,
+) -> DataFrame:
+    """Leave-one-out with the actions that a row's state allows: one row.
+
+    Neighbours vote with their similarity; votes for actions that are not ``legal`` for the
+    query's ``facing`` do not count, and a query without a vote left takes the ``passive``
+    one. loss = mean of 1 - p of the own action, log_loss = mean of -ln(max(p, 1e-12)); the
+    same loss over the position-sensitive rows, whose action is not the most frequent of
+    their partition (of equally frequent ones the last name is); fidelity = mean similarity
+    of a row's ``pair`` to its neighbours' by ``pair_sims`` (a, b, sim; missing pairs are 0).
+    Partitions of at most ``k`` rows are skipped; coverage is the share of rows that are not.
+    """
+    sized = enough(df, keys, k)
+    used = sized.where("_used").drop("_used")
+    near = K.knn(used, used, keys, k)
+    allowed = lambda a: F.when(F.col(facing), a.isin(legal[True])).otherwise(a.isin(legal[False]))
+    votes = near.select("query", "nb", F.greatest(F.lit(0.0), 1 - F.col("distance")).alias("w")).where("w > 0")
+    votes = votes.join(used.select(F.col("id").alias("nb"), "action"), "nb").join(used.select(F.col("id").alias("query"), facing, F.col("action").alias("own")), "query").where(allowed(F.col("action")))
+    got = votes.groupBy("query").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("action") == F.col("own"), F.col("w")).otherwise(0.0)).alias("hit"))
+    modal = used.groupBy(*keys, "action").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max_by("action", F.struct("n", "action")).alias("modal"))
+    default = F.when(F.col(facing), F.lit(passive[True])).otherwise(F.lit(passive[False]))
+    p = F.when(F.col("total") > 0, F.col("hit") / F.col("total")).otherwise((F.col("action") == default).cast("double"))
+    scored = used.withColumnRenamed("id", "query").join(got, "query", "left").join(modal, keys).withColumn("p", p)
+    if pair_sims is not None:
+        own, theirs = used.select(F.col("id").alias("query"), F.col(pair).alias("a")), used.select(F.col("id").alias("nb"), F.col(pair).alias("b"))
+        close = near.join(own, "query").join(theirs, "nb").join(pair_sims, ["a", "b"], "left").groupBy("query").agg(F.avg(F.coalesce("sim", F.lit(0.0))).alias("fidelity"))
+        scored = scored.join(close, "query", "left")
+    else:
+        scored = scored.withColumn("fidelity", F.lit(None).cast("double"))
+    sensitive = F.col("action") != F.col("modal")
+    whole = scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(1 - F.col("p")).alias("loss"), F.avg(-F.log(F.greatest("p", F.lit(1e-12)))).alias("log_loss"),
+        F.avg(F.when(sensitive, 1 - F.col("p"))).alias("sensitive_loss"), F.count_if(sensitive).alias("n_sensitive"), F.avg("fidelity").alias("fidelity"),
+    )
+    return whole.crossJoin(sized.agg(F.avg(F.col("_used").cast("double")).alias("coverage")))  # one row each
+
+
+def archetypes(df: DataFrame, keys: list[str], tags: Column, pair: str, member: Column, k: int = 10) -> DataFrame:
+    """Same-action share of the ``k`` neighbours by tag, and how pure the neighbourhoods are: part, name, n, mean.
+
+    ``tags``: each row's array of tags; every row is also ``overall``, and ``sensitive`` if its action is
+    not the most frequent of its partition. ``pool`` rows: exact_pair, the share of
+    neighbours with the row's ``pair``; purity, over rows that are a ``member``, the share
+    of neighbours that are. Partitions of at most ``k`` rows are skipped.
+    """
+    used = enough(df, keys, k).where("_used").drop("_used").withColumns({"_tags": tags, "_member": member})
+    modal = used.groupBy(*keys, "action").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max_by("action", F.struct("n", "action")).alias("modal"))
+    more = F.array_compact(F.array(F.lit("overall"), F.when(F.col("action") != F.col("modal"), "sensitive")))
+    own = used.join(modal, keys).select(F.col("id").alias("query"), "action", F.col(pair).alias("_pair"), "_member", F.array_union("_tags", more).alias("_tags"))
+    theirs = used.select(F.col("id").alias("nb"), F.col("action").alias("_a"), F.col(pair).alias("_p"), F.col("_member").alias("_m"))
+    share = lambda test: F.avg(test.cast("double"))
+    by = K.knn(used, used, keys, k).select("query", "nb").join(own.drop("_tags"), "query").join(theirs, "nb").groupBy("query", "_member").agg(
+        share(F.col("_a") == F.col("action")).alias("same"), share(F.col("_p").eqNullSafe(F.col("_pair"))).alias("pair"), share(F.col("_m")).alias("pure"),
+    )
+    sliced = by.join(own.select("query", F.explode("_tags").alias("name")), "query").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("same").alias("mean")).select(F.lit("tag").alias("part"), "name", "n", "mean")
+    pools = F.array(F.struct(F.lit("exact_pair").alias("name"), F.col("pair").alias("x")), F.struct(F.lit("purity").alias("name"), F.when(F.col("_member"), F.col("pure")).alias("x")))
+    pooled = by.select(F.explode(pools).alias("s")).where("s.x IS NOT NULL").groupBy("s.name").agg(F.count(F.lit(1)).alias("n"), F.avg("s.x").alias("mean")).select(F.lit("pool").alias("part"), "name", "n", "mean")
+    return sliced.unionByName(pooled)
+
+
+def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with its array columns z-scored, each dimension by its mean and standard deviation over all rows."""
+    from decilog.operators import stats as S
+
+    for c in columns:
+        df = S.normalise(df, c, S.manifest(S.fit_zscore(df, c)), out=c)
+    return df
+
+
+def weight_sweep(df: DataFrame, keys: list[str], variants: dict[str, Column], weights: list[float], k: int = 10, zscore: bool = False) -> DataFrame:
+    """Leave-one-out for every variant (arrays appended to the vector) at every weight: variant, weight, rows, loss, log_loss, fidelity.
+
+    One neighbour search serves all settings (see :func:`knn_sweep`). ``zscore``: the vector
+    and each block are scaled first, by one fit whatever the weights. The k-th neighbour's
+    blend counts as in :func:`loo_eval`.
+    """
+    wide = df.withColumns({f"_b_{name}": F.transform(block, lambda x: x.cast("double")) for name, block in variants.items()})
+    if zscore:
+        wide = scaled(wide, ["vec", *[f"_b_{name}" for name in variants]])
+    settings = [(name, float(w)) for name in variants for w in weights]
+    used = enough(wide, keys, k).where("_used").drop("_used")
+    near = K.knn_sweep(used, keys, {name: [f"_b_{name}"] for name in variants}, settings, k)
+    dist = B.blend(near.select(F.struct("setting", "query").alias("query"), "nb", "distance"), used)
+    top = dist.groupBy("query").agg(F.max_by("action", F.struct("prob", "action")).alias("top"))
+    hit = dist.join(used.select(F.col("id").alias("_id"), F.col("action").alias("own")), F.col("query.query") == F.col("_id")).groupBy("query", "own").agg(F.coalesce(F.max(F.when(F.col("action") == F.col("own"), F.col("prob"))), F.lit(0.0)).alias("prob"))
+    got = hit.join(top, "query").groupBy(F.col("query.setting").alias("setting")).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(1 - F.col("prob")).alias("loss"), F.avg(-F.log(F.col("prob") + 1e-6)).alias("log_loss"), F.avg((F.col("top") == F.col("own")).cast("double")).alias("fidelity"),
+    )
+    named = F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(w).alias("weight")) for name, w in settings])
+    return got.withColumn("_s", named[F.col("setting")]).select("_s.variant", "_s.weight", "rows", "loss", "log_loss", "fidelity")
 
 
 def compare_variants(results: DataFrame, baseline: str, tolerance: float = 1e-3) -> DataFrame:

@@ -28,6 +28,18 @@ def blocks_of(df: DataFrame, keys: list[str], tag: str, rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(tag))
 
 
+def nearest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the ``k`` largest finite entries of each row, largest first; of equal ones the first columns."""
+    # the k-th largest bounds what can be among the k nearest; equal values stay for the column rule
+    edge = np.partition(sims, -min(k, sims.shape[1]), axis=1)[:, -min(k, sims.shape[1])]
+    at, nb = np.nonzero((sims >= edge[:, None]) & np.isfinite(sims))
+    order = np.lexsort((nb, -sims[at, nb], at))
+    at, nb = at[order], nb[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    at, nb = at[place < k], nb[place < k]
+    return at, nb, sims[at, nb]
+
+
 def knn(
     queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10, vec: str = "vec", id_col: str = "id",
     band: str | None = None, block_rows: int = BLOCK_ROWS, apart: list[str] | None = None, valid: tuple[str, str, str] | None = None,
@@ -76,14 +88,8 @@ def knn(
             if valid:
                 t, added, removed = q[valid[0]].to_numpy()[start : start + 1024, None], c[valid[1]].to_numpy()[None, :], c[valid[2]].to_numpy()[None, :]
                 sims[~((added <= t) & ((removed == 0) | (removed > t)))] = -np.inf
-            # the k-th largest bounds what can be among the k nearest; equal values stay for the id rule
-            edge = np.partition(sims, -min(k, sims.shape[1]), axis=1)[:, -min(k, sims.shape[1])]
-            at, nb = np.nonzero((sims >= edge[:, None]) & np.isfinite(sims))
-            order = np.lexsort((nb, -sims[at, nb], at))
-            at, nb = at[order], nb[order]
-            place = np.arange(len(at)) - np.searchsorted(at, at)
-            at, nb = at[place < k], nb[place < k]
-            made.append(pd.DataFrame({"query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - sims[at, nb]}))
+            at, nb, found = nearest(sims, k)
+            made.append(pd.DataFrame({"query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - found}))
         return pd.concat(made)
 
     parts = [*keys, "_q", "_c"]
@@ -93,6 +99,58 @@ def knn(
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def knn_sweep(
+    df: DataFrame, keys: list[str], blocks: dict[str, list[str]], settings: list[tuple[str, float]], k: int = 10, base: list[str] | None = None,
+    id_col: str = "id", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Every row's ``k`` nearest others under several vectors at once: setting (place in ``settings``), query, nb, distance, rank.
+
+    A setting (name, weight) stands for the columns ``base`` (arrays) followed by those of
+    ``blocks[name]`` times the weight. A dot product of such vectors is that of the base plus
+    weight^2 times that of the block, and so is a squared length: a block pair takes one product
+    for the base and one for each name, and combines them for every weight. The rows
+    travel once, however many settings there are.
+    """
+    base = base or ["vec"]
+    kind, names = df.schema[id_col].dataType, list(blocks)
+    sizes = blocks_of(df, keys, "_n", block_rows)
+    columns = list(dict.fromkeys([*base, *[c for own in blocks.values() for c in own]]))
+    sized = df.select(*keys, id_col, *columns).join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64(id_col), "_n").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left, right = sized.withColumn("_q", F.col("_own")).withColumn("_c", every), sized.withColumn("_c", F.col("_own")).withColumn("_q", every)
+    out = T.StructType([T.StructField("setting", T.IntegerType()), T.StructField("query", kind), T.StructField("nb", kind), T.StructField("distance", T.DoubleType())])
+
+    def matrix(part: pd.DataFrame, of: list[str]) -> np.ndarray:
+        return np.concatenate([np.stack(part[c].to_numpy()).astype(np.float64) for c in of], axis=1)
+
+    def block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"setting": [], "query": [], "nb": [], "distance": []})
+        c = c.sort_values(id_col, kind="stable").reset_index(drop=True)
+        q_ids, c_ids, made = q[id_col].to_numpy(), c[id_col].to_numpy(), []
+        sides = {name: (matrix(q, of), matrix(c, of)) for name, of in {"": base, **blocks}.items()}
+        lengths = {name: ((x * x).sum(1), (y * y).sum(1)) for name, (x, y) in sides.items()}
+        for start in range(0, len(q), 1024):
+            rows = slice(start, start + 1024)
+            dots = {name: x[rows] @ y.T for name, (x, y) in sides.items()}
+            own = q_ids[rows, None] == c_ids[None, :]
+            for number, (name, weight) in enumerate(settings):
+                w = weight * weight
+                across, down = (lengths[""][side] + w * lengths[name][side] for side in (0, 1))
+                scale = np.sqrt(across[rows, None] * down[None, :])
+                sims = (dots[""] + w * dots[name]) / np.where(scale == 0, 1, scale)
+                sims[own] = -np.inf
+                at, nb, found = nearest(sims, k)
+                made.append(pd.DataFrame({"setting": number, "query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - found}))
+        return pd.concat(made)
+
+    assert all(name in names for name, _ in settings)
+    parts = [*keys, "_q", "_c"]
+    found = left.toDF(*left.columns).groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(block, out)
+    rank = F.row_number().over(Window.partitionBy("setting", "query").orderBy("distance", "nb"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def knn_lsh(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10, vec: str = "vec", id_col: str = "id", tables: int = 8, planes: int = 6, dims: int = 64, seed: int = 5) -> DataFrame:
     """Approximate form: candidates share the signs of ``planes`` random projections in one of ``tables``; re-ranked exactly.
 

@@ -274,10 +274,46 @@ def n12_same_action_at_k(spark, d):
     return E.same_action_at_k(corpus_of(spark, d), ["part"], "label").select("label", "rows", d5("same_action"))
 
 
-def sweep(spark, d):
+FREE, BOUND = ["view", "click"], ["purchase", "signup", "error"]
+MASK = f"""co AS (SELECT *, spr % 2 = 1 AS facing, 'p' || (label % 4) AS pair FROM corpus), nb AS ({nb_sql('TRUE', 'co', 'co', 10)}), mo AS (SELECT part, arg_max(action, (n, action)) AS modal FROM (SELECT part, action, count(*) AS n FROM co GROUP BY ALL) GROUP BY part),
+vo AS (SELECT nb.query, c.action = q.action AS hit, greatest(0, 1 - distance) AS w FROM nb JOIN co c ON c.id = nb.nb JOIN co q ON q.id = nb.query WHERE CASE WHEN q.facing THEN c.action IN ('purchase', 'signup', 'error') ELSE c.action IN ('view', 'click') END),
+vt AS (SELECT query, sum(w) AS t, coalesce(sum(w) FILTER (WHERE hit), 0) AS h FROM vo GROUP BY query),
+pf AS (SELECT pair, action, count(*) / sum(count(*)) OVER (PARTITION BY pair) AS p FROM co GROUP BY pair, action), pg AS (SELECT DISTINCT pair FROM pf), ps AS (SELECT a.pair AS a, b.pair AS b, 1 - 0.5 * sum(abs(coalesce(x.p, 0) - coalesce(y.p, 0))) AS sim FROM pg a, pg b, (SELECT DISTINCT action FROM pf) n LEFT JOIN pf x ON x.pair = a.pair AND x.action = n.action LEFT JOIN pf y ON y.pair = b.pair AND y.action = n.action GROUP BY 1, 2),
+fi AS (SELECT nb.query, avg(sim) AS f FROM nb JOIN co q ON q.id = nb.query JOIN co c ON c.id = nb.nb JOIN ps ON ps.a = q.pair AND ps.b = c.pair GROUP BY nb.query),
+sc AS (SELECT c.id, c.action <> modal AS sensitive, CASE WHEN t > 0 THEN h / t WHEN c.action = CASE WHEN c.facing THEN 'error' ELSE 'view' END THEN 1 ELSE 0 END AS p, f FROM co c JOIN mo ON mo.part = c.part LEFT JOIN vt ON vt.query = c.id LEFT JOIN fi ON fi.query = c.id)"""
+
+
+def spotted(spark, d):
+    return corpus_of(spark, d).withColumns({"facing": F.col("spr") % 2 == 1, "pair": F.concat(F.lit("p"), F.col("label") % 4)})
+
+
+@query(with_roles(f"""WITH {MASK} SELECT count(*) AS rows, round(avg(1 - p), 5) AS loss, round(avg(-ln(greatest(p, 1e-12))), 5) AS log_loss, round(avg(1 - p) FILTER (WHERE sensitive), 5) AS sensitive_loss, count(*) FILTER (WHERE sensitive) AS n_sensitive, round(avg(f), 5) AS fidelity, 1.0 AS coverage FROM sc"""))
+def n11_masked_loo(spark, d):
+    """Legal actions by the state, the position-sensitive rows, and how alike the neighbours' pairs are."""
+    df = spotted(spark, d)
+    freq = S.action_freq(df, ["pair"])
+    names = freq.select("pair").distinct()
+    both = names.select(F.col("pair").alias("a")).crossJoin(names.select(F.col("pair").alias("b"))).withColumn("k", F.concat("a", F.lit("|"), "b"))  # pairs of pair names, few
+    side = lambda c: both.select("k", F.col(c).alias("pair")).join(freq, "pair").select("k", "action", "p")
+    sims = S.tvd(side("a"), side("b"), ["k"]).join(both, "k").select("a", "b", (1 - F.col("tvd")).alias("sim"))
+    got = E.masked_loo(df, ["part"], {False: FREE, True: BOUND}, {False: "view", True: "error"}, pair_sims=sims)
+    return got.select("rows", d5("loss"), d5("log_loss"), d5("sensitive_loss"), "n_sensitive", d5("fidelity"), "coverage")
+
+
+@query(with_roles(f"""WITH {MASK}, by_query AS (SELECT nb.query, avg(CASE WHEN c.action = q.action THEN 1.0 ELSE 0.0 END) AS same, avg(CASE WHEN c.pair = q.pair THEN 1.0 ELSE 0.0 END) AS pr, avg(CASE WHEN c.label % 3 = 0 THEN 1.0 ELSE 0.0 END) AS pure FROM nb JOIN co q ON q.id = nb.query JOIN co c ON c.id = nb.nb GROUP BY nb.query),
+tg AS (SELECT id, unnest(list_concat(['overall', CASE WHEN facing THEN 'facing' ELSE 'free' END, 'spr:' || (spr // 100)], CASE WHEN action <> modal THEN ['sensitive'] ELSE [] END)) AS name FROM co JOIN mo ON mo.part = co.part)
+SELECT 'tag' AS part, name, count(*) AS n, round(avg(same), 5) AS mean FROM tg JOIN by_query ON by_query.query = tg.id GROUP BY name UNION ALL SELECT 'pool', 'exact_pair', count(*), round(avg(pr), 5) FROM by_query
+UNION ALL SELECT 'pool', 'purity', count(*), round(avg(pure), 5) FROM by_query JOIN co ON co.id = by_query.query WHERE label % 3 = 0"""))
+def n12_archetypes(spark, d):
+    """Each row under all its tags, and how pure the pools of neighbours are."""
+    tags = F.array(F.when(F.col("facing"), "facing").otherwise("free"), F.concat(F.lit("spr:"), F.floor(F.col("spr") / 100)))
+    return E.archetypes(spotted(spark, d), ["part"], tags, "pair", F.col("label") % 3 == 0).select("part", "name", "n", d5("mean"))
+
+
+def sweep(spark, d, **kw):
     one = F.array((F.col("label") % 5).cast("double"))
     two = F.array((F.col("id") % 3).cast("double"), (F.col("spr") / 100).cast("double"))
-    return E.weight_sweep(corpus_of(spark, d), ["part"], {"ordinal": one, "mixed": two}, [0.0, 0.5], k=8)
+    return E.weight_sweep(corpus_of(spark, d), ["part"], {"ordinal": one, "mixed": two}, [0.0, 0.5], k=8, **kw)
 
 
 SWEEP = """st(variant, weight) AS (VALUES ('ordinal', 0.0::DOUBLE), ('ordinal', 0.5::DOUBLE), ('mixed', 0.0::DOUBLE), ('mixed', 0.5::DOUBLE)),
@@ -295,6 +331,17 @@ def n13_weight_sweep(spark, d):
     return sweep(spark, d).select("variant", "weight", "rows", d5("loss"), d5("fidelity"))
 
 
+ZSCORED = SWEEP.replace("FROM corpus, st)", "FROM zc, st)").replace("list_concat(CAST(vec AS DOUBLE[]), CASE variant WHEN 'ordinal' THEN [label % 5 * weight] ELSE [id % 3 * weight, spr / 100.0 * weight] END)", "list_concat(z, list_transform(CASE variant WHEN 'ordinal' THEN [z1] ELSE [z2, z3] END, lambda x: x * weight))")
+ZC = """lg AS (SELECT id, unnest(CAST(vec AS DOUBLE[])) AS x, generate_subscripts(vec, 1) AS k FROM corpus), ft AS (SELECT k, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS s FROM lg GROUP BY k),
+zs AS (SELECT lg.id, list((x - m) / s ORDER BY lg.k) AS z FROM lg JOIN ft ON ft.k = lg.k GROUP BY lg.id), zc AS (SELECT c.*, z, (label % 5 - avg(label % 5) OVER ()) / stddev_pop(label % 5) OVER () AS z1, (c.id % 3 - avg(c.id % 3) OVER ()) / stddev_pop(c.id % 3) OVER () AS z2, (spr / 100.0 - avg(spr / 100.0) OVER ()) / stddev_pop(spr / 100.0) OVER () AS z3 FROM corpus c JOIN zs ON zs.id = c.id)"""
+
+
+@query(with_roles(f"WITH {ZC}, {ZSCORED} SELECT variant, weight, rows, round(loss, 5) AS loss, round(fidelity, 5) AS fidelity FROM sw"))
+def n13_zscored_sweep(spark, d):
+    """The sweep over scaled entries: one fit for all weights."""
+    return sweep(spark, d, zscore=True).select("variant", "weight", "rows", d5("loss"), d5("fidelity"))
+
+
 @query(with_roles(f"WITH {SWEEP}, h AS (SELECT * FROM sw WHERE weight = 0.5), b AS (SELECT * FROM h WHERE variant = 'ordinal') SELECT h.variant, round(h.loss - b.loss, 5) AS d_loss, round(h.fidelity - b.fidelity, 5) AS d_fidelity, CASE WHEN h.loss - b.loss < -1e-3 THEN 'better' WHEN h.loss - b.loss > 1e-3 THEN 'worse' ELSE 'same' END AS verdict FROM h, b"))
 def n14_compare_variants(spark, d):
     got = E.compare_variants(sweep(spark, d).where("weight = 0.5"), "ordinal")
