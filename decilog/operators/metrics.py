@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decilog.sources.io import work_dir
+
 
 def novel_rate(obs: DataFrame, session: str, flag: str) -> DataFrame:
     """Share of flagged rows per session."""
@@ -22,6 +24,49 @@ def latency_percentiles(df: DataFrame, session: str, x: str, accuracy: int | Non
     return df.groupBy(session).agg(at(0.5).alias("p50"), at(0.99).alias("p99"))
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], x: str, ps: list[float], bins: int = 256) -> DataFrame:
+    """Percentiles with linear interpolation, without a key's values in one task: keys, p, value.
+
+    Equal values are counted first. For each rank that is asked for, the values between the
+    current bounds are counted in ``bins`` ranges of equal width, and the range that holds the
+    rank becomes the new bounds, until it is one value. A round shuffles counts by range, a
+    bounded number for each key and rank; a key with very many values is as many rows of the
+    counted table, which any task may hold. Rounds are written to the shared folder. Nulls
+    do not count; keys without values have no rows.
+    """
+    spark = df.sparkSession
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        path = work_dir(spark, name)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    value = F.col(x).cast("double")
+    counted = kept(df.where(value.isNotNull()).groupBy(*keys, value.alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "counted")
+    ends = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    exact = F.col("_p") * (F.col("_all") - 1)
+    asked = ends.withColumn("_p", F.explode(F.array(*map(F.lit, ps)))).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(exact), F.ceil(exact)))))
+    bounds = kept(asked.select(*keys, "_rank", "_low", "_high", F.lit(0).cast("long").alias("_under")).distinct(), "bounds")
+    done = bounds.limit(0)
+    while True:
+        done = done.unionByName(bounds.where("_low = _high"))
+        left = bounds.where("_low < _high")
+        if not left.take(1):
+            break
+        inside = counted.join(left, keys).where(F.col("_x").between(F.col("_low"), F.col("_high")))
+        place = F.least(F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))
+        ranges = inside.groupBy(*keys, "_rank", "_under", place.alias("_bin")).agg(F.sum("_n").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        order = Window.partitionBy(*keys, "_rank").orderBy("_bin")
+        upto = ranges.withColumn("_upto", F.col("_under") + F.sum("_n").over(order))
+        hit = upto.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        bounds = kept(hit.select(*keys, "_rank", "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_under")), "bounds")
+    found = done.select(*keys, "_rank", F.col("_low").alias("_v"))
+    side = lambda name: found.select(*keys, F.col("_rank").alias(f"_{name}"), F.col("_v").alias(name))
+    both = ends.select(*keys, "_all").withColumn("p", F.explode(F.array(*map(F.lit, ps)))).withColumn("_at", F.col("p") * (F.col("_all") - 1)).withColumns({"_a": F.floor("_at"), "_b": F.ceil("_at")})
+    both = both.join(side("a"), [*keys, "_a"]).join(side("b"), [*keys, "_b"])
+    return both.select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("_at") - F.col("_a"))).alias("value"))
+
+
 def session_metrics(obs: DataFrame, losses: DataFrame, latency: str, session: str = "session_id") -> DataFrame:
     """Long metric rows of each session: session, cluster_key (null for the session's own), name, value.
 

@@ -8,7 +8,7 @@ from decilog.operators import blend as B
 from decilog.operators import knn as K
 from decilog.plans.bindings import role, with_roles
 from decilog.plans.registry import query
-from decilog.plans.vectors import BLEND, d5  # noqa: F401
+from decilog.plans.vectors import BLEND, d5, nb_sql
 from decilog.session import table
 from decilog.sources.io import work_dir
 from decilog.streaming import stream as T
@@ -57,6 +57,24 @@ def t04_score_stream(spark, d):
     return T.score_stream(s, lambda b: B.blend(K.knn(b, live, ["part"], 10), corpus), "scored").select("query", "action", d5("prob"))
 
 
+VERSIONED = nb_sql("c.added_at <= CASE WHEN q.id % 2 = 0 THEN 250 ELSE 10000000 END AND (c.removed_at = 0 OR c.removed_at > CASE WHEN q.id % 2 = 0 THEN 250 ELSE 10000000 END)")
+
+
+@query(with_roles(f"""WITH nb AS ({VERSIONED}), v AS (SELECT query, action, sum(greatest(0, 1 - distance) * confidence * gto_score) AS w FROM nb JOIN corpus c ON c.id = nb.nb GROUP BY query, action)
+SELECT query, action, round(w / sum(w) OVER (PARTITION BY query), 5) AS prob, query % 2 AS version FROM v WHERE w > 0"""))
+def t04_versioned_scores(spark, d):
+    """Even rows arrive while version 0 is the newest, odd ones after version 1 was made."""
+    source, versions, at, path, state = (work_dir(spark, n) for n in ("asked", "versions", "corpus", "versioned", "versioned-log"))
+    corpus = role(spark, d, "corpus")
+    corpus.write.parquet(at)
+    for number, cutoff in ((0, 250), (1, 10_000_000)):
+        spark.createDataFrame([(number, cutoff)], "version long, cutoff_ts long").write.mode("append").parquet(versions)
+        corpus.where(F.col("id") % 2 == number).select("id", "vec", "part").write.parquet(f"{source}/{number}")
+        s = spark.readStream.schema(corpus.select("id", "vec", "part").schema).option("recursiveFileLookup", "true").parquet(source)
+        got = T.score_versioned(s, versions, at, lambda b, then: B.blend(K.knn(b, then, ["part"], 10), then), path, state)
+    return got.select("query", "action", d5("prob"), "version")
+
+
 @query(with_roles("SELECT cluster_key, max(obs_id) AS obs_id, arg_max(action, obs_id) AS action FROM obs GROUP BY cluster_key"))
 def t05_maintain_state(spark, d):
     """The state table itself; the stream is stopped and started again half way."""

@@ -93,6 +93,35 @@ def n02_knn_cells(spark, d):
     return hit.select("queries", (F.col("recall") >= 0.9).alias("recalled"))
 
 
+@query()
+def n02_kept_index(spark, d):
+    """Recall of the kept index for every hundredth row, as built, after an addition, after removals and a split, and as of an earlier time."""
+    from decilog.operators.index import VectorIndex
+    from decilog.sources.io import work_dir
+
+    df = corpus_of(spark, d)
+    first, more, out = df.where("id % 5 <> 0"), df.where("id % 5 = 0"), df.where("removed_at > 0").select("id")
+    index = VectorIndex.build(first, work_dir(spark, "index"), ["part"], recall=0.98)
+    asked = df.where("id % 100 = 0")
+    size = df.count()
+
+    def recall(step: str, rows, **kw):
+        exact = K.knn(asked, rows, ["part"], 10).select("query", "nb")
+        hit = exact.join(index.search(asked, 10, **kw).select("query", "nb").withColumn("hit", F.lit(1.0)), ["query", "nb"], "left")
+        return hit.agg(F.lit(step).alias("step"), F.countDistinct("query").alias("queries"), F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 4).alias("recall")).withColumns({"version": F.lit(index.version()), "cells": F.lit(len(index.cells()[0]))})
+
+    steps = [recall("built", first)]
+    index.add(more)
+    steps.append(recall("added", df))
+    index.remove(out, size)
+    index.split(max(8, size // len(index.cells()[0])))
+    steps += [recall("removed and split", df.join(out, "id", "left_anti")), recall("as of half", df.where(F.col("added_at") <= size // 2), at=size // 2)]
+    whole = steps[0]
+    for s in steps[1:]:
+        whole = whole.unionByName(s)
+    return whole
+
+
 @query(with_roles(f"WITH {BLEND} SELECT query, action, round(prob, 5) AS prob FROM bl"))
 def n03_blend(spark, d):
     return B.blend(neighbours(spark, d), corpus_of(spark, d)).select("query", "action", d5("prob"))
