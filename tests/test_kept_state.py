@@ -119,9 +119,9 @@ def test_masked_loo_by_hand(spark):
     df = spark.createDataFrame(rows, "id long, vec array<double>, action string, facing boolean, pair string").withColumn("part", F.lit(0))
     sims = spark.createDataFrame([("x", "x", 1.0), ("y", "y", 1.0), ("x", "y", 0.5), ("y", "x", 0.5)], "a string, b string, sim double")
     r = E.masked_loo(df, ["part"], {True: ["fold", "call"], False: ["check", "bet"]}, {True: "fold", False: "check"}, pair_sims=sims, k=1).first()
-    # 0 and 1 see each other's call; 2 sees 1's call, which is not legal: it checks; 3 sees 2's bet
-    assert (r.rows, r.loss, r.n_sensitive, r.coverage) == (4, 0.5, 2, 1.0) and r.sensitive_loss == 1.0
-    assert r.fidelity == pytest.approx((1 + 1 + 0.5 + 1) / 4)
+    # 0 sees 1's call; 1 sees 2's bet, which is not legal: it folds; 2 sees 1's call and checks; 3 sees 2's bet
+    assert (r.rows, r.loss, r.n_sensitive, r.coverage) == (4, 0.75, 2, 1.0) and r.sensitive_loss == 1.0
+    assert r.fidelity == pytest.approx((1 + 0.5 + 0.5 + 1) / 4)
     skipped = E.masked_loo(df, ["part"], {True: [], False: []}, {True: "fold", False: "check"}, k=4).first()
     assert (skipped.rows, skipped.coverage) == (0, 0.0)
 
