@@ -3,8 +3,10 @@
 A BPE encoding is a chain of tokens in which every neighbouring pair is *valid*:
 encoding the pair's bytes gives the pair back. So each prefix of a piece has exactly
 one token that can come last. The table of those last tokens is all that is kept:
-an append only extends it, and after an edit it is kept up to the edit and filled
-again from there.
+an append only extends it; after an edit it is kept up to the edit and filled again
+from there until it agrees with the old one over the longest token's length, from
+where on it is the old one. A text is a row of such pieces: an edit cuts the pieces
+anew from a few before it up to the first border that was one before.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
+from os.path import commonprefix
 
 import ahocorasick
 import pyarrow as pa
@@ -174,10 +178,24 @@ class PrefixTable:
         self.data += more
         self.coder.extend(self.data, self.last)
 
-    def replace(self, start: int, end: int, new: bytes) -> None:
-        """Put ``new`` in the place of data[start:end]; the table before ``start`` stays."""
+    def replace(self, start: int, end: int, new: bytes) -> int:
+        """Put ``new`` in the place of data[start:end]; returns how many entries were filled.
+
+        An entry depends on the bytes and the entries of the longest token's length before
+        it. So once that many entries behind the edit are the old ones, moved by the
+        edit's change of length, all that follow are.
+        """
+        start, end = min(start, len(self.data)), min(end, len(self.data))
+        old, moved, longest = self.last, len(new) - (end - start), self.coder.longest
         self.data = self.data[:start] + new + self.data[end:]
-        self.last = self.coder.extend(self.data, self.last[:start])
+        last, upto, behind = old[:start], start, start + len(new)
+        while upto < len(self.data):
+            upto = min(len(self.data), max(upto, behind) + longest)
+            self.coder.extend(self.data[:upto], last)
+            if upto - longest >= behind and last[upto - longest :] == old[upto - longest - moved : upto - moved]:
+                break
+        self.last = last + old[upto - moved :] if upto < len(self.data) else last
+        return upto - start
 
     def ids(self) -> list[int]:
         return self.coder.read(self.last)
@@ -212,6 +230,64 @@ class TextCoder:
         return b"".join(map(self.coder.token_of.__getitem__, ids))
 
 
+class TextTable:
+    """A text with the ids of its pieces, and prefix tables of the long ones; an edit touches what lies near it."""
+
+    #: Pieces before an edit that it can still change: a contraction's two, and white space that looks ahead.
+    BACK = 3
+    #: Characters from which a piece keeps its table.
+    LONG = 64
+
+    def __init__(self, coder: TextCoder, text: str = "") -> None:
+        self.coder, self.text = coder, ""
+        self.pieces: list[str] = []
+        self.encoded: list[list[int]] = []
+        self.tables: dict[int, PrefixTable] = {}  # by place
+        self.starts: list[int] = []
+        self.replace(0, 0, text)
+
+    def replace(self, start: int, end: int, new: str) -> int:
+        """Put ``new`` in the place of text[start:end]; returns how many pieces were cut anew."""
+        moved, behind = len(new) - (end - start), start + len(new)
+        first = max(0, bisect_right(self.starts, start) - 1 - self.BACK)
+        at = self.starts[first] if first < len(self.starts) else 0
+        self.text = self.text[:start] + new + self.text[end:]
+        made, stop = [], len(self.pieces)
+        for m in self.coder.split.exact.finditer(self.text, at):
+            if m.start() >= behind and (k := bisect_left(self.starts, m.start() - moved)) < len(self.starts) and self.starts[k] == m.start() - moved:
+                stop = k
+                break
+            made.append(m.group())
+        encoded, tables = [], {}
+        for place, piece in enumerate(made, first):
+            if len(piece) < self.LONG:
+                encoded.append(self.coder.pieces[piece])
+                continue
+            tables[place] = self.of_long(piece, self.tables.get(place) if stop - first == len(made) else None)
+            encoded.append(tables[place].ids())
+        later = len(made) - (stop - first)
+        self.tables = {k + later * (k >= stop): t for k, t in self.tables.items() if not first <= k < stop} | tables
+        self.pieces[first:stop], self.encoded[first:stop] = made, encoded
+        self.starts[first:] = accumulate(map(len, self.pieces[first:-1]), initial=at) if self.pieces else []
+        return len(made)
+
+    def of_long(self, piece: str, old: PrefixTable | None) -> PrefixTable:
+        """The table of a long piece, from that of the piece that stood in its place if there is one."""
+        data = piece.encode()
+        if old is None:
+            return PrefixTable(self.coder.coder, data)
+        same = len(commonprefix([old.data, data]))
+        tail = len(commonprefix([old.data[same:][::-1], data[same:][::-1]]))
+        old.replace(same, len(old.data) - tail, data[same : len(data) - tail])
+        return old
+
+    def append(self, more: str) -> int:
+        return self.replace(len(self.text), len(self.text), more)
+
+    def ids(self) -> list[int]:
+        return list(chain.from_iterable(self.encoded))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int> of every whole text (null: empty, no ids)."""
 
