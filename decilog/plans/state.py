@@ -147,6 +147,16 @@ def c12_group_spots(spark, d):
     return got.where("chunk = 0").select("street", "actor", "action", "n", F.get("items", F.lit(0)).alias("first_item"))
 
 
+@query(with_roles("""WITH p AS (SELECT street, actor, action, hand_id, (row_number() OVER (PARTITION BY street, actor, action ORDER BY hand_id) - 1) // 1000 AS chunk, count(*) OVER (PARTITION BY street, actor, action) AS n FROM moves)
+SELECT street, actor, action, chunk, any_value(n) AS n, count(*) AS listed, min(hand_id) AS first_item, max(hand_id) AS last_item, CAST(sum(hand_id) AS BIGINT) AS total FROM p GROUP BY street, actor, action, chunk"""))
+def c12_spot_chunks(spark, d):
+    """Every chunk of every spot: together they hold all items."""
+    got = K.group_spots(role(spark, d, "moves"), ["street", "actor", "action"], "hand_id")
+    items = F.col("items")
+    total = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("street", "actor", "action", "chunk", "n", F.size(items).cast("long").alias("listed"), F.array_min(items).alias("first_item"), F.array_max(items).alias("last_item"), total.alias("total"))
+
+
 @query(with_roles("""WITH s AS (SELECT session_id, avg(value) AS v FROM metrics GROUP BY session_id), l AS (SELECT *, v - lag(v) OVER (ORDER BY session_id) AS up FROM s) SELECT session_id, v > 0.3 * 1.6 OR coalesce(up > 0.02, FALSE) AS pause FROM l"""))
 def c16_pause_flags(spark, d):
     trend = role(spark, d, "metrics").groupBy("session_id").agg(F.avg("value").alias("v"))

@@ -1,4 +1,4 @@
-"""Every registered query of the library against its oracle on the smallest tables."""
+"""Every registered query of the library against its oracle, value by value: what is rounded must be equal."""
 
 import math
 import os
@@ -10,7 +10,7 @@ from decilog.plans import registry
 from decilog.session import TABLES
 
 registry.load()
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 3)
+        return None if math.isnan(v) else round(v, 9)
     return float(v) if hasattr(v, "as_tuple") else v
 
 
@@ -35,7 +35,7 @@ def rows(names, data):
 
 def same(a, b):
     if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool):
-        return abs(a - b) <= 2e-3 + 1e-6 * abs(a)
+        return abs(a - b) <= 1e-8 + 1e-12 * abs(a)
     return a == b
 
 
