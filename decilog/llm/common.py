@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_shared(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """``df`` written to a new folder below the shared one and read back, with that folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -57,8 +57,8 @@ class Scratch:
     def __init__(self) -> None:
         self.tables: list[tuple[DataFrame, str]] = []
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(write_shared(df, name))
+    def stage(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        self.tables.append(write_shared(df, name, codec))
         return self.tables[-1][0]
 
     def drop(self, df: DataFrame) -> None:
@@ -79,7 +79,7 @@ ROW = "_row_key"
 
 def keyed_rows(df: DataFrame, name: str, left: Scratch) -> DataFrame:
     """``df`` with a key of its own for each row, written so that every plan reads the same keys."""
-    return left.stage(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    return left.stage(df.withColumn(ROW, F.monotonically_increasing_id()), name, "zstd")  # whole texts, read twice
 
 
 def with_verdict(docs: DataFrame, verdicts: Callable[[pa.Array], list[bool]], text_col: str = "text") -> DataFrame:

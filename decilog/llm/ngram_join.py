@@ -42,8 +42,10 @@ PAIRED = 32
 SHARED = 3
 #: Bands of sizes within the factor by which sizes of linking sets differ at most.
 BANDS = 16
-#: Bits of the map of wanted ids (half a MB): a full map lets all documents pass, never too few.
-MAP_BITS = 22
+#: Bits of the map of wanted ids: eight for each, between these ends (16 MB at most). Beyond, ids are joined first.
+MAP_BITS = (20, 27)
+#: Bits of the table of hashed counts: four entries for each document, between these ends (16 MB of levels at most).
+COUNT_BITS = (16, 24)
 #: A shingle's key: its count's level in the top bits, then its hash.
 LEVEL_BITS = np.uint64(8)
 
@@ -117,8 +119,13 @@ def signatures(docs: DataFrame, width: int, threshold: int, levels: np.ndarray,
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
 
 
-def id_map(ids: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """A bit map of the hashes of ``id``, of fixed size however many ids there are."""
+def bits_for(n: int, ends: tuple[int, int]) -> int:
+    """The bits of a table of at least ``n`` entries, between two ends."""
+    return min(max(math.ceil(math.log2(max(n, 1))), ends[0]), ends[1])
+
+
+def id_map(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of the hashes of ``id``: a full map lets all documents pass, never too few."""
     at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     words = ids.select(F.floor(at / 32).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most 2**bits / 32 rows
@@ -320,20 +327,29 @@ def link_components(hot: DataFrame, links: DataFrame, texts: SetTable, threshold
     return comp
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bits: int = 20, id_col: str = "doc_id", text_col: str = "text", left: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text", left: Scratch | None = None, unique: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_id, component_id.
 
     Two documents link when ``100 * intersection >= threshold * union`` of their
     shingle sets. ``set_id`` is the smallest doc_id with an equal set, and
     ``component_id`` the smallest one reachable by links. Null and empty texts have
-    an empty set and link with nothing. Ids name documents: rows that repeat an id
-    are all listed, and links of any of them are links of the id (which of their texts is
-    compared with others is not defined; :func:`keep_one` gives rows keys of their own).
-    A row without an id has the component of an equal text, else null. An empty table gives
-    no rows. ``left`` gets the tables that the result is read from, to delete when it is written.
+    an empty set and link with nothing. Every row is compared by its own text: where ids
+    are missing or repeat, rows get keys of their own first (``unique`` says that this need not
+    be looked for). Then both ids are the smallest of the rows with an equal set, and of
+    those reachable by links; null if none of these has an id. Rows of one id are not linked
+    by it. An empty table gives no rows. ``left`` gets the tables that the result is read
+    from, to delete when it is written.
     """
     docs = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scratch, left = Scratch(), left or Scratch()
+    left = left or Scratch()
+    if not unique and docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").take(1):
+        rows = keyed_rows(docs, "join-keyed", left)
+        found = jaccard_components(rows, width, threshold, bits, ROW, "text", left, unique=True).withColumnRenamed("doc_id", ROW).join(rows.select("doc_id", ROW), ROW)
+        for c in ("set_id", "component_id"):
+            found = found.join(found.groupBy(c).agg(F.min("doc_id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+        return found.select("doc_id", "n_shingles", "set_id", "component_id")
+    scratch = Scratch()
+    bits = bits or bits_for(4 * docs.count(), COUNT_BITS)
     levels = count_levels(docs, width, bits)
     whole = scratch.stage(signatures(docs, width, threshold, levels, bits), "join-whole")
     signed = left.stage(whole.select("doc_id", "n", "digest", F.col("prefix").isNotNull().alias("listed")), "join-signed")
@@ -349,8 +365,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
     hot = index.where(F.col("rows") > HOT).select("token", "id", "n", "place")
     hot_ids = scratch.stage(hot.groupBy("id").agg(F.count(F.lit(1)).alias("k")), "join-hot")
     pairs = scratch.stage(counted_pairs(index, hot_ids, threshold), "join-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot_ids.where(F.col("k") >= 1).select("id"))
-    texts = SetTable(sets(docs, id_map(wanted), width, threshold, levels, bits))
+    wanted = scratch.stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot_ids.where(F.col("k") >= 1).select("id")).distinct(), "join-wanted")
+    many = 8 * wanted.count()
+    asked = docs if many <= 1 << MAP_BITS[1] else docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
+    texts = SetTable(sets(asked, id_map(wanted, bits_for(many, MAP_BITS)), width, threshold, levels, bits))
     links = scratch.stage(verify(pairs, texts, threshold, scratch).unionByName(equal), "join-links")
     comp = link_components(hot, links, texts, threshold, scratch, left)
     texts.drop()
@@ -372,7 +390,7 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80, left: Scratch
     """
     left = left or Scratch()
     rows = keyed_rows(docs, "join-docs", left)
-    found = jaccard_components(rows, width, threshold, id_col=ROW, left=left).select(F.col("doc_id").alias(ROW), "component_id")
+    found = jaccard_components(rows, width, threshold, id_col=ROW, left=left, unique=True).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
     kept = found.join(rows.select("doc_id", ROW), ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

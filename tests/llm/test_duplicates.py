@@ -138,3 +138,15 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k + 1, k) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5000, 5000)]
     got = {r.id: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch()).collect()}
     assert all(got[k] == 0 for k in range(301)) and all(got[1000 + k] == 1000 for k in range(50)) and 5000 not in got
+
+
+def test_rows_that_share_an_id_are_compared_each(spark):
+    """Near copies under one id, an id with two texts, rows without an id: components by texts, named by the smallest id."""
+    words = [f"w{k}" for k in range(60)]
+    a, near, b = " ".join(words), " ".join([*words[:59], "other"]), " ".join(words[::-1])
+    rows = [(5, a), (5, b), (3, near), (None, b), (None, near), (9, None), (9, None), (None, "lone words here"), (4, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.jaccard_components(df, 4, 85).collect())
+    assert got == sorted([("5", 57, "3"), ("5", 57, "4"), ("3", 57, "3"), ("None", 57, "4"), ("None", 57, "3"), ("9", 0, "9"), ("9", 0, "9"), ("None", 1, "None"), ("4", 57, "4")])
+    one = [(k, a) for k in range(3)] + [(7, near)]
+    assert {r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(one, "doc_id long, text string"), 4, 85).collect()} == {0}
