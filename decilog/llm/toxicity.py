@@ -127,7 +127,8 @@ def train_dictionaries(rows: list[tuple[str, int]]) -> Distances:
     number). A longer window must exceed so the toxic share of the chosen windows in
     it; a shorter one must still exceed where it is not inside a chosen longer one.
     """
-    split = [(words, toxic, bytearray(len(words))) for words, toxic in ((tokens(text), toxic) for text, toxic in rows)]
+    known: dict[str, str] = {}  # one string for each distinct token
+    split = [(words, toxic, bytearray(len(words))) for words, toxic in (([known.setdefault(w, w) for w in tokens(text)], toxic) for text, toxic in rows)]
     share = sum(toxic for _, toxic in rows) / len(rows)
     seen = (Counter(), Counter())
     for words, toxic, _ in split:
