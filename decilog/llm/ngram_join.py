@@ -44,8 +44,8 @@ SHARED = 3
 BANDS = 16
 #: Bits of the map of wanted ids: eight for each, between these ends (16 MB at most). Beyond, ids are joined first.
 MAP_BITS = (20, 27)
-#: Bits of the table of hashed counts: four entries for each document, between these ends (16 MB of levels at most).
-COUNT_BITS = (16, 24)
+#: Bits of the table of hashed counts. Each task gives up to 2**bits of them, so the table must not grow with the tasks.
+COUNT_BITS = 20
 #: A shingle's key: its count's level in the top bits, then its hash.
 LEVEL_BITS = np.uint64(8)
 
@@ -327,7 +327,7 @@ def link_components(hot: DataFrame, links: DataFrame, texts: SetTable, threshold
     return comp
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text", left: Scratch | None = None, unique: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bits: int = COUNT_BITS, id_col: str = "doc_id", text_col: str = "text", left: Scratch | None = None, unique: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_id, component_id.
 
     Two documents link when ``100 * intersection >= threshold * union`` of their
@@ -349,7 +349,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80, bit
             found = found.join(found.groupBy(c).agg(F.min("doc_id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
         return found.select("doc_id", "n_shingles", "set_id", "component_id")
     scratch = Scratch()
-    bits = bits or bits_for(4 * docs.count(), COUNT_BITS)
     levels = count_levels(docs, width, bits)
     whole = scratch.stage(signatures(docs, width, threshold, levels, bits), "join-whole")
     signed = left.stage(whole.select("doc_id", "n", "digest", F.col("prefix").isNotNull().alias("listed")), "join-signed")
