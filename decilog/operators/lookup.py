@@ -85,9 +85,19 @@ def side_cap(budget: int, sides: int) -> int | None:
     return int(budget ** (1 / sides) + 1e-9) if sides > 2 else None
 
 
-def bounded_product(df: DataFrame, keys: list[str], side: str, item: str, w: str, budget: int = 500_000, sides: int = 2) -> DataFrame:
-    """Products of the sides' items within a key; from three sides on each keeps its floor(budget^(1/k)) heaviest."""
+#: Rows of either side that one block of a product holds.
+PRODUCT_ROWS = 4_000
+
+
+def bounded_product(df: DataFrame, keys: list[str], side: str, item: str, w: str, budget: int = 500_000, sides: int = 2, block_rows: int = PRODUCT_ROWS) -> DataFrame:
+    """Products of the sides' items within a key; from three sides on each keeps its floor(budget^(1/k)) heaviest.
+
+    Two sides are not capped: both are cut into blocks of about ``block_rows`` within their key, and
+    each pair of blocks is a join key of its own, so a key with many items is the work of many tasks.
+    """
     cap = side_cap(budget, sides)
+    if sides == 2:
+        return spread_product(df, keys, side, item, w, block_rows)
     rank = F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc(w), item))
     top = df if cap is None else df.withColumn("_r", rank).where(F.col("_r") <= cap)
     got = top.where(F.col(side) == 0).select(*keys, F.col(item).alias("item_0"), F.col(w).alias("weight"))
@@ -97,6 +107,24 @@ def bounded_product(df: DataFrame, keys: list[str], side: str, item: str, w: str
     return got
 
 
+def spread_product(df: DataFrame, keys: list[str], side: str, item: str, w: str, block_rows: int) -> DataFrame:
+    """Every item of side 0 with every item of side 1 of its key, by pairs of blocks: keys, item_0, weight, item_1."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    blocks = lambda k: F.ceil(F.count_if(F.col(side) == k) / block_rows).cast("int").alias(f"_n{k}")
+    sizes = df.groupBy(*keys).agg(blocks(0), blocks(1)).where("_n0 > 0 AND _n1 > 0")
+
+    def cut(k: int, name: str) -> DataFrame:
+        rows = df.where(F.col(side) == k).select(*keys, F.col(item).alias(f"item_{k}"), F.col(w).alias(name)).join(sizes, keys)
+        rows = rows.withColumn(f"_b{k}", F.pmod(F.xxhash64(f"item_{k}"), F.col(f"_n{k}")).cast("int"))
+        rows = rows.withColumn(f"_b{1 - k}", F.explode(F.sequence(F.lit(0), F.col(f"_n{1 - k}") - 1))).drop("_n0", "_n1")
+        # a count of tasks of its own: by bytes these are few, by what they yield many
+        return rows.repartition(tasks, *keys, "_b0", "_b1")
+
+    both = cut(0, "weight").join(cut(1, "_w"), [*keys, "_b0", "_b1"])
+    return both.select(*keys, "item_0", (F.col("weight") * F.col("_w")).alias("weight"), "item_1")
+
+
 def product_distribution(df: DataFrame, keys: list[str], side: str, x: str, w: str, sides: int = 2, budget: int = 500_000) -> DataFrame:
     """The weighted distribution of the product of one value of each side: keys, x, w.
 

@@ -88,7 +88,8 @@ SIDES = "SELECT p_brand, p_size % 2 AS side, p_partkey AS item, p_retailprice AS
 SELECT x.p_brand, x.item AS item_0, y.item AS item_1, round(x.w * y.w, 2) AS weight FROM s x JOIN s y ON x.p_brand = y.p_brand AND x.side = 0 AND y.side = 1"""))
 def j10_bounded_product(spark, d):
     df = spark.sql(SIDES.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
-    return J.bounded_product(df, ["p_brand"], "side", "item", "w", budget=100).withColumn("weight", F.round("weight", 2))
+    # prices are positive; F.round would go through a decimal for every pair
+    return J.bounded_product(df, ["p_brand"], "side", "item", "w", budget=100).withColumn("weight", F.floor(F.col("weight") * 100 + 0.5) / 100)
 
 
 @query(with_roles(f"""WITH s AS (SELECT p_brand, p_size % 3 AS side, p_size AS item, count(*) AS w FROM part GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY p_brand, side ORDER BY w DESC, item) AS r FROM s)

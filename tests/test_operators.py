@@ -289,3 +289,14 @@ def test_state_survives_a_restart(spark, tmp_path):
 def test_places_of_an_ordered_frame(spark, tmp_path):
     df = spark.range(1000).select((1000 - F.col("id")).alias("x")).repartition(7).orderBy("x")
     assert sorted((r.x, r.place) for r in R.with_place(df, str(tmp_path / "o")).collect()) == [(k, k) for k in range(1, 1001)]
+
+
+def test_two_sided_product_is_spread_over_blocks(spark):
+    df = spark.range(900).selectExpr("id % 2 AS side", "id AS item", "CAST(id AS DOUBLE) AS w", "CASE WHEN id < 840 THEN 'a' WHEN id < 860 THEN 'b' END AS brand")
+    df = df.unionByName(spark.createDataFrame([(0, 7, 1.0, "one side")], "side long, item long, w double, brand string"))
+    got = J.bounded_product(df, ["brand"], "side", "item", "w", block_rows=50)
+    rows = [(r.brand, r.item_0, r.item_1, r.weight) for r in got.collect()]
+    want = {(b, x, y, float(x * y)) for b, ids in (("a", range(840)), ("b", range(840, 860))) for x in ids for y in ids if x % 2 == 0 and y % 2 == 1}
+    assert len(rows) == len(want) and set(rows) == want
+    # one key's product is many tasks
+    assert got.where("brand = 'a'").select(F.spark_partition_id().alias("p")).distinct().count() > 4
