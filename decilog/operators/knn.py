@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows of either side that one block of a partition holds.
 BLOCK_ROWS = 20_000
+#: Entries of a block pair's product that are held at a time (4 MB).
+CHUNK = 1 << 19
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -29,15 +31,31 @@ def blocks_of(df: DataFrame, keys: list[str], tag: str, rows: int) -> DataFrame:
 
 
 def nearest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and value of the ``k`` largest finite entries of each row, largest first; of equal ones the first columns."""
-    # the k-th largest bounds what can be among the k nearest; equal values stay for the column rule
-    edge = np.partition(sims, -min(k, sims.shape[1]), axis=1)[:, -min(k, sims.shape[1])]
-    at, nb = np.nonzero((sims >= edge[:, None]) & np.isfinite(sims))
-    order = np.lexsort((nb, -sims[at, nb], at))
-    at, nb = at[order], nb[order]
+    """Row, column and value of the ``k`` largest finite entries of each row, largest first; of equal ones the first columns.
+
+    The k-th largest of the maxima of many runs of columns is no larger than the k-th largest
+    entry, so only the few entries from there on are sorted.
+    """
+    n = sims.shape[1]
+    width = max(1, n // (16 * k))
+    runs = sims[:, : n // width * width].reshape(len(sims), -1, width).max(axis=2) if width > 1 else sims
+    low = min(k, runs.shape[1])
+    edge = np.partition(runs, -low, axis=1)[:, -low] if n > k else np.full(len(sims), -np.inf)
+    at, nb = np.nonzero(sims >= np.maximum(edge, np.finfo(sims.dtype).min)[:, None])
+    value = sims[at, nb]
+    order = np.lexsort((nb, -value, at))
+    at, nb, value = at[order], nb[order], value[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
-    at, nb = at[place < k], nb[place < k]
-    return at, nb, sims[at, nb]
+    kept = (place < k) & np.isfinite(value)
+    return at[kept], nb[kept], value[kept]
+
+
+def hide_own(sims: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray) -> None:
+    """No row is its own neighbour. ``c_ids`` are in order."""
+    first, last = np.searchsorted(c_ids, q_ids, "left"), np.searchsorted(c_ids, q_ids, "right")
+    for more in range(int((last - first).max(initial=0))):
+        rows = np.flatnonzero(first + more < last)
+        sims[rows, first[rows] + more] = -np.inf
 
 
 def knn(
@@ -55,7 +73,23 @@ def knn(
     no neighbour. ``valid``: the query's time and the corpus's columns added and removed; a
     neighbour was added by that time and not removed (0: never) by then. Rows that these
     rule out are masked before the ``k`` nearest are taken, so ``k`` others are found.
+    Rows whose vector is null or has an entry that is no number are nobody's neighbours and have none.
     """
+    return ranked(block_nearest(queries, corpus, keys, k, vec, id_col, band, block_rows, apart, valid), k)
+
+
+def ranked(found: DataFrame, k: int, *more: str) -> DataFrame:
+    """The ``k`` nearest of each query among what its block pairs found, with their rank."""
+    rank = F.row_number().over(Window.partitionBy(*more, "query").orderBy("distance", "nb"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def block_nearest(
+    queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, vec: str, id_col: str, band: str | None = None, block_rows: int = BLOCK_ROWS,
+    apart: list[str] | None = None, valid: tuple[str, str, str] | None = None,
+) -> DataFrame:
+    """The ``k`` nearest of each query in each block pair of :func:`knn`: query, nb, distance."""
+    queries, corpus = queries.where(F.col(vec).isNotNull()), corpus.where(F.col(vec).isNotNull())
     kinds = {f.name: f.dataType for f in queries.schema}
     shared = [*([band] if band else []), *(apart or [])]
     asked, held = [*shared, *(valid or [])[:1]], [*shared, *(valid or [])[1:]]
@@ -75,18 +109,23 @@ def knn(
         if apart:
             codes = pd.concat([q[apart], c[apart]]).groupby(apart, dropna=False, sort=False).ngroup().to_numpy()
             q_group, c_group = codes[: len(q)], codes[len(q) :]
-        for start in range(0, len(q), 1024):
-            sims = qm[start : start + 1024] @ cm.T
-            own = q_ids[start : start + 1024, None] == c_ids[None, :]
-            sims[own] = -np.inf
+        bad_q, bad_c = (~np.isfinite(m).all(axis=1) for m in (qm, cm))
+        qm[bad_q], cm[bad_c] = 0, 0
+        step = max(1, CHUNK // len(c))
+        for start in range(0, len(q), step):
+            rows = slice(start, start + step)
+            sims = qm[rows] @ cm.T
+            hide_own(sims, q_ids[rows], c_ids)
+            sims[bad_q[rows]] = -np.inf
+            sims[:, bad_c] = -np.inf
             if band:
-                b = q[band].to_numpy(float)[start : start + 1024, None]
+                b = q[band].to_numpy(float)[rows, None]
                 x = c[band].to_numpy(float)[None, :]
                 sims[(b != -1) & ((x < np.maximum(0, np.floor(b * 0.5))) | (x > np.floor(b * 1.5)))] = -np.inf
             if apart:
-                sims[q_group[start : start + 1024, None] == c_group[None, :]] = -np.inf
+                sims[q_group[rows, None] == c_group[None, :]] = -np.inf
             if valid:
-                t, added, removed = q[valid[0]].to_numpy()[start : start + 1024, None], c[valid[1]].to_numpy()[None, :], c[valid[2]].to_numpy()[None, :]
+                t, added, removed = q[valid[0]].to_numpy()[rows, None], c[valid[1]].to_numpy()[None, :], c[valid[2]].to_numpy()[None, :]
                 sims[~((added <= t) & ((removed == 0) | (removed > t)))] = -np.inf
             at, nb, found = nearest(sims, k)
             made.append(pd.DataFrame({"query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - found}))
@@ -94,9 +133,7 @@ def knn(
 
     parts = [*keys, "_q", "_c"]
     left = left.toDF(*left.columns)  # both sides may come from one table
-    found = left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(block, out)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "nb"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(block, out)
 
 
 def knn_sweep(
