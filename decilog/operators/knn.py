@@ -167,25 +167,34 @@ def knn_sweep(
         q_ids, c_ids, made = q[id_col].to_numpy(), c[id_col].to_numpy(), []
         sides = {name: (matrix(q, of), matrix(c, of)) for name, of in {"": base, **blocks}.items()}
         lengths = {name: ((x * x).sum(1), (y * y).sum(1)) for name, (x, y) in sides.items()}
-        for start in range(0, len(q), 1024):
-            rows = slice(start, start + 1024)
+        inverse = lambda squares: 1 / np.where(squares == 0, 1, np.sqrt(squares))
+        step = max(1, CHUNK // len(c))
+        for start in range(0, len(q), step):
+            rows = slice(start, start + step)
             dots = {name: x[rows] @ y.T for name, (x, y) in sides.items()}
-            own = q_ids[rows, None] == c_ids[None, :]
+            plain = None
             for number, (name, weight) in enumerate(settings):
                 w = weight * weight
-                across, down = (lengths[""][side] + w * lengths[name][side] for side in (0, 1))
-                scale = np.sqrt(across[rows, None] * down[None, :])
-                sims = (dots[""] + w * dots[name]) / np.where(scale == 0, 1, scale)
-                sims[own] = -np.inf
-                at, nb, found = nearest(sims, k)
+                if w == 0 and plain is not None:  # without a weight all blocks are alike
+                    at, nb, found = plain
+                else:
+                    across, down = (inverse(lengths[""][side] + w * lengths[name][side]) for side in (0, 1))
+                    # a query's own length does not change the order of its neighbours
+                    sims = dots[name] * w if w else dots[""].copy()
+                    if w:
+                        sims += dots[""]
+                    sims *= down
+                    hide_own(sims, q_ids[rows], c_ids)
+                    at, nb, found = nearest(sims, k)
+                    found = found * across[start + at]
+                    plain = (at, nb, found) if w == 0 else plain
                 made.append(pd.DataFrame({"setting": number, "query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - found}))
         return pd.concat(made)
 
     assert all(name in names for name, _ in settings)
     parts = [*keys, "_q", "_c"]
     found = left.toDF(*left.columns).groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(block, out)
-    rank = F.row_number().over(Window.partitionBy("setting", "query").orderBy("distance", "nb"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked(found, k, "setting")
 
 
 def knn_lsh(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10, vec: str = "vec", id_col: str = "id", tables: int = 8, planes: int = 6, dims: int = 64, seed: int = 5) -> DataFrame:
