@@ -200,27 +200,21 @@ def knn_sweep(
 def knn_lsh(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10, vec: str = "vec", id_col: str = "id", tables: int = 8, planes: int = 6, dims: int = 64, seed: int = 5) -> DataFrame:
     """Approximate form: candidates share the signs of ``planes`` random projections in one of ``tables``; re-ranked exactly.
 
-    Everything is column work: no bucket is gathered into one task.
+    A code is one more partition key of :func:`knn`: a bucket gives each of its queries at most ``k``
+    rows, so no pair of candidates is ever a row, and a bucket with many rows is many blocks.
     """
     rng = np.random.default_rng(seed)
-    normals = rng.normal(size=(tables, planes, dims)).round(4)
-
-    def hashed(df: DataFrame, name: str) -> DataFrame:
-        v = F.transform(vec, lambda x: x.cast("double"))
-        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        df = df.select(*keys, F.col(id_col).alias(name), F.transform(v, lambda x: x / F.greatest(length, F.lit(1e-12))).alias(f"_{name}"))
-        codes = []
-        for t in range(tables):
-            bits = [F.when(F.aggregate(F.zip_with(f"_{name}", F.array(*map(F.lit, map(float, plane))), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) > 0, 1 << p).otherwise(0) for p, plane in enumerate(normals[t])]
-            codes.append(sum(bits[1:], bits[0]) + t * (1 << planes))
-        return df.withColumn("_code", F.explode(F.array(*codes)))
-
-    left, right = hashed(queries, "query"), hashed(corpus, "nb")
-    pairs = left.join(right, [*keys, "_code"]).where("query <> nb").dropDuplicates(["query", "nb"])
-    dot = F.aggregate(F.zip_with("_query", "_nb", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    ranked = pairs.select("query", "nb", (1 - dot).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "nb"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= k)
+    normals = rng.normal(size=(tables, planes, dims)).round(4).reshape(-1, dims).T
+    bits = 1 << np.arange(planes)
+
+    @F.pandas_udf("array<int>")
+    def codes(v: pd.Series) -> pd.Series:
+        signs = (unit(v) @ normals > 0).reshape(len(v), tables, planes)
+        return pd.Series(list(((signs * bits).sum(axis=2) + np.arange(tables) * (1 << planes)).astype(np.int32)))
+
+    hashed = lambda df: df.where(F.col(vec).isNotNull()).select(*keys, id_col, vec).withColumn("_code", F.explode(codes(F.col(vec))))
+    found = block_nearest(hashed(queries), hashed(corpus), [*keys, "_code"], k, vec, id_col)
+    return ranked(found.groupBy("query", "nb").agg(F.min("distance").alias("distance")), k)  # a pair may share several codes
 
 
 @dataclass(frozen=True)
