@@ -78,7 +78,7 @@ class VectorIndex:
     def build(cls, rows: DataFrame, path: str, keys: list[str], k: int = 10, recall: float = 0.95, max_sample: int = 20_000) -> VectorIndex:
         """Version 0: cells fitted on a bounded sample (see :func:`decilog.operators.knn.fit_cells`), every row in its nearest."""
         spark = rows.sparkSession
-        fitted = K.fit_cells(rows, k, recall=recall, max_sample=max_sample)
+        fitted = K.fit_cells(rows, k, recall=recall, max_sample=max_sample, keys=keys)
         made = cls(spark, path, keys, fitted.probes)
         cells = spark.createDataFrame([(n, c.tolist()) for n, c in enumerate(fitted.centroids)], "cell long, centroid array<double>")
         empty = spark.createDataFrame([], "cell long"), spark.createDataFrame([], f"id {rows.schema['id'].dataType.simpleString()}, removed_at long")

@@ -225,35 +225,42 @@ class Cells:
     probes: int
 
 
-def fit_cells(corpus: DataFrame, k: int = 10, vec: str = "vec", id_col: str = "id", recall: float = 0.95, max_sample: int = 20_000, seed: int = 5) -> Cells:
+def fit_cells(
+    corpus: DataFrame, k: int = 10, vec: str = "vec", id_col: str = "id", recall: float = 0.95, max_sample: int = 20_000, seed: int = 5, keys: list[str] | None = None, asked: int = 300,
+) -> Cells:
     """Spherical k-means over at most ``max_sample`` rows, those first by a hash of the id.
 
-    There are about as many cells as the root of the corpus's rows. ``probes`` is the
-    least number of cells with which 200 rows of the sample find ``recall`` of their ``k``
-    nearest in the rest of it.
+    There are about as many cells as the root of the corpus's rows. ``probes`` is the least
+    number of cells with which ``asked`` rows of the sample find ``recall`` of their ``k`` nearest
+    among all rows of their partition by ``keys``, as brute force finds them: a sample's own nearest
+    rows lie elsewhere than the corpus's, and a partition's elsewhere than those of all rows. The
+    centroids are fitted without those rows (a quarter of the sample at most), as a fit draws centroids to its own.
     """
     n = corpus.count()
-    rows = corpus.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(max_sample).select(vec).toPandas()  # bounded
-    m = unit(rows[vec]) if len(rows) else np.zeros((0, 1))
+    first = corpus.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col)
+    rows = first.limit(max_sample).select(*(keys or [F.lit(0).alias("_all")]), id_col, vec).collect()  # bounded
+    m = unit(pd.Series([r[vec] for r in rows])) if rows else np.zeros((0, 1))
+    own, m = rows[: min(asked, len(rows) // 4)], m[min(asked, len(rows) // 4) :]
     cells = int(max(1, min(4096, round(math.sqrt(n)), len(m))))
     centroids = m[:cells].copy()
     for _ in range(8):
-        own = np.argmax(m @ centroids.T, axis=1) if len(m) else np.zeros(0, int)
+        nearest_cell = np.argmax(m @ centroids.T, axis=1) if len(m) else np.zeros(0, int)
         sums = np.zeros_like(centroids)
-        np.add.at(sums, own, m)
+        np.add.at(sums, nearest_cell, m)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(length > 0, sums / np.where(length == 0, 1, length), centroids)
     if len(m) <= k + 1:
         return Cells(centroids, cells)
-    own = np.argmax(m @ centroids.T, axis=1)
-    asked = m[:200]
-    sims = asked @ m.T
-    sims[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    nearest = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    order = np.argsort(-(asked @ centroids.T), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-    needed = np.sort(np.take_along_axis(place, own[nearest], axis=1).ravel())
+    parts = keys or ["_all"]
+    every = corpus if keys else corpus.withColumn("_all", F.lit(0))
+    queries = corpus.sparkSession.createDataFrame(own, every.select(*parts, id_col, vec).schema)
+    pairs = knn(queries, every, parts, k, vec, id_col).select("query", F.col("nb").alias(id_col))
+    near = every.select(id_col, vec).join(F.broadcast(pairs), id_col).select("query", vec).toPandas()  # at most asked * k rows
+    if near.empty:
+        return Cells(centroids, cells)
+    place = {r[id_col]: np.argsort(np.argsort(-(unit(pd.Series([r[vec]])) @ centroids.T)[0], kind="stable"), kind="stable") for r in own}
+    cell = np.argmax(unit(near[vec]) @ centroids.T, axis=1)
+    needed = np.sort([place[q][c] for q, c in zip(near["query"], cell)])
     return Cells(centroids, int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1)
 
 

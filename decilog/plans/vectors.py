@@ -87,7 +87,7 @@ def n02_knn_cells(spark, d):
     """Recall of the approximate neighbours against the exact ones: every hundredth row against all."""
     df = corpus_of(spark, d)
     asked, live = df.where("id % 100 = 0"), df.where("active")
-    near = K.knn_cells(asked, live, ["part"], K.fit_cells(live), 10).select("query", "nb")
+    near = K.knn_cells(asked, live, ["part"], K.fit_cells(live, keys=["part"]), 10).select("query", "nb")
     exact = K.knn(asked, live, ["part"], 10).select("query", "nb")
     hit = exact.join(near.withColumn("hit", F.lit(1.0)), ["query", "nb"], "left").agg(F.countDistinct("query").alias("queries"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
     return hit.select("queries", (F.col("recall") >= 0.9).alias("recalled"))

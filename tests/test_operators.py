@@ -300,3 +300,61 @@ def test_two_sided_product_is_spread_over_blocks(spark):
     assert len(rows) == len(want) and set(rows) == want
     # one key's product is many tasks
     assert got.where("brand = 'a'").select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def vectors(spark, n, parts, seed=3, dims=64):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([(k, k % parts, rng.normal(size=dims).tolist()) for k in range(n)], "id long, part int, vec array<float>")
+
+
+def test_cells_reach_their_recall_within_partitions(spark):
+    """Of rows that a fit on a small sample has not seen, among the rows of their partition alone."""
+    df = vectors(spark, 4000, 4)
+    asked = df.where("id % 20 = 0")
+    cells = N.fit_cells(df, max_sample=800, keys=["part"])
+    near = {(r.query, r.nb) for r in N.knn_cells(asked, df, ["part"], cells).collect()}
+    exact = {(r.query, r.nb) for r in N.knn(asked, df, ["part"]).collect()}
+    assert len(exact) == 2000 and len(near & exact) >= 0.9 * len(exact)
+    assert cells.probes < len(cells.centroids)
+
+
+def test_hashed_neighbours_make_no_rows_of_pairs(spark):
+    df = vectors(spark, 300, 2, dims=8)
+    got = N.knn_lsh(df, df, ["part"], 5, tables=3, planes=2, dims=8)
+    m = np.array([r.vec for r in df.orderBy("id").collect()])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    signs = m @ np.random.default_rng(5).normal(size=(3, 2, 8)).round(4).reshape(-1, 8).T > 0
+    codes = signs.reshape(300, 3, 2) @ np.array([1, 2])
+    want = set()
+    for q in range(300):
+        may = [c for c in range(300) if c != q and c % 2 == q % 2 and (codes[c] == codes[q]).any()]
+        want |= {(q, c, k + 1) for k, c in enumerate(sorted(may, key=lambda c: (1 - m[q] @ m[c], c))[:5])}
+    assert {(r.query, r.nb, r["rank"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and plan.count("Join") <= 4  # only with the blocks' counts
+
+
+def test_nearest_holds_few_candidates_and_keeps_ties_in_order():
+    rng = np.random.default_rng(1)
+    for sims in (rng.normal(size=(40, 5000)), rng.integers(0, 3, (40, 5000)).astype(float), np.full((3, 700), -np.inf), rng.normal(size=(4, 7))):
+        sims[:, ::5] = -np.inf
+        at, nb, value = N.nearest(sims, 10)
+        for row in range(len(sims)):
+            want = [c for c in np.lexsort((np.arange(sims.shape[1]), -sims[row]))[:10] if np.isfinite(sims[row, c])]
+            assert nb[at == row].tolist() == want and value[at == row].tolist() == sims[row, want].tolist()
+
+
+def test_a_vector_that_is_no_number_takes_no_neighbours_away(spark):
+    rows = [(k, 0, [float(k + 1), 1.0]) for k in range(6)] + [(6, 0, [math.nan, 1.0]), (7, 0, None)]
+    df = spark.createDataFrame(rows, "id long, part int, vec array<double>")
+    got = N.knn(df, df, ["part"], 2).collect()
+    assert sorted({r.query for r in got}) == list(range(6)) and len(got) == 12 and all(r.nb < 6 for r in got)
+
+
+def test_sweep_of_weights_equals_a_search_of_each(spark):
+    df = vectors(spark, 400, 2, dims=6).withColumns({"a": F.array((F.col("id") % 5).cast("double")), "b": F.array((F.col("id") % 3).cast("double"), F.col("id") / 400)})
+    settings = [("a", 0.0), ("a", 0.5), ("b", 0.0), ("b", 2.0)]
+    got = {(r.setting, r.query, r.nb, r["rank"]) for r in N.knn_sweep(df, ["part"], {"a": ["a"], "b": ["b"]}, settings, 4, block_rows=90).collect()}
+    for number, (name, w) in enumerate(settings):
+        one = df.select("id", "part", F.concat(F.transform("vec", lambda x: x.cast("double")), F.transform(name, lambda x: x * w)).alias("vec"))
+        assert {x[1:] for x in got if x[0] == number} == {(r.query, r.nb, r["rank"]) for r in N.knn(one, one, ["part"], 4).collect()}
