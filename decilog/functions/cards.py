@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations, permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANKS, SUITS = "23456789TJQKA", "cdhs"
 
@@ -46,8 +49,52 @@ def _renamed(to: str):
     return lambda c: F.concat(F.substring(c, 1, 1), F.translate(F.substring(c, 2, 1), SUITS, to))
 
 
+@F.pandas_udf(T.StringType())
+def _first_form(hole: pd.Series, board: pd.Series) -> pd.Series:
+    """``hole|board`` of cards in one string each; sides that are not whole cards give whatever they give.
+
+    Forms differ by their suits alone, so the first is that with the least digits to base
+    four; cards of a side are in order by rank, then renamed suit.
+    """
+    parts, values = [], []
+    for side in (hole, board):
+        text = side.fillna("").to_numpy().astype("U")
+        wide = max(2, text.dtype.itemsize // 4)
+        codes = np.ascontiguousarray(text).astype(f"U{wide + wide % 2}").view(np.uint32).reshape(len(text), -1)
+        ranks, suits = _PLACE[0][codes[:, ::2] & 127], _PLACE[1][codes[:, 1::2] & 127]
+        values.append((np.where(codes[:, ::2] == 0, 127, (12 - ranks) * 4), suits))
+    best = best_cards = None
+    for to in permutations(range(4)):
+        cards = [np.sort(np.where(v == 127, v, v + np.array(to, np.int16)[s]), axis=1) for v, s in values]
+        number = np.zeros(len(hole), np.int64)
+        for c in cards:
+            for k in range(c.shape[1]):
+                number = number * 4 + (c[:, k] & 3)
+        if best is None:
+            best, best_cards = number, cards
+        else:
+            less = number < best
+            best, best_cards = np.where(less, number, best), [np.where(less[:, None], c, d) for c, d in zip(cards, best_cards)]
+    for c in best_cards:
+        flat = _NAMES[np.minimum(c, 52)]
+        parts.append(reduce(np.char.add, flat.T))
+    return pd.Series(np.char.add(np.char.add(parts[0], "|"), parts[1]))
+
+
+#: Places of rank and suit letters by code, and cards by (12 - rank) * 4 + suit; the last is none.
+_PLACE = [np.array([letters.find(chr(k)) for k in range(128)], np.int16) for letters in (RANKS, SUITS)]
+_NAMES = np.array([RANKS[12 - k // 4] + SUITS[k % 4] for k in range(52)] + [""])
+
+
 def joint_canonical(hole: Column, board: Column) -> Column:
     """``hole|board`` under the suit renaming that comes first of the 24; equal for hands that differ by suits alone."""
+    sides = [F.array_join(x, "") for x in (hole, board)]
+    fine = reduce(lambda a, b: a & b, [x.rlike("^([2-9TJQKA][cdhs]){0,15}$") for x in sides])
+    return F.when(fine, _first_form(*sides)).otherwise(_joint_canonical_of_any(hole, board))
+
+
+def _joint_canonical_of_any(hole: Column, board: Column) -> Column:
+    """:func:`joint_canonical` by column expressions, for what are not cards too."""
     forms = []
     for to in permutations(SUITS):
         turn = _renamed("".join(to))
