@@ -49,6 +49,21 @@ def _renamed(to: str):
     return lambda c: F.concat(F.substring(c, 1, 1), F.translate(F.substring(c, 2, 1), SUITS, to))
 
 
+def _np_cards(cards: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks and suits, from 0, of each row's cards in one string; -1 after the last."""
+    text = cards.fillna("").to_numpy().astype("U")
+    wide = max(2, text.dtype.itemsize // 4)
+    codes = np.ascontiguousarray(text).astype(f"U{wide + wide % 2}").view(np.uint32).reshape(len(text), -1)
+    return _PLACE[0][codes[:, ::2] & 127], _PLACE[1][codes[:, 1::2] & 127]
+
+
+def _np_mask(cards: pd.Series) -> np.ndarray:
+    """52 bits as in :func:`card_mask`."""
+    ranks, suits = _np_cards(cards)
+    bits = np.where((ranks >= 0) & (suits >= 0), np.int64(1) << np.maximum(suits * 13 + ranks, 0).astype(np.int64), 0)
+    return np.bitwise_or.reduce(bits, axis=1)
+
+
 @F.pandas_udf(T.StringType())
 def _first_form(hole: pd.Series, board: pd.Series) -> pd.Series:
     """``hole|board`` of cards in one string each; sides that are not whole cards give whatever they give.
@@ -57,12 +72,8 @@ def _first_form(hole: pd.Series, board: pd.Series) -> pd.Series:
     four; cards of a side are in order by rank, then renamed suit.
     """
     parts, values = [], []
-    for side in (hole, board):
-        text = side.fillna("").to_numpy().astype("U")
-        wide = max(2, text.dtype.itemsize // 4)
-        codes = np.ascontiguousarray(text).astype(f"U{wide + wide % 2}").view(np.uint32).reshape(len(text), -1)
-        ranks, suits = _PLACE[0][codes[:, ::2] & 127], _PLACE[1][codes[:, 1::2] & 127]
-        values.append((np.where(codes[:, ::2] == 0, 127, (12 - ranks) * 4), suits))
+    for ranks, suits in map(_np_cards, (hole, board)):
+        values.append((np.where(ranks < 0, 127, (12 - ranks) * 4), suits))
     best = best_cards = None
     for to in permutations(range(4)):
         cards = [np.sort(np.where(v == 127, v, v + np.array(to, np.int16)[s]), axis=1) for v, s in values]
@@ -189,53 +200,84 @@ def draw_features(hole: Column, board: Column) -> Column:
     free and in range, a gutshot any other four within five (wheels included). Outs: nine
     for the flush, eight or four for the straight; ppot is their share of unseen cards.
     """
-    live = F.size(board).between(3, 4)
-
-    def described(x: Column) -> Column:
-        own, shared = suit_masks(x["hole"]), suit_masks(x["board"])
-        counts = [(F.bit_count(h), F.bit_count(b)) for h, b in zip(own, shared)]
-        any_of = lambda tests: reduce(lambda a, b: a | b, tests)
-        all_ranks = ranks_of_suits(suit_masks(x["hole"].bitwiseOR(x["board"])), 1)
-        flush = any_of([(h + b >= 4) & (h >= 1) & (b < 5) for h, b in counts])
-        backdoor = (F.size(board) == 3) & any_of([(h == 2) & (b == 1) for h, b in counts])
-        return F.struct(flush.alias("flush"), backdoor.alias("backdoor"), all_ranks.alias("ranks"))
-
-    def straights(x: Column) -> Column:
-        any_of = lambda tests: reduce(lambda a, b: a | b, tests)
-        window = lambda k, bits: F.shiftright(x["ranks"], k).bitwiseAND(F.lit(bits))
-        ender = any_of([window(k, 63) == 30 for k in range(8)])
-        within = any_of([F.bit_count(window(k, 31)) == 4 for k in range(9)])
-        wheel = any_of([x["ranks"].bitwiseAND(F.lit(bits)) == bits for bits in ((1 << 12) | 7, (1 << 12) | 11)])
-        return F.struct((live & x["flush"]).alias("flush"), (live & x["backdoor"]).alias("backdoor"), (live & ender).alias("ender"), (live & ~ender & (within | wheel)).alias("gut"))
-
-    def counted(x: Column) -> Column:
-        outs = F.when(x["flush"], 9).otherwise(0) + F.when(x["ender"], 8).when(x["gut"], 4).otherwise(0)
-        return F.struct(
-            x["flush"].alias("flush_draw"), x["backdoor"].alias("backdoor_flush"), x["ender"].alias("open_ender"), x["gut"].alias("gutshot"),
-            (x["flush"] & (x["ender"] | x["gut"])).alias("combo_draw"), (outs / (F.lit(50) - F.size(board))).alias("ppot"), F.lit(0.0).alias("npot"), outs.alias("outs"),
-        )
-
-    return let(let(let(F.struct(card_mask(hole).alias("hole"), card_mask(board).alias("board")), described), straights), counted)
-
-
-def _class_of(x: Column) -> Column:
-    """Hand class of a struct of rank bits: s0..s3 by suit, and those in one to four suits."""
-    suits = [x[f"s{k}"] for k in range(4)]
-    return (
-        F.when(reduce(lambda a, b: a | b, [straight_in(s) for s in suits]), 8).when(x["four"] != 0, 7).when((x["three"] != 0) & (F.bit_count(x["two"]) > 1), 6)
-        .when(reduce(lambda a, b: a | b, [F.bit_count(s) >= 5 for s in suits]), 5).when(straight_in(x["one"]), 4)
-        .when(x["three"] != 0, 3).when(F.bit_count(x["two"]) > 1, 2).when(x["two"] != 0, 1).otherwise(0)
-    )
+    return _draws_of(*_sides(hole, board))
+
+
+@F.pandas_udf(T.StructType([T.StructField("flush_draw", T.BooleanType()), T.StructField("backdoor_flush", T.BooleanType()), T.StructField("open_ender", T.BooleanType()), T.StructField("gutshot", T.BooleanType()), T.StructField("combo_draw", T.BooleanType()), T.StructField("ppot", T.DoubleType()), T.StructField("npot", T.DoubleType()), T.StructField("outs", T.IntegerType())]))
+def _draws_of(hole: pd.Series, board: pd.Series, n: pd.Series) -> pd.DataFrame:
+    h, b, size = _np_mask(hole), _np_mask(board), n.to_numpy()
+    any_of = lambda tests: reduce(np.logical_or, tests)
+    counts = [(_BITS[x], _BITS[y]) for x, y in zip(_np_masks(h), _np_masks(b))]
+    ranks, live = _np_of_suits(_np_masks(h | b), 1), (size >= 3) & (size <= 4)
+    flush = live & any_of([(x + y >= 4) & (x >= 1) & (y < 5) for x, y in counts])
+    backdoor = (size == 3) & any_of([(x == 2) & (y == 1) for x, y in counts])
+    ender = live & any_of([((ranks >> k) & 63) == 30 for k in range(8)])
+    within = any_of([_BITS[(ranks >> k) & 31] == 4 for k in range(9)])
+    wheel = any_of([(ranks & bits) == bits for bits in ((1 << 12) | 7, (1 << 12) | 11)])
+    gut = live & ~ender & (within | wheel)
+    outs = (np.where(flush, 9, 0) + np.where(ender, 8, np.where(gut, 4, 0))).astype(np.int32)
+    return pd.DataFrame({"flush_draw": flush, "backdoor_flush": backdoor, "open_ender": ender, "gutshot": gut, "combo_draw": flush & (ender | gut), "ppot": outs / (50 - size), "npot": 0.0, "outs": outs})
+
+
+def _np_masks(mask: np.ndarray) -> list[np.ndarray]:
+    """The 13 rank bits of each suit, from the two up to the ace."""
+    return [(mask >> (13 * k)) & 0x1FFF for k in range(4)]
+
+
+def _np_of_suits(suits: list[np.ndarray], n: int) -> np.ndarray:
+    """Rank bits that ``n`` of the suits have at least."""
+    return reduce(np.bitwise_or, [reduce(np.bitwise_and, some) for some in combinations(suits, n)])
+
 
+def _np_straight(ranks: np.ndarray) -> np.ndarray:
+    low = (ranks << 1) | (ranks >> 12)
+    both = low & (low >> 1)
+    return (both & (both >> 2) & (low >> 4)) != 0
 
-def _rank_bits(mask: Column) -> Column:
-    suits = suit_masks(mask)
-    return F.struct(*[s.alias(f"s{k}") for k, s in enumerate(suits)], *[ranks_of_suits(suits, n).alias(name) for n, name in enumerate(("one", "two", "three", "four"), 1)])
+
+#: Highest rank by its bits, 0 for the two and for none; how many bits are set.
+_TOP, _BITS = (np.array([f(k) for k in range(1 << 13)], np.int32) for f in (lambda k: max(k.bit_length() - 1, 0), int.bit_count))
+
+
+def _np_class(mask: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Class of the best five cards, and the rank bits that one to four suits have."""
+    suits = _np_masks(mask)
+    one, two, three, four = ranks = [_np_of_suits(suits, n) for n in range(1, 5)]
+    any_of = lambda f: reduce(np.logical_or, [f(s) for s in suits])
+    tests = [any_of(_np_straight), four != 0, (three != 0) & (_BITS[two] > 1), any_of(lambda s: _BITS[s] >= 5), _np_straight(one), three != 0, _BITS[two] > 1, two != 0]
+    return np.select(tests, [8, 7, 6, 5, 4, 3, 2, 1], 0).astype(np.int32), ranks
+
+
+@F.pandas_udf(T.IntegerType())
+def _made_of(cards: pd.Series) -> pd.Series:
+    return pd.Series(_np_class(_np_mask(cards))[0])
+
+
+def _sides(hole: Column, board: Column) -> list[Column]:
+    """Both sides' cards in one string each, and the board's size; a side that is not known has no cards."""
+    return [*[F.coalesce(F.array_join(x, ""), F.lit("")) for x in (hole, board)], F.when(board.isNull(), 0).otherwise(F.size(board))]
 
 
 def made_hand(hole: Column, board: Column) -> Column:
     """Class of the best five of up to seven cards: 0 high card, 1 pair, ... 8 straight flush."""
-    return let(let(card_mask(F.concat(hole, board)), _rank_bits), _class_of)
+    return _made_of(F.concat(*_sides(hole, board)[:2]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("rank_category", T.IntegerType()), T.StructField("pair_rank", T.IntegerType()), T.StructField("kicker", T.IntegerType()), T.StructField("is_set", T.BooleanType()), T.StructField("top_pair", T.BooleanType()), T.StructField("overpair", T.BooleanType())]))
+def _made_features_of(hole: pd.Series, board: pd.Series, n: pd.Series) -> pd.DataFrame:
+    own, shared = _np_mask(hole), _np_mask(board)
+    cls, (one, two, three, _) = _np_class(own | shared)
+    cls = np.where(n.to_numpy() >= 3, cls, 0).astype(np.int32)
+    mine = _np_masks(own)
+    top, pocket, best = _TOP[_np_of_suits(_np_masks(shared), 1)], _np_of_suits(mine, 2) != 0, _TOP[_np_of_suits(mine, 1)]
+    trips = np.isin(cls, (3, 6))
+    rank = np.where(cls == 1, _TOP[two], np.where(trips, _TOP[three], 0)).astype(np.int32)
+    return pd.DataFrame(
+        {
+            "rank_category": cls, "pair_rank": rank, "kicker": np.where(cls == 1, _TOP[one & ~two], 0).astype(np.int32), "is_set": trips & pocket & (best == _TOP[three]),
+            "top_pair": np.isin(cls, (1, 3)) & (rank == top), "overpair": (cls == 1) & pocket & (best > top),
+        }
+    )
 
 
 def made_hand_features(hole: Column, board: Column) -> Column:
@@ -244,26 +286,7 @@ def made_hand_features(hole: Column, board: Column) -> Column:
     Ranks count from 0 (the two). pair_rank is that of a pair, of three of a kind, or of a
     full house's three; is_set: both hole cards are among the three.
     """
-
-    def rated(x: Column) -> Column:
-        cls = F.when(x["n"] >= 3, _class_of(x["all"])).otherwise(0)
-        return F.struct(cls.alias("cls"), x["all"].alias("all"), x["hole"].alias("hole"), top_rank(x["board"]).alias("top"))
-
-    def described(x: Column) -> Column:
-        cls, three = x["cls"], top_rank(x["all"]["three"])
-        pair = top_rank(x["all"]["two"])
-        pocket = x["hole"]["two"] != 0
-        own = top_rank(x["hole"]["one"])
-        held = cls.isin(3, 6) & pocket & (own == three)
-        rank = F.when(cls == 1, pair).when(cls.isin(3, 6), three).otherwise(0)
-        kicker = F.when(cls == 1, top_rank(x["all"]["one"].bitwiseAND(F.bitwise_not(x["all"]["two"])))).otherwise(0)
-        return F.struct(
-            cls.alias("rank_category"), rank.alias("pair_rank"), kicker.alias("kicker"), held.alias("is_set"),
-            (cls.isin(1, 3) & (rank == x["top"])).alias("top_pair"), ((cls == 1) & pocket & (own > x["top"])).alias("overpair"),
-        )
-
-    both = F.struct(let(card_mask(F.concat(hole, board)), _rank_bits).alias("all"), let(card_mask(hole), _rank_bits).alias("hole"), let(card_mask(board), lambda m: ranks_of_suits(suit_masks(m), 1)).alias("board"), F.size(board).alias("n"))
-    return let(let(both, rated), described)
+    return _made_features_of(*_sides(hole, board))
 
 
 def class_features(cls: Column) -> Column:

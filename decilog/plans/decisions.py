@@ -169,8 +169,9 @@ NUMBERS = ["(l_partkey * 7) % 52", "(l_partkey * 7 + l_suppkey % 51 + 1) % 52"]
 def dealt(spark, d):
     """Moves with two hole cards and a board of three to five cards, all different."""
     n = [F.pmod(F.col("l_partkey") * 7 + k * (F.col("l_suppkey") % 7 + 4), F.lit(52)) for k in range(7)]
-    df = moves(spark, d).withColumn("cards", F.array_distinct(F.array(*map(C.card, n))))
-    return df.where(F.size("cards") == 7).withColumns({"hole": F.slice("cards", 1, 2), "board": F.slice("cards", F.lit(3), F.greatest(F.col("street_no") + 2, F.lit(3)).cast("int"))})
+    df = moves(spark, d).where(F.size(F.array_distinct(F.array(*n))) == 7)
+    board = F.slice(F.array(*map(C.card, n[2:])), F.lit(1), F.greatest(F.col("street_no") + 2, F.lit(3)).cast("int"))
+    return df.withColumns({"hole": F.array(*map(C.card, n[:2])), "board": board})
 
 
 #: The dealt cards in SQL: a card is its number; c all seven, h the hole, b the board.

@@ -358,3 +358,22 @@ def test_sweep_of_weights_equals_a_search_of_each(spark):
     for number, (name, w) in enumerate(settings):
         one = df.select("id", "part", F.concat(F.transform("vec", lambda x: x.cast("double")), F.transform(name, lambda x: x * w)).alias("vec"))
         assert {x[1:] for x in got if x[0] == number} == {(r.query, r.nb, r["rank"]) for r in N.knn(one, one, ["part"], 4).collect()}
+
+
+def test_card_steps_run_on_batches(spark):
+    """Hands, draws and first forms go through one vector step each, with any number of cards; null sides have none."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        cards = rng.sample([r + s for r in C.RANKS for s in C.SUITS], 7)
+        rows.append((cards[:2], cards[2 : 2 + rng.choice([0, 3, 4, 5])]))
+    df = spark.createDataFrame([*rows, (None, ["As", "Kd"]), (["As"], None), (["xx", "As"], ["Kd"])], "hole array<string>, board array<string>")
+    hole, board = F.col("hole"), F.col("board")
+    got = df.select("hole", "board", C.joint_canonical(hole, board).alias("a"), C._joint_canonical_of_any(hole, board).alias("b"), C.made_hand_features(hole, board).alias("m"), C.draw_features(hole, board).alias("d"), C.made_hand(hole, board).alias("c"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") >= 1
+    for r in got.collect():
+        assert r.a == r.b
+        if r.board is None or r.hole is None:
+            assert r.m.rank_category == 0 and r.d.outs == 0
+        elif len(r.board) >= 3:
+            assert r.m.rank_category == r.c
