@@ -15,10 +15,8 @@ RANKS, SUITS = "23456789TJQKA", "cdhs"
 
 
 def card(number: Column) -> Column:
-    """Card of a number from 0 to 51."""
-    rank = F.substring(F.lit(RANKS), (number % 13 + 1).cast("int"), F.lit(1))
-    suit = F.substring(F.lit(SUITS), (F.floor(number / 13) + 1).cast("int"), F.lit(1))
-    return F.concat(rank, suit)
+    """Card of a number from 0 to 51; others have none."""
+    return F.get(F.array(*[F.lit(r + s) for s in SUITS for r in RANKS]), number.cast("int"))
 
 
 def rank_of(c: Column) -> Column:
@@ -182,6 +180,25 @@ def three_near(mask: Column) -> Column:
     return found
 
 
+@F.pandas_udf(T.StructType([T.StructField("n_cards", T.IntegerType()), T.StructField("max_suit", T.IntegerType()), T.StructField("paired", T.BooleanType()), T.StructField("near", T.BooleanType()), T.StructField("in_row", T.BooleanType()), T.StructField("high", T.IntegerType())]))
+def _shape_of(board: pd.Series, n: pd.Series) -> pd.DataFrame:
+    ranks, suits = _np_cards(board)
+    of = [reduce(np.add, [(column == v).astype(np.int32) for column in values.T]) for values, top in ((suits, 4), (ranks, 13)) for v in range(top)]
+    mask = reduce(np.bitwise_or, [(count > 0).astype(np.int64) << r for r, count in enumerate(of[4:])])
+    any_of = lambda tests: reduce(np.logical_or, tests)
+    return pd.DataFrame(
+        {
+            "n_cards": n.astype(np.int32), "max_suit": reduce(np.maximum, of[:4]), "paired": reduce(np.maximum, of[4:]) > 1, "near": any_of([_BITS[(mask >> k) & 31] >= 3 for k in range(10)]),
+            "in_row": any_of([((mask >> k) & 7) == 7 for k in range(11)]), "high": _TOP[mask],
+        }
+    )
+
+
+def board_shape(board: Column) -> Column:
+    """Struct: n_cards, max_suit, paired, near (three ranks within five in a row, the ace high), in_row (three ranks in a row), high (0 for the two)."""
+    return _shape_of(*_sides(board, board)[1:])
+
+
 def board_features(board: Column) -> Column:
     """Struct: n_cards, paired, max_suit, high_rank, span, broadway, connected."""
     ranks = F.transform(board, rank_of)

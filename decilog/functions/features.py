@@ -118,9 +118,14 @@ def palette_key(pot: Column, hero: Column, villain: Column, opener: Column) -> C
     )
 
 
+def entry(x: Column) -> Column:
+    """One entry of a vector, within [0, 1]; 0 if it is not known."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x.cast("double"), F.lit(0.0))))
+
+
 def assemble(*parts: Column) -> Column:
     """Arrays joined to one vector, each entry within [0, 1]; unknown entries are 0."""
-    return F.transform(F.concat(*parts), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x.cast("double"), F.lit(0.0)))))
+    return F.transform(F.concat(*parts), entry)
 
 
 def geometry(pot: Column, stack: Column, facing: Column) -> Column:
@@ -130,7 +135,7 @@ def geometry(pot: Column, stack: Column, facing: Column) -> Column:
 
 
 def one_hot(c: Column, values: list[str]) -> Column:
-    return F.array(*[(c == v).cast("double") for v in values])
+    return F.array(*hot(c, values))
 
 
 #: Seats in their order of the encodings, and what their place tells of a range.
@@ -148,41 +153,65 @@ def log_share(x: Column, top: float) -> Column:
     return within(F.log1p(x) / math.log1p(top))
 
 
-def pot_geometry(facing: Column, spr: Column, pot_bb: Column, to_bb: Column, stack_bb: Column, was_aggressor: Column) -> Column:
-    """Array of the later streets: pot odds, log stack-to-pot, commitment, log pot, facing size, facing at all, was the aggressor.
+def pot_sizes(facing: Column, spr: Column, pot_bb: Column, to_bb: Column, stack_bb: Column, was_aggressor: Column) -> list[Column]:
+    """Of the later streets: pot odds, log stack-to-pot, commitment, log pot, facing size, facing at all, was the aggressor.
 
     ``facing`` is a share of the pot; the other sizes are in big blinds.
     """
     odds = F.when(facing > 0, within(facing / (1 + facing), high=0.5)).otherwise(0.0)
     total = stack_bb + to_bb
     committed = F.when(total > 0, within(to_bb / total)).otherwise(0.0)
-    return F.array(odds, log_share(spr, 100), committed, log_share(pot_bb, 200), within(facing / 5), (facing > 0).cast("double"), was_aggressor.cast("double"))
+    return [odds, log_share(spr, 100), committed, log_share(pot_bb, 200), within(facing / 5), (facing > 0).cast("double"), was_aggressor.cast("double")]
+
+
+def pot_geometry(*sizes: Column) -> Column:
+    """Array of :func:`pot_sizes`."""
+    return F.array(*pot_sizes(*sizes))
+
+
+def preflop_sizes(facing: Column, spr: Column, pot_bb: Column) -> list[Column]:
+    """Of the first street: pot odds, log pot, log stack-to-pot."""
+    return [F.when(facing > 0, facing / (1 + facing)).otherwise(0.0), log_share(pot_bb, 200), log_share(spr, 100)]
+
 
+def hot(c: Column, values: list[str]) -> list[Column]:
+    return [(c == v).cast("double") for v in values]
 
-def preflop_geometry(facing: Column, spr: Column, pot_bb: Column) -> Column:
-    """Array of the first street: pot odds, log pot, log stack-to-pot."""
-    return F.array(F.when(facing > 0, facing / (1 + facing)).otherwise(0.0), log_share(pot_bb, 200), log_share(spr, 100))
+
+def hero_entries(seat: Column, rel: Column, n_players: Column) -> list[Column]:
+    """One-hot seat (six), in position, players over six."""
+    return [*hot(seat, SEATS), (rel == "IP").cast("double"), within(n_players / 6)]
 
 
 def hero_position(seat: Column, rel: Column, n_players: Column) -> Column:
-    """Array: one-hot seat (six), in position, players over six."""
-    return F.concat(one_hot(seat, SEATS), F.array((rel == "IP").cast("double"), within(n_players / 6)))
+    """Array of :func:`hero_entries`."""
+    return F.array(*hero_entries(seat, rel, n_players))
 
 
 def _by_seat(seat: Column, table: dict[str, float], other: float) -> Column:
     return F.coalesce(*[F.when(seat == k, F.lit(v)) for k, v in table.items()], F.lit(other))
 
 
-def villain_position(villain: Column, hero: Column, aggressor: Column) -> Column:
-    """Array: one-hot seat (six), raised first, tightness, breadth, seats from the hero's scaled to [0, 1].
+def villain_entries(villain: Column, hero: Column, aggressor: Column) -> list[Column]:
+    """One-hot seat (six), raised first, tightness, breadth, seats from the hero's scaled to [0, 1].
 
     An unknown opponent has no seat, middling tightness and breadth, and the first seat's place.
     """
     raised = F.coalesce((aggressor != hero) & (aggressor == villain), F.lit(False)).cast("double")
     place = lambda s: _by_seat(s, {k: float(n) for n, k in enumerate(SEATS)}, 0.0)
     relative = within(((place(villain) - place(hero)) / 6 + 1) / 2)
-    seats = F.transform(one_hot(villain, SEATS), lambda x: F.coalesce(x, F.lit(0.0)))
-    return F.concat(seats, F.array(raised, _by_seat(villain, TIGHTNESS, 0.5), _by_seat(villain, BREADTH, 0.5), relative))
+    seats = [F.coalesce(x, F.lit(0.0)) for x in hot(villain, SEATS)]
+    return [*seats, raised, _by_seat(villain, TIGHTNESS, 0.5), _by_seat(villain, BREADTH, 0.5), relative]
+
+
+def villain_position(villain: Column, hero: Column, aggressor: Column) -> Column:
+    """Array of :func:`villain_entries`."""
+    return F.array(*villain_entries(villain, hero, aggressor))
+
+
+def equity_entries(deciles: Column, variance: Column, mean: Column, river: Column) -> list[Column]:
+    """The entries of :func:`equity_block`, each an expression of its own."""
+    return [within(x) for x in (*[F.when(river, mean).otherwise(deciles[k]) for k in range(9)], F.least(variance, F.lit(1.0)) / 0.25, mean, deciles[8])]
 
 
 def equity_block(deciles: Column, variance: Column, mean: Column, river: Column) -> Column:

@@ -100,77 +100,78 @@ def faced() -> Column:
     return F.coalesce("facing_frac", F.lit(0.0))
 
 
-def draws_block(draws: Column) -> Column:
-    """Array of eight: the five flags, both potentials, outs over twenty."""
+def draws_entries(draws: Column) -> list[Column]:
+    """Eight: the five flags, both potentials, outs over twenty."""
     flags = [draws[c].cast("double") for c in ("flush_draw", "backdoor_flush", "open_ender", "gutshot", "combo_draw")]
-    return F.array(*flags, X.within(draws["ppot"]), X.within(draws["npot"]), X.within(draws["outs"] / 20))
+    return [*flags, X.within(draws["ppot"]), X.within(draws["npot"]), X.within(draws["outs"] / 20)]
 
 
-def made_block(made: Column) -> Column:
-    """Array of six: class over eight, ranks over twelve, three flags."""
-    return F.array(made["rank_category"] / 8, made["pair_rank"] / 12, made["kicker"] / 12, *[made[c].cast("double") for c in ("is_set", "top_pair", "overpair")])
+def made_entries(made: Column) -> list[Column]:
+    """Six: class over eight, ranks over twelve, three flags."""
+    return [made["rank_category"] / 8, made["pair_rank"] / 12, made["kicker"] / 12, *[made[c].cast("double") for c in ("is_set", "top_pair", "overpair")]]
 
 
-def betting_block() -> Column:
-    """Array of sixteen: place of the street, raises, own boldness, one-hot size faced (eight), own chips, three counts, check before a bet."""
+def betting_entries() -> list[Column]:
+    """Sixteen: place of the street, raises, own boldness, one-hot size faced (eight), own chips, three counts, check before a bet."""
     street = F.when(F.col("street") == "turn", 0.5).when(F.col("street") == "river", 1.0).otherwise(0.0)
     free = (faced() <= 0) | (F.col("facing") == "check_to")
-    place = F.when(free, 0)
-    for k, top in enumerate(FACED_SIZES, 1):
-        place = place.when(faced() <= top, k)
-    place = place.otherwise(7)
+    # a function over an array also keeps the 80 entries out of whole-stage code, whose one method for them is too long to be compiled to machine code
+    over = F.size(F.filter(F.array(*map(F.lit, FACED_SIZES)), lambda top: top < faced()))
+    place = F.when(free, 0).otherwise(F.least(over + 1, F.lit(7)))
     put = F.when(F.col("pot_before") > 0, X.within(F.col("own_put") / F.col("pot_before"))).otherwise(0.0)
     counts = [X.within(F.col(c) / 3) for c in ("own_checks", "own_bets", "others_bold")]
-    return F.array(street, X.within(F.col("n_raises") / 4), flag(F.col("own_bold") > 0), *[flag(place == k) for k in range(8)], put, *counts, flag((F.col("own_checks") > 0) & (F.col("others_bold") > 0) & (faced() > 0)))
+    return [street, X.within(F.col("n_raises") / 4), flag(F.col("own_bold") > 0), *[flag(place == k) for k in range(8)], put, *counts, flag((F.col("own_checks") > 0) & (F.col("others_bold") > 0) & (faced() > 0))]
 
 
-def board_block(board: Column) -> Column:
-    """Array of seven: flush possible, made; straight possible; paired; one suit; three ranks in a row over thirteen; highest rank."""
+def board_entries(shape: Column) -> list[Column]:
+    """Seven, all 0 under three cards: flush possible, made; straight possible; paired; one suit; three ranks in a row over thirteen; highest rank."""
+    tests = [shape["max_suit"] >= 3, shape["max_suit"] >= 4, shape["near"], shape["paired"], shape["max_suit"] == shape["n_cards"]]
+    values = [*map(flag, tests), F.when(shape["in_row"], 3 / 13).otherwise(0.0), shape["high"] / 12]
+    return [F.when(shape["n_cards"] >= 3, x).otherwise(0.0) for x in values]
 
-    def described(b: Column) -> Column:
-        f, ranks = C.board_features(b), C.rank_mask(F.transform(b, C.rank_of))
-        three = F.lit(False)
-        for k in range(2, 13):
-            three = three | (F.shiftright(ranks, k).bitwiseAND(F.lit(7)) == 7)
-        near = F.lit(False)
-        for k in range(2, 12):
-            near = near | (F.bit_count(F.shiftright(ranks, k).bitwiseAND(F.lit(31))) >= 3)
-        return F.array(flag(f["max_suit"] >= 3), flag(f["max_suit"] >= 4), flag(near), flag(f["paired"]), flag(f["max_suit"] == F.size(b)), F.when(three, 3 / 13).otherwise(0.0), (f["high_rank"] - 2) / 12)
 
-    return F.when(F.size(board) >= 3, C.let(board, described)).otherwise(F.array_repeat(F.lit(0.0), 7))
+#: What the cards tell, computed once for a row: columns that :func:`later_entries` reads.
+CARD_COLUMNS = {"_draws": C.draw_features, "_made": C.made_hand_features, "_shape": lambda hole, board: C.board_shape(board)}
 
 
-def later_vector() -> Column:
-    """The 80 entries of the later streets, from the columns of the operators here and in ``extract``.
+def with_cards(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: f(F.col("hole"), F.col("board")) for name, f in CARD_COLUMNS.items()})
+
+
+def later_entries() -> list[Column]:
+    """The 80 entries of the later streets, from the columns of the operators here and in ``extract`` and of :func:`with_cards`.
 
     Equity 12, draws 8, made hand 6, own seat 8, sizes 7, betting 16, first street 6, board 7, opponent 10.
     Of the first street's six the last four are 0, as nothing in the log tells them.
+    Every entry is an expression of its own, without arrays or functions over them, so it is compiled.
     """
-    equity = X.equity_block(F.col("deciles"), F.col("variance"), F.col("mean"), F.col("street") == "river")
-    own = X.hero_position(F.col("actor"), F.col("pos_rel"), F.col("n_active"))
-    sizes = X.pot_geometry(faced(), F.coalesce("spr", F.lit(0.0)), F.col("pot_before") / F.col("blind"), F.col("amount") / F.col("blind"), F.col("stack_after") / F.col("blind"), F.coalesce(F.col("actor") == F.col("aggressor"), F.lit(False)))
-    first = F.array(flag(F.col("actor") == F.col("aggressor")), X.within(F.col("first_raises") / 4), *[F.lit(0.0)] * 4)
-    return X.assemble(equity, draws_block(C.draw_features(F.col("hole"), F.col("board"))), made_block(C.made_hand_features(F.col("hole"), F.col("board"))), own, sizes, betting_block(), first, board_block(F.col("board")), X.villain_position(villain(), F.col("actor"), F.col("aggressor")))
+    equity = X.equity_entries(F.col("deciles"), F.col("variance"), F.col("mean"), F.col("street") == "river")
+    own = X.hero_entries(F.col("actor"), F.col("pos_rel"), F.col("n_active"))
+    sizes = X.pot_sizes(faced(), F.coalesce("spr", F.lit(0.0)), F.col("pot_before") / F.col("blind"), F.col("amount") / F.col("blind"), F.col("stack_after") / F.col("blind"), F.coalesce(F.col("actor") == F.col("aggressor"), F.lit(False)))
+    first = [flag(F.col("actor") == F.col("aggressor")), X.within(F.col("first_raises") / 4), *[F.lit(0.0)] * 4]
+    cards = [*draws_entries(F.col("_draws")), *made_entries(F.col("_made"))]
+    return [X.entry(x) for x in (*equity, *cards, *own, *sizes, *betting_entries(), *first, *board_entries(F.col("_shape")), *X.villain_entries(villain(), F.col("actor"), F.col("aggressor")))]
 
 
-def first_vector(strength: Callable[[Column], Column]) -> Column:
+def first_entries(strength: Callable[[Column], Column]) -> list[Column]:
     """The 34 entries of the first street: equity 6, hand class 5, own seat 9, sizes 3, betting 4, opponent 5, blockers 2.
 
     The opponent's tightness is the column ``tightness``, where it is known, else its seat's.
     """
     cls = C.combo_169(F.col("hole")[0], F.col("hole")[1])
     of = C.class_features(cls)
-    equity = F.array(*[F.col("deciles")[k] for k in (0, 2, 4, 6, 8)], F.col("mean"))
-    hand = F.array(F.when(of["pair"], (of["high"] - 2) / 12).otherwise(0.0), flag(of["suited"]), F.when(of["pair"], 0.0).otherwise(X.within(of["gap"] / 12)), flag(of["broadway"]), strength(cls))
-    own = F.concat(F.array(flag(F.col("pos_rel") == "IP")), X.one_hot(F.col("actor"), X.SEATS), F.array(F.col("n_active") / 6, F.lit(0.0)))
-    sizes = X.preflop_geometry(faced(), F.coalesce("spr", F.lit(0.0)), F.col("pot_before") / F.col("blind"))
+    equity = [*[F.col("deciles")[k] for k in (0, 2, 4, 6, 8)], F.col("mean")]
+    hand = [F.when(of["pair"], (of["high"] - 2) / 12).otherwise(0.0), flag(of["suited"]), F.when(of["pair"], 0.0).otherwise(X.within(of["gap"] / 12)), flag(of["broadway"]), strength(cls)]
+    own = [flag(F.col("pos_rel") == "IP"), *X.hot(F.col("actor"), X.SEATS), F.col("n_active") / 6, F.lit(0.0)]
+    sizes = X.preflop_sizes(faced(), F.coalesce("spr", F.lit(0.0)), F.col("pot_before") / F.col("blind"))
     kind = F.when(F.col("facing") == "bet_to", 0.5).when(F.col("facing") == "raise_to", 1.0).otherwise(0.0)
-    betting = F.array(X.within(F.col("n_raises") / 4), flag(F.col("own_first_raises") > 0), kind, X.within(faced() / 5))
+    betting = [X.within(F.col("n_raises") / 4), flag(F.col("own_first_raises") > 0), kind, X.within(faced() / 5)]
     seats = [flag(villain().isin(*group)) for group in SEAT_GROUPS]
     tight = F.coalesce("tightness", *[F.when(villain() == s, F.lit(v)) for s, v in FIRST_TIGHTNESS.items()], F.lit(0.5))
-    return X.assemble(equity, hand, own, sizes, betting, F.array(*seats, tight), F.array("value_blocked", "range_blocked"))
+    return [X.entry(x) for x in (*equity, *hand, *own, *sizes, *betting, *seats, tight, F.col("value_blocked"), F.col("range_blocked"))]
 
 
 def with_vector(df: DataFrame, strength: Callable[[Column], Column]) -> DataFrame:
     """``df`` with ``vec``: each row's vector by its street, every entry within [0, 1]."""
-    return df.withColumn("vec", F.when(F.col("street") == "preflop", first_vector(strength)).otherwise(later_vector()))
+    vec = F.when(F.col("street") == "preflop", F.array(*first_entries(strength))).otherwise(F.array(*later_entries()))
+    return with_cards(df).withColumn("vec", vec).drop(*CARD_COLUMNS)

@@ -89,10 +89,25 @@ def with_roles(sql: str) -> str:
     return f"WITH {head} {sql}"
 
 
-def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A role's DataFrame over the tables in ``sf_dir``."""
+def role(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A role's DataFrame over the tables in ``sf_dir``, or over those given by name."""
     body, frames = ROLES[name], {}
     for x in set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", body)):
-        frames[x] = role(spark, sf_dir, x) if x in ROLES else table(spark, sf_dir, x)
+        frames[x] = given[x] if x in given else role(spark, sf_dir, x, **given) if x in ROLES else table(spark, sf_dir, x)
         body = re.sub(rf"\b(FROM|JOIN)\s+{x}\b", rf"\1 {{{x}}}", body)
     return spark.sql(body, **frames)
+
+
+#: Lines that a task sorts by hand, as near as hands can be dealt out.
+TASK_ROWS = 200_000
+
+
+def ordered_moves(spark: SparkSession, sf_dir: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The moves for windows over hands: whole hands in as many partitions as keep each near ``task_rows`` lines.
+
+    Every window is sorted within its task, so what a task holds does not grow with the table,
+    however many shuffle partitions the session has.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    parts = max(-(-lines.count() // task_rows), spark.sparkContext.defaultParallelism)
+    return role(spark, sf_dir, "moves", lineitem=lines.repartition(parts, "l_orderkey"))

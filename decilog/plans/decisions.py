@@ -10,14 +10,15 @@ from decilog.functions import cards as C
 from decilog.functions import features as X
 from decilog.functions import predicates as P
 from decilog.operators import extract as E
-from decilog.plans.bindings import role, with_roles
+from decilog.plans.bindings import ordered_moves, role, with_roles
 from decilog.plans.registry import query
 
 HEAD = "hand_id, seq"
 
 
 def moves(spark, d):
-    return role(spark, d, "moves")
+    """For windows over a hand; what needs no order reads the role itself."""
+    return ordered_moves(spark, d)
 
 
 def cut(df, *columns):
@@ -166,14 +167,18 @@ CARD = "substr('23456789TJQKA', CAST(({0}) % 13 + 1 AS INTEGER), 1) || substr('c
 NUMBERS = ["(l_partkey * 7) % 52", "(l_partkey * 7 + l_suppkey % 51 + 1) % 52"]
 
 
-def dealt(spark, d):
+def with_dealt(df):
     """Moves with two hole cards and a board of three to five cards, all different."""
     n = [F.pmod(F.col("l_partkey") * 7 + k * (F.col("l_suppkey") % 7 + 4), F.lit(52)) for k in range(7)]
-    df = moves(spark, d).where(F.size(F.array_distinct(F.array(*n))) == 7)
+    df = df.where(F.size(F.array_distinct(F.array(*n))) == 7)
     board = F.slice(F.array(*map(C.card, n[2:])), F.lit(1), F.greatest(F.col("street_no") + 2, F.lit(3)).cast("int"))
     return df.withColumns({"hole": F.array(*map(C.card, n[:2])), "board": board})
 
 
+def dealt(spark, d):
+    return with_dealt(role(spark, d, "moves"))
+
+
 #: The dealt cards in SQL: a card is its number; c all seven, h the hole, b the board.
 DEALT = """g AS (SELECT *, c[1:2] AS h, c[3:(2 + greatest(street_no + 2, 3))] AS b FROM (SELECT hand_id, seq, street_no, list_transform(range(7), lambda k: (l_partkey * 7 + k * (l_suppkey % 7 + 4)) % 52) AS c FROM moves) WHERE len(list_distinct(c)) = 7)"""
 TURNS = ", ".join(str(list(p)) for p in permutations(range(4)))
@@ -224,7 +229,7 @@ BOARD3 = [f"((l_partkey * 7 + {k} * (l_suppkey % 7 + 4)) % 52)" for k in (2, 3,
 SELECT CASE WHEN len(list_distinct(s)) = 1 THEN 'monotone' WHEN len(list_distinct(r)) < 3 THEN 'paired' WHEN len(list_distinct(s)) = 2 THEN 'wet_two_tone' ELSE 'dry_rainbow' END AS texture, count(*) AS n, round(sum(price), 2) AS total FROM b GROUP BY 1"""))
 def f04_board_texture(spark, d):
     board = F.array(*[C.card(F.expr(x)) for x in BOARD3])
-    return moves(spark, d).groupBy(C.board_texture(board).alias("texture")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    return role(spark, d, "moves").groupBy(C.board_texture(board).alias("texture")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
 @query(with_roles(f"""WITH b AS (SELECT m.hand_id, [{', '.join(x + ' // 13' for x in BOARD3)}] AS s, [{', '.join(x + ' % 13' for x in BOARD3)}] AS r FROM moves m WHERE seq = 0)
@@ -275,7 +280,7 @@ def f07_made_hand_features(spark, d):
 SELECT substr('23456789TJQKA', x + 1, 1) || substr('23456789TJQKA', y + 1, 1) || CASE WHEN x = y THEN '' WHEN s THEN 's' ELSE 'o' END AS cls, CAST(sum(n) AS BIGINT) AS n, CASE WHEN x = y THEN 6 WHEN s THEN 4 ELSE 12 END AS combos, x = y AS pair, s AND x <> y AS suited, CAST(greatest(x - y - 1, 0) AS BIGINT) AS gap, x >= 8 AND y >= 8 AS broadway, CAST(x + 2 AS BIGINT) AS high FROM (SELECT x, y, s AND x <> y AS s, sum(n) AS n FROM r GROUP BY 1, 2, 3) GROUP BY x, y, s"""))
 def f11_class_features(spark, d):
     cls = C.combo_169(C.card(F.expr(NUMBERS[0])), C.card(F.expr(NUMBERS[1])))
-    df = moves(spark, d).select(cls.alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    df = role(spark, d, "moves").select(cls.alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     return df.select("cls", "n", C.class_features(F.col("cls")).alias("f"), C.class_combos(F.col("cls")).alias("combos")).select("cls", "n", "combos", "f.*")
 
 
@@ -330,7 +335,7 @@ def f14_feature_vector(spark, d):
 @query(with_roles("SELECT 'actor=' || actor || '|street=' || street AS key, actor AS bucket, '?' AS other, count(*) AS n FROM moves GROUP BY 1, 2"))
 def f15_cluster_key(spark, d):
     key = X.cluster_key(street=F.col("street"), actor=F.col("actor"))
-    got = moves(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    got = role(spark, d, "moves").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return got.select("key", X.bucket_of(F.col("key"), "actor").alias("bucket"), X.bucket_of(F.col("key"), "none").alias("other"), "n")
 
 
@@ -392,7 +397,7 @@ def f24_decision_parts(spark, d):
 @query(with_roles("""WITH n AS (SELECT actor, action, count(*) AS w FROM moves GROUP BY actor, action), s AS (SELECT actor, action, round(w / CAST(max(w) OVER (PARTITION BY actor) AS DOUBLE), 2) AS s FROM n)
 SELECT actor, string_agg(CASE WHEN s >= 1 THEN action ELSE action || ':' || printf('%.2f', s) END, ',' ORDER BY action) AS notation FROM s WHERE s >= 0.005 GROUP BY actor"""))
 def f26_range_notation(spark, d):
-    df = moves(spark, d).groupBy("actor", "action").agg(F.count(F.lit(1)).alias("w"))
+    df = role(spark, d, "moves").groupBy("actor", "action").agg(F.count(F.lit(1)).alias("w"))
     return X.range_notation(df, "actor", "action", "w")
 
 
@@ -419,7 +424,7 @@ DIST = "SELECT actor, street, action, count(*) / CAST(sum(count(*)) OVER (PARTIT
 def dist_maps(spark, d):
     from decilog.operators.stats import action_freq
 
-    p = action_freq(moves(spark, d), ["actor", "street"])
+    p = action_freq(role(spark, d, "moves"), ["actor", "street"])
     return p.groupBy("actor", "street").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "p")))).alias("dist"))
 
 

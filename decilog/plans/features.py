@@ -9,7 +9,7 @@ from decilog.functions import features as X
 from decilog.operators import extract as E
 from decilog.operators import vectors as V
 from decilog.plans.bindings import role, with_roles
-from decilog.plans.decisions import ACTIVE, AGG, DEALT, FACING, NUMBERS, POT, W, WA, cut, dealt, moves
+from decilog.plans.decisions import ACTIVE, AGG, DEALT, FACING, NUMBERS, POT, W, WA, cut, moves, with_dealt
 from decilog.plans.registry import ORACLES, query
 
 BLIND = 10
@@ -23,9 +23,10 @@ def strength(cls):
 
 
 def ranges(spark, d):
-    """Hand classes that each seat was dealt, with their numbers."""
-    cls = C.combo_169(C.card(F.expr(NUMBERS[0])), C.card(F.expr(NUMBERS[1])))
-    return moves(spark, d).groupBy(F.col("actor").alias("seat"), cls.alias("cls")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    """Hand classes that each seat was dealt, with their numbers; a pair of cards is named once for all its rows."""
+    pairs = role(spark, d, "moves").groupBy(F.col("actor").alias("seat"), *[F.expr(x).alias(n) for x, n in zip(NUMBERS, "ab")]).agg(F.count(F.lit(1)).alias("n"))
+    cls = F.coalesce(C.combo_169(C.card(F.col("a")), C.card(F.col("b"))), F.lit(""))  # never null: else a join's test for null names the class of each row of the scan
+    return pairs.groupBy("seat", cls.alias("cls")).agg(F.sum("n").cast("double").alias("w"))
 
 
 def equities(spark, d):
@@ -33,18 +34,17 @@ def equities(spark, d):
     return e.withColumn("deciles", F.array(*[F.col("mean") * (6 + k) / 10 for k in range(9)]))
 
 
-def spots(spark, d):
-    """Dealt moves with everything that the vectors need."""
-    df = E.with_aggressor(E.with_size_ratios(E.with_pot_before(E.with_facing(moves(spark, d)))))
-    df = V.with_street_history(E.with_pos_rel(E.with_active_players(df)))
-    cards = dealt(spark, d).select("hand_id", "seq", "hole", "board")
-    df = df.join(cards, ["hand_id", "seq"]).withColumns({"eq_key": F.col("l_partkey") % 64, "blind": F.lit(BLIND), "spr": F.col("stack_after") / F.col("pot_before"), "seat": V.villain(), "tightness": F.lit(None).cast("double")})
-    df = V.with_equity(df, equities(spark, d), ["eq_key"])
-    return V.with_blockers(df, V.blocker_table(ranges(spark, d), "seat", strength), "seat")
+def spots(spark, d, street):
+    """Dealt moves of some streets with everything that the vectors need, blockers aside. Windows of one order follow each other."""
+    df = V.with_street_history(E.with_facing(moves(spark, d)))
+    df = E.with_pos_rel(E.with_active_players(E.with_aggressor(E.with_size_ratios(E.with_pot_before(df)))))
+    df = with_dealt(df.where(street)).withColumns({"eq_key": F.col("l_partkey") % 64, "blind": F.lit(BLIND), "spr": F.col("stack_after") / F.col("pot_before"), "seat": V.villain(), "tightness": F.lit(None).cast("double")})
+    return V.with_equity(df, F.broadcast(equities(spark, d)), ["eq_key"])  # 48 keys
 
 
-def wide(df, n):
-    return cut(df, *[F.round(F.col("vec")[k], 12).alias(f"v{k}") for k in range(n)])
+def wide(df, entries):
+    """Entries, which are within [0, 1], at 12 decimals: by whole numbers, as rounding by decimals takes longer than all else."""
+    return cut(df, *[(F.floor(x * 1e12 + 0.5) / 1e12).alias(f"v{k}") for k, x in enumerate(entries)])
 
 
 def clip(x: str, low: float = 0, high: float = 1) -> str:
@@ -135,7 +135,7 @@ columns_sql = lambda entries: ", ".join(f"round(CAST({clip(x)} AS DOUBLE), 12) A
 @query(with_roles(f"WITH {SPOTS} SELECT hand_id, seq, {columns_sql(LATER)} FROM t WHERE street <> 'preflop'"))
 def f14_later_vector(spark, d):
     """The 80 entries of each decision after the first street."""
-    return wide(V.with_vector(spots(spark, d).where("street <> 'preflop'"), strength), len(LATER))
+    return wide(V.with_cards(spots(spark, d, "street <> 'preflop'")), V.later_entries())
 
 
 X1, Y1 = "greatest(hole[1] % 13, hole[2] % 13)", "least(hole[1] % 13, hole[2] % 13)"
@@ -154,4 +154,5 @@ FIRST = [
 @query(with_roles(f"WITH {SPOTS}, {BLOCKED} SELECT hand_id, seq, {columns_sql(FIRST)} FROM t LEFT JOIN bk ON bk.seat = t.villain AND bk.a = least(hole[1], hole[2]) AND bk.b = greatest(hole[1], hole[2]) WHERE street = 'preflop'"))
 def f14_first_vector(spark, d):
     """The 34 entries of each decision on the first street."""
-    return wide(V.with_vector(spots(spark, d).where("street = 'preflop'"), strength), len(FIRST))
+    table = F.broadcast(V.blocker_table(ranges(spark, d), "seat", strength))  # 1326 rows for each of six seats
+    return wide(V.with_blockers(spots(spark, d, "street = 'preflop'"), table, "seat"), V.first_entries(strength))
