@@ -14,7 +14,7 @@ from decilog.operators import grids as G
 from decilog.operators import metrics as M
 from decilog.operators import rank as R
 from decilog.operators import stats as S
-from decilog.plans.bindings import role, with_roles
+from decilog.plans.bindings import ordered_moves, role, with_roles
 from decilog.plans.decisions import DEALT, NUMBERS, TURNS, form_sql, ratios, snap_sql
 from decilog.plans.registry import query
 from decilog.plans.stats import r4
@@ -120,7 +120,7 @@ SELECT hand_id, actor, coalesce(role, 'unknown') AS role, CASE WHEN role IS NOT
 
 @query(with_roles(ROLES_SQL))
 def f28_preflop_roles(spark, d):
-    return G.preflop_roles(role(spark, d, "moves"))
+    return G.preflop_roles(ordered_moves(spark, d))
 
 
 SCENARIO_SQL = f"""ro AS ({ROLES_SQL}), sc AS (SELECT hand_id, coalesce(string_agg(concat_ws(':', actor, role, target), '+' ORDER BY concat_ws(':', actor, role, target)) FILTER (WHERE actor <> 'BTN'), 'vNA') AS scenario FROM ro GROUP BY hand_id)"""
@@ -128,7 +128,7 @@ SCENARIO_SQL = f"""ro AS ({ROLES_SQL}), sc AS (SELECT hand_id, coalesce(string_a
 
 @query(with_roles(f"WITH {SCENARIO_SQL} SELECT scenario, count(*) AS n FROM sc GROUP BY scenario"))
 def f17_scenario_keys(spark, d):
-    return G.scenario_keys(G.preflop_roles(role(spark, d, "moves")), "BTN").groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
+    return G.scenario_keys(G.preflop_roles(ordered_moves(spark, d)), "BTN").groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
 
 
 SOLVE = """SELECT hand_id, seq, CASE action WHEN 'bet' THEN concat('BET ', CAST(amount AS VARCHAR(9))) WHEN 'raise' THEN concat('RAISE ', CAST(amount + 5 AS VARCHAR(9))) WHEN 'check' THEN 'CHECK' WHEN 'fold' THEN ' fold' ELSE 'call' END AS label,
@@ -164,7 +164,7 @@ def f29_flop_spots(spark, d):
     """Work grouped by canonical flop and role configuration."""
     flop = F.array(*[C.card(F.expr(f"((l_partkey * 7 + {k} * (l_suppkey % 7 + 4)) % 52)")) for k in (2, 3, 4)])
     first = role(spark, d, "moves").where("seq = 0").select("hand_id", C.canonical_board(flop).alias("flop"), F.round(F.col("stack_after") / 1000).cast("long").alias("stack"))
-    keyed = first.join(G.scenario_keys(G.preflop_roles(role(spark, d, "moves")), "BTN"), "hand_id")
+    keyed = first.join(G.scenario_keys(G.preflop_roles(ordered_moves(spark, d)), "BTN"), "hand_id")
     return K.group_spots(keyed, ["flop", "stack", "scenario"], "hand_id").select("flop", "stack", "scenario", "n", "chunk", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
@@ -197,7 +197,7 @@ def p08_eligible(spark, d):
 SELECT hand_id, seq, CASE WHEN street = 'preflop' THEN CASE WHEN coalesce(facing, 0) <= 0 THEN 4 ELSE 6 END WHEN coalesce(facing, 0) <= 0 THEN 9 ELSE 7 END::BIGINT AS n_legal FROM m WHERE r = 1"""))
 def c08_gap_detail(spark, d):
     """One spot per hand with what is legal there."""
-    df = E.with_facing(role(spark, d, "moves"))
+    df = E.with_facing(ordered_moves(spark, d))
     first = R.latest_n(df, ["hand_id"], [F.desc("amount"), F.asc("seq")], 1)
     return first.select("hand_id", F.col("seq").cast("long").alias("seq"), F.size(X.legal_actions(F.col("street"), F.col("facing_size"))).cast("long").alias("n_legal"))
 

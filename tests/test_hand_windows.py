@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from decilog.functions import cards as C
 from decilog.operators import vectors as V
 from decilog.plans import registry
+from decilog.plans.bindings import ordered_moves
 from decilog.plans.features import spots, strength, wide
 
 registry.load()
@@ -64,3 +65,17 @@ def test_board_shapes(spark):
 def test_card_of_a_number(spark):
     got = [r.c for r in spark.range(53).orderBy("id").select(C.card(F.col("id")).alias("c")).collect()]
     assert got == [r + s for s in C.SUITS for r in C.RANKS] + [None]
+
+
+def test_tasks_of_hand_windows_grow_in_number_not_in_rows(spark):
+    """More lines are more tasks, whatever the session's shuffle partitions (4 here), up to the last window; hands stay whole."""
+    moves = ordered_moves(spark, SF, 500)
+    got = V.with_street_history(moves).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("hand_id").alias("hands")).collect()
+    assert sum(r.n for r in got) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert len(got) >= 10 and max(r.n for r in got) <= 1000
+    assert sum(len(r.hands) for r in got) == len(set().union(*[r.hands for r in got]))
+
+
+@pytest.mark.parametrize("name", ["f09_street_history", "f09_betting_features", "f14_feature_vector", "f28_preflop_roles"])
+def test_queries_over_hands_use_those_tasks(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(registry.QUERIES[name](spark, SF))
