@@ -58,6 +58,21 @@ def hide_own(sims: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray) -> None:
         sims[rows, first[rows] + more] = -np.inf
 
 
+def distinct(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct rows of a matrix, and for each row the number of its own among them."""
+    if not m.size:
+        return np.arange(min(1, len(m))), np.zeros(len(m), np.int64)
+    raw = np.ascontiguousarray(m + 0.0).view(np.dtype((np.void, m.itemsize * m.shape[1]))).ravel()  # -0.0 reads as 0.0
+    _, first, place = np.unique(raw, return_index=True, return_inverse=True)
+    return first, place
+
+
+def paired(x: np.ndarray, y: np.ndarray, at: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Dot products of the rows ``at`` of x with ``nb`` of y, each summed in the same order wherever it stands; ``CHUNK`` entries at a time."""
+    step = max(1, CHUNK // max(1, x.shape[1]))
+    return np.concatenate([np.zeros(0), *((x[at[s : s + step]] * y[nb[s : s + step]]).sum(axis=1) for s in range(0, len(at), step))])
+
+
 def knn(
     queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10, vec: str = "vec", id_col: str = "id",
     band: str | None = None, block_rows: int = BLOCK_ROWS, apart: list[str] | None = None, valid: tuple[str, str, str] | None = None,
@@ -67,7 +82,8 @@ def knn(
     Both sides are cut into blocks of about ``block_rows`` within their partition, so
     a partition with a third of all rows is many blocks; each block pair is one matrix
     product that yields at most ``k`` rows per query, and a window merges them. A row is
-    never its own neighbour. Ties go to the smaller id. ``band``: a column; neighbours
+    never its own neighbour. Ties go to the smaller id; equal vectors tie, in one block or in
+    several, though a matrix product rounds by a row's place. ``band``: a column; neighbours
     must lie within [max(0, floor(q / 2)), floor(3 q / 2)] of the query's, unless that is -1.
     ``apart``: columns; a row that has the query's values in all of them (nulls are equal) is
     no neighbour. ``valid``: the query's time and the corpus's columns added and removed; a
@@ -111,10 +127,15 @@ def block_nearest(
             q_group, c_group = codes[: len(q)], codes[len(q) :]
         bad_q, bad_c = (~np.isfinite(m).all(axis=1) for m in (qm, cm))
         qm[bad_q], cm[bad_c] = 0, 0
+        first, place = distinct(cm)
+        copies = len(first) < len(c)
+        own = cm[first] if copies else cm
         step = max(1, CHUNK // len(c))
         for start in range(0, len(q), step):
             rows = slice(start, start + step)
-            sims = qm[rows] @ cm.T
+            sims = qm[rows] @ own.T
+            if copies:
+                sims = sims[:, place]
             hide_own(sims, q_ids[rows], c_ids)
             sims[bad_q[rows]] = -np.inf
             sims[:, bad_c] = -np.inf
@@ -127,8 +148,8 @@ def block_nearest(
             if valid:
                 t, added, removed = q[valid[0]].to_numpy()[rows, None], c[valid[1]].to_numpy()[None, :], c[valid[2]].to_numpy()[None, :]
                 sims[~((added <= t) & ((removed == 0) | (removed > t)))] = -np.inf
-            at, nb, found = nearest(sims, k)
-            made.append(pd.DataFrame({"query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - found}))
+            at, nb, _ = nearest(sims, k)
+            made.append(pd.DataFrame({"query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - paired(qm, cm, start + at, nb)}))
         return pd.concat(made)
 
     parts = [*keys, "_q", "_c"]
