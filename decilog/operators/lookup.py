@@ -108,20 +108,32 @@ def bounded_product(df: DataFrame, keys: list[str], side: str, item: str, w: str
 
 
 def spread_product(df: DataFrame, keys: list[str], side: str, item: str, w: str, block_rows: int) -> DataFrame:
-    """Every item of side 0 with every item of side 1 of its key, by pairs of blocks: keys, item_0, weight, item_1."""
+    """Every item of side 0 with every item of side 1 of its key, by pairs of blocks: keys, item_0, weight, item_1.
+
+    A side's items are cut by weight, so those of one weight lie together, and a block of side 1 is one
+    row that an item of side 0 meets whole: its products come in order of the weight. What is
+    written of such a result is runs and repeats, as an item has few bytes beside its products.
+    The numbers by weight take one sort of a key's narrow rows, which its products outnumber by far.
+    """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
     blocks = lambda k: F.ceil(F.count_if(F.col(side) == k) / block_rows).cast("int").alias(f"_n{k}")
     sizes = df.groupBy(*keys).agg(blocks(0), blocks(1)).where("_n0 > 0 AND _n1 > 0")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_w", "_item")) - 1
+
+    def numbered(k: int) -> DataFrame:
+        rows = df.where(F.col(side) == k).select(*keys, F.col(w).alias("_w"), F.col(item).alias("_item"))
+        return rows.withColumn(f"_b{k}", F.floor(place / block_rows).cast("int"))
 
-    def cut(k: int, name: str) -> DataFrame:
-        rows = df.where(F.col(side) == k).select(*keys, F.col(item).alias(f"item_{k}"), F.col(w).alias(name)).join(sizes, keys)
-        rows = rows.withColumn(f"_b{k}", F.pmod(F.xxhash64(f"item_{k}"), F.col(f"_n{k}")).cast("int"))
-        rows = rows.withColumn(f"_b{1 - k}", F.explode(F.sequence(F.lit(0), F.col(f"_n{1 - k}") - 1))).drop("_n0", "_n1")
+    def dealt(rows: DataFrame, k: int) -> DataFrame:
+        rows = rows.join(sizes, keys).withColumn(f"_b{1 - k}", F.explode(F.sequence(F.lit(0), F.col(f"_n{1 - k}") - 1))).drop("_n0", "_n1")
         # a count of tasks of its own: by bytes these are few, by what they yield many
         return rows.repartition(tasks, *keys, "_b0", "_b1")
 
-    both = cut(0, "weight").join(cut(1, "_w"), [*keys, "_b0", "_b1"])
+    left = numbered(0).withColumnsRenamed({"_w": "weight", "_item": "item_0"})
+    right = numbered(1).groupBy(*keys, "_b1").agg(F.array_sort(F.collect_list(F.struct("_w", "_item"))).alias("_rows"))  # at most block_rows
+    both = dealt(left, 0).join(dealt(right, 1), [*keys, "_b0", "_b1"])
+    both = both.select(*keys, "item_0", "weight", F.inline("_rows").alias("_w", "item_1"))
     return both.select(*keys, "item_0", (F.col("weight") * F.col("_w")).alias("weight"), "item_1")
 
 
