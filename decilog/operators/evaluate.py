@@ -129,16 +129,20 @@ def weight_sweep(df: DataFrame, keys: list[str], variants: dict[str, Column], we
     if zscore:
         wide = scaled(wide, ["vec", *[f"_b_{name}" for name in variants]])
     settings = [(name, float(w)) for name in variants for w in weights]
-    used = enough(wide, keys, k).where("_used").drop("_used")
-    near = K.knn_sweep(used, keys, {name: [f"_b_{name}"] for name in variants}, settings, k)
+    searched = list(dict.fromkeys(s if s[1] else (next(iter(variants)), 0.0) for s in settings))  # without a weight all variants are alike
+    used = wide.join(wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > k), keys, "left_semi")
+    near = K.knn_sweep(used, keys, {name: [f"_b_{name}"] for name in variants}, searched, k)
     dist = B.blend(near.select(F.struct("setting", "query").alias("query"), "nb", "distance"), used)
-    top = dist.groupBy("query").agg(F.max_by("action", F.struct("prob", "action")).alias("top"))
-    hit = dist.join(used.select(F.col("id").alias("_id"), F.col("action").alias("own")), F.col("query.query") == F.col("_id")).groupBy("query", "own").agg(F.coalesce(F.max(F.when(F.col("action") == F.col("own"), F.col("prob"))), F.lit(0.0)).alias("prob"))
-    got = hit.join(top, "query").groupBy(F.col("query.setting").alias("setting")).agg(
+    own = used.select(F.col("id").alias("_id"), F.col("action").alias("own"))
+    hit = dist.join(own, F.col("query.query") == F.col("_id")).groupBy("query", "own").agg(
+        F.coalesce(F.max(F.when(F.col("action") == F.col("own"), F.col("prob"))), F.lit(0.0)).alias("prob"), F.max_by("action", F.struct("prob", "action")).alias("top"),
+    )
+    got = hit.groupBy(F.col("query.setting").alias("setting")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(1 - F.col("prob")).alias("loss"), F.avg(-F.log(F.col("prob") + 1e-6)).alias("log_loss"), F.avg((F.col("top") == F.col("own")).cast("double")).alias("fidelity"),
     )
-    named = F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(w).alias("weight")) for name, w in settings])
-    return got.withColumn("_s", named[F.col("setting")]).select("_s.variant", "_s.weight", "rows", "loss", "log_loss", "fidelity")
+    alike = lambda s, t: s == t or s[1] == t[1] == 0
+    named = F.array(*[F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(w).alias("weight")) for name, w in settings if alike(s, (name, w))]) for s in searched])
+    return got.withColumn("_s", F.explode(named[F.col("setting")])).select("_s.variant", "_s.weight", "rows", "loss", "log_loss", "fidelity")
 
 
 def compare_variants(results: DataFrame, baseline: str, tolerance: float = 1e-3) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 BLOCK_ROWS = 20_000
 #: Entries of a block pair's product that are held at a time (4 MB).
 CHUNK = 1 << 19
+#: A sweep's blocks have no fewer queries than this where they need not; rows that it meets at a time; queries and rows of one product.
+LEAST_ROWS, SWEEP_ROWS, SWEEP_TILE = 2_000, 16_384, (128, 1_024)
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -164,58 +167,230 @@ def knn_sweep(
     """Every row's ``k`` nearest others under several vectors at once: setting (place in ``settings``), query, nb, distance, rank.
 
     A setting (name, weight) stands for the columns ``base`` (arrays) followed by those of
-    ``blocks[name]`` times the weight. A dot product of such vectors is that of the base plus
-    weight^2 times that of the block, and so is a squared length: a block pair takes one product
-    for the base and one for each name, and combines them for every weight. The rows
-    travel once, however many settings there are.
+    ``blocks[name]`` times the weight. A partition's queries are cut into blocks of at most about
+    ``block_rows``; a task holds a block, and the partition's rows come past it in order of
+    their id, whatever their number (see :class:`Sweep`). So a query's neighbours are whole when
+    its task ends, and nothing is merged later. Ties, and rows that have no neighbours, are as in :func:`knn`.
     """
+    assert all(name in blocks for name, _ in settings)
     base = base or ["vec"]
-    kind, names = df.schema[id_col].dataType, list(blocks)
-    sizes = blocks_of(df, keys, "_n", block_rows)
+    searches = list(dict.fromkeys((name, float(w)) if w else ("", 0.0) for name, w in settings))  # without a weight all blocks are alike
+    of = [searches.index((name, float(w)) if w else ("", 0.0)) for name, w in settings]
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, [*keys, "_q"]
     columns = list(dict.fromkeys([*base, *[c for own in blocks.values() for c in own]]))
-    sized = df.select(*keys, id_col, *columns).join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64(id_col), "_n").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    left, right = sized.withColumn("_q", F.col("_own")).withColumn("_c", every), sized.withColumn("_c", F.col("_own")).withColumn("_q", every)
-    out = T.StructType([T.StructField("setting", T.IntegerType()), T.StructField("query", kind), T.StructField("nb", kind), T.StructField("distance", T.DoubleType())])
-
-    def matrix(part: pd.DataFrame, of: list[str]) -> np.ndarray:
-        return np.concatenate([np.stack(part[c].to_numpy()).astype(np.float64) for c in of], axis=1)
+    given = df.select(*keys, id_col, *columns).dropna(subset=[id_col, *columns])
+    rows = F.least(F.lit(block_rows), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("_all") / (2 * cores))))
+    sizes = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).crossJoin(F.broadcast(given.agg(F.count(F.lit(1)).alias("_all"))))  # one row
+    sized = given.join(sizes.select(*keys, F.ceil(F.col("_rows") / rows).cast("int").alias("_n")), keys)
+    # a row goes to its own block as a query (-1), and to every block of its partition
+    sent = sized.withColumn("_c", F.explode(F.sequence(F.lit(-1), F.col("_n") - 1))).withColumn("_held", F.col("_c") >= 0)
+    sent = sent.withColumn("_q", F.when(F.col("_held"), F.col("_c")).otherwise(F.pmod(F.xxhash64(id_col), "_n").cast("int"))).drop("_c", "_n")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * cores)
+    sent = sent.repartition(tasks, *parts).sortWithinPartitions(*parts, "_held", id_col)
+    kind = df.schema[id_col].dataType
+    out = T.StructType([T.StructField("setting", T.IntegerType()), T.StructField("query", kind), T.StructField("nb", kind), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def search(batches):
+        now, block = None, None
+        for batch in batches:
+            for key, held, part in runs(batch, parts, "_held"):
+                if key != now:
+                    yield from block.found(of) if block else ()
+                    now, block = key, Sweep(base, blocks, searches, k, id_col)
+                block.meet(part) if held else block.asked.append(part)
+        yield from block.found(of) if block else ()
+
+    return sent.mapInArrow(search, out)
+
+
+def runs(batch: pa.RecordBatch, keys: list[str], flag: str) -> Iterator[tuple[str, bool, pa.RecordBatch]]:
+    """Runs of rows with equal keys and flag: the keys as text, the flag, the rows."""
+    values = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, flag)]
+    new = np.zeros(batch.num_rows + 1, bool)
+    new[[0, -1]] = True
+    for v in values:
+        new[1:-1] |= (v[1:] != v[:-1]) & ((v[1:] == v[1:]) | (v[:-1] == v[:-1]))  # what is no number equals itself as a key
+    cuts = np.flatnonzero(new)
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        yield repr([v[start] for v in values[:-1]]), bool(values[-1][start]), batch.slice(start, end - start)
+
+
+def matrix(parts: list[pa.RecordBatch], columns: list[str]) -> np.ndarray:
+    """Array columns side by side, a row of doubles for each row."""
+    made = []
+    for part in parts:
+        lists = [part.column(c) for c in columns]
+        widths = [np.unique(x.value_lengths().to_numpy()) for x in lists]
+        if any(len(w) > 1 for w in widths):
+            raise ValueError(f"vectors of several lengths in {columns}")
+        made.append(np.concatenate([x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), *w) for x, w in zip(lists, widths)], axis=1))
+    return np.concatenate(made)
+
+
+class Side:
+    """Rows of one side of a sweep. ``exact``: each search's vectors, of length 1; ``fine``: which of them are numbers.
+
+    ``base``, ``more`` and ``length`` are single-precision forms, scaled by the base's length: a
+    search's dot product is that of ``base`` plus that of its ``more``.
+    """
 
-    def block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"setting": [], "query": [], "nb": [], "distance": []})
-        c = c.sort_values(id_col, kind="stable").reset_index(drop=True)
-        q_ids, c_ids, made = q[id_col].to_numpy(), c[id_col].to_numpy(), []
-        sides = {name: (matrix(q, of), matrix(c, of)) for name, of in {"": base, **blocks}.items()}
-        lengths = {name: ((x * x).sum(1), (y * y).sum(1)) for name, (x, y) in sides.items()}
-        inverse = lambda squares: 1 / np.where(squares == 0, 1, np.sqrt(squares))
-        step = max(1, CHUNK // len(c))
-        for start in range(0, len(q), step):
-            rows = slice(start, start + step)
-            dots = {name: x[rows] @ y.T for name, (x, y) in sides.items()}
-            plain = None
-            for number, (name, weight) in enumerate(settings):
-                w = weight * weight
-                if w == 0 and plain is not None:  # without a weight all blocks are alike
-                    at, nb, found = plain
-                else:
-                    across, down = (inverse(lengths[""][side] + w * lengths[name][side]) for side in (0, 1))
-                    # a query's own length does not change the order of its neighbours
-                    sims = dots[name] * w if w else dots[""].copy()
-                    if w:
-                        sims += dots[""]
-                    sims *= down
-                    hide_own(sims, q_ids[rows], c_ids)
-                    at, nb, found = nearest(sims, k)
-                    found = found * across[start + at]
-                    plain = (at, nb, found) if w == 0 else plain
-                made.append(pd.DataFrame({"setting": number, "query": q_ids[start + at], "nb": c_ids[nb], "distance": 1 - found}))
-        return pd.concat(made)
+    def __init__(self, parts: list[pa.RecordBatch], base: list[str], blocks: dict[str, list[str]], searches: list[tuple[str, float]], id_col: str) -> None:
+        self.ids = np.concatenate([p.column(id_col).to_numpy(zero_copy_only=False) for p in parts])
+        plain = matrix(parts, base)
+        wide = [np.concatenate([plain, matrix(parts, blocks[name]) * w], axis=1) if w else plain for name, w in searches]
+        self.fine = [np.isfinite(m).all(axis=1) for m in wide]
+        wide = [np.where(ok[:, None], m, 0) for ok, m in zip(self.fine, wide)]
+        plain = np.where(np.isfinite(plain).all(axis=1)[:, None], plain, 0)
+        lengths = [np.linalg.norm(m, axis=1) for m in wide]
+        self.exact = [m / np.where(x == 0, 1, x)[:, None] for m, x in zip(wide, lengths)]
+        scale = np.linalg.norm(plain, axis=1)
+        scale = np.where(scale == 0, np.max(lengths, axis=0), scale)
+        scale = np.where(scale == 0, 1, scale)[:, None]
+        self.base = (plain / scale).astype(np.float32)
+        # a column of zeros keeps the narrow product a matrix's: that of two vectors is slower
+        self.more = [np.pad(m[:, plain.shape[1] :] / scale, ((0, 0), (0, 1))).astype(np.float32) for m in wide]
+        self.length = [(x / scale[:, 0]).astype(np.float32) for x in lengths]
+
+
+class Sweep:
+    """A block's queries and the ``k`` nearest of each so far, under several vectors, among rows that come in order of their id.
+
+    A search (name, weight) adds a block of entries to the base. A product in single precision
+    is taken once for the base, and a narrow one for each search, which also has what a row must reach
+    to be among a query's ``k`` nearest so far, less ``slack``. The few that reach it are candidates, and their distances
+    are summed in double precision, in one order for all. ``slack`` is over twice the most that a
+    product in single precision can be off, so no neighbour is lost. Of equal vectors only the first k + 1 ids
+    can be anyone's neighbours. What is held: the block, some ``SWEEP_ROWS`` rows, and candidates up to about ``CHUNK`` a search.
+    """
 
-    assert all(name in names for name, _ in settings)
-    parts = [*keys, "_q", "_c"]
-    found = left.toDF(*left.columns).groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(block, out)
-    return ranked(found, k, "setting")
+    def __init__(self, base: list[str], blocks: dict[str, list[str]], searches: list[tuple[str, float]], k: int, id_col: str) -> None:
+        self.form, self.searches, self.k = (base, blocks, searches, id_col), range(len(searches)), k
+        self.asked, self.held, self.seen, self.known, self.own = [], [], 0, 0, None
+
+    def meet(self, part: pa.RecordBatch) -> None:
+        """Some rows of the corpus; they wait until there are enough for a product."""
+        self.held.append(part)
+        if sum(p.num_rows for p in self.held) >= SWEEP_ROWS:
+            self.look()
+
+    def look(self) -> None:
+        """The rows that wait against all queries."""
+        rows = Side(self.held, *self.form)
+        self.id_type = self.held[0].schema.field(self.form[-1]).type
+        self.held = []
+        if not self.asked:
+            return
+        if self.own is None:
+            self.own = own = Side(self.asked, *self.form)
+            self.slack = [(m.shape[1] + 16) * 2.0**-23 for m in own.exact]
+            self.floor = [np.full(len(own.ids), -2.0) for _ in self.searches]
+            nothing = np.zeros(0, np.int64)
+            self.best = [(nothing, np.zeros(0), nothing, rows.ids[:0]) for _ in self.searches]
+            self.begin(rows)
+        may = [fine.copy() for fine in rows.fine]
+        for m, exact in zip(may, rows.exact):
+            m[m] = first_copies(exact[m], rows.ids[m], self.k)
+        edge = [self.edge(s) for s in self.searches]
+        asked = [np.concatenate([np.where(rows.length[s] == 0, 1, rows.length[s])[:, None], rows.more[s]], axis=1) for s in self.searches]
+        waiting, counts = [[] for _ in self.searches], [0 for _ in self.searches]
+        tall, wide = SWEEP_TILE
+        sims, bound, hit = np.empty(tall * wide, np.float32), np.empty(tall * wide, np.float32), np.empty(tall * wide, bool)
+        for left in range(0, len(rows.ids), wide):
+            for top in range(0, len(self.own.ids), tall):
+                q, c = slice(top, top + tall), slice(left, left + wide)
+                shape = (len(self.own.base[q]), len(rows.base[c]))
+                x, y, z = (m[: shape[0] * shape[1]].reshape(shape) for m in (sims, bound, hit))
+                np.matmul(self.own.base[q], rows.base[c].T, out=x)
+                for s in self.searches:
+                    np.matmul(edge[s][q], asked[s][c].T, out=y)
+                    np.greater(x, y, out=z)
+                    if not may[s][c].all():
+                        z &= may[s][c]
+                    some = np.flatnonzero(z.any(axis=1))
+                    if len(some):
+                        at, nb = np.divmod(np.flatnonzero(z[some]), shape[1])
+                        waiting[s].append((some[at] + top, nb + left))
+                        counts[s] += len(at)
+                    if counts[s] > CHUNK:
+                        self.take(s, rows, waiting[s])
+                        waiting[s], counts[s], edge[s] = [], 0, self.edge(s)
+            met = self.seen + min(left + wide, len(rows.ids))
+            if met >= 2 * self.known or met == self.seen + len(rows.ids):
+                for s in self.searches:
+                    if waiting[s]:
+                        self.take(s, rows, waiting[s])
+                        waiting[s], counts[s], edge[s] = [], 0, self.edge(s)
+                self.known = met
+        self.seen += len(rows.ids)
+
+    def begin(self, rows: Side) -> None:
+        """What a row must reach, from the first rows."""
+        first = slice(0, max(1024, 4 * self.k))
+        for s in self.searches if len(rows.ids) > self.k else ():
+            step = max(1, CHUNK // len(rows.ids[first]))
+            may = rows.fine[s][first] & (rows.length[s][first] > 0)
+            for top in range(0, len(self.own.ids), step):
+                q = slice(top, top + step)
+                sims = self.own.base[q] @ rows.base[first].T + self.own.more[s][q] @ rows.more[s][first].T
+                sims /= np.maximum(self.own.length[s][q, None] * rows.length[s][None, first], np.finfo(np.float32).tiny)
+                sims[:, ~may] = -np.inf
+                hide_own(sims, self.own.ids[q], rows.ids[first])
+                least = np.partition(sims, -self.k, axis=1)[:, -self.k].astype(np.float64)
+                known = np.isfinite(least) & (self.own.length[s][q] > 0)
+                self.floor[s][q] = np.where(known, np.minimum(least, 1) - self.slack[s], -2.0)
+
+    def edge(self, s: int) -> np.ndarray:
+        """The queries' side of the narrow product: its value is the least dot product with the base that counts."""
+        length, floor = self.own.length[s].astype(np.float64), self.floor[s]
+        # a query of length 0 that has its neighbours gets no others: all are as near, and ids only grow
+        reach = np.where(floor > -2, (floor - self.slack[s]) * length, -2 * np.where(length == 0, 1, length))
+        return np.concatenate([reach[:, None].astype(np.float32), -self.own.more[s]], axis=1)
+
+    def take(self, s: int, rows: Side, waiting: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Candidates join the best so far."""
+        at, nb = (np.concatenate(x) for x in zip(*waiting))
+        kept = (self.own.ids[at] != rows.ids[nb]) & self.own.fine[s][at]
+        at, nb = at[kept], nb[kept]
+        far = 1 - paired(self.own.exact[s], rows.exact[s], at, nb)
+        at, far, place, ids = (np.concatenate(x) for x in zip(self.best[s], (at, far, self.seen + nb, rows.ids[nb])))
+        order, rank = ranks(at, far, place, self.k)
+        at, far = at[order], far[order]
+        self.best[s] = at, far, place[order], ids[order]
+        last = rank == self.k - 1
+        self.floor[s][at[last]] = 1 - far[last]
+
+    def found(self, of: list[int]) -> Iterator[pa.RecordBatch]:
+        """Every setting's neighbours, where ``of`` has its search. Queries that share an id are one."""
+        if self.held:
+            self.look()
+        for number, s in enumerate(of if self.own is not None else ()):
+            at, far, place, ids = self.best[s]
+            code = pd.factorize(self.own.ids)[0]
+            order, rank = ranks(code[at], far, place, self.k)
+            own = [pa.array(x, type=self.id_type) for x in (self.own.ids[at[order]], ids[order])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), number, np.int32)), *own, pa.array(far[order]), pa.array((rank + 1).astype(np.int32))], names=["setting", "query", "nb", "distance", "rank"])
+
+
+def ranks(at: np.ndarray, far: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ``k`` nearest of each query are, in order, and their rank from 0; of equally near ones those with the first places."""
+    order = np.lexsort((place, far, at))
+    at = at[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    return order[rank < k], rank[rank < k]
+
+
+def first_copies(m: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the first k + 1 ids of their vector. ``ids`` are in order."""
+    first, own = distinct(m)
+    if len(first) == len(m):
+        return np.ones(len(m), bool)
+    order = np.argsort(own, kind="stable")
+    own, ids = own[order], ids[order]
+    other = np.r_[True, own[1:] != own[:-1]]
+    number = np.cumsum(other | np.r_[True, ids[1:] != ids[:-1]])
+    few = np.zeros(len(m), bool)
+    few[order] = number - number[other][np.cumsum(other) - 1] <= k
+    return few
 
 
 def knn_lsh(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int = 10, vec: str = "vec", id_col: str = "id", tables: int = 8, planes: int = 6, dims: int = 64, seed: int = 5) -> DataFrame:
