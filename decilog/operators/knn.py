@@ -186,7 +186,8 @@ def knn_sweep(
     sent = sized.withColumn("_c", F.explode(F.sequence(F.lit(-1), F.col("_n") - 1))).withColumn("_held", F.col("_c") >= 0)
     sent = sent.withColumn("_q", F.when(F.col("_held"), F.col("_c")).otherwise(F.pmod(F.xxhash64(id_col), "_n").cast("int"))).drop("_c", "_n")
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * cores)
-    sent = sent.repartition(tasks, *parts).sortWithinPartitions(*parts, "_held", id_col)
+    # blocks are few and long: a partition's go to tasks of their own, where by a hash some would meet in one
+    sent = sent.repartitionById(tasks, F.pmod(F.xxhash64(*keys) + F.col("_q"), F.lit(tasks)).cast("int")).sortWithinPartitions(*parts, "_held", id_col)
     kind = df.schema[id_col].dataType
     out = T.StructType([T.StructField("setting", T.IntegerType()), T.StructField("query", kind), T.StructField("nb", kind), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from decilog.operators import knn as K
 
@@ -78,6 +79,12 @@ def test_neighbours_are_whole_when_a_task_ends(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_blocks_of_a_partition_are_as_many_tasks(spark):
+    df = spark.range(600).selectExpr("id", "7 AS part", "array(sin(id), cos(id * 7), sin(id * 3)) AS vec", "array(double(id % 5)) AS a")
+    got = K.knn_sweep(df, ["part"], {"a": ["a"]}, [("a", 0.5)], 4, block_rows=25)  # 24 blocks, 32 tasks
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == 24
+
+
 def test_what_a_block_holds_does_not_grow_with_the_rows_that_pass():
     rng = np.random.default_rng(2)
 
